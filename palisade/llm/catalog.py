@@ -1,7 +1,16 @@
 """Registered queries of the training-data operators and their SQL counterparts."""
 
+from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .packing import op3_best_fit_packing
+from .toxicity import op4_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
-QUERIES = {"op1_url_filter": op1_url_filter, "op10_exact_dedup": op10_exact_dedup}
-ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op10_exact_dedup": OP10_SQL}
+QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_toxicity": op4_toxicity,
+    "op6_decontamination": op6_decontamination,
+    "op10_exact_dedup": op10_exact_dedup,
+}
+ORACLE_SQL = {"op1_url_filter": OP1_SQL, "op6_decontamination": OP6_SQL, "op10_exact_dedup": OP10_SQL}
