@@ -79,7 +79,7 @@ class WaveletTree:
 
 class FMIndex:
     def __init__(self, s: np.ndarray, sample: int = SAMPLE):
-        """``s``: numbers of at least 0, the last of them 0."""
+        """``s``: numbers above 0 and a single 0 at the end."""
         sa = suffix_array(s)
         self.last = s[sa - 1]
         self.tree = WaveletTree(self.last)
@@ -147,11 +147,11 @@ class Items:
             return out
         total = length + 1  # a run and the 0 behind it
         at = np.repeat(first - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
-        index = FMIndex(ids[at])
+        index = FMIndex(np.concatenate((ids[at] + 1, [0])))
         edge = np.zeros(len(ids) + 1, np.int64)
         pairs: set[tuple[int, str]] = set()
         for patterns, items in self.by_length:
-            low, high = index.ranges(patterns)
+            low, high = index.ranges(patterns + 1)
             count = high - low
             rows = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             place = at[index.locate(rows)]
