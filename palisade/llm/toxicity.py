@@ -34,7 +34,7 @@ SEGMENT = 16
 SEGMENT_LEAST = 8
 DIM = 8
 THRESHOLD = 0.7
-MAX_TRAIN = 6000
+MAX_TRAIN = 4000
 #: A gram in fewer training texts keeps a zero vector: it can only be learnt by heart.
 MIN_TEXTS = 8
 #: Characters that are worked on at once.
@@ -131,8 +131,71 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -60, 60)))
 
 
-def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, epochs: int = 8, rate: float = 0.1, batch: int = 64, seed: int = 7) -> ToxicityModel:
-    """Embeddings and softmax weights, jointly; each text's strongest segment carries its gradient."""
+def ranges(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. first[i] + size[i] - 1 of every i, in a row."""
+    return np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+@dataclass
+class TrainingSet:
+    """Texts as numbers of distinct words, and each distinct word's grams (``grams[first[w]:first[w] + size[w]]``)."""
+
+    word: np.ndarray
+    segment: np.ndarray
+    segment_first: np.ndarray
+    segment_size: np.ndarray
+    segment_text: np.ndarray
+    grams: np.ndarray
+    first: np.ndarray
+    size: np.ndarray
+
+
+def training_set(texts: list[str]) -> TrainingSet:
+    step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+    keys, segments, segment_texts, own_keys, own_grams, own_sizes = [], [], [], [], [], []
+    begin, n, done = 0, 0, 0
+    for k, text in enumerate(texts):
+        n += len(text)
+        if n < BLOCK and k < len(texts) - 1:
+            continue
+        block = texts[begin : k + 1]
+        s = segmented(block)
+        chars, _ = codes(block)
+        powers = np.cumprod(np.full(len(chars), back, np.uint64))
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(77)) * np.uint64(0xBF58476D1CE4E5B9) * powers, dtype=np.uint64)))
+        inside = np.concatenate((chars != 0, [False]))
+        first = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        last = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        key = (sums[last] - sums[first]) * np.cumprod(np.full(len(chars) + 1, step, np.uint64))[first]
+        own, where = np.unique(key, return_index=True)
+        wanted = np.zeros(len(key), bool)
+        wanted[where] = True
+        pick = np.flatnonzero(wanted[s.gram_word])
+        pick = pick[np.argsort(key[s.gram_word[pick]], kind="stable")]
+        own_keys.append(own)
+        own_grams.append(s.grams[pick].astype(np.int32))
+        own_sizes.append(np.bincount(s.gram_word, minlength=len(key))[where])
+        keys.append(key)
+        segments.append(s.word_segment + done)
+        done += len(s.segment_share)
+        segment_texts.append(s.segment_text + begin)
+        begin, n = k + 1, 0
+    all_keys, sizes = np.concatenate(own_keys), np.concatenate(own_sizes)
+    distinct, where = np.unique(all_keys, return_index=True)
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    size = sizes[where]
+    grams = np.concatenate(own_grams)[ranges(starts[where], size)]
+    word = np.searchsorted(distinct, np.concatenate(keys)).astype(np.int32)
+    segment = np.concatenate(segments)
+    count = np.bincount(segment)
+    return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
+
+
+def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int = 16, rate: float = 0.1, batch: int = 64, seed: int = 7) -> ToxicityModel:
+    """Embeddings and softmax weights, jointly.
+
+    A round picks each text's strongest segment under the present model, then descends along the gradients of these.
+    """
     toxic = np.asarray(toxic, np.int64)
     if len(set(toxic.tolist())) < 2:
         return ToxicityModel(np.zeros(1, np.float32), 0.0, trained=False)
@@ -141,34 +204,38 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, epochs: int
     weights = rng.normal(0, 0.1, (dim, 2))
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic))
     row_sum, weight_sum, bias_sum = np.full(BUCKETS, 1e-4), np.full(weights.shape, 1e-4), np.full(2, 1e-4)
-    order = rng.permutation(len(texts))
-    batches = [order[i : i + batch] for i in range(0, len(order), batch)]
-    prepared = [segmented([texts[i] for i in b]) for b in batches]
-    in_texts = np.zeros(BUCKETS, np.int64)
-    for s in prepared:
-        of_text = s.segment_text[s.word_segment[s.gram_word]]
-        in_texts += np.bincount(np.unique(of_text * BUCKETS + s.grams) % BUCKETS, minlength=BUCKETS)
-    common = in_texts >= MIN_TEXTS
+    data = training_set(texts)
+    # a gram counts once for each text that has it
+    pairs = np.unique(data.segment_text[data.segment].astype(np.int64) * len(data.size) + data.word)
+    in_texts = np.bincount(pairs % len(data.size), minlength=len(data.size))
+    common = np.bincount(data.grams, np.repeat(in_texts, data.size), BUCKETS) >= MIN_TEXTS
+    del pairs
     vectors[~common] = 0
+    share = 1 / np.maximum(data.segment_size, SEGMENT_LEAST)
     scale = 8.0  # so that one word in a segment can decide
-    for epoch in range(epochs):
-        for k in rng.permutation(len(batches)):
-            s, y = prepared[k], toxic[batches[k]]
-            used, own = np.unique(s.grams, return_inverse=True)
-            local = Segmented(own, s.gram_word, s.word_share, s.word_segment, s.segment_share, s.segment_text, s.texts)
-            gram_logits = scale * vectors[used] @ weights
-            z = np.stack([segment_means(local, gram_logits[:, c]) for c in (0, 1)], 1) + bias
-            best, text = strongest(z[:, 1] - z[:, 0], s.segment_text)
-            if not len(best):
-                continue
-            e = np.exp(z[best] - z[best].max(1, keepdims=True))
+    for _ in range(rounds):
+        margin = scale * vectors @ (weights[:, 1] - weights[:, 0])
+        sums = np.concatenate(([0.0], np.cumsum(margin[data.grams])))
+        of_word = (sums[data.first + data.size] - sums[data.first]) / np.maximum(data.size, 1)
+        z = np.bincount(data.segment, of_word[data.word], len(share)) * share
+        best, text = strongest(z, data.segment_text)
+        order = rng.permutation(len(best))
+        for i in range(0, len(order), batch):
+            own = best[order[i : i + batch]]
+            y = toxic[text[order[i : i + batch]]]
+            size = data.segment_size[own]
+            word = data.word[ranges(data.segment_first[own], size)]
+            of_text = np.repeat(np.arange(len(own)), size)
+            gram_share = np.repeat(share[own][of_text] / np.maximum(data.size[word], 1) * scale, data.size[word])
+            gram_text = np.repeat(of_text, data.size[word])
+            used, at = np.unique(data.grams[ranges(data.first[word], data.size[word])], return_inverse=True)
+            logits = vectors[used] @ weights
+            z = np.stack([np.bincount(gram_text, logits[at, c] * gram_share, len(own)) for c in (0, 1)], 1) + bias
+            e = np.exp(z - z.max(1, keepdims=True))
             slope = e / e.sum(1, keepdims=True)
-            slope[np.arange(len(text)), y[text]] -= 1
-            per_segment = np.zeros((len(s.segment_share), 2))
-            per_segment[best] = slope * s.segment_share[best][:, None] * scale
-            per_gram = (per_segment[s.word_segment] * s.word_share[:, None])[s.gram_word]
-            pull = np.stack([np.bincount(own, per_gram[:, c], len(used)) for c in (0, 1)], 1)
-            to_vectors, to_weights, to_bias = pull @ weights.T, vectors[used].T @ pull, slope.sum(0) / len(text)
+            slope[np.arange(len(own)), y] -= 1
+            pull = np.stack([np.bincount(at, slope[gram_text, c] * gram_share, len(used)) for c in (0, 1)], 1)
+            to_vectors, to_weights, to_bias = pull @ weights.T, vectors[used].T @ pull, slope.sum(0) / len(own)
             row_sum[used] += (to_vectors**2).mean(1)
             weight_sum += to_weights**2
             bias_sum += to_bias**2
