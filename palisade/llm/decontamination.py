@@ -16,7 +16,6 @@ other columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from itertools import chain
