@@ -1,4 +1,465 @@
-"""Registered queries of the telemetry library and their SQL counterparts."""
+"""Registered queries of the telemetry library and their SQL counterparts.
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+Each query projects a telemetry view from the given tables and runs one operator over the whole of it. Thresholds that are set
+here suit the views; a detector's limits (top findings) are its feature.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import scalars as S
+from .operators import host, intel, names, network
+from .operators.findings import check_grammar, with_finding_id
+from .plans import incidents, views
+from .streaming import summaries
+
+W = views.VIEWS_SQL
+
+
+def _r(*cols: str) -> list:
+    return [F.round(F.col(c).cast("double"), 4).alias(c) for c in cols]
+
+
+def _rs(*cols: str) -> str:
+    return ", ".join(f"round(CAST({c} AS DOUBLE), 4) AS {c}" for c in cols)
+
+
+def _gm(parts: dict[str, float]) -> str:
+    """SQL of the weighted geometric mean over measured parts."""
+    top = " + ".join(f"CASE WHEN {p} IS NULL THEN 0 ELSE {w} * ln(greatest({p}, 0.01)) END" for p, w in parts.items())
+    under = " + ".join(f"CASE WHEN {p} IS NULL THEN 0 ELSE {w} END" for p, w in parts.items())
+    return f"least(1.0, greatest(0.0, exp(({top}) / nullif({under}, 0))))"
+
+
+def _ramp(x: str, lo: float, hi: float) -> str:
+    return f"CASE WHEN ({x}) IS NOT NULL THEN least(1.0, greatest(0.0, (({x}) - {lo}) / ({hi} - {lo}))) END"
+
+
+def _sat(x: str, t: float) -> str:
+    return f"(1 - exp(-greatest({x}, 0) / {t}))"
+
+
+# ---------------------------------------------------------------- fan-out
+
+FANOUT = network.FanoutParams(min_destinations=5, min_score=0.1)
+
+
+def det_fanout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.score_fanouts(views.connections(spark, sf_dir), FANOUT).select("src_ip", "dst_port", "destinations", "flows", *_r("first_seen", "last_seen", "breadth", "non_revisiting", "score"))
+
+
+FANOUT_SQL = f"""
+WITH {W}, g AS (SELECT src_ip, dst_port, count(DISTINCT dst_ip) AS destinations, count(*) AS flows, min(ts) AS first_seen, max(ts) AS last_seen FROM connections WHERE dst_port NOT IN (53, 123) GROUP BY ALL HAVING count(DISTINCT dst_ip) >= 5),
+p AS (SELECT *, {_sat('destinations', 250)} AS breadth, 1 - least(1.0, greatest(0.0, flows / destinations - 1) / 12) AS non_revisiting FROM g),
+s AS (SELECT *, {_gm({'breadth': 0.55, 'non_revisiting': 0.45})} AS score FROM p)
+SELECT src_ip, dst_port, destinations, flows, {_rs('first_seen', 'last_seen', 'breadth', 'non_revisiting', 'score')} FROM (SELECT * FROM s WHERE score >= 0.1 ORDER BY score DESC, src_ip, dst_port LIMIT 200)
+"""
+
+# ---------------------------------------------------------------- alerts
+
+ALERTS = network.AlertParams(min_score=0.2)
+
+
+def det_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return network.score_alerts(views.alerts(spark, sf_dir), ALERTS).select("src_ip", "signature", "alerts", "hosts", "targets", *_r("signature_rarity", "stated_severity", "category_weight", "score"))
+
+
+_WEIGHTS_SQL = "CASE WHEN category IS NULL THEN 0.4 " + " ".join(f"WHEN contains(lower(category), '{f}') THEN {w}" for f, w in S.CATEGORY_WEIGHTS) + " ELSE 0.4 END"
+ALERTS_SQL = f"""
+WITH {W}, c AS (SELECT src_ip, signature, count(*) AS alerts, arg_min(signature_id, (ts, source_line)) AS signature_id, arg_min(category, (ts, source_line)) AS category, min(severity) AS stated,
+  count(DISTINCT dst_ip) + max(CAST(dst_ip IS NULL AS INTEGER)) AS targets FROM alerts GROUP BY ALL),
+h AS (SELECT signature_id, count(DISTINCT src_ip) AS hosts FROM c WHERE signature_id IS NOT NULL GROUP BY 1),
+j AS (SELECT c.*, coalesce(h.hosts, 1) AS hosts FROM c LEFT JOIN h USING (signature_id) WHERE alerts >= 3),
+p AS (SELECT *, CASE WHEN hosts >= 50 THEN least(1 / sqrt(hosts), 0.05) ELSE 1 / sqrt(hosts) END AS signature_rarity, CASE stated WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 ELSE 0.4 END AS stated_severity, {_WEIGHTS_SQL} AS category_weight FROM j),
+s AS (SELECT *, {_gm({'signature_rarity': 0.45, 'stated_severity': 0.30, 'category_weight': 0.25})} AS score FROM p)
+SELECT src_ip, signature, alerts, hosts, targets, {_rs('signature_rarity', 'stated_severity', 'category_weight', 'score')} FROM (SELECT * FROM s WHERE score >= 0.2 ORDER BY score DESC, alerts DESC, src_ip, signature LIMIT 200)
+"""
+
+# ---------------------------------------------------------------- TLS
+
+TLS = names.TlsParams(top=1000)
+
+
+def det_tls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.score_fingerprints(views.ssl(spark, sf_dir), TLS).select("src_ip", "ja3", "sessions", "servers", "hosts", "estate", *_r("fingerprint_rarity", "estate_support", "score"))
+
+
+TLS_SQL = f"""
+WITH {W}, e AS (SELECT count(DISTINCT src_ip) AS estate FROM ssl),
+g AS (SELECT src_ip, ja3, count(*) AS sessions, count(DISTINCT dst_ip) AS servers FROM ssl WHERE trim(ja3) <> '' GROUP BY ALL),
+h AS (SELECT ja3, count(*) AS hosts FROM g GROUP BY 1 HAVING count(*) <= 2),
+p AS (SELECT *, 1 / sqrt(hosts) AS fingerprint_rarity, {_sat('estate', 50)} AS estate_support FROM g JOIN h USING (ja3), e WHERE sessions >= 3 AND estate >= 10),
+s AS (SELECT *, {_gm({'fingerprint_rarity': 0.65, 'estate_support': 0.35})} AS score FROM p)
+SELECT src_ip, ja3, sessions, servers, hosts, estate, {_rs('fingerprint_rarity', 'estate_support', 'score')} FROM (SELECT * FROM s WHERE score >= 0.7 ORDER BY score DESC, src_ip, ja3 LIMIT 1000)
+"""
+
+# ---------------------------------------------------------------- egress
+
+EGRESS = network.EgressParams(min_bytes=100_000, rare_bytes=20_000, rare_flows=1, rare_hosts=600, exfil_score=0.25, volume_score=0.2, top=400, top_rare=100)
+
+
+def det_egress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = network.strongest_claims(network.score_egress(views.connections(spark, sf_dir), EGRESS), EGRESS)
+    return scored.select("src_ip", "dst_ip", "claim", "flows", "bytes_out", "hosts", "peers", *_r("egress_ratio", "volume_deviation", "destination_rarity", "novelty", "score"))
+
+
+EGRESS_SQL = f"""
+WITH {W}, q AS (SELECT src_ip, dst_ip, count(*) AS flows, CAST(sum(orig_bytes) AS BIGINT) AS bytes_out, count(orig_bytes) AS measured, count(resp_bytes) AS both_flows, sum(orig_bytes) FILTER (resp_bytes IS NOT NULL) AS both_out, sum(resp_bytes) AS both_in, min(ts) AS first_seen, max(ts) AS last_seen FROM connections GROUP BY ALL HAVING count(orig_bytes) > 0),
+d AS (SELECT dst_ip, count(*) AS hosts FROM q GROUP BY 1),
+m AS (SELECT src_ip, count(*) AS peers, median(bytes_out) AS med, min(first_seen) AS hf, max(last_seen) AS hl FROM q GROUP BY 1),
+a AS (SELECT src_ip, median(abs(bytes_out - med)) AS mad FROM q JOIN m USING (src_ip) GROUP BY 1),
+j AS (SELECT *, CASE WHEN peers >= 5 AND mad > 0 THEN (bytes_out - med) / (1.4826 * mad) END AS z FROM q JOIN d USING (dst_ip) JOIN m USING (src_ip) JOIN a USING (src_ip)),
+p AS (SELECT *, CASE WHEN both_flows / flows >= 0.5 THEN {_ramp('both_out / nullif(both_out + both_in, 0)', 0.5, 0.9)} END AS egress_ratio, CASE WHEN z IS NOT NULL THEN {_sat('z', 3.5)} END AS volume_deviation, 1 / sqrt(hosts) AS destination_rarity, CASE WHEN hl - hf >= 3600 THEN (first_seen - hf) / (hl - hf) END AS novelty FROM j),
+s AS (SELECT *, {_gm({'egress_ratio': 0.30, 'volume_deviation': 0.28, 'destination_rarity': 0.24, 'novelty': 0.18})} AS score FROM p),
+c AS (SELECT *, CASE WHEN bytes_out >= 100000 AND egress_ratio IS NOT NULL AND score >= 0.25 THEN 'exfiltrates_to' WHEN bytes_out >= 100000 AND volume_deviation >= 0.5 AND score >= 0.2 THEN 'transfers_anomalous_volume' WHEN bytes_out >= 20000 AND flows >= 1 AND hosts <= 600 AND score >= 0.3 THEN 'contacts_rare_destination' END AS claim FROM s),
+b AS (SELECT *, CASE claim WHEN 'exfiltrates_to' THEN 3 WHEN 'transfers_anomalous_volume' THEN 2 ELSE 1 END AS band FROM c WHERE claim IS NOT NULL),
+k AS (SELECT * FROM b QUALIFY band = max(band) OVER (PARTITION BY src_ip)),
+o AS ((SELECT * FROM k WHERE band > 1 ORDER BY band DESC, score DESC, src_ip, dst_ip LIMIT 400) UNION ALL (SELECT * FROM k WHERE band = 1 ORDER BY score DESC, src_ip, dst_ip LIMIT 100))
+SELECT src_ip, dst_ip, claim, flows, bytes_out, hosts, peers, {_rs('egress_ratio', 'volume_deviation', 'destination_rarity', 'novelty', 'score')} FROM o
+"""
+
+# ---------------------------------------------------------------- DNS
+
+TUNNEL = names.TunnelParams(min_queries=20, min_distinct=10, min_score=0.1)
+
+
+def det_dnstunnel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.score_tunnels(views.dns(spark, sf_dir), TUNNEL).select("src_ip", "zone", "queries", "distinct_names", *_r("label_entropy", "subdomain_cardinality", "query_length", "qtype_skew", "score"))
+
+
+_ZONE = "array_to_string(list_slice(string_split(query, '.'), -2, -1), '.')"
+TUNNEL_SQL = f"""
+WITH {W}, r AS (SELECT src_ip, ts, {_ZONE} AS zone, replace(left(query, length(query) - length({_ZONE})), '.', '') AS sub, qtype IN ('TXT', 'NULL', 'CNAME', 'MX', 'SRV', '10', '16') AS high FROM dns),
+u AS (SELECT src_ip, zone, sub, count(*) AS queries, count(*) FILTER (high) AS high FROM r GROUP BY ALL),
+n AS (SELECT *, CASE WHEN length(sub) >= 8 THEN (SELECT entropy(x) FROM (SELECT unnest(string_split(sub, '')) AS x)) END AS h, CASE WHEN length(sub) >= 8 THEN length(sub) END AS len FROM u),
+g AS (SELECT src_ip, zone, CAST(sum(queries) AS BIGINT) AS queries, sum(high) AS high, count(len) AS distinct_names, avg(h) AS mh, avg(len) AS ml FROM n GROUP BY ALL HAVING sum(queries) >= 20 AND count(len) >= 10),
+p AS (SELECT *, {_ramp('mh', 3.2, 4.6)} AS label_entropy, {_sat('distinct_names', 200)} AS subdomain_cardinality, {_sat('ml', 40)} AS query_length, CASE WHEN high > 0 THEN least(1.0, 2 * high / queries) END AS qtype_skew FROM g),
+s AS (SELECT *, {_gm({'label_entropy': 0.40, 'subdomain_cardinality': 0.25, 'query_length': 0.25, 'qtype_skew': 0.10})} AS score FROM p)
+SELECT src_ip, zone, queries, distinct_names, {_rs('label_entropy', 'subdomain_cardinality', 'query_length', 'qtype_skew', 'score')} FROM (SELECT * FROM s WHERE score >= 0.1 ORDER BY score DESC, src_ip, zone LIMIT 200)
+"""
+
+DGA = names.DgaParams(min_score=0.3, per_family=20, top=1000)
+
+
+def det_dga(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = names.fit_bigrams(views.words(spark, sf_dir))
+    return names.score_domains(views.generated_dns(spark, sf_dir), model, DGA).select("src_ip", "suffix", "label", "labels", "family_queries", "resolved", *_r("nxdomain_rate", "bigram_improbability", "structure", "score"))
+
+
+def fit_bigram_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.fit_bigrams(views.words(spark, sf_dir)).select("bigram", *_r("surprise", "unseen", "typical"))
+
+
+_BIGRAMS = """
+wd AS (SELECT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+bg AS (SELECT substr(w, i, 2) AS bigram, count(*) AS c FROM wd, unnest(range(1, length(w))) AS t(i) WHERE length(w) >= 2 GROUP BY 1),
+tt AS (SELECT sum(c) + 0.5 * 1369 AS d, count(*) AS seen FROM bg),
+mo AS (SELECT bigram, -log2((c + 0.5) / d) AS surprise, -((c + 0.5) / d) * log2((c + 0.5) / d) AS part, -log2(0.5 / d) AS unseen, 0.5 / d AS rest, seen FROM bg, tt),
+an AS (SELECT sum(part) + (1369 - max(seen)) * max(rest) * max(unseen) AS typical FROM mo)
+"""
+BIGRAM_SQL = f"WITH {_BIGRAMS} SELECT bigram, {_rs('surprise', 'unseen', 'typical')} FROM mo, an"
+DGA_SQL = f"""
+WITH {W}, {_BIGRAMS}, l AS (SELECT src_ip, suffix, label, count(*) AS queries, count(rcode) AS known, count(*) FILTER (rcode = 'NXDOMAIN') AS nx, coalesce(bool_or(rcode <> 'NXDOMAIN'), false) AS resolved FROM gdns GROUP BY ALL),
+f AS (SELECT src_ip, suffix, count(*) AS labels, CAST(sum(queries) AS BIGINT) AS family_queries, sum(known) AS fk, sum(nx) AS fn FROM l GROUP BY ALL HAVING count(*) >= 12 AND sum(queries) >= 30),
+i AS (SELECT label, avg(coalesce(surprise, (SELECT max(unseen) FROM mo))) AS mean FROM (SELECT DISTINCT label FROM l) x, unnest(range(1, length(label))) AS t(k) LEFT JOIN mo ON mo.bigram = substr(label, k, 2) GROUP BY 1),
+p AS (SELECT l.*, labels, family_queries, {_ramp('CASE WHEN fk / family_queries >= 0.5 THEN fn / fk END', 0.10, 0.70)} AS nxdomain_rate, least(1.0, greatest(0.0, (mean - typical) / ((SELECT max(unseen) FROM mo) - typical))) AS bigram_improbability,
+  1 - (1 - least(1.0, greatest(0.0, (coalesce(list_max(list_transform(regexp_extract_all(label, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0) - 4.0) / 5.0))) * (1 - least(1.0, greatest(0.0, (length(regexp_replace(label, '[^0-9]', '', 'g')) / length(label) - 0.15) / 0.35))) AS structure
+  FROM l JOIN f USING (src_ip, suffix) JOIN i USING (label), an),
+s AS (SELECT *, {_gm({'nxdomain_rate': 0.34, 'bigram_improbability': 0.56, 'structure': 0.10})} AS score FROM p),
+k AS (SELECT * FROM s WHERE score >= 0.3 QUALIFY row_number() OVER (PARTITION BY src_ip, suffix ORDER BY resolved DESC, round(score, 9) DESC, label) <= 20)
+SELECT src_ip, suffix, label, labels, family_queries, resolved, {_rs('nxdomain_rate', 'bigram_improbability', 'structure', 'score')} FROM k ORDER BY round(k.score, 9) DESC, src_ip, suffix, label LIMIT 1000
+"""
+
+# ---------------------------------------------------------------- host
+
+HOST = host.HostParams(max_singleton_share=1.0, process_score=0.2, lineage_score=0.2, per_host=5, top=200)
+
+
+def det_rare_process(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = host.capped(host.score_processes(views.processes(spark, sf_dir), HOST), HOST, "image_name")
+    return scored.select("host", "image_name", "executions", "image_hosts", *_r("image_prevalence", "path_anomaly", "execution_prevalence", "score"))
+
+
+def det_lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = host.capped(host.score_lineage(views.processes(spark, sf_dir), HOST), HOST, "parent_name", "image_name")
+    return scored.select("host", "parent_name", "image_name", "pair_hosts", "pair_executions", "parent_executions", "parent_hosts", "child_hosts", *_r("parent_breadth", "child_breadth", "child_surprisal", "score"))
+
+
+def host_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = host.estate_baseline(host.process_triples(views.processes(spark, sf_dir)))
+    return base.select("hosts", "executions", "images", "singletons", *_r("span_seconds", "singleton_share"), F.col("gate").isNull().alias("supported"))
+
+
+def process_ancestry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return host.ancestry(views.processes(spark, sf_dir)).select("process_guid", F.array_join("chain", ">").alias("chain"), "truncated")
+
+
+_LOW = "lower(replace({c}, '/', '\\'))"
+_NAME = "nullif(regexp_extract(lower(replace({c}, '/', '\\')), '([^\\\\]*)$', 1), '')"
+
+
+def _within(folders) -> str:
+    return " OR ".join(f"contains({_LOW.format(c='image')}, '{f}')" for f in folders)
+
+
+_TRIPLES = f"""
+px AS (SELECT *, {_NAME.format(c='image')} AS image_name, {_NAME.format(c='parent_image')} AS parent_name, CASE WHEN image IS NULL THEN NULL WHEN {_within(S.WRITABLE_FOLDERS)} THEN 1.0 WHEN {_within(S.SYSTEM_FOLDERS)} THEN 0.15 WHEN contains({_LOW.format(c='image')}, '\\windows\\') THEN 0.30 ELSE 0.55 END AS pa FROM processes),
+tr AS (SELECT host, parent_name, image_name, count(*) AS n, min(ts) AS first_seen, max(ts) AS last_seen, max(pa) AS pa FROM px WHERE image_name IS NOT NULL GROUP BY ALL),
+ih AS (SELECT image_name, count(DISTINCT host) AS image_hosts FROM tr GROUP BY 1),
+rp AS (SELECT host, image_name, CAST(sum(n) AS BIGINT) AS executions, max(pa) AS path_anomaly FROM tr GROUP BY ALL),
+rq AS (SELECT *, 1 / sqrt(image_hosts) AS image_prevalence, 1 - {_sat('executions', 8)} AS execution_prevalence FROM rp JOIN ih USING (image_name)),
+rs AS (SELECT *, {_gm({'image_prevalence': 0.50, 'path_anomaly': 0.34, 'execution_prevalence': 0.16})} AS score FROM rq),
+rare AS (SELECT * FROM rs WHERE score >= 0.2 AND image_hosts <= {host.prevalence_ceiling(HOST)})
+"""
+PROCESS_SQL = f"""
+WITH {W}, {_TRIPLES}, k AS (SELECT * FROM rare QUALIFY row_number() OVER (PARTITION BY host ORDER BY round(score, 9) DESC, image_name) <= 5)
+SELECT host, image_name, executions, image_hosts, {_rs('image_prevalence', 'path_anomaly', 'execution_prevalence', 'score')} FROM k ORDER BY round(k.score, 9) DESC, image_name, host LIMIT 200
+"""
+LINEAGE_SQL = f"""
+WITH {W}, {_TRIPLES}, pt AS (SELECT * FROM tr WHERE parent_name IS NOT NULL),
+ed AS (SELECT parent_name, image_name, count(DISTINCT host) AS pair_hosts, CAST(sum(n) AS BIGINT) AS pair_executions FROM pt GROUP BY ALL),
+ee AS (SELECT *, CAST(sum(pair_executions) OVER (PARTITION BY parent_name) AS BIGINT) AS parent_executions FROM ed),
+pn AS (SELECT name, count(DISTINCT host) AS present FROM (SELECT host, image_name AS name FROM tr UNION ALL SELECT host, parent_name FROM tr) WHERE name IS NOT NULL GROUP BY 1),
+j AS (SELECT pt.*, pair_hosts, pair_executions, parent_executions, a.present AS parent_hosts, b.present AS child_hosts FROM pt JOIN ee USING (parent_name, image_name) LEFT JOIN pn a ON a.name = parent_name LEFT JOIN pn b ON b.name = image_name),
+p AS (SELECT *, CASE WHEN parent_hosts >= 2 THEN 1 - pair_hosts / parent_hosts END AS parent_breadth, CASE WHEN child_hosts >= 2 THEN 1 - pair_hosts / child_hosts END AS child_breadth, CASE WHEN parent_executions >= 20 THEN least(1.0, -log2(pair_executions / parent_executions) / 6) END AS child_surprisal FROM j),
+s AS (SELECT *, {_gm({'parent_breadth': 0.38, 'child_breadth': 0.38, 'child_surprisal': 0.24})} AS score FROM p WHERE parent_breadth IS NOT NULL OR child_breadth IS NOT NULL),
+f AS (SELECT s.* FROM s WHERE score >= 0.2 AND NOT EXISTS (SELECT 1 FROM rare r WHERE r.host = s.host AND r.image_name = s.image_name)),
+k AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY host ORDER BY round(score, 9) DESC, parent_name, image_name) <= 5)
+SELECT host, parent_name, image_name, pair_hosts, pair_executions, parent_executions, parent_hosts, child_hosts, {_rs('parent_breadth', 'child_breadth', 'child_surprisal', 'score')} FROM k ORDER BY round(k.score, 9) DESC, parent_name, image_name, host LIMIT 200
+"""
+BASELINE_SQL = f"""
+WITH {W}, {_TRIPLES}, a AS (SELECT count(DISTINCT host) AS hosts, CAST(sum(n) AS BIGINT) AS executions, max(last_seen) - min(first_seen) AS span_seconds FROM tr), b AS (SELECT count(*) AS images, count(*) FILTER (image_hosts = 1) AS singletons FROM ih)
+SELECT hosts, executions, images, singletons, round(span_seconds, 4) AS span_seconds, round(singletons / images, 4) AS singleton_share, hosts >= 5 AND executions >= 200 AND singletons / images <= 0.5 AS supported FROM a, b
+"""
+ANCESTRY_SQL = f"""
+WITH RECURSIVE {W}, kn AS (SELECT process_guid, {_NAME.format(c='image')} AS name, parent_guid FROM processes),
+up AS (SELECT process_guid, [process_guid] AS met, CAST([] AS VARCHAR[]) AS chain, parent_guid AS nxt, 0 AS d FROM kn
+  UNION ALL SELECT up.process_guid, list_append(met, nxt), list_append(chain, coalesce(kn.name, '?')), kn.parent_guid, d + 1 FROM up JOIN kn ON kn.process_guid = up.nxt WHERE d < 4 AND NOT list_contains(met, nxt)),
+b AS (SELECT * FROM up QUALIFY row_number() OVER (PARTITION BY process_guid ORDER BY d DESC) = 1)
+SELECT process_guid, array_to_string(chain, '>') AS chain, d = 4 AND nxt IS NOT NULL AND NOT list_contains(met, nxt) AS truncated FROM b
+"""
+
+# ---------------------------------------------------------------- intel and assets
+
+
+def det_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
+    values = intel.observed_values(views.connections(spark, sf_dir), views.dns(spark, sf_dir))
+    p = intel.IntelParams(max_age_days=20_000, half_life_days=9000.0)
+    return intel.score_matches(values, feed, p).select("kind", "value", "indicator", "indicator_kind", "events", "peers", "roles", "age_days", *_r("score"))
+
+
+def intel_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return intel.normalised_indicators(views.indicators(spark, sf_dir)).select("kind", "value", *_r("confidence"), F.date_format("added", "yyyy-MM-dd").alias("added"))
+
+
+_FEED = "fd AS (SELECT * FROM indicators QUALIFY row_number() OVER (PARTITION BY kind, value ORDER BY confidence DESC NULLS LAST, added DESC NULLS LAST, line) = 1)"
+FEED_SQL = f"WITH {W}, {_FEED} SELECT kind, value, round(confidence, 4) AS confidence, strftime(added, '%Y-%m-%d') AS added FROM fd"
+
+
+def _ipv4(x: str) -> str:
+    return f"(CAST(split_part({x}, '.', 1) AS BIGINT) * 16777216 + CAST(split_part({x}, '.', 2) AS BIGINT) * 65536 + CAST(split_part({x}, '.', 3) AS BIGINT) * 256 + CAST(split_part({x}, '.', 4) AS BIGINT))"
+
+
+_OBSERVED = """
+an AS (SELECT ts, src_ip, unnest(string_split(answers, ';')) AS answer FROM dns),
+ro AS (SELECT 'ip' AS kind, dst_ip AS value, src_ip AS peer, ts, 'destination' AS role FROM connections UNION ALL SELECT 'ip', src_ip, dst_ip, ts, 'source' FROM connections
+  UNION ALL SELECT 'domain', query, src_ip, ts, 'query' FROM dns UNION ALL SELECT 'ip', answer, src_ip, ts, 'answer' FROM an),
+rg AS (SELECT kind, value, role, count(*) AS events, count(DISTINCT peer) AS peers, min(ts) AS f, max(ts) AS l FROM ro GROUP BY ALL),
+ob AS (SELECT kind, value, CAST(sum(events) AS BIGINT) AS events, max(peers) AS peers, min(f) AS first_seen, max(l) AS last_seen, string_agg(role, ',' ORDER BY role) AS roles FROM rg GROUP BY ALL)
+"""
+_MATCHED = f"""
+nt AS (SELECT value, kind, CASE WHEN kind = 'ip' THEN 32 ELSE CAST(split_part(value, '/', 2) AS INTEGER) END AS bits, {_ipv4("split_part(value, '/', 1)")} AS base FROM fd WHERE kind IN ('ip', 'cidr')),
+mi AS (SELECT ob.value, nt.value AS indicator, nt.kind AS indicator_kind FROM (SELECT value, {_ipv4('value')} AS num FROM ob WHERE kind = 'ip') ob JOIN nt ON num // (1 << (32 - bits)) = base // (1 << (32 - bits)) QUALIFY row_number() OVER (PARTITION BY ob.value ORDER BY bits DESC, nt.kind = 'ip' DESC) = 1),
+md AS (SELECT ob.value, fd.value AS indicator, 'domain' AS indicator_kind FROM ob JOIN fd ON ob.kind = 'domain' AND fd.kind = 'domain' AND (ob.value = fd.value OR ends_with(ob.value, '.' || fd.value)) QUALIFY row_number() OVER (PARTITION BY ob.value ORDER BY length(fd.value) DESC) = 1),
+mm AS (SELECT * FROM mi UNION ALL SELECT * FROM md)
+"""
+INTEL_SQL = f"""
+WITH {W}, {_FEED}, {_OBSERVED}, {_MATCHED},
+j AS (SELECT ob.*, indicator, indicator_kind, confidence, greatest(date_diff('day', added, CAST(DATE '1970-01-01' + INTERVAL 1 SECOND * first_seen AS DATE)), 0) AS age FROM ob JOIN mm USING (value) JOIN fd ON fd.value = indicator AND fd.kind = indicator_kind),
+k AS (SELECT *, CASE WHEN added_null THEN NULL ELSE age END AS age_days FROM (SELECT j.*, (SELECT added IS NULL FROM fd WHERE fd.value = indicator AND fd.kind = indicator_kind) AS added_null FROM j)),
+s AS (SELECT *, CASE WHEN age_days IS NULL THEN least(coalesce(confidence, 0.25), 0.35) ELSE coalesce(confidence, 0.25) * pow(0.5, age_days / 9000.0) END AS score FROM k)
+SELECT kind, value, indicator, indicator_kind, events, peers, roles, CAST(age_days AS INTEGER) AS age_days, round(score, 4) AS score FROM s WHERE score >= 0.1 AND (age_days IS NULL OR age_days <= 20000)
+"""
+
+
+def asset_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conn = views.connections(spark, sf_dir)
+    window = intel.capture_window(conn, views.dns(spark, sf_dir), views.ssl(spark, sf_dir))
+    return intel.coverage(views.assets(spark, sf_dir), intel.capture_window(conn), conn, views.dns(spark, sf_dir), views.ssl(spark, sf_dir)).crossJoin(F.broadcast(window.select("window_start", "window_end"))).select("loaded", "applied", "dropped", "observed", "matched", *_r("fraction", "window_start", "window_end"))
+
+
+COVERAGE_SQL = f"""
+WITH {W}, wi AS (SELECT CAST(DATE '1970-01-01' + INTERVAL 1 SECOND * min(ts) AS DATE) AS s, CAST(DATE '1970-01-01' + INTERVAL 1 SECOND * max(ts) AS DATE) AS e FROM connections),
+st AS (SELECT address, stated, CASE WHEN stated IS NULL THEN true WHEN stated > e THEN true ELSE date_diff('day', stated, s) <= 730 END AS applies FROM assets, wi),
+sr AS (SELECT src_ip FROM connections UNION SELECT src_ip FROM dns UNION SELECT src_ip FROM ssl),
+w2 AS (SELECT min(ts) AS a, max(ts) AS b FROM (SELECT ts FROM connections UNION ALL SELECT ts FROM dns UNION ALL SELECT ts FROM ssl))
+SELECT (SELECT count(*) FROM st) AS loaded, (SELECT count(*) FROM st WHERE applies) AS applied, (SELECT count(*) FROM st WHERE NOT applies) AS dropped, (SELECT count(*) FROM sr) AS observed, (SELECT count(*) FROM sr JOIN st ON address = src_ip WHERE applies) AS matched,
+  round((SELECT count(*) FROM sr JOIN st ON address = src_ip WHERE applies) / (SELECT count(*) FROM sr), 4) AS fraction, round(a, 4) AS window_start, round(b, 4) AS window_end FROM w2
+"""
+
+
+def shared_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
+    dns = views.dns(spark, sf_dir)
+    flagged = intel.match_domains(dns.select(F.col("query").alias("value")), feed)
+    return intel.shared_resolution(dns, flagged, intel.IntelParams(breadth=(2, 9))).select("anchor", "other", "answer", "breadth", *_r("score"))
+
+
+RESOLUTION_SQL = f"""
+WITH {W}, {_FEED}, an AS (SELECT query AS name, unnest(string_split(answers, ';')) AS answer FROM dns), na AS (SELECT DISTINCT answer, name FROM an),
+nb AS (SELECT answer, count(*) AS breadth FROM na GROUP BY 1 HAVING count(*) BETWEEN 2 AND 9),
+fl AS (SELECT q.name, fd.value AS indicator FROM (SELECT DISTINCT query AS name FROM dns) q JOIN fd ON fd.kind = 'domain' AND (q.name = fd.value OR ends_with(q.name, '.' || fd.value)) QUALIFY row_number() OVER (PARTITION BY q.name ORDER BY length(fd.value) DESC) = 1),
+mk AS (SELECT na.*, breadth, indicator FROM na JOIN nb USING (answer) LEFT JOIN fl USING (name)),
+pr2 AS (SELECT a.name AS anchor, b.name AS other, a.answer, a.breadth FROM mk a JOIN mk b USING (answer) WHERE a.indicator IS NOT NULL AND a.name <> b.name AND (b.indicator IS NULL OR (b.indicator <> a.indicator AND a.name < b.name)))
+SELECT anchor, other, answer, breadth, round(least(0.95, 2 / breadth), 4) AS score FROM pr2 QUALIFY row_number() OVER (PARTITION BY anchor, other ORDER BY breadth, answer) = 1
+"""
+
+# ---------------------------------------------------------------- beaconing
+
+
+def det_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = network.BeaconParams(min_score=0.05, period=(1.0, 1e9))
+    return network.score_beacons(views.connections(spark, sf_dir, dense=True), p).select(*network.PAIR, "checkins", *_r("gap_median", "gap_mad", *network.BEACON_PARTS, "score"))
+
+
+def beacon_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Count, median and MAD of each pair's gaps."""
+    from pyspark.sql import Window
+
+    conn = views.connections(spark, sf_dir, dense=True)
+    gaps = conn.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy(*network.PAIR).orderBy("ts"))).where("gap > 0")
+    return network._spread(gaps, "gap", "gap").select(*network.PAIR, "gap_n", *_r("gap_median", "gap_q25", "gap_mad"))
+
+
+GAPS_SQL = f"""
+WITH {W}, g AS (SELECT src_ip, dst_ip, dst_port, ts - lag(ts) OVER (PARTITION BY src_ip, dst_ip, dst_port ORDER BY ts) AS gap FROM dense), h AS (SELECT * FROM g WHERE gap > 0),
+m AS (SELECT src_ip, dst_ip, dst_port, count(*) AS gap_n, median(gap) AS gap_median, quantile_cont(gap, 0.25) AS gap_q25 FROM h GROUP BY ALL)
+SELECT src_ip, dst_ip, dst_port, gap_n, {_rs('gap_median', 'gap_q25')}, round(median(abs(gap - gap_median)), 4) AS gap_mad FROM h JOIN m USING (src_ip, dst_ip, dst_port) GROUP BY ALL
+"""
+
+
+def pair_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming job's hourly partial summaries, merged: the same as one pass over everything."""
+    parts = summaries.pair_summaries(views.connections(spark, sf_dir))
+    return summaries.merge_pairs(parts).select("src_ip", "dst_ip", "dst_port", "flows", "bytes_out", "both_flows", *_r("first_seen", "last_seen"))
+
+
+MERGED_SQL = f"WITH {W} SELECT src_ip, dst_ip, dst_port, count(*) AS flows, CAST(sum(orig_bytes) AS BIGINT) AS bytes_out, count(resp_bytes) AS both_flows, round(min(ts), 4) AS first_seen, round(max(ts), 4) AS last_seen FROM connections GROUP BY ALL"
+
+# ---------------------------------------------------------------- incidents and hunts
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conn = views.connections(spark, sf_dir)
+    parts = [network.detect_fanout(conn, FANOUT), network.detect_egress(conn, EGRESS), network.detect_alerts(views.alerts(spark, sf_dir), ALERTS), names.detect_fingerprints(views.ssl(spark, sf_dir), TLS)]
+    return with_finding_id(check_grammar(reduce(DataFrame.unionByName, parts))[0])
+
+
+def incident_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _ = incidents.correlate(_findings(spark, sf_dir))
+    return found.select("incident", "behaviours", "findings", "severity", *_r("confidence", "multiplier", "priority"))
+
+
+_ALL_FINDINGS = f"""
+fi AS (SELECT 'scans' AS predicate, src_ip AS subject, CAST(dst_port AS VARCHAR) AS object, score, CASE WHEN score >= 0.85 THEN 3 ELSE 2 END AS sev FROM ({FANOUT_SQL})
+  UNION ALL SELECT claim, src_ip, dst_ip, score, CASE claim WHEN 'exfiltrates_to' THEN 4 WHEN 'transfers_anomalous_volume' THEN 2 ELSE 1 END FROM ({EGRESS_SQL})
+  UNION ALL SELECT 'triggered_signature', src_ip, signature, score, CASE WHEN score >= 0.75 THEN 2 ELSE 1 END FROM ({ALERTS_SQL})
+  UNION ALL SELECT 'presents_rare_tls_fingerprint', src_ip, ja3, score, 2 FROM ({TLS_SQL}))
+"""
+INCIDENT_SQL = f"""
+WITH {_ALL_FINDINGS}, g AS (SELECT 'ip:' || subject AS incident, predicate, max(score) AS top, count(*) AS n, max(sev) AS sev FROM fi GROUP BY ALL),
+i AS (SELECT incident, 1 - product(1 - top) AS confidence, count(*) FILTER (predicate IN ('scans', 'exfiltrates_to', 'triggered_signature')) AS behaviours, CAST(sum(n) AS BIGINT) AS findings, max(sev) AS sev FROM g GROUP BY 1),
+m AS (SELECT *, CAST(least(1 + 0.5 * greatest(behaviours - 1, 0), 2.5) AS DOUBLE) AS multiplier FROM i)
+SELECT incident, behaviours, findings, ['info', 'low', 'medium', 'high', 'critical'][sev + 1] AS severity, round(confidence, 4) AS confidence, round(multiplier, 4) AS multiplier, round(confidence * multiplier, 4) AS priority FROM m
+"""
+
+
+def incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.queue_summary(incidents.correlate(_findings(spark, sf_dir))[0])
+
+
+SUMMARY_SQL = f"SELECT severity, count(*) AS incidents, count(*) FILTER (behaviours >= 2) AS corroborated FROM ({INCIDENT_SQL}) GROUP BY 1"
+
+
+def incident_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, grouped = incidents.correlate(_findings(spark, sf_dir))
+    return incidents.sequence(grouped).select("subject_type", "subject", "object_type", "object", *_r("score", "first_seen", "last_seen"))
+
+
+def hunt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other subjects that meet what the findings name; per predicate and value, since ids are content hashes."""
+    found = _findings(spark, sf_dir)
+    p = incidents.pivots(found)
+    rows = incidents.history(views.connections(spark, sf_dir), ssl=views.ssl(spark, sf_dir), alerts=views.alerts(spark, sf_dir))
+    hits = incidents.hunt(p, rows).join(p.select("finding_id", "predicate", "field", "value", "excluded"), "finding_id")
+    return hits.select("predicate", "field", "value", "excluded", "subject", "events", *_r("first_seen", "last_seen"))
+
+
+HUNT_SQL = f"""
+WITH {W}, {_ALL_FINDINGS}, pv AS (SELECT *, CASE predicate WHEN 'scans' THEN 'dst_port' WHEN 'triggered_signature' THEN 'signature' WHEN 'presents_rare_tls_fingerprint' THEN 'ja3' ELSE 'dst' END AS field, lower(object) AS value FROM fi),
+hs AS (SELECT 'dst' AS field, dst_ip AS key, src_ip AS subject, ts FROM connections UNION ALL SELECT 'dst_port', CAST(dst_port AS VARCHAR), src_ip, ts FROM connections UNION ALL SELECT 'ja3', ja3, src_ip, ts FROM ssl WHERE ja3 IS NOT NULL UNION ALL SELECT 'signature', lower(signature), src_ip, ts FROM alerts)
+SELECT predicate, pv.field, value, pv.subject AS excluded, hs.subject, count(*) AS events, round(min(ts), 4) AS first_seen, round(max(ts), 4) AS last_seen FROM pv JOIN hs ON pv.field = hs.field AND pv.value = hs.key AND pv.subject <> hs.subject GROUP BY ALL
+"""
+
+# ---------------------------------------------------------------- functions and evaluation
+
+
+def fn_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    q = views.dns(spark, sf_dir).withColumn("zone", S.registered_domain(F.col("query")))
+    return q.select("query", "zone", S.subdomain_of(F.col("query"), F.col("zone")).alias("sub"), S.first_label(F.col("query")).alias("label"), S.after_first_label(F.col("query")).alias("rest"), F.round(S.byte_entropy(F.col("query")), 4).alias("entropy"), S.longest_consonant_run(F.col("query")).alias("consonants"), F.round(S.digit_ratio(F.col("query")), 4).alias("digits"))
+
+
+NAMES_SQL = f"""
+WITH {W} SELECT query, {_ZONE} AS zone, replace(left(query, length(query) - length({_ZONE})), '.', '') AS sub, split_part(query, '.', 1) AS label, regexp_replace(query, '^[^.]*\\.', '') AS rest,
+  round((SELECT entropy(x) FROM (SELECT unnest(string_split(query, '')) AS x)), 4) AS entropy, coalesce(list_max(list_transform(regexp_extract_all(query, '[b-df-hj-np-tv-z]+'), lambda x: length(x))), 0) AS consonants, round(length(regexp_replace(query, '[^0-9]', '', 'g')) / length(query), 4) AS digits FROM dns
+"""
+
+
+def fn_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = views.connections(spark, sf_dir).select(F.col("dst_ip").alias("address")).distinct().withColumn("number", S.ipv4_number(F.col("address")))
+    return c.select("address", "number", S.dotted(S.ipv4_network(F.col("number"), 24)).alias("network24"), S.dotted(S.ipv4_network(F.col("number"), 27)).alias("network27"), S.indicator_kind(F.col("address")).alias("kind"))
+
+
+ADDRESS_SQL = f"""
+WITH {W}, a AS (SELECT DISTINCT dst_ip AS address, {_ipv4('dst_ip')} AS number, string_split(dst_ip, '.') AS p FROM connections)
+SELECT address, number, p[1] || '.' || p[2] || '.' || p[3] || '.0' AS network24, p[1] || '.' || p[2] || '.' || p[3] || '.' || (CAST(p[4] AS INTEGER) // 32 * 32) AS network27, 'ip' AS kind FROM a
+"""
+
+
+def eval_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of "short text" as a mark of low quality, against the labels."""
+    docs = views.read(spark, sf_dir, "documents").join(views.read(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi")
+    found = docs.where(F.length("text") < 400).select("doc_id")
+    truth = views.read(spark, sf_dir, "labels").where("quality = 0").select("doc_id")
+    return incidents.truth_match(found, truth, ["doc_id"]).select("tp", "fp", "fn", *_r("precision", "recall", "f1"))
+
+
+TRUTH_SQL = """
+WITH f AS (SELECT DISTINCT doc_id FROM documents WHERE length(text) < 400 AND doc_id IN (SELECT doc_id FROM labels)), t AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 0),
+c AS (SELECT count(*) FILTER (f.doc_id IS NOT NULL AND t.doc_id IS NOT NULL) AS tp, count(*) FILTER (t.doc_id IS NULL) AS fp, count(*) FILTER (f.doc_id IS NULL) AS fn FROM f FULL JOIN t ON f.doc_id = t.doc_id)
+SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn), 4) AS recall, round(2 * tp / (2 * tp + fp + fn), 4) AS f1 FROM c
+"""
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    turns = views.read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", "text")
+    cites = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).when(F.col("turn") % 3 == 1, F.array(F.concat_ws(":", "conv_id", F.col("turn") - 1))).otherwise(F.array(F.concat_ws(":", "conv_id", "turn"), F.concat_ws(":", F.col("conv_id"), F.col("turn") + 1000)))
+    return turns.select(F.col("id").alias("claim_id"), "text", cites.alias("cites")).dropDuplicates(["claim_id"]), turns.select("id", "text").dropDuplicates(["id"])
+
+
+def claims_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.check_claims(*_claims(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check)}
+ORACLE_SQL = {
+    "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
+    "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
+    "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
+    "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
+}
