@@ -1,10 +1,11 @@
 """Self-join of documents on the Jaccard similarity of their word shingles, by T-occurrence search (DivideSkip).
 
 1. Each text becomes the set of its distinct five-word shingles (64-bit hashes). Equal sets are one *node*.
-2. Prefix filter: of a set of n, two sets of similarity s share one of their first n - ceil(s n) + 1 shingles in any fixed
-   order. The order puts shingles last that are frequent in a bounded sample of documents: this decides the cost only, not
-   the result. The prefix shingles are shuffled and sorted; neighbours in a shingle's list whose sizes fit are chained,
-   and the chains' connected components are the *groups*: no link crosses two groups.
+2. Prefix filter: two sets of similarity s share 1 + e of their first n - ceil(s n) + 1 + e shingles in any fixed order. The
+   order puts shingles last that are frequent in a bounded sample of documents: this decides the cost only, not the
+   result. The prefix shingles are shuffled and sorted; those whose list has another set of a fitting size are *live*.
+   Sets with fewer than 1 + e live ones are linked with nothing and drop out. Of the others' lists, neighbours whose sizes
+   fit are chained, and the chains' connected components are the *groups*: no link crosses two groups.
 3. A group is searched in blocks of at most ``BLOCK`` nodes, each pair of blocks in one unit of work: an inverted index
    over one block is asked for the sets of the other. Of a query's lists, the short ones are merged by counting, the
    long ones are probed by binary search for the candidates that can still reach the overlap T.
@@ -36,9 +37,11 @@ from .components import connected_components
 SHINGLE = 5
 PERCENT = 75
 BLOCK = 1024
-SAMPLE_DOCS = 4000
+#: Shingles beyond the shortest prefix (e above), in per cent of the set.
+EXTRA = 6
+SAMPLE_DOCS = 8000
 #: Frequent: in so many of the sample's sets.
-SAMPLE_LEAST = 5
+SAMPLE_LEAST = 4
 #: Weight of binary probes against merging, for the number of long lists.
 MU = 0.1
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -76,7 +79,7 @@ def set_key(s: np.ndarray) -> int:
 def prefix(s: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """The shingles that a set of that similarity can't all lack, seldom ones first."""
     n = len(s)
-    keep = n + (-percent * n // 100) + 1
+    keep = n + (-percent * n // 100) + 1 + EXTRA * n // 100
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
         known = frequent[at] == s
@@ -125,17 +128,40 @@ def _edges_batch(edges: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], names=["a", "b"])
 
 
-def chain_lists(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Of postings sorted by shingle, size and node: a spanning forest of the neighbours whose sizes fit."""
-    forest, last = Forest(), None
+def distinct_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(t, n, k) of postings sorted by them, equal ones once; each piece begins with the row before it, if there is one."""
+    last = None
     for b in batches:
         t, n, k = (b.column(c).to_numpy() for c in ("t", "n", "k"))
+        if not len(t):
+            continue
+        new = np.concatenate(([last is None or (t[0], k[0]) != (last[0], last[2])], (t[1:] != t[:-1]) | (k[1:] != k[:-1])))
+        t, n, k = t[new], n[new], k[new]
         if not len(t):
             continue
         if last is not None:
             t, n, k = (np.concatenate(([x], y)) for x, y in zip(last, (t, n, k)))
         last = (t[-1], n[-1], k[-1])
-        ok = np.flatnonzero((t[1:] == t[:-1]) & (k[1:] != k[:-1]) & (n[:-1] * 100 >= n[1:] * percent))
+        yield t, n, k
+
+
+def live_postings(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by shingle, size and node: those with a neighbour of a fitting size."""
+    before = False  # whether the last row has fitted already
+    for t, n, k in distinct_rows(batches):
+        fits = (t[1:] == t[:-1]) & (n[:-1] * 100 >= n[1:] * percent)
+        live = np.concatenate(([False], fits)) | np.concatenate((fits, [False]))
+        out = live.copy()
+        out[0] &= not before
+        before = bool(live[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (t, n, k)], names=["t", "n", "k"])
+
+
+def chain_lists(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Of postings sorted by shingle, size and node: a spanning forest of the neighbours whose sizes fit."""
+    forest = Forest()
+    for t, n, k in distinct_rows(batches):
+        ok = np.flatnonzero((t[1:] == t[:-1]) & (n[:-1] * 100 >= n[1:] * percent))
         pairs = np.unique(np.stack((k[ok], k[ok + 1]), 1), axis=0)
         for a, c in pairs.tolist():
             forest.join(a, c)
@@ -195,7 +221,8 @@ def search_units(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa
     """Rows sorted by unit (of one block, or of two) become rows (a, b, links): forest edges, and each node's links."""
 
     def work(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        sides = [[r for r in rows if r[1] == side] for side in (0, 1, 2)]
+        own = {(r[1], r[2]): r for r in rows}  # a node may come once for each of equal rows
+        sides = [[r for r in own.values() if r[1] == side] for side in (0, 1, 2)]
         if sides[2]:  # one block
             sides = [sides[2], []]
         elif not sides[0] or not sides[1]:
@@ -251,7 +278,10 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = stored(members.where("n > 0").groupBy("k", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
 
     postings = scanned.where("n > 0").select("n", "k", F.explode("first").alias("t"))
-    chained = postings.repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(lambda b: chain_lists(b, percent), "a long, b long")
+    live = stored(postings.repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(lambda b: live_postings(b, percent), "t long, n long, k long"), "live")
+    least = 1 + F.floor(EXTRA * F.floor(percent * F.col("n") / 100) / 100)
+    able = live.groupBy("k", "n").agg(F.count("*").alias("c")).where(F.col("c") >= least).select("k")
+    chained = live.join(able, "k", "left_semi").repartition("t").sortWithinPartitions("t", "n", "k").mapInArrow(lambda b: chain_lists(b, percent), "a long, b long")
     groups = stored(connected_components(stored(chained, "chains")), "groups")  # node, component
 
     ordered = groups.withColumn("spot", F.pmod(F.xxhash64("node"), F.lit(1 << 40)))
@@ -272,7 +302,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "shingles"])
 
-    sets = texts.mapInArrow(full, "k long, shingles array<long>").join(wanted.select("k", "copies"), "k").dropDuplicates(["k"])
+    sets = texts.mapInArrow(full, "k long, shingles array<long>").join(wanted.select("k", "copies"), "k")
     work = sets.join(units, sets["k"] == units["node"]).select("unit", "side", "k", "copies", "shingles")
     found = stored(work.repartition("unit").sortWithinPartitions("unit", "side", "k").mapInArrow(lambda b: search_units(b, percent), "a long, b long, links long"), "found")
 
