@@ -37,6 +37,10 @@ THRESHOLD = 0.7
 MAX_TRAIN = 4000
 #: A gram in fewer training texts keeps a zero vector: it can only be learnt by heart.
 MIN_TEXTS = 8
+#: Few training texts are gone through more often, up to so many steps in all.
+LEAST_STEPS = 1500
+#: Likewise one whose log odds of toxic texts are within so many standard errors of all texts'.
+MIN_ODDS = 2.5
 #: Characters that are worked on at once.
 BLOCK = 1 << 20
 
@@ -191,6 +195,23 @@ def training_set(texts: list[str]) -> TrainingSet:
     return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
 
 
+def gram_odds(data: TrainingSet, toxic: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
+    """(log odds ratio of each gram over its standard error, whether it may be learnt) by the texts that have it."""
+    counts = np.zeros((2, BUCKETS))
+    of_text = data.segment_text[data.segment]
+    edges = np.searchsorted(of_text, np.arange(0, len(toxic) + block, block))
+    for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
+        word = data.word[a:b]
+        there = np.zeros((block, BUCKETS), bool)
+        there[np.repeat(of_text[a:b] - k * block, data.size[word]), data.grams[ranges(data.first[word], data.size[word])]] = True
+        for c in (0, 1):
+            own = np.flatnonzero(toxic[k * block : (k + 1) * block] == c)
+            counts[c] += there[own].sum(0)
+    with_, without = counts + 0.5, np.bincount(toxic, minlength=2)[:, None] - counts + 0.5
+    odds = (np.log(with_ / without) * np.array([[-1], [1]])).sum(0) / np.sqrt((1 / with_ + 1 / without).sum(0))
+    return odds, (counts.sum(0) >= MIN_TEXTS) & (np.abs(odds) >= MIN_ODDS)
+
+
 def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int = 16, rate: float = 0.1, batch: int = 64, seed: int = 7) -> ToxicityModel:
     """Embeddings and softmax weights, jointly.
 
@@ -205,15 +226,14 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic))
     row_sum, weight_sum, bias_sum = np.full(BUCKETS, 1e-4), np.full(weights.shape, 1e-4), np.full(2, 1e-4)
     data = training_set(texts)
-    # a gram counts once for each text that has it
-    pairs = np.unique(data.segment_text[data.segment].astype(np.int64) * len(data.size) + data.word)
-    in_texts = np.bincount(pairs % len(data.size), minlength=len(data.size))
-    common = np.bincount(data.grams, np.repeat(in_texts, data.size), BUCKETS) >= MIN_TEXTS
-    del pairs
+    odds, common = gram_odds(data, toxic)
+    vectors *= 0.1
+    vectors[:, 0] += 0.05 * np.clip(odds, -10, 10)
+    weights[0] = (-0.5, 0.5)
     vectors[~common] = 0
     share = 1 / np.maximum(data.segment_size, SEGMENT_LEAST)
     scale = 8.0  # so that one word in a segment can decide
-    for _ in range(rounds):
+    for _ in range(max(rounds, -(-LEAST_STEPS * batch // len(texts)))):
         margin = scale * vectors @ (weights[:, 1] - weights[:, 0])
         sums = np.concatenate(([0.0], np.cumsum(margin[data.grams])))
         of_word = (sums[data.first + data.size] - sums[data.first]) / np.maximum(data.size, 1)
