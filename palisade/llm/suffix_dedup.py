@@ -101,6 +101,23 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return own, first - base, last - base, a - base, h[a].view(np.int64), content.view(np.int64)
 
 
+def own_repeats(own: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(text, first, last, hash, bytes' hash, sure) of runs, where a text's own repeats of a run are ``sure`` ones.
+
+    Adjoining sure runs become one, and get a hash of their place, so that a text of one phrase over and over doesn't pile
+    up at the phrase.
+    """
+    order = np.lexsort((c, h, own))
+    again = (own[order][1:] == own[order][:-1]) & (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+    sure = np.zeros(len(own), bool)
+    sure[order[1:][again]] = True
+    follows = np.concatenate(([False], sure[1:] & sure[:-1] & (own[1:] == own[:-1]) & (first[1:] == last[:-1] + 1)))
+    head = np.flatnonzero(~follows)
+    tail = np.concatenate((head[1:], [len(own)])) - 1
+    spread = ((own[head] * 1_000_003 + first[head]).astype(np.uint64) * _MULTIPLY[0]).view(np.int64) ^ h[head]
+    return own[head], first[head], last[tail], np.where(sure[head], spread, h[head]), c[head], sure[head].astype(np.int64)
+
+
 def first_and_repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     """Of runs sorted by anchor, bytes, id and place: repeats (kind 0), and first runs of each bytes (kind 1).
 
@@ -108,6 +125,11 @@ def first_and_repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterato
     """
     held = None  # (row, its anchor has other bytes)
     for b in batches:
+        if "sure" in b.schema.names:
+            sure = b.column("sure").to_numpy() > 0
+            if sure.any():
+                yield _found(np.zeros(int(sure.sum()), np.int64), *(b.column(k).to_numpy()[sure] for k in ("h", "id", "first", "last")))
+                b = b.filter(pa.array(~sure))
         n = b.num_rows
         if not n:
             continue
@@ -148,7 +170,8 @@ class EnhancedSuffixArray:
         k = 1
         while k < depth:
             second = np.zeros(n, np.int64)
-            second[: n - k] = rank[k:] + 1
+            if k < n:
+                second[: n - k] = rank[k:] + 1
             key = rank * (n + 258) + second
             order = np.argsort(key, kind="stable")
             ordered = key[order]
@@ -220,7 +243,17 @@ def block_repeats(ids: np.ndarray, firsts: np.ndarray, parts: list[bytes], lengt
         out[0].append(i[rest])
         out[1].append(s[rest])
         out[2].append(s[rest] + depth)
-    return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in out)  # type: ignore[return-value]
+    if not out[0]:
+        return tuple(np.zeros(0, np.int64) for _ in out)  # type: ignore[return-value]
+    i, s, e = (np.concatenate(x) for x in out)
+    order = np.lexsort((s, i))
+    i, s, e = i[order], s[order], e[order]
+    # nested repeats and neighbouring edges overlap: one span for each stretch of a document
+    turn = np.cumsum(np.concatenate(([True], i[1:] != i[:-1])))
+    reach = np.maximum.accumulate(e + turn * (1 << 40)) - turn * (1 << 40)
+    new = np.concatenate(([True], (i[1:] != i[:-1]) | (s[1:] > reach[:-1])))
+    head = np.flatnonzero(new)
+    return i[head], s[head], reach[np.concatenate((head[1:], [len(i)])) - 1]
 
 
 def _spans(i, s, e) -> pa.RecordBatch:
@@ -273,10 +306,12 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
                 size += len(texts[k])
                 if size > SCAN_BYTES or k == len(texts) - 1:
                     own, first, last, _, h, c = runs(texts[begin : k + 1], length, gram)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, ids[begin + own], first, last)], names=["h", "c", "id", "first", "last"])
+                    if len(own):
+                        own, first, last, h, c, sure = own_repeats(own, first, last, h, c)
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, ids[begin + own], first, last, sure)], names=["h", "c", "id", "first", "last", "sure"])
                     begin, size = k + 1, 0
 
-    all_runs = rows.select("id", "text").mapInArrow(emit, "h long, c long, id long, first long, last long")
+    all_runs = rows.select("id", "text").mapInArrow(emit, "h long, c long, id long, first long, last long, sure long")
     sorted_runs = all_runs.repartition("h").sortWithinPartitions("h", "c", "id", "first")
     found = stored(sorted_runs.mapInArrow(lambda b: first_and_repeats(b, length), "kind long, h long, id long, first long, last long"), "runs")
     whole = found.where("kind = 0").select("id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
