@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -248,8 +249,6 @@ def dotted(number: Column) -> Column:
 
 def canonical_ipv6(text: Column) -> Column:
     """Compressed spelling of IPv6 addresses, anything else unchanged. Apply it to distinct values: it runs in Python."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def spell(values: pd.Series) -> pd.Series:
         import ipaddress

@@ -150,7 +150,7 @@ def test_host_gate_and_ancestry(spark):
     assert host.estate_baseline(host.process_triples(few)).first().gate.startswith("1 hosts") and host.score_processes(few).count() == 0
     rows = [("h", f"C:\\{n}.exe", 1.0, n, p) for n, p in (("a", None), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("f", "e"), ("x", "y"), ("y", "x"), ("z", "gone"))]
     got = {r.process_guid: (r.chain, r.truncated) for r in host.ancestry(spark.createDataFrame(rows, "host string, image string, ts double, process_guid string, parent_guid string").withColumns({"source_file": F.lit("f"), "source_line": F.lit(1)})).collect()}
-    assert got["f"] == (["e.exe", "d.exe", "c.exe", "b.exe"], True) and got["b"] == (["a.exe"], False) and got["x"] == (["y.exe"], False) and got["z"] == ([], True)
+    assert got["f"] == (["e.exe", "d.exe", "c.exe", "b.exe"], True) and got["b"] == (["a.exe"], False) and got["x"] == (["y.exe"], False) and got["z"] == ([], False)
 
 
 def test_longest_prefix_and_nearest_zone(spark):
