@@ -36,9 +36,9 @@ from .components import connected_components
 
 SHINGLE = 5
 PERCENT = 75
-BLOCK = 1024
+BLOCK = 3000
 #: Shingles beyond the shortest prefix (e above), in per cent of the set.
-EXTRA = 6
+EXTRA = 12
 SAMPLE_DOCS = 8000
 #: Frequent: in so many of the sample's sets.
 SAMPLE_LEAST = 4
