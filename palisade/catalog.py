@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import host, intel, names, network
 from .operators.findings import check_grammar, with_finding_id
-from .plans import incidents, views
+from .plans import incidents, readiness, views
+from .sources import text
 from .streaming import summaries
 
 W = views.VIEWS_SQL
@@ -456,10 +457,76 @@ def claims_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.check_claims(*_claims(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check)}
+def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    window = intel.capture_window(views.connections(spark, sf_dir))
+    return readiness.report(views.ssl(spark, sf_dir), views.processes(spark, sf_dir), views.indicators(spark, sf_dir), views.assets(spark, sf_dir), window)
+
+
+READINESS_SQL = f"""
+SELECT 'tls' AS check, 'ready' AS state, (WITH {W} SELECT count(ja3) FROM ssl) AS amount
+UNION ALL SELECT 'host', CASE WHEN supported THEN 'ready' ELSE 'baseline_insufficient' END, executions FROM ({BASELINE_SQL})
+UNION ALL SELECT 'indicators', 'ready', (SELECT count(*) FROM supplier)
+UNION ALL SELECT 'assets', 'ready', applied FROM ({COVERAGE_SQL})
+"""
+
+
+def queue_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 50 incidents of the queue: a limit that is the feature."""
+    return incidents.ranked_queue(incidents.correlate(_findings(spark, sf_dir))[0], 50).select("place", "incident", "severity", *_r("priority"))
+
+
+QUEUE_SQL = f"""
+SELECT row_number() OVER (ORDER BY p DESC, sev DESC, incident) AS place, incident, severity, priority FROM (
+  SELECT *, round(confidence * multiplier, 9) AS p FROM ({INCIDENT_SQL.replace("round(confidence, 4) AS confidence, round(multiplier, 4) AS multiplier", "confidence, multiplier, sev")}) ORDER BY p DESC, sev DESC, incident LIMIT 50)
+"""
+
+
+def _header(spark: SparkSession, fields: str, name: str) -> DataFrame:
+    return spark.range(1).select(F.lit("#fields\t" + fields).alias("line"), F.lit(name).alias("source_file"), F.lit(0).cast("long").alias("source_line"))
+
+
+def src_conn_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connections written as sensor log lines and parsed again."""
+    c = views.connections(spark, sf_dir)
+    part = lambda name: F.coalesce(F.col(name).cast("string"), F.lit("-"))
+    names_ = ["ts", "src_ip", "dst_ip", "dst_port", "orig_bytes", "resp_bytes"]
+    lines = c.select(F.concat_ws("\t", *[part(n) for n in names_]).alias("line"), F.lit("conn.log").alias("source_file"), "source_line")
+    parsed = text.parse_conn(lines.unionByName(_header(spark, "ts\tid.orig_h\tid.resp_h\tid.resp_p\torig_bytes\tresp_bytes", "conn.log")))
+    return parsed.select("src_ip", "dst_ip", "dst_port", "orig_bytes", "resp_bytes", "source_line", *_r("ts"))
+
+
+SRC_CONN_SQL = f"WITH {W} SELECT '10.1.' || (o_custkey // 250) || '.' || (o_custkey % 250) AS src_ip, '192.168.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) AS dst_ip, 440 + l_linenumber AS dst_port, CAST(floor(l_extendedprice) AS BIGINT) AS orig_bytes, CASE WHEN l_returnflag <> 'N' THEN CAST(floor(l_quantity * 100) AS BIGINT) END AS resp_bytes, l_orderkey * 10 + l_linenumber AS source_line, round(epoch(l_shipdate) + l_orderkey % 86400, 4) AS ts FROM ol"
+
+
+def src_alert_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts written as event-log JSON and parsed again."""
+    a = views.alerts(spark, sf_dir)
+    stamp = F.date_format(F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")), "yyyy-MM-dd'T'HH:mm:ss.SSSXXX")
+    body = F.struct(stamp.alias("timestamp"), F.lit("alert").alias("event_type"), "src_ip", F.col("dst_ip").alias("dest_ip"), F.struct("signature_id", "signature", "category", "severity").alias("alert"))
+    parsed = text.parse_alerts(a.select(F.to_json(body).alias("line"), "source_file", "source_line"))
+    return parsed.select("src_ip", "dst_ip", "signature", "signature_id", "category", "severity", "source_line", F.floor("ts").cast("long").alias("second"))
+
+
+SRC_ALERT_SQL = f"WITH {W} SELECT src_ip, dst_ip, signature, signature_id, category, severity, source_line, CAST(floor(ts) AS BIGINT) AS second FROM alerts"
+
+
+def src_process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The process creations written as event JSON and parsed again."""
+    p = views.processes(spark, sf_dir)
+    stamp = F.date_format(F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")), "yyyy-MM-dd HH:mm:ss.SSS")
+    body = F.struct(F.lit(1).alias("EventID"), F.lit(text.PROVIDER).alias("SourceName"), stamp.alias("UtcTime"), F.col("host").alias("Hostname"), F.col("image").alias("Image"), F.col("parent_image").alias("ParentImage"), F.col("process_guid").alias("ProcessGuid"), F.concat(F.lit("MD5=0,SHA256="), F.sha2("process_guid", 256)).alias("Hashes"))
+    parsed = text.parse_processes(p.select(F.to_json(body).alias("line"), "source_file", "source_line"))
+    return parsed.select("host", "image", "parent_image", "process_guid", "sha256")
+
+
+SRC_PROCESS_SQL = f"WITH {W} SELECT host, image, parent_image, process_guid, sha256(process_guid) AS sha256 FROM processes"
+
+
+QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
+    "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
 }
