@@ -188,8 +188,11 @@ def training_set(texts: list[str]) -> TrainingSet:
     distinct, where = np.unique(all_keys, return_index=True)
     starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
     size = sizes[where]
-    grams = np.concatenate(own_grams)[ranges(starts[where], size)]
-    word = np.searchsorted(distinct, np.concatenate(keys)).astype(np.int32)
+    all_grams = np.concatenate(own_grams)
+    own_grams.clear()
+    grams = all_grams[ranges(starts[where], size)]
+    del all_grams
+    word = np.concatenate([np.searchsorted(distinct, k).astype(np.int32) for k in keys])
     segment = np.concatenate(segments)
     count = np.bincount(segment)
     return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
@@ -235,8 +238,7 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
     scale = 8.0  # so that one word in a segment can decide
     for _ in range(max(rounds, -(-LEAST_STEPS * batch // len(texts)))):
         margin = scale * vectors @ (weights[:, 1] - weights[:, 0])
-        sums = np.concatenate(([0.0], np.cumsum(margin[data.grams])))
-        of_word = (sums[data.first + data.size] - sums[data.first]) / np.maximum(data.size, 1)
+        of_word = np.add.reduceat(margin.astype(np.float32)[data.grams], data.first) / data.size  # each word has a gram
         z = np.bincount(data.segment, of_word[data.word], len(share)) * share
         best, text = strongest(z, data.segment_text)
         order = rng.permutation(len(best))
