@@ -202,10 +202,9 @@ def is_ipv4(text: Column) -> Column:
 def ipv4_number(text: Column) -> Column:
     """The address as a whole number; NULL if it isn't one."""
     part = F.split(text, r"\.")
-    n = F.lit(0).cast("long")
-    for k in range(1, 5):
-        n = n * 256 + F.try_element_at(part, F.lit(k)).try_cast("long")
-    return F.when(is_ipv4(text), n)
+    good = F.forall(part, lambda x: F.coalesce(x.try_cast("int").between(0, 255) & (x.try_cast("int").cast("string") == x), F.lit(False)))
+    number = F.aggregate(part, F.lit(0).cast("long"), lambda n, x: n * 256 + F.coalesce(x.try_cast("long"), F.lit(0)))
+    return F.when((F.size(part) == 4) & good, number)
 
 
 def ipv4_network(number: Column, prefix: Column | int) -> Column:

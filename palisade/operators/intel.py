@@ -174,7 +174,7 @@ def score_matches(values: DataFrame, indicators: DataFrame, p: IntelParams = Int
     hits = ips.unionByName(names)
     feed = indicators.select(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind"), "confidence", "added")
     joined = values.join(hits, "value").join(feed, ["indicator", "indicator_kind"])
-    age = F.greatest(F.datediff(F.to_date(F.timestamp_seconds("first_seen")), F.col("added")), F.lit(0))
+    age = F.when(F.col("added").isNotNull(), F.greatest(F.datediff(F.to_date(F.timestamp_seconds("first_seen")), F.col("added")), F.lit(0)))
     base = F.coalesce("confidence", F.lit(p.unprovenanced))
     scored = joined.withColumn("age_days", age).withColumn("score", F.when(F.col("age_days").isNull(), F.least(base, F.lit(p.undated_cap))).otherwise(S.half_life(base, F.col("age_days"), p.half_life_days)))
     return scored.where((F.col("score") >= p.floor) & (F.col("age_days").isNull() | (F.col("age_days") <= p.max_age_days)))
