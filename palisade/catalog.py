@@ -457,6 +457,27 @@ def claims_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incidents.check_claims(*_claims(spark, sf_dir))
 
 
+def incident_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return incidents.incident_entities(incidents.correlate(_findings(spark, sf_dir))[1])
+
+
+ENTITIES_SQL = f"""
+WITH {_ALL_FINDINGS}, k AS (SELECT 'ip:' || subject AS incident, CASE predicate WHEN 'scans' THEN 'port:' WHEN 'triggered_signature' THEN 'signature:' WHEN 'presents_rare_tls_fingerprint' THEN 'tls_fingerprint:' ELSE 'ip:' END || lower(object) AS entity FROM fi)
+SELECT incident, entity FROM k UNION SELECT incident, incident FROM k
+"""
+
+
+def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five alerts of each source, spread over its time."""
+    return incidents.spread_sample(views.alerts(spark, sf_dir).select("src_ip", "source_line"), ["src_ip"], ["source_line"], 5)
+
+
+SPREAD_SQL = f"""
+WITH {W}, n AS (SELECT src_ip, source_line, row_number() OVER (PARTITION BY src_ip ORDER BY source_line) - 1 AS rn, count(*) OVER (PARTITION BY src_ip) AS n FROM alerts)
+SELECT src_ip, source_line FROM n WHERE n <= 5 OR list_contains(list_transform(range(0, 5), lambda i: CAST(round_even(i * (n - 1) / 4, 0) AS BIGINT)), rn)
+"""
+
+
 def readiness_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     window = intel.capture_window(views.connections(spark, sf_dir))
     return readiness.report(views.ssl(spark, sf_dir), views.processes(spark, sf_dir), views.indicators(spark, sf_dir), views.assets(spark, sf_dir), window)
@@ -522,11 +543,12 @@ def src_process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_PROCESS_SQL = f"WITH {W} SELECT host, image, parent_image, process_guid, sha256(process_guid) AS sha256 FROM processes"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
+    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL,
 }

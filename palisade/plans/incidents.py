@@ -116,6 +116,33 @@ def correlate(findings: DataFrame, p: CorrelationParams = CorrelationParams()) -
     return rank(grouped, p), grouped
 
 
+def incident_entities(grouped: DataFrame) -> DataFrame:
+    """Distinct entities of each incident: its findings' subjects and objects."""
+    both = grouped.select("incident", subject_key().alias("entity")).union(grouped.where(F.col("object").isNotNull()).select("incident", object_key()))
+    return both.distinct()
+
+
+def incident_evidence(grouped: DataFrame) -> DataFrame:
+    """Distinct evidence of each incident, with the place it points back to."""
+    rows = grouped.select("incident", F.explode("evidence").alias("e")).select("incident", F.col("e.id").alias("evidence_id"), F.col("e.kind").alias("kind"), F.col("e.summary").alias("summary"), F.col("e.artifact.source_file").alias("source_file"), F.col("e.artifact.source_line").alias("source_line"))
+    return rows.dropDuplicates(["incident", "evidence_id"])
+
+
+def in_reading_order(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) -> DataFrame:
+    """Findings with their ``place`` in the incident: measured ones by confidence, then derived ones by time, then by id."""
+    derived = F.col("predicate").isin(*p.derived)
+    w = Window.partitionBy("incident").orderBy(derived, F.when(derived, F.col("first_seen")).otherwise(0.0), F.desc("score"), "finding_id")
+    return grouped.withColumn("place", F.row_number().over(w))
+
+
+def spread_sample(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
+    """At most ``k`` rows of each group: the first, the last and evenly between, in the given order."""
+    w = Window.partitionBy(*keys)
+    numbered = df.withColumns({"_rn": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    spots = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_n") - 1) / max(1, k - 1)).cast("long"))
+    return numbered.where((F.col("_n") <= k) | F.array_contains(spots, F.col("_rn").cast("long"))).drop("_rn", "_n")
+
+
 # ---------------------------------------------------------------- hunts
 
 #: How each predicate's entity is looked up in a history table (field, match).
@@ -196,6 +223,18 @@ def truth_match(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFram
     return counts.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def capture_evaluation(incidents: DataFrame, beacons: DataFrame, pairs: DataFrame, infected: DataFrame, hours: float) -> DataFrame:
+    """One row: best place of an infected subject, precision of beacon pairs, best confidence on a labelled pair, findings an hour.
+
+    ``beacons (subject, object, score)`` against labelled ``pairs (subject, object)``; labels are joined only here.
+    """
+    best = subject_ranks(incidents, infected).agg(F.min("place").alias("best_infected_place"))
+    labelled = pairs.select("subject", "object").distinct().withColumn("labelled", F.lit(True))
+    one = beacons.join(labelled, ["subject", "object"], "left").agg(F.count("*").alias("beacons"), F.count("labelled").alias("on_labelled"), F.max(F.when(F.col("labelled"), F.col("score"))).alias("best_confidence"))
+    one = one.withColumns({"pair_precision": F.try_divide("on_labelled", "beacons"), "beacons_per_hour": F.col("beacons") / hours})
+    return one.crossJoin(F.broadcast(best))  # one row each
+
+
 def subject_ranks(incidents: DataFrame, subjects: DataFrame) -> DataFrame:
     """The place in the queue of each labelled subject: how many incidents come before it. No global sort."""
     want = incidents.join(subjects.select(S.entity_id(F.lit("ip"), F.col("subject")).alias("incident")).distinct(), "incident", "left_semi").select(F.col("incident").alias("subject"), F.bround("priority", 9).alias("p"), F.col("severity_rank").alias("s"))
