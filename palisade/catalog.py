@@ -394,7 +394,7 @@ def incident_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hunt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other subjects that meet what the findings name; per predicate and value, since ids are content hashes."""
-    found = _findings(spark, sf_dir)
+    found = _findings(spark, sf_dir).persist()  # few rows, read twice
     p = incidents.pivots(found)
     rows = incidents.history(views.connections(spark, sf_dir), ssl=views.ssl(spark, sf_dir), alerts=views.alerts(spark, sf_dir))
     hits = incidents.hunt(p, rows).join(p.select("finding_id", "predicate", "field", "value", "excluded"), "finding_id")

@@ -109,9 +109,13 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
 
 
 def correlate(findings: DataFrame, p: CorrelationParams = CorrelationParams()) -> tuple[DataFrame, DataFrame]:
-    """(incidents, findings with their incident) of findings from any number of detectors."""
+    """(incidents, findings with their incident) of findings from any number of detectors.
+
+    The findings are read several times, and they are few (detectors cap them), so they are kept instead of detected anew.
+    """
     if "finding_id" not in findings.columns:
         findings = with_finding_id(findings)
+    findings = findings.persist()
     grouped = members(findings, p)
     return rank(grouped, p), grouped
 
