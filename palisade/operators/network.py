@@ -291,7 +291,8 @@ def periodicity(events: DataFrame, periods: DataFrame, p: BeaconParams = BeaconP
 
 
 def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> DataFrame:
-    summary = pair_summary(connections)
+    """Scored beacons. The pair summary, the candidates' series and their check-ins are read several times, so they are persisted."""
+    summary = pair_summary(connections).persist()
     hosts = destination_hosts(summary)
     open_port = F.col("dst_port").isNull() | ~F.col("dst_port").isin(*p.excluded_ports)
     candidates = summary.where((F.col("flows") >= p.min_checkins) & (F.col("last_seen") - F.col("first_seen") >= p.min_span) & open_port)
@@ -299,10 +300,10 @@ def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> D
     if "service" in connections.columns:
         kept = kept.where(F.col("service").isNull() | ~F.lower("service").isin(*p.excluded_services))
     tie = F.col("source_line") if "source_line" in connections.columns else F.lit(0)
-    series = same_pair(kept, candidates.select(*PAIR), "left_semi").select(*PAIR, "ts", "orig_bytes", tie.alias("tie"))
+    series = same_pair(kept, candidates.select(*PAIR), "left_semi").select(*PAIR, "ts", "orig_bytes", tie.alias("tie")).persist()
     w = Window.partitionBy(*PAIR).orderBy("ts", "tie")
     raw_gaps = series.withColumn("gap", F.col("ts") - F.lag("ts").over(w)).where("gap > 0")
-    events = checkins(series, gap_thresholds(raw_gaps, p))
+    events = checkins(series, gap_thresholds(raw_gaps, p)).persist()
     e = Window.partitionBy(*PAIR).orderBy("ts")
     gaps = events.withColumn("gap", F.col("ts") - F.lag("ts").over(e)).where("gap > 0").select(*PAIR, "gap")
     counts = events.groupBy(*PAIR).agg(F.count("*").alias("checkins"), F.min("ts").alias("e_first"), F.max("ts").alias("e_last")).where(F.col("checkins") >= p.min_checkins)
