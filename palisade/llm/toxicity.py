@@ -34,7 +34,7 @@ SEGMENT = 16
 SEGMENT_LEAST = 8
 DIM = 8
 THRESHOLD = 0.7
-MAX_TRAIN = 4000
+MAX_TRAIN = 3000
 #: A gram in fewer training texts keeps a zero vector: it can only be learnt by heart.
 MIN_TEXTS = 8
 #: Few training texts are gone through more often, up to so many steps in all.
@@ -158,6 +158,7 @@ def training_set(texts: list[str]) -> TrainingSet:
     step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     keys, segments, segment_texts, own_keys, own_grams, own_sizes = [], [], [], [], [], []
     begin, n, done = 0, 0, 0
+    seen = np.zeros(0, np.uint64)
     for k, text in enumerate(texts):
         n += len(text)
         if n < BLOCK and k < len(texts) - 1:
@@ -172,6 +173,9 @@ def training_set(texts: list[str]) -> TrainingSet:
         last = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         key = (sums[last] - sums[first]) * np.cumprod(np.full(len(chars) + 1, step, np.uint64))[first]
         own, where = np.unique(key, return_index=True)
+        fresh = ~np.isin(own, seen, assume_unique=True)
+        own, where = own[fresh], where[fresh]
+        seen = np.union1d(seen, own)
         wanted = np.zeros(len(key), bool)
         wanted[where] = True
         pick = np.flatnonzero(wanted[s.gram_word])
@@ -184,15 +188,12 @@ def training_set(texts: list[str]) -> TrainingSet:
         done += len(s.segment_share)
         segment_texts.append(s.segment_text + begin)
         begin, n = k + 1, 0
-    all_keys, sizes = np.concatenate(own_keys), np.concatenate(own_sizes)
-    distinct, where = np.unique(all_keys, return_index=True)
-    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    size = sizes[where]
-    all_grams = np.concatenate(own_grams)
+    all_keys, size = np.concatenate(own_keys), np.concatenate(own_sizes)
+    order = np.argsort(all_keys)
+    distinct = all_keys[order]
+    grams = np.concatenate(own_grams)
     own_grams.clear()
-    grams = all_grams[ranges(starts[where], size)]
-    del all_grams
-    word = np.concatenate([np.searchsorted(distinct, k).astype(np.int32) for k in keys])
+    word = np.concatenate([order[np.searchsorted(distinct, k)].astype(np.int32) for k in keys])
     segment = np.concatenate(segments)
     count = np.bincount(segment)
     return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
