@@ -1,15 +1,16 @@
 """Substring deduplication by sliding spans of consecutive sentences.
 
 A sentence ends with a run of ``.``, ``!``, ``?`` or line ends. A span starts at each sentence and takes as many of the
-following ones as it needs to reach ``min_words`` words (about three of usual length). Spans are compared without
-regard to ASCII case and white space, by a 128-bit hash. Of the places where a span occurs, in the order of id and
+following ones as it needs to reach ``min_words`` words (about three of usual length); another ends at each sentence and
+takes as many of those before it. Together they cover every sentence of each repeated run of at least ``min_words``
+words. Spans are compared without regard to ASCII case and white space, by a 128-bit hash. Of the places where a span occurs, in the order of id and
 position, all but the first are repeats, and every sentence covered by a repeat is removed.
 
 Spans are shuffled by their hash and sorted, and each list is streamed: its first place is kept, the others are given
 out, so a span that a third of all documents share needs no memory. A second shuffle brings a document's repeats to it.
 
-Defined edge cases: null and empty texts have no sentences; a text of fewer than ``min_words`` words has no span and
-stays whole; rows that repeat both id and text are one document for this purpose and are treated alike; a null id
+Defined edge cases: null and empty texts have no sentences; a text of fewer than ``min_words`` words is one
+span, so that only its copies are repeats; rows that repeat both id and text are one document for this purpose and are treated alike; a null id
 comes first in the order; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -38,17 +39,30 @@ def sentences(text: str | None) -> list[str]:
     return SENTENCE.findall(text) if text else []
 
 
-def spans(found: list[str], min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
-    """(first sentence, sentence behind the last one, normalised words) of each span."""
+def spans(found: list[str], min_words: int = MIN_WORDS, ends: bool = True) -> Iterator[tuple[int, int, bytes]]:
+    """(first sentence, sentence behind the last one, normalised words) of each span, in the order of place.
+
+    Without ``ends`` only the spans that start at a sentence, as OP5_SQL has them.
+    """
     split = [WORD.findall(s.lower() if s.isascii() else s.translate(FOLD)) for s in found]
     total = np.cumsum([0, *map(len, split)])
-    for i in range(len(found)):
-        if not split[i]:
-            continue
-        end = int(np.searchsorted(total, total[i] + min_words))
-        if end > len(found):
-            break
-        yield i, end, " ".join(w for s in split[i:end] for w in s).encode("utf-8", "surrogatepass")
+    worded = np.flatnonzero(np.diff(total))
+    if not len(worded):
+        return
+    joined = [" ".join(w).encode("utf-8", "surrogatepass") for w in split]
+    byte = np.cumsum([0, *(len(j) + 1 if j else 0 for j in joined)]).tolist()
+    words = b" ".join(filter(None, joined))
+    stop = np.searchsorted(total, total[worded] + min_words)
+    fits = stop <= len(found)
+    places = set(zip(worded[fits].tolist(), stop[fits].tolist()))
+    if ends:
+        start = np.searchsorted(total, total[worded + 1] - min_words, "right") - 1
+        fits = start >= 0
+        places.update(zip(start[fits].tolist(), (worded[fits] + 1).tolist()))
+        if total[-1] < min_words:
+            places.add((int(worded[0]), int(worded[-1]) + 1))
+    for s, e in sorted(places):
+        yield s, e, words[byte[s] : byte[e] - 1]
 
 
 def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,7 +91,7 @@ def repeats(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, later = b.slice(b.num_rows - 1), bool(out[-1])
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, ends: bool = True) -> DataFrame:
     """One row per document: ``doc_id, n_sentences, n_removed, n_spans, kept`` (the remaining text)."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = rows.withColumn("tkey", F.xxhash64("text"))
@@ -87,7 +101,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in batches:
             at, start, end, h = [], [], [], []
             for i, t in enumerate(b.column("text").to_pylist()):
-                for s, e, key in spans(sentences(t), min_words):
+                for s, e, key in spans(sentences(t), min_words, ends):
                     at.append(i)
                     start.append(s)
                     end.append(e)
@@ -98,7 +112,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     found = rows.mapInArrow(emit, f"doc_id {id_type}, tkey long, start int, end int, h1 long, h2 long")
     repeated = found.repartition("h1", "h2").sortWithinPartitions("h1", "h2", "doc_id", "tkey", "start").mapInArrow(repeats, f"doc_id {id_type}, tkey long, start int, end int")
-    # A document has at most one repeat for each of its sentences.
+    # A document has at most two repeats for each of its sentences.
     lists = repeated.groupBy(F.col("doc_id").alias("r_id"), F.col("tkey").alias("r_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("repeats"))
     joined = rows.join(lists, rows["doc_id"].eqNullSafe(lists["r_id"]) & (rows["tkey"] == lists["r_key"]), "left").select("doc_id", "text", "repeats")
 

@@ -261,6 +261,51 @@ def test_sentence_spans_of_equal_rows(spark):
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 1)]
 
 
+def test_sentence_runs_of_every_length(spark):
+    rng = random.Random(3)
+
+    def sentence(k):
+        return "".join(f" w{rng.randrange(10**6)}" for _ in range(k)) + "."
+
+    passage = sentence(30) + sentence(15)
+    tail = sentence(25) + sentence(4) + sentence(3)
+    texts = [sentence(8) + passage + sentence(9), sentence(5) + passage + sentence(40), tail, tail, " short one. of two.", " short one. of two."]
+    for _ in range(40):
+        parts = sentence_dedup.sentences(rng.choice(texts))
+        a = rng.randrange(len(parts))
+        texts.append("".join(sentence(rng.randint(1, 30)) for _ in range(3)) + "".join(parts[a : a + rng.randint(1, 6)]) + sentence(rng.randint(1, 30)))
+    seen, expected = set(), {}
+    for i, t in enumerate(texts):
+        words = [tuple(s.split()) for s in sentence_dedup.sentences(t)]
+        gone = set()
+        for s in range(len(words)):
+            for e in range(s + 1, len(words) + 1):
+                run = sum(words[s:e], ())
+                if len(run) >= 20 or (s == 0 and e == len(words)):
+                    if run in seen:
+                        gone |= set(range(s, e))
+                    seen.add(run)
+        expected[i] = gone
+    got = collect(sentence_dedup.remove_repeats(frame(spark, list(enumerate(texts)))))
+    for i, t in enumerate(texts):
+        assert got[i].kept == "".join(p for k, p in enumerate(sentence_dedup.sentences(t)) if k not in expected[i])
+    assert expected[1] == {1, 2} and expected[3] == {0, 1, 2} and expected[5] == {0, 1}
+
+
+def test_sentence_spans_without_ends_are_those_of_the_sql(spark):
+    import duckdb
+
+    path = "/root/testdata/sf0.001/documents.parquet"
+    docs = spark.read.parquet(path)
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{path}')")
+    want = con.sql(f"select doc_id, n_removed from ({sentence_dedup.OP5_SQL})").fetchall()
+    got = sentence_dedup.remove_repeats(docs, ends=False).select("doc_id", "n_removed").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    whole = dict(map(tuple, sentence_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()))
+    assert all(whole[i] >= n for i, n in want)
+
+
 # ---------------------------------------------------------------- 6
 
 
