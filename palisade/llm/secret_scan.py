@@ -1,13 +1,16 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned by the base patterns, and decoded in every way that applies: percent
-escapes, ``\\\\u``/``\\\\x`` escapes, and runs of base64 whose bytes are text or a gzip, zlib, bz2, xz or zstd stream (again and
-again, if bytes unpack to such a stream). Decoded layers go on the worklist until nothing new comes; a layer with the same
+escapes, ``\\\\u``/``\\\\x`` escapes, and runs of base64, also wrapped over lines. A run is decoded at each of the four
+alignments, as it may be glued to a path or a key, and its readable stretches are layers. Where bytes, of base64 or of
+escapes, hold a gzip, zlib, bz2, xz or zstd stream, it is unpacked with all its members (again and again, if it unpacks to
+such a stream). Decoded layers go on the worklist until nothing new comes; a layer with the same
 content and place as an earlier one is dropped, so cycles end. A layer carries, for each of its characters, the place in the
 original text, so what is found in it maps back to the text that hides it.
 
 Unpacked streams are read in parts of ``PART`` bytes that overlap, so a small text that unpacks to a huge one is scanned
-whole in bounded memory. The base spans are those of the first layer; decoding only adds spans.
+whole in bounded memory. The overlap holds an encoded run that a part ends in, up to ``PART`` bytes of it; of a longer one,
+a stream that is itself encoded in it is unpacked up to the end of the part only. The base spans are those of the first layer; decoding only adds spans.
 
 Defined edge cases: null and empty texts have no spans; rows are independent (one scan, no shuffle), so repeated rows give
 repeated results; other columns are ignored.
@@ -16,12 +19,12 @@ repeated results; other columns are ignored.
 from __future__ import annotations
 
 import base64
-import binascii
 import bz2
 import lzma
 import re
 import zlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,9 +45,23 @@ ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
 ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+#: The shortest secret has 14 bytes; 32 equal hexadecimal digits are a stream of 11, which is 15 characters.
+LEAST_BYTES = 14
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{15,}={0,2}")
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
+URL_SAFE = str.maketrans("-_", "+/")
+READABLE = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}" % LEAST_BYTES)
+#: Escaped bytes between characters that stand for themselves, and one byte of these.
+PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
+ESCAPE_BYTES = re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[0abfnrtv'\"\\]|[ -\[\]-~])+")
+ONE_BYTE = re.compile(r"%[0-9A-Fa-f]{2}|\\(?:x|u00)[0-9A-Fa-f]{2}|\\.|.", re.S)
+SHORT = {"\\0": 0, "\\a": 7, "\\b": 8, "\\f": 12, "\\n": 10, "\\r": 13, "\\t": 9, "\\v": 11, "\\'": 39, '\\"': 34, "\\\\": 92}
 PART, OVERLAP = 4 << 20, 4096
+#: Bytes given to a decompressor at a time, which bounds what comes out of it at a time.
+SLICE = 256
+ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bz2", b"\xfd7zXZ\0": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
+ANY_MAGIC = re.compile(b"|".join(map(re.escape, MAGIC)))
 
 
 def find_base(text: str) -> list[tuple[int, int, int]]:
@@ -138,65 +155,172 @@ def _stream(raw: bytes) -> str | None:
     return next((kind for magic, kind in MAGIC.items() if raw.startswith(magic)), None)
 
 
-def unpack(raw: bytes, kind: str) -> Iterator[bytes]:
-    """The unpacked stream in overlapping parts; it ends silently where the stream is broken."""
-    try:
-        if kind == "zstd":
-            import io
+def _tool(kind: str):
+    if kind == "zstd":
+        import zstandard
+
+        return zstandard.ZstdDecompressor().decompressobj()
+    return {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
 
-            import zstandard
 
-            source = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(raw))
-            read = lambda: source.read(PART)
-        else:
-            tool = {"gzip": lambda: zlib.decompressobj(31), "zlib": zlib.decompressobj, "bz2": bz2.BZ2Decompressor, "xz": lzma.LZMADecompressor}[kind]()
-            rest = [raw]
+def unpack(chunks: Iterable[bytes], end: list[int] | None = None) -> Iterator[bytes]:
+    """The unpacked streams, one behind the other, in pieces; it ends silently where a stream is broken.
 
-            def read() -> bytes:
+    What isn't a stream, from the start or behind the last one, comes as it is; with ``end``, which takes the length of the
+    whole streams, it is left out.
+    """
+    source = (c[k : k + SLICE] for c in chunks for k in range(0, len(c), SLICE))
+    rest, fed, whole = b"", 0, 0
+    while True:
+        while len(rest) < 6 and (more := next(source, None)) is not None:
+            fed += len(more)
+            rest += more
+            if whole:  # streams may be padded with zeros
+                rest = rest.lstrip(b"\0")
+        kind = _stream(rest)
+        taken, got = rest, b""
+        try:
+            if kind is None:
+                raise ValueError("not a stream")
+            tool, data = _tool(kind), rest
+            while data is not None:
+                more = tool.decompress(data, PART) if kind in ("bz2", "xz") else tool.decompress(data)
+                while more:
+                    got = more
+                    yield more
+                    more = tool.decompress(b"", PART) if kind in ("bz2", "xz") and not tool.eof and not tool.needs_input else b""
                 if tool.eof:
-                    return b""
-                got = tool.decompress(rest[0], PART)
-                rest[0] = tool.unconsumed_tail if kind in ("gzip", "zlib") else b""
-                return got
-
-        tail = b""
-        while got := read():
-            yield tail + got
-            tail = (tail + got)[-OVERLAP:]
-    except Exception as e:  # each library has its own error for a broken stream
-        if not isinstance(e, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) and type(e).__name__ != "ZstdError":
-            raise
-
-
-def _texts(raw: bytes) -> Iterator[str]:
-    kind = _stream(raw)
-    if kind is None:
-        text = _readable(raw)
-        if text is not None:
-            yield text
+                    break
+                data = next(source, None)
+                if data is not None:
+                    fed += len(data)
+                    taken = b"" if got else taken + data
+            if data is None:
+                return
+            rest = tool.unused_data
+            whole = fed - len(rest)
+            if end is not None:
+                end[0] = whole
+        except Exception as e:  # each library has its own error for a broken stream
+            if not isinstance(e, (zlib.error, OSError, EOFError, lzma.LZMAError, ValueError)) and type(e).__name__ != "ZstdError":
+                raise
+            if end is None and not got:
+                if taken:
+                    yield taken
+                yield from source
+            return
+
+
+def _parts(chunks: Iterable[bytes]) -> Iterator[bytes]:
+    """The same bytes, ``PART`` at a time."""
+    held = bytearray()
+    for c in chunks:
+        held += c
+        while len(held) >= PART:
+            yield bytes(held[:PART])
+            del held[:PART]
+    if held:
+        yield bytes(held)
+
+
+def _texts(chunks: Iterable[bytes], seen: frozenset = frozenset()) -> Iterator[str]:
+    """Texts in overlapping parts, unpacked while they are streams; ``seen`` ends streams that unpack to themselves."""
+    parts = _parts(chunks)
+    head = next(parts, None)
+    if head is None:
         return
-    for part in unpack(raw, kind):
-        if _stream(part):
-            yield from _texts(part)
-        else:
-            # a part may begin or end within a character
-            yield part.decode("utf-8", "ignore")
+    key = xxhash.xxh3_128_digest(head)
+    if _stream(head) and key not in seen:
+        yield from _texts(unpack(chain([head], parts)), seen | {key})
+        return
+    tail = b""
+    for part in chain([head], parts):
+        part = tail + part
+        # a part may begin or end within a character
+        yield part.decode("utf-8", "ignore")
+        tail = part[max(0, len(part) - PART, min(len(part) - OVERLAP, len(part.rstrip(ENCODED)))) :]
+
+
+def _streams(raw: bytes) -> Iterator[tuple[int, int]]:
+    """(start, end) of the streams in ``raw`` that unpack to anything; of a broken one, the end of ``raw``."""
+    at = 0
+    while m := ANY_MAGIC.search(raw, at):
+        end = [0]
+        some = False
+        for _ in unpack([raw[m.start() :]], end):
+            some = True
+        if some:
+            yield m.start(), m.start() + end[0] if end[0] else len(raw)
+        at = m.start() + max(1, end[0])
+
+
+def _stream_texts(raw: bytes, start: int) -> Iterator[str]:
+    raw = raw[start:]
+    return _texts(unpack([raw], [0]), frozenset([xxhash.xxh3_128_digest(raw[:PART])]))
+
+
+def _run_layers(layer: Layer, start: int, run: str, wrapped: bool) -> Iterator[Layer]:
+    """The layers of a run of base64 that starts there; of a wrapped one, those that no line has by itself."""
+    body = run.rstrip("=")
+    where = [i for i, c in enumerate(body) if not c.isspace()] if wrapped else range(len(body))
+    code = "".join(body.split()).translate(URL_SAFE)
+    for shift in range(4):
+        part = code[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+
+        def place(b: int, e: int) -> tuple[int, int] | None:
+            first = where[shift + b // 3 * 4 + b % 3]
+            last = where[shift + (e - 1) // 3 * 4 + (e - 1) % 3 + 1] + 1
+            if wrapped and "\n" not in run[first:last]:
+                return None
+            return layer.place(start + first, start + (len(run) if e == len(raw) else last))
+
+        for b, e in _streams(raw):
+            if spot := place(b, e):
+                for text in _stream_texts(raw, b):
+                    yield Layer(text, *spot)
+        if not shift and not wrapped and not _stream(raw) and (text := _readable(raw)) is not None:
+            yield Layer(text, *layer.place(start, start + len(run)))
+            continue
+        for m in READABLE.finditer(raw):
+            if spot := place(m.start(), m.end()):
+                yield Layer(m[0].decode(), *spot)
 
 
 def _base64_layers(layer: Layer) -> Iterator[Layer]:
     for m in BASE64.finditer(layer.text):
-        run = m[0].rstrip("=").replace("-", "+").replace("_", "/")
-        run = run[: len(run) - (len(run) % 4 == 1)]
-        try:
-            raw = base64.b64decode(run + "=" * (-len(run) % 4))
-        except (binascii.Error, ValueError):
+        yield from _run_layers(layer, m.start(), m[0], False)
+    for m in WRAPPED.finditer(layer.text):
+        if m.end() - m.start() > 15:
+            yield from _run_layers(layer, m.start(), m[0], True)
+
+
+def _byte(piece: str) -> int:
+    if len(piece) == 1:
+        return ord(piece)
+    return SHORT[piece] if piece in SHORT else int(piece[-2:], 16)
+
+
+def _escaped_layers(layer: Layer) -> Iterator[Layer]:
+    """What streams in escaped bytes unpack to."""
+    for pattern, marks in ((PERCENT_BYTES, ("%",)), (ESCAPE_BYTES, ("\\x", "\\u00"))):
+        if not any(mark in layer.text for mark in marks):
             continue
-        if raw[:1] > b"\x7f" and not _stream(raw):  # neither ASCII text nor a stream; spares most words
-            if raw[0] < 0xC2:
+        for m in pattern.finditer(layer.text):
+            if not any(mark in m[0] for mark in marks):
                 continue
-        first, last = layer.place(m.start(), m.end())
-        for text in _texts(raw):
-            yield Layer(text, first, last)
+            pieces = ONE_BYTE.findall(m[0]) if marks[0] != "%" else re.findall(r"%[0-9A-Fa-f]{2}|.", m[0])
+            at = np.cumsum([0, *map(len, pieces)]).tolist()
+            raw = bytes(map(_byte, pieces))
+            kinds = [raw]
+            if marks[0] == "%" and "+" in m[0]:  # a blank of a form
+                kinds.append(bytes(32 if p == "+" else c for p, c in zip(pieces, raw)))
+            for raw in kinds:
+                for b, e in _streams(raw):
+                    spot = layer.place(m.start() + at[b], m.start() + at[e])
+                    for text in _stream_texts(raw, b):
+                        yield Layer(text, *spot)
 
 
 def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
@@ -207,7 +331,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     found = set(base)
     work: list[Layer] = []
     start = None
-    if "%" in text or "\\" in text or BASE64.search(text):
+    if "%" in text or "\\" in text or BASE64.search(text) or WRAPPED.search(text):
         start = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
         work, seen = [start], {start.key()}
     while work:
@@ -216,12 +340,8 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             for k, s, e in find_base(layer.text):
                 a, b = layer.place(s, e)
                 found.add((a, k, b))
-        more = list(_base64_layers(layer))
-        if "%" in layer.text:
-            more.append(_replaced(layer, PERCENT, _percent))
-        if "\\" in layer.text:
-            more.append(_replaced(layer, ESCAPE, _escape))
-        for new in more:
+        plain = ((_replaced(layer, PERCENT, _percent) if "%" in layer.text else None), (_replaced(layer, ESCAPE, _escape) if "\\" in layer.text else None))
+        for new in chain(_base64_layers(layer), _escaped_layers(layer), plain):
             if new is not None and (key := new.key()) not in seen:
                 seen.add(key)
                 work.append(new)

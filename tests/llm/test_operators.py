@@ -372,6 +372,47 @@ def test_secrets(spark):
     assert (got[1].n_assign, got[1].n_access, got[1].n_hex, got[2].spans, got[4].spans) == (2, 1, 1, "", "")
 
 
+def test_secrets_in_glued_wrapped_and_chained_runs(spark):
+    import bz2
+    import lzma
+    from urllib.parse import quote_from_bytes, quote_plus
+
+    inner = b"password=hunter2hunter2"
+    b64 = base64.b64encode(inner).decode()
+    shortest = base64.b64encode(b"token=abcdefgh").decode()
+    assert len(shortest.rstrip("=")) == 19
+
+    def found(text):
+        return [text[s:e] for s, _, e in secret_scan.scan(text)[1]]
+
+    for text in (f"a {shortest} b", f"a {shortest.rstrip('=')} b", shortest.rstrip("=")):
+        assert found(text) == [shortest if "=" in text else shortest.rstrip("=")]
+    hidden = [b64, base64.b64encode(gzip.compress(inner)).decode(), base64.b64encode(zlib.compress(inner)).decode(), base64.b64encode(lzma.compress(inner)).decode()]
+    for run in hidden:
+        for before in ("https://host.com/p/", "x/", "key-", "data_", "ab/c/"):
+            for behind in ("", "/more", "_x", "-abc"):
+                got = found(f"see {before}{run.rstrip('=')}{behind} end")
+                assert got and any(run.rstrip("=")[4:-4] in g for g in got), (before, run, behind)
+    for run in (base64.b64encode(b"some more words " * 4 + inner + b" and words" * 5).decode(), base64.b64encode(gzip.compress(random.Random(1).randbytes(200) + inner)).decode()):
+        for width in (7, 16, 64):
+            for end in ("\n", "\r\n", "\n  "):
+                assert found("x: " + end.join(run[k : k + width] for k in range(0, len(run), width)) + " y")
+    for pack in (gzip.compress, bz2.compress, lzma.compress):
+        chain = pack(b"first") + pack(b"second") + pack(inner)
+        assert base64.b64encode(chain).decode() in found("see " + base64.b64encode(chain).decode() + " end")
+    noise = random.Random(2).randbytes(5 << 20)
+    assert found(base64.b64encode(gzip.compress(zlib.compress(noise + b" " + inner), 1)).decode())
+    assert found(base64.b64encode(gzip.compress(b". " * (2 << 20) + b" " + inner)).decode())
+    nested = base64.b64encode(gzip.compress(random.Random(3).randbytes(9000) + inner))
+    assert found(base64.b64encode(gzip.compress(b". " * ((2 << 20) - 3000) + nested)).decode())
+    for packed in (zlib.compress(inner), gzip.compress(b"x" + inner)):
+        assert found(f"u={quote_from_bytes(packed)} z") and found(f"u={quote_plus(packed)} z")
+        assert found("b'" + "".join(f"\\x{c:02x}" for c in packed) + "'") and found(repr(packed))
+    assert found(base64.b64encode(b"x^ " + inner).decode())
+    words = "internationalization/of_configuration-management\nsomething\nmore " * 50
+    assert not found(words) and not found("z" * 300_000) and not found("ab\n" * 100_000)
+
+
 # ---------------------------------------------------------------- 9
 
 
