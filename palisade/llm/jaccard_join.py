@@ -57,7 +57,7 @@ def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
     if not found:
         return np.zeros(0, np.int64)
     digest = xxhash.xxh3_64_intdigest
-    if len(found) <= size:
+    if len(found) < size:
         return np.array([digest(" ".join(found))], np.uint64).view(np.int64)
     # five numbers of words, mixed: the words are hashed once each
     own = {w: digest(w) for w in set(found)}
@@ -302,7 +302,12 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             sets = [shingle_set(t, size) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "shingles"])
 
-    sets = texts.mapInArrow(full, "k long, shingles array<long>").join(wanted.select("k", "copies"), "k")
+    nameless = rows.where("doc_id is null").dropDuplicates(["text"])  # for nodes that no id leads to
+
+    def sets_of(some: DataFrame, of: DataFrame) -> DataFrame:
+        return some.mapInArrow(full, "k long, shingles array<long>").join(of.select("k", "copies"), "k")
+
+    sets = sets_of(texts, wanted).unionByName(sets_of(nameless, wanted.where("least is null")))
     work = sets.join(units, sets["k"] == units["node"]).select("unit", "side", "k", "copies", "shingles")
     found = stored(work.repartition("unit").sortWithinPartitions("unit", "side", "k").mapInArrow(lambda b: search_units(b, percent), "a long, b long, links long"), "found")
 

@@ -130,6 +130,18 @@ def test_jaccard_classes(spark, rows, monkeypatch):
             assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), min(reach(i)), len(links[i])), i
 
 
+def test_jaccard_null_ids_and_texts_of_one_shingle(spark):
+    words = [f"w{i}" for i in range(60)]
+    near = " ".join([*words[:-1], "other"])
+    rows = [(1, " ".join(words)), (None, near), (None, near), (None, near + "."), (7, "a a a a a"), (8, "a a a a a a"), (9, "a a a a"), (None, "b b b b b b"), (None, "b b b b b")]
+    sets = [brute_shingles(t) for _, t in rows]
+    links = [sum(j != i and 100 * len(a & b) >= 75 * len(a | b) for j, b in enumerate(sets)) for i, a in enumerate(sets)]
+    got = jaccard_join.jaccard_classes(frame(spark, rows)).collect()
+    heads = [1, 1, 1, 1, 7, 7, 9, None, None]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id, r.n_links) for r in got) == Counter((i, len(s), h, n) for (i, _), s, h, n in zip(rows, sets, heads, links))
+    assert links == [3, 3, 3, 3, 1, 1, 0, 1, 1]
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(50)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in connected_components(edges).collect()}
