@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .functions import scalars as S
 from .operators import host, intel, names, network
 from .operators.findings import check_grammar, with_finding_id
-from .plans import incidents, readiness, views
+from .plans import detectors, incidents, readiness, views
 from .sources import text
 from .streaming import summaries
 
@@ -247,11 +247,13 @@ SELECT process_guid, array_to_string(chain, '>') AS chain, d = 4 AND nxt IS NOT
 # ---------------------------------------------------------------- intel and assets
 
 
+INTEL = intel.IntelParams(max_age_days=20_000, half_life_days=9000.0)
+
+
 def det_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
-    values = intel.observed_values(views.connections(spark, sf_dir), views.dns(spark, sf_dir))
-    p = intel.IntelParams(max_age_days=20_000, half_life_days=9000.0)
-    return intel.score_matches(values, feed, p).select("kind", "value", "indicator", "indicator_kind", "events", "peers", "roles", "age_days", *_r("score"))
+    matched = intel.matched_values(views.connections(spark, sf_dir), views.dns(spark, sf_dir), feed)
+    return intel.score_matches(matched, feed, INTEL).select("kind", "value", "indicator", "indicator_kind", "events", "peers", "roles", "age_days", *_r("score"))
 
 
 def intel_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -450,7 +452,9 @@ SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn),
 def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     turns = views.read(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("id"), "conv_id", "turn", "text")
     cites = F.when(F.col("turn") % 3 == 0, F.array().cast("array<string>")).when(F.col("turn") % 3 == 1, F.array(F.concat_ws(":", "conv_id", F.col("turn") - 1))).otherwise(F.array(F.concat_ws(":", "conv_id", "turn"), F.concat_ws(":", F.col("conv_id"), F.col("turn") + 1000)))
-    return turns.select(F.col("id").alias("claim_id"), "text", cites.alias("cites")).dropDuplicates(["claim_id"]), turns.select("id", "text").dropDuplicates(["id"])
+    # of rows that repeat a turn, the least text
+    one = turns.groupBy("id", "conv_id", "turn").agg(F.min("text").alias("text"))
+    return one.select(F.col("id").alias("claim_id"), "text", cites.alias("cites")), one.select("id", "text")
 
 
 def claims_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -543,12 +547,330 @@ def src_process_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_PROCESS_SQL = f"WITH {W} SELECT host, image, parent_image, process_guid, sha256(process_guid) AS sha256 FROM processes"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts)}
+# ---------------------------------------------------------------- findings of all detectors, evidence, evaluation
+
+
+def _telemetry(spark: SparkSession, sf_dir: str) -> detectors.Telemetry:
+    feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
+    return detectors.Telemetry(views.connections(spark, sf_dir), views.dns(spark, sf_dir), views.ssl(spark, sf_dir), views.alerts(spark, sf_dir), views.processes(spark, sf_dir), feed)
+
+
+ALL = detectors.registry(beacons=network.BeaconParams(min_score=0.05, period=(1.0, 1e9)), fanout=FANOUT, egress=EGRESS, tunnels=TUNNEL, alerts=ALERTS, matches=INTEL, tls=TLS, dga=DGA, hosts=HOST, samples=0)
+
+
+def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the eight detectors claim, through their registry; beaconing on the denser view, domains on the generated names."""
+    from dataclasses import replace
+
+    t = _telemetry(spark, sf_dir)
+    usual, _ = detectors.detect_all(t, [d for d in ALL if d.name != "beaconing"])
+    dense = replace(t, connections=views.connections(spark, sf_dir, dense=True), dns=views.generated_dns(spark, sf_dir), bigrams=names.fit_bigrams(views.words(spark, sf_dir)), ssl=None)
+    other, _ = detectors.detect_all(dense, [d for d in ALL if d.name in ("beaconing", "tls_dga")])
+    return usual.unionByName(other).select("predicate", "subject_type", "subject", "object_type", "object", "severity", "detector", *_r("score"))
+
+
+def _claims_sql(sql: str, predicate: str, subject_type: str, subject: str, object_type: str, obj: str, severity: str, detector: str) -> str:
+    return f"SELECT {predicate} AS predicate, '{subject_type}' AS subject_type, {subject} AS subject, {object_type} AS object_type, {obj} AS object, {severity} AS severity, '{detector}@1' AS detector, round(score, 4) AS score FROM ({sql})"
+
+
+def intel_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The busiest values of each indicator, at most three, with the number of all its values."""
+    t = _telemetry(spark, sf_dir)
+    scored = intel.score_matches(intel.matched_values(t.connections, t.dns, t.indicators), t.indicators, INTEL)
+    return intel.capped_matches(scored, intel.IntelParams(per_indicator=3, top=500)).select("kind", "value", "indicator", "events", "indicator_values", *_r("score"))
+
+
+CAPPED_SQL = f"""
+SELECT kind, value, indicator, events, indicator_values, score FROM (SELECT *, row_number() OVER (PARTITION BY indicator, indicator_kind ORDER BY events DESC, value) AS place, count(*) OVER (PARTITION BY indicator, indicator_kind) AS indicator_values FROM ({INTEL_SQL.replace("round(score, 4) AS score FROM", "score AS raw, round(score, 4) AS score FROM")}))
+WHERE place <= 3 ORDER BY round(raw, 9) DESC, kind, value LIMIT 500
+"""
+
+
+def netblock_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flagged addresses of one /24 that different indicators name."""
+    t = _telemetry(spark, sf_dir)
+    scored = intel.score_matches(intel.matched_values(t.connections, t.dns, t.indicators), t.indicators, INTEL)
+    return intel.shared_netblocks(scored).select("anchor", "other", "network24", *_r("first_seen", "last_seen", "score"))
+
+
+_FLAGGED = f"""
+fs AS (SELECT value, indicator, indicator_kind, first_seen, last_seen FROM ({INTEL_SQL.replace("SELECT kind, value, indicator, indicator_kind,", "SELECT first_seen, last_seen, kind, value, indicator, indicator_kind,")}) WHERE kind = 'ip')
+"""
+NETBLOCK_SQL = f"""
+WITH {_FLAGGED}, n AS (SELECT *, {_ipv4('value')} AS num, {_ipv4('value')} // 256 AS net FROM fs),
+m AS (SELECT *, num = min(num) OVER (PARTITION BY net, indicator, indicator_kind) AS anchor FROM n)
+SELECT a.value AS anchor, b.value AS other, regexp_replace(a.value, '[0-9]+$', '0') AS network24, round(least(a.first_seen, b.first_seen), 4) AS first_seen, round(greatest(a.last_seen, b.last_seen), 4) AS last_seen, 0.5 AS score
+FROM m a JOIN m b ON a.net = b.net AND a.anchor AND (a.indicator, a.indicator_kind) <> (b.indicator, b.indicator_kind) AND (NOT b.anchor OR a.num < b.num)
+"""
+
+
+def match_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of both families against single addresses and networks of several lengths; other spellings on purpose."""
+    o, s = F.col("l_orderkey"), F.col("l_suppkey")
+    line = views.read(spark, sf_dir, "lineitem")
+    hexed = lambda c: F.lower(F.hex(c.cast("long")))
+    six = F.when(o % 3 == 0, F.concat(F.lit("2001:DB8:"), F.upper(hexed(s % 8)), F.lit("::"), hexed(o % 16))).when(o % 3 == 1, F.concat(F.lit("2001:db8:"), hexed(s % 8), F.lit(":0:0:0:0:0:"), hexed(o % 16))).otherwise(F.concat(F.lit("10.8."), s % 8, F.lit("."), o % 16))
+    seen = line.select(six.alias("value")).distinct().select(S.canonical_ipv6(F.col("value")).alias("value"))
+    sup = F.col("s_suppkey")
+    raw = views.read(spark, sf_dir, "supplier").select(
+        F.when(sup % 4 == 0, F.concat(F.lit("2001:db8:"), hexed(sup % 8), F.lit("::/48"))).when(sup % 4 == 1, F.concat(F.lit("2001:0db8:"), hexed(sup % 8), F.lit("::000"), hexed(sup % 16))).when(sup % 4 == 2, F.concat(F.lit("2001:db8:"), hexed(sup % 8), F.lit("::8/125"))).otherwise(F.concat(F.lit("10.8."), sup % 8, F.lit(".0/29"))).alias("value"),
+        F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("date").alias("added"), F.lit("supplier").alias("source_file"), sup.cast("long").alias("source_line"),
+    )
+    return intel.match_addresses(seen, intel.normalised_indicators(raw)).select("value", "indicator", "indicator_kind", "prefix")
+
+
+IPV6_SQL = """
+WITH v AS (SELECT DISTINCT l_orderkey % 3 = 2 AS four, l_suppkey % 8 AS a, l_orderkey % 16 AS b FROM lineitem),
+f AS (SELECT DISTINCT s_suppkey % 4 AS k, s_suppkey % 8 AS a, s_suppkey % 16 AS b FROM supplier),
+h AS (SELECT v.*, f.k, f.a AS fa, f.b AS fb, CASE k WHEN 0 THEN 48 WHEN 1 THEN 128 WHEN 2 THEN 125 ELSE 29 END AS prefix FROM v JOIN f ON v.a = f.a AND CASE k WHEN 0 THEN NOT four WHEN 1 THEN NOT four AND v.b = f.b WHEN 2 THEN NOT four AND v.b BETWEEN 8 AND 15 ELSE four AND v.b < 8 END),
+t AS (SELECT *, CASE WHEN a = 0 THEN '2001:db8::' ELSE '2001:db8:' || printf('%x', a) || '::' END AS head FROM h),
+n AS (SELECT DISTINCT CASE WHEN four THEN '10.8.' || a || '.' || b WHEN b = 0 THEN head ELSE head || printf('%x', b) END AS value, CASE k WHEN 0 THEN head || '/48' WHEN 1 THEN CASE WHEN fb = 0 THEN head ELSE head || printf('%x', fb) END WHEN 2 THEN head || '8/125' ELSE '10.8.' || a || '.0/29' END AS indicator, CASE WHEN k = 1 THEN 'ip' ELSE 'cidr' END AS indicator_kind, prefix FROM t)
+SELECT value, indicator, indicator_kind, CAST(prefix AS INTEGER) AS prefix FROM n QUALIFY row_number() OVER (PARTITION BY value ORDER BY prefix DESC) = 1
+"""
+
+
+def incident_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of egress and intelligence findings: a match joins every incident that names its address, and stands alone only if none does."""
+    t = _telemetry(spark, sf_dir)
+    found = with_finding_id(network.detect_egress(t.connections, EGRESS).unionByName(intel.detect_intel(t.connections, t.dns, t.indicators, INTEL)))
+    return incidents.members(found).groupBy("incident", "predicate").agg(F.count("*").alias("findings"))
+
+
+ATTACHED_SQL = f"""
+WITH e AS ({EGRESS_SQL}), i AS (SELECT kind, value FROM ({INTEL_SQL.replace("round(score, 4) AS score FROM", "score AS raw, round(score, 4) AS score, row_number() OVER (PARTITION BY indicator, indicator_kind ORDER BY events DESC, value) AS place FROM")}) WHERE place <= 10 ORDER BY round(raw, 9) DESC, kind, value LIMIT 200),
+m AS (SELECT DISTINCT e.src_ip, i.value FROM i JOIN e ON i.kind = 'ip' AND e.dst_ip = i.value AND e.src_ip <> i.value)
+SELECT incident, predicate, count(*) AS findings FROM (
+  SELECT 'ip:' || src_ip AS incident, claim AS predicate FROM e UNION ALL SELECT 'ip:' || src_ip, 'matches_threat_intel' FROM m
+  UNION ALL SELECT kind || ':' || value, 'matches_threat_intel' FROM i WHERE (kind || ':' || value) IN (SELECT 'ip:' || src_ip FROM e) OR NOT (kind = 'ip' AND value IN (SELECT value FROM m))) GROUP BY ALL
+"""
+
+
+def hunt_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One look-up for each incident and pivot, with the best score of the findings that ask for it."""
+    _, grouped = incidents.correlate(_findings(spark, sf_dir))
+    return incidents.distinct_pivots(incidents.pivots(grouped)).select("incident", "predicate", "field", "value", "match", "excluded", *_r("score"))
+
+
+PIVOTS_SQL = f"""
+WITH {_ALL_FINDINGS} SELECT 'ip:' || subject AS incident, predicate, CASE predicate WHEN 'scans' THEN 'dst_port' WHEN 'triggered_signature' THEN 'signature' WHEN 'presents_rare_tls_fingerprint' THEN 'ja3' ELSE 'dst' END AS field, lower(object) AS value, 'exact' AS match, subject AS excluded, round(max(score), 4) AS score FROM fi GROUP BY ALL
+"""
+
+
+def incident_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of each incident's findings in reading order."""
+    _, grouped = incidents.correlate(_findings(spark, sf_dir))
+    return incidents.in_reading_order(grouped).select("incident", F.col("place").cast("long").alias("place"), *_r("score"))
+
+
+READING_SQL = f"WITH {_ALL_FINDINGS} SELECT 'ip:' || subject AS incident, row_number() OVER (PARTITION BY subject ORDER BY round(score, 4) DESC) AS place, round(score, 4) AS score FROM fi"
+
+
+def grammar_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims made of the events, most of them wrong in one way, and why each is rejected."""
+    k, kind = F.col("k"), F.col("event_type")
+    e = views._events(spark, sf_dir).where("k is not null")
+    place = F.struct(F.lit("events").alias("source_file"), F.col("event_id").cast("long").alias("source_line"))
+    proof = F.array(F.struct(F.lit("ev").alias("id"), F.lit("row").alias("kind"), F.lit("").alias("summary"), F.lit("{}").alias("payload"), place.alias("artifact"), F.array(place).alias("samples")))
+    rows = e.select(
+        "event_id", F.when(k % 6 == 0, "guesses").when(k % 6 == 1, "matches_threat_intel").otherwise("beacons_to").alias("predicate"), F.when(kind == "error", "user").otherwise("ip").alias("subject_type"), F.col("user_id").cast("string").alias("subject"),
+        F.when(kind == "view", "port").when(kind != "click", "ip").alias("object_type"), F.when(kind != "click", "x").alias("object"), F.when(k % 6 == 2, 1.5).otherwise(0.5).alias("score"), F.when(k % 6 == 3, F.array().cast(proof_type)).otherwise(proof).alias("evidence"),
+    )
+    admitted, rejected = check_grammar(rows)
+    return rejected.groupBy("predicate", "reason").agg(F.count("*").alias("claims")).unionByName(admitted.groupBy("predicate").agg(F.count("*").alias("claims")).withColumn("reason", F.lit("none")))
+
+
+proof_type = "array<struct<id:string,kind:string,summary:string,payload:string,artifact:struct<source_file:string,source_line:bigint>,samples:array<struct<source_file:string,source_line:bigint>>>>"
+REJECTS_SQL = f"""
+WITH {W}, c AS (SELECT CASE k % 6 WHEN 0 THEN 'guesses' WHEN 1 THEN 'matches_threat_intel' ELSE 'beacons_to' END AS predicate, event_type, k % 6 AS m FROM ev WHERE k IS NOT NULL),
+r AS (SELECT predicate, CASE WHEN predicate = 'guesses' THEN 'unknown predicate' WHEN event_type = 'error' THEN 'subject type' WHEN m = 1 AND event_type <> 'click' THEN 'object of a unary predicate' WHEN m > 1 AND event_type = 'click' THEN 'no object'
+  WHEN m > 1 AND event_type = 'view' THEN 'object type' WHEN m = 3 THEN 'no evidence' WHEN m = 2 THEN 'confidence outside 0..1' ELSE 'none' END AS reason FROM c)
+SELECT predicate, reason, count(*) AS claims FROM r GROUP BY ALL
+"""
+
+
+def _labelled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Egress claims as (subject, object, score), and the pairs that are labelled by their addresses' last numbers."""
+    found = network.strongest_claims(network.score_egress(views.connections(spark, sf_dir), EGRESS), EGRESS).select(F.col("src_ip").alias("subject"), F.col("dst_ip").alias("object"), F.round("score", 4).alias("score"), "claim")
+    last = lambda c: F.split_part(c, F.lit("."), F.lit(4)).cast("int")
+    pairs = views.connections(spark, sf_dir).select(F.col("src_ip").alias("subject"), F.col("dst_ip").alias("object")).distinct().where((last(F.col("subject")) + last(F.col("object"))) % 7 == 0)
+    return found, pairs
+
+
+def eval_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A capture's measures against labels: places, pair precision, the best labelled pair."""
+    found, pairs = _labelled(spark, sf_dir)
+    ranked, _ = incidents.correlate(_findings(spark, sf_dir))
+    documented = views.read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.concat(F.lit("10.1."), F.floor(F.col("c_custkey") / 250), F.lit("."), F.col("c_custkey") % 250).alias("subject"))
+    one = incidents.capture_evaluation(ranked, found, pairs, incidents.infected_subjects(documented, pairs), 100.0)
+    return one.select("beacons", "on_labelled", "best_infected_place", "best_beacon_place", *_r("pair_precision", "beacons_per_hour", "best_confidence"))
+
+
+_PAIRS = "pl AS (SELECT DISTINCT src_ip AS subject, dst_ip AS object FROM connections WHERE (CAST(split_part(src_ip, '.', 4) AS INTEGER) + CAST(split_part(dst_ip, '.', 4) AS INTEGER)) % 7 = 0)"
+CAPTURE_SQL = f"""
+WITH {W}, {_PAIRS}, e AS (SELECT src_ip AS subject, dst_ip AS object, score FROM ({EGRESS_SQL})), b AS (SELECT e.*, pl.subject IS NOT NULL AS on_label FROM e LEFT JOIN pl USING (subject, object)),
+q AS (SELECT incident, row_number() OVER (ORDER BY p DESC, sev DESC, incident) AS place FROM (SELECT *, round(confidence * multiplier, 9) AS p FROM ({INCIDENT_SQL.replace("round(confidence, 4) AS confidence, round(multiplier, 4) AS multiplier", "confidence, multiplier, sev")}))),
+k AS (SELECT DISTINCT 'ip:10.1.' || (c_custkey // 250) || '.' || (c_custkey % 250) AS incident FROM customer WHERE c_custkey % 50 = 0 AND '10.1.' || (c_custkey // 250) || '.' || (c_custkey % 250) IN (SELECT subject FROM pl)),
+m AS (SELECT max(score) FILTER (on_label) AS best FROM b)
+SELECT count(*) AS beacons, count(*) FILTER (on_label) AS on_labelled, (SELECT min(place) FROM q JOIN k USING (incident)) AS best_infected_place, (SELECT CASE WHEN best IS NOT NULL THEN (SELECT count(*) FROM b WHERE score > best) + 1 END FROM m) AS best_beacon_place,
+  round(count(*) FILTER (on_label) / count(*), 4) AS pair_precision, round(count(*) / 100.0, 4) AS beacons_per_hour, round((SELECT best FROM m), 4) AS best_confidence FROM b
+"""
+
+
+def eval_by_claim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Precision and recall of each egress claim; the label of a pair is the claim that its addresses ask for."""
+    found, pairs = _labelled(spark, sf_dir)
+    last = F.split_part("object", F.lit("."), F.lit(4)).cast("int")
+    truth = pairs.withColumn("claim", F.when(last % 3 == 0, "exfiltrates_to").when(last % 3 == 1, "transfers_anomalous_volume").otherwise("contacts_rare_destination"))
+    return incidents.truth_match_by(found, truth, ["subject", "object"], "claim").select("claim", "tp", "fp", "fn", *_r("precision", "recall", "f1"))
+
+
+BY_CLAIM_SQL = f"""
+WITH {W}, {_PAIRS}, t AS (SELECT *, CASE CAST(split_part(object, '.', 4) AS INTEGER) % 3 WHEN 0 THEN 'exfiltrates_to' WHEN 1 THEN 'transfers_anomalous_volume' ELSE 'contacts_rare_destination' END AS claim FROM pl), f AS (SELECT DISTINCT claim, src_ip AS subject, dst_ip AS object FROM ({EGRESS_SQL})),
+c AS (SELECT claim, count(*) FILTER (f.subject IS NOT NULL AND t.subject IS NOT NULL) AS tp, count(*) FILTER (t.subject IS NULL) AS fp, count(*) FILTER (f.subject IS NULL) AS fn FROM f FULL JOIN t USING (claim, subject, object) GROUP BY 1)
+SELECT claim, tp, fp, fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(tp + fn, 0), 4) AS recall, round(2 * tp / nullif(2 * tp + fp + fn, 0), 4) AS f1 FROM c
+"""
+
+
+def eval_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Families of generated names that were found, a family being a suffix and a source."""
+    model = names.fit_bigrams(views.words(spark, sf_dir))
+    found = names.score_domains(views.generated_dns(spark, sf_dir), model, DGA).select("src_ip", "suffix", "label")
+    page = F.col("page_id")
+    truth = views.read(spark, sf_dir, "pages").where(page % 2 == 0).select(F.lit("10.4.0.0").alias("src_ip"), F.when(page % 3 == 0, "com").when(page % 3 == 1, "net").otherwise("org").alias("suffix"), F.left(F.md5(page.cast("string").cast("binary")), F.lit(12)).alias("label"), F.concat(F.lit("f"), page % 12).alias("family"))
+    return incidents.family_match(found, truth, ["src_ip", "suffix", "label"]).select("tp", "fp", "fn", *_r("precision", "recall"))
+
+
+FAMILIES_SQL = f"""
+WITH f AS (SELECT DISTINCT src_ip, suffix, label FROM ({DGA_SQL})), t AS (SELECT DISTINCT '10.4.0.0' AS src_ip, CASE page_id % 3 WHEN 0 THEN 'com' WHEN 1 THEN 'net' ELSE 'org' END AS suffix, left(md5(CAST(page_id AS VARCHAR)), 12) AS label, 'f' || (page_id % 12) AS family FROM pages WHERE page_id % 2 = 0),
+c AS (SELECT count(DISTINCT family) AS tp, count(*) FILTER (family IS NULL) AS fp FROM f LEFT JOIN t USING (src_ip, suffix, label)), n AS (SELECT count(DISTINCT family) AS n FROM t)
+SELECT tp, fp, n - tp AS fn, round(tp / nullif(tp + fp, 0), 4) AS precision, round(tp / nullif(n, 0), 4) AS recall FROM c, n
+"""
+
+
+def evidence_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows that stand for each egress claim: the largest, the smallest and three between."""
+    found = network.detect_egress(views.connections(spark, sf_dir), EGRESS, samples=5)
+    return found.select("subject", "object", F.explode(F.col("evidence")[0]["samples"]).alias("s")).select("subject", "object", "s.source_file", "s.source_line")
+
+
+SAMPLES_SQL = f"""
+WITH {W}, e AS (SELECT src_ip, dst_ip FROM ({EGRESS_SQL})), r AS (SELECT '10.1.' || (o_custkey // 250) || '.' || (o_custkey % 250) AS src_ip, '192.168.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) AS dst_ip, CAST(floor(l_extendedprice) AS BIGINT) AS b, epoch(l_shipdate) + l_orderkey % 86400 AS ts, l_orderkey * 10 + l_linenumber AS line FROM ol),
+n AS (SELECT r.*, row_number() OVER (PARTITION BY src_ip, dst_ip ORDER BY b DESC NULLS LAST, ts, line) - 1 AS rn, count(*) OVER (PARTITION BY src_ip, dst_ip) AS n FROM r JOIN e USING (src_ip, dst_ip))
+SELECT src_ip AS subject, dst_ip AS object, 'lineitem' AS source_file, line AS source_line FROM n WHERE list_contains(list_transform(range(0, 5), lambda i: CAST(round_even(i * (n - 1) / 4, 0) AS BIGINT)), rn)
+"""
+
+
+def process_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Up to three command lines of each rare process, the first seen first."""
+    p = views.processes(spark, sf_dir).withColumns({"command_line": F.concat(F.lit("run "), F.col("source_line") % 5), "user": F.lit(None).cast("string")})
+    scored = host.capped(host.score_processes(p, HOST), HOST, "image_name")
+    return host.command_samples(scored, p, ["host", "image_name"]).select("host", "image_name", F.array_join("commands", "|").alias("commands"))
+
+
+COMMANDS_SQL = f"""
+WITH {W}, s AS (SELECT host, image_name FROM ({PROCESS_SQL})), x AS (SELECT host, {_NAME.format(c='image')} AS image_name, 'run ' || (CAST(process_guid AS BIGINT) % 5) AS c, min((ts, CAST(process_guid AS BIGINT))) AS f FROM processes GROUP BY ALL),
+k AS (SELECT s.host, s.image_name, c, row_number() OVER (PARTITION BY s.host, s.image_name ORDER BY f, c) AS place FROM s JOIN x ON s.host = x.host AND s.image_name = x.image_name)
+SELECT host, image_name, string_agg(c, '|' ORDER BY place) AS commands FROM k WHERE place <= 3 GROUP BY ALL
+"""
+
+
+def named_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Egress claims whose destination resolves from one name only speak of the name."""
+    dns = views.dns(spark, sf_dir).withColumn("answers", F.concat(F.lit("192.168.0."), F.col("source_line") % 200))
+    found = intel.name_objects(network.detect_egress(views.connections(spark, sf_dir), EGRESS), intel.observed_names(dns))
+    return found.select("subject", "object_type", "object", *_r("score"))
+
+
+OBJECTS_SQL = f"""
+WITH {W}, n AS (SELECT '192.168.0.' || (page_id % 200) AS dst_ip, min(left(md5(CAST(page_id AS VARCHAR)), 8 + page_id % 20) || '.' || host) AS name FROM pg WHERE host <> '' GROUP BY 1 HAVING count(DISTINCT left(md5(CAST(page_id AS VARCHAR)), 8 + page_id % 20) || '.' || host) = 1)
+SELECT src_ip AS subject, CASE WHEN name IS NULL THEN 'ip' ELSE 'domain' END AS object_type, coalesce(name, dst_ip) AS object, score FROM ({EGRESS_SQL}) LEFT JOIN n USING (dst_ip)
+"""
+
+CLAIMS_SQL = r"""
+WITH c AS (SELECT conv_id || ':' || turn AS id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(text) AS text FROM conversations GROUP BY 1),
+e AS (SELECT id, list_distinct(list_concat(list_concat(regexp_extract_all(lower(text), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), regexp_extract_all(lower(text), '\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b')), list_transform(regexp_extract_all(lower(text), '\bport ([0-9]{1,5})\b', 1), lambda x: 'port ' || x))) AS named FROM c),
+k AS (SELECT c.id, c.turn, CASE c.turn % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS n, CASE c.turn % 3 WHEN 1 THEN c.conv_id || ':' || (c.turn - 1) WHEN 2 THEN c.id END AS a, CASE c.turn % 3 WHEN 2 THEN c.conv_id || ':' || (c.turn + 1000) END AS b FROM c),
+j AS (SELECT k.id, n, CAST(x.id IS NOT NULL AS INTEGER) + CAST(y.id IS NOT NULL AS INTEGER) AS there, e.named, list_concat(coalesce(x.named, []), coalesce(y.named, [])) AS known FROM k JOIN e USING (id) LEFT JOIN e x ON x.id = k.a LEFT JOIN e y ON y.id = k.b),
+m AS (SELECT *, list_sort(list_filter(named, lambda v: NOT list_contains(known, v))) AS missing FROM j)
+SELECT id AS claim_id, CASE WHEN n = 0 THEN 'no_citation' WHEN there < n THEN 'unresolved_citation' WHEN len(missing) > 0 THEN 'ungrounded_entity' ELSE 'grounded' END AS verdict, array_to_string(missing, ',') AS missing FROM m
+"""
+
+# ---------------------------------------------------------------- more sources
+
+
+def src_netflow_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The connections written as labelled flows and parsed again."""
+    c = views.connections(spark, sf_dir).withColumn("sport", 1024 + F.col("source_line") % 1000)
+    stamp = F.date_format(F.timestamp_micros((F.col("ts") * 1_000_000).cast("long")), "yyyy-MM-dd HH:mm:ss.SSS")
+    label = F.when(F.col("dst_port") % 3 == 0, "flow=From-Botnet-V1").when(F.col("dst_port") % 3 == 1, "flow=Normal").otherwise("flow=Background")
+    cols = [stamp, F.lit("0.5"), F.lit("TCP\t"), F.concat_ws(":", "src_ip", "sport"), F.lit("->"), F.concat_ws(":", "dst_ip", "dst_port"), F.lit("PA_"), F.lit("0"), F.lit("4"), F.col("orig_bytes").cast("string"), F.lit("1"), label]
+    parsed = text.parse_netflow(c.select(F.concat_ws("\t", *cols).alias("line"), "source_file", F.lit(None).cast("long").alias("source_line")))
+    return parsed.select("src_ip", "src_port", "dst_ip", "dst_port", "proto", "orig_bytes", "conn_state", "label", F.floor("ts").cast("long").alias("second"))
+
+
+SRC_NETFLOW_SQL = f"""WITH {W} SELECT '10.1.' || (o_custkey // 250) || '.' || (o_custkey % 250) AS src_ip, CAST(1024 + (l_orderkey * 10 + l_linenumber) % 1000 AS INTEGER) AS src_port, '192.168.' || (l_suppkey // 250) || '.' || (l_suppkey % 250) AS dst_ip, 440 + l_linenumber AS dst_port, 'tcp' AS proto, CAST(floor(l_extendedprice) AS BIGINT) AS orig_bytes, 'PA_' AS conn_state,
+CASE (440 + l_linenumber) % 3 WHEN 0 THEN 'botnet' WHEN 1 THEN 'normal' ELSE 'background' END AS label, CAST(floor(epoch(l_shipdate) + l_orderkey % 86400) AS BIGINT) AS second FROM ol"""
+
+
+def src_dns_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The names written in both sensor dialects and as passive DNS, and parsed again."""
+    d = views.dns(spark, sf_dir)
+    page = F.col("source_line")
+    dash = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-"))
+    tsv = d.where(page % 3 == 0).select(F.concat_ws("\t", dash("ts"), dash("src_ip"), dash("query"), dash("qtype"), F.lit("9"), dash("rcode"), F.replace(dash("answers"), F.lit(";"), F.lit(","))).alias("line"), F.lit("dns.log").alias("source_file"), "source_line")
+    head = _header(spark, "ts\tid.orig_h\tquery\tqtype_name\tqtype_name\trcode_name\tanswers", "dns.log")
+    body = F.to_json(F.struct("ts", F.col("src_ip").alias("id.orig_h"), "query", F.col("qtype").alias("qtype_name"), F.lit(1).alias("qtype"), F.col("rcode").alias("rcode_name"), F.split("answers", ";").alias("answers")))
+    lines = tsv.unionByName(head).unionByName(d.where(page % 3 == 1).select(body.alias("line"), F.lit("dns.json.log").alias("source_file"), "source_line"))
+    passive = d.where(page % 3 == 2).select(F.concat_ws("||", F.col("ts").cast("string"), "src_ip", F.lit("8.8.8.8"), F.lit("IN"), F.concat("query", F.lit(".")), "qtype", F.coalesce("answers", F.lit("")), F.lit("60"), F.lit("1")).alias("line"), F.lit("x.passivedns").alias("source_file"), "source_line")
+    return text.parse_dns(lines).unionByName(text.parse_passivedns(passive)).select("src_ip", "query", "qtype", "rcode", F.nullif("answers", F.lit("")).alias("answers"), "source_line", *_r("ts"))
+
+
+SRC_DNS_SQL = f"WITH {W} SELECT src_ip, query, qtype, CASE WHEN CAST(ts / 10 AS BIGINT) % 3 <> 2 THEN rcode END AS rcode, answers, CAST(ts / 10 AS BIGINT) AS source_line, round(CAST(ts AS DOUBLE), 4) AS ts FROM dns"
+
+
+def src_ssl_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The TLS sessions written as sensor log lines and parsed again."""
+    s = views.ssl(spark, sf_dir).withColumn("ok", F.when(F.col("source_line") % 3 == 0, "T").when(F.col("source_line") % 3 == 1, "F").otherwise("-"))
+    part = [F.coalesce(F.col(n).cast("string"), F.lit("-")) for n in ("ts", "src_ip", "dst_ip", "ja3", "ok")]
+    lines = s.select(F.concat_ws("\t", *part).alias("line"), F.lit("ssl.log").alias("source_file"), "source_line")
+    return text.parse_ssl(lines.unionByName(_header(spark, "ts\tid.orig_h\tid.resp_h\tja3\testablished", "ssl.log"))).select("src_ip", "dst_ip", "ja3", "established", "source_line")
+
+
+SRC_SSL_SQL = f"WITH {W} SELECT '10.5.0.' || user_id AS src_ip, '172.16.0.' || (k % 9) AS dst_ip, CASE WHEN event_type = 'signup' THEN NULL WHEN event_type IN ('view', 'click') THEN md5('common') ELSE md5((user_id % 75) || '-' || event_type) END AS ja3, CASE event_id % 3 WHEN 0 THEN true WHEN 1 THEN false END AS established, event_id AS source_line FROM ev"
+
+
+def src_indicator_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The feed written as an indicator file with a header and rejects, and parsed again."""
+    s = views.indicators(spark, sf_dir)
+    k = F.col("source_line")
+    attributes = F.concat_ws(" ", F.when(k % 7 == 0, F.lit("word")).otherwise(F.col("value")), F.when(F.col("added").isNotNull(), F.concat(F.lit("added="), F.col("added").cast("string"))), F.when(k % 2 == 0, F.concat(F.lit("confidence="), F.col("confidence").cast("string"))), F.lit("note=of supplier"))
+    head = spark.range(3).select(F.element_at(F.array(F.lit("# name: feed one"), F.lit("# confidence: 40%"), F.lit("# a remark")), (F.col("id") + 1).cast("int")).alias("line"), F.lit("s.ioc").alias("source_file"), (F.col("id") - 3).alias("source_line"))
+    parsed = text.parse_indicators(head.unionByName(s.select(attributes.alias("line"), F.lit("s.ioc").alias("source_file"), "source_line")))
+    return parsed.select("value", "kind", F.date_format("added", "yyyy-MM-dd").alias("added"), "note", "feed", "source_line", *_r("confidence"))
+
+
+SRC_INDICATOR_SQL = f"WITH {W} SELECT CASE WHEN line % 7 = 0 THEN 'word' ELSE value END AS value, CASE WHEN line % 7 <> 0 THEN kind END AS kind, strftime(added, '%Y-%m-%d') AS added, 'of supplier' AS note, 'feed one' AS feed, line AS source_line, round(CASE WHEN line % 2 = 0 AND confidence IS NOT NULL THEN confidence ELSE 0.4 END, 4) AS confidence FROM indicators"
+
+
+def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The asset register written as a file and parsed again."""
+    a = views.assets(spark, sf_dir)
+    lines = a.select(F.concat_ws(" ", "address", "hostname", F.when(F.col("stated").isNotNull(), F.concat(F.lit("stated="), F.col("stated").cast("string")))).alias("line"), F.lit("a.inv").alias("source_file"), "source_line")
+    head = spark.range(1).select(F.lit("# stated: 2001-02-03").alias("line"), F.lit("a.inv").alias("source_file"), F.lit(-1).cast("long").alias("source_line"))
+    return text.parse_assets(lines.unionByName(head)).select("address", "hostname", F.date_format("stated", "yyyy-MM-dd").alias("stated"), "source_line")
+
+
+SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
+
+
+QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, findings_all, intel_capped, netblock_links, match_ipv6, incident_attached, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
-    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL,
+    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "incident_attached": ATTACHED_SQL,
+    "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
+    "process_commands": COMMANDS_SQL, "named_objects": OBJECTS_SQL, "src_netflow_lines": SRC_NETFLOW_SQL, "src_dns_lines": SRC_DNS_SQL, "src_ssl_lines": SRC_SSL_SQL, "src_indicator_lines": SRC_INDICATOR_SQL, "src_asset_lines": SRC_ASSET_SQL,
 }

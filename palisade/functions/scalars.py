@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -232,11 +231,16 @@ def indicator_kind(value: Column) -> Column:
 
 
 def normal_indicator(value: Column, kind: Column) -> Column:
-    """One spelling for each indicator (IPv6 is spelt out by ``canonical_ipv6`` before)."""
+    """One spelling for each indicator."""
     text = F.trim(value)
-    bits = F.split_part(text, F.lit("/"), F.lit(2))
-    first = ipv4_network(ipv4_number(F.split_part(text, F.lit("/"), F.lit(1))), bits.try_cast("int"))
-    return F.when(kind == "domain", F.lower(F.rtrim(text, F.lit(".")))).when(kind == "file_hash", F.lower(text)).when((kind == "cidr") & first.isNotNull(), F.concat(dotted(first), F.lit("/"), bits)).otherwise(text)
+    host, bits = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
+    first = ipv4_network(ipv4_number(host), bits.try_cast("int"))
+    key = network_key(F.array_join(ipv6_groups(host), ""), bits.try_cast("int"))
+    first6 = _named(key, lambda x: canonical_ipv6(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(x, k * 4 + 1, F.lit(4))), ":")))
+    return (
+        F.when(kind == "domain", F.lower(F.rtrim(text, F.lit(".")))).when(kind == "file_hash", F.lower(text)).when((kind == "cidr") & first.isNotNull(), F.concat(dotted(first), F.lit("/"), bits))
+        .when((kind == "cidr") & F.contains(host, F.lit(":")), F.coalesce(F.concat(first6, F.lit("/"), bits), text)).when(kind == "ip", canonical_ipv6(text)).otherwise(text)
+    )
 
 
 def dotted(number: Column) -> Column:
@@ -246,21 +250,63 @@ def dotted(number: Column) -> Column:
     return F.concat_ws(".", part(1 << 24), part(1 << 16), part(1 << 8), part(1))
 
 
+def _named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)``, where the value is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def ipv6_groups(text: Column) -> Column:
+    """The eight groups of an IPv6 address, as four hexadecimal digits each; NULL if it isn't one. A zone is left out."""
+    none = F.array().cast("array<string>")
+
+    def spelt_out(low: Column) -> Column:
+        tail = F.regexp_extract(low, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)
+        both = _named(ipv4_number(tail), lambda n: F.concat(F.lower(F.hex(F.floor(n / 65536))), F.lit(":"), F.lower(F.hex(F.pmod(n, F.lit(65536))))))
+        return F.when(tail == "", low).otherwise(F.concat(F.left(low, F.length(low) - F.length(tail)), both))
+
+    def filled(halves: Column) -> Column:
+        left, right = (F.when(F.coalesce(F.get(halves, F.lit(k)), F.lit("")) == "", none).otherwise(F.split(F.get(halves, F.lit(k)), ":")) for k in (0, 1))
+        gap = 8 - F.size(left) - F.size(right)
+        return F.when((F.size(halves) == 2) & (gap >= 1), F.concat(left, F.array_repeat(F.lit("0"), gap.cast("int")), right)).when((F.size(halves) == 1) & (gap == 0), left)
+
+    def checked(groups: Column) -> Column:
+        return F.when(F.forall(groups, lambda g: g.rlike("^[0-9a-f]{1,4}$")), F.transform(groups, lambda g: F.lpad(g, 4, "0")))
+
+    low = F.when(text.rlike(IPV6_SHAPE), F.lower(F.split_part(F.trim(text), F.lit("%"), F.lit(1))))
+    return _named(_named(_named(low, spelt_out), lambda plain: F.split(plain, "::")), lambda halves: _named(filled(halves), checked))
+
+
 def canonical_ipv6(text: Column) -> Column:
-    """Compressed spelling of IPv6 addresses, anything else unchanged. Apply it to distinct values: it runs in Python."""
-    @F.pandas_udf("string")
-    def spell(values: pd.Series) -> pd.Series:
-        import ipaddress
+    """The short spelling of an IPv6 address (lower case, the longest run of zeros left out); anything else unchanged."""
+
+    def shortened(spelt: Column) -> Column:
+        short = spelt
+        for k in range(2, 9):  # the longest run is asked for last, so it decides
+            run = rf"^(|.*?:)0(?::0){{{k - 1}}}(|:.*)$"
+            short = F.when(spelt.rlike(run), F.concat(F.regexp_replace(F.regexp_extract(spelt, run, 1), ":$", ""), F.lit("::"), F.regexp_replace(F.regexp_extract(spelt, run, 2), "^:", ""))).otherwise(short)
+        return short
+
+    spelt = F.array_join(F.transform(ipv6_groups(text), lambda g: F.regexp_replace(g, "^0{1,3}", "")), ":")
+    zone = F.regexp_extract(F.trim(text), "(%.*)$", 1)
+    return F.when(F.contains(text, F.lit(":")), F.coalesce(F.concat(_named(spelt, shortened), zone), text)).otherwise(text)
+
 
-        def one(v):
-            try:
-                return str(ipaddress.ip_address(v.strip()))
-            except (ValueError, AttributeError):
-                return v
+def address_key(text: Column) -> Column:
+    """An address as hexadecimal digits, 8 of IPv4 and 32 of IPv6; NULL if it isn't one."""
+    return _named(text, lambda t: F.when(F.contains(t, F.lit(":")), F.array_join(ipv6_groups(t), "")).otherwise(F.lower(F.lpad(F.hex(ipv4_number(t)), 8, "0"))))
 
-        return values.map(one)
 
-    return spell(text)
+def network_key(key: Column, prefix: Column) -> Column:
+    """The key of the first address of the network that has ``prefix`` leading bits."""
+
+    def cut(k: Column, bits: Column) -> Column:
+        whole, rest = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4))
+        digit = F.conv(F.substr(k, whole + 1, F.lit(1)), 16, 10).cast("int")
+        size = F.element_at(F.array(*[F.lit(16 >> n) for n in range(4)]), (rest + 1).cast("int"))
+        last = F.when(rest == 0, "").otherwise(F.lower(F.conv((digit - F.pmod(digit, size)).cast("string"), 10, 16)))
+        return F.when(bits <= F.length(k) * 4, F.rpad(F.concat(F.left(k, whole), last), F.length(k), F.lit("0")))
+
+    return _named(F.struct(key.alias("key"), prefix.alias("bits")), lambda s: cut(s["key"], s["bits"]))
 
 
 # ---------------------------------------------------------------- dates and ids
@@ -270,7 +316,7 @@ def parse_date(text: Column) -> Column:
     """Dates in the forms that feeds use; NULL where none fits."""
     clean = F.trim(F.regexp_replace(F.trim(text), "[Zz]+$", ""))
     forms = ("yyyy-MM-dd", "yyyy/MM/dd", "dd/MM/yyyy", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss")
-    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in forms]).cast("date")
+    return F.coalesce(*[F.try_to_timestamp(clean, F.lit(f)) for f in forms]).cast("date")  # read and cut in one time zone
 
 
 def confidence(text: Column) -> Column:
@@ -285,6 +331,11 @@ def epoch(timestamp: Column) -> Column:
     return F.datediff(F.to_date(timestamp), F.lit("1970-01-01").cast("date")) * 86400.0 + F.hour(timestamp) * 3600 + F.minute(timestamp) * 60 + F.date_part(F.lit("SECOND"), timestamp).cast("double")
 
 
+def utc_date(seconds: Column) -> Column:
+    """The UTC day of seconds since 1970, whatever the session's time zone."""
+    return F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86400).cast("int"))
+
+
 def entity_id(kind: Column, value: Column) -> Column:
     return F.concat(kind, F.lit(":"), F.lower(F.trim(value)))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -54,7 +54,8 @@ def to_findings(scored: DataFrame, predicate: str | Column, subject: Column, obj
     text = F.concat(F.lit("{"), F.array_join(F.array(*entries), ",") if entries else F.lit(""), F.lit("}"))
     cols = set(scored.columns)
     artifact = F.col("artifact") if "artifact" in cols else F.lit(None).cast("struct<source_file:string,source_line:bigint>")
-    evidence = F.array(F.struct(S.content_id("ev", F.lit(kind), text).alias("id"), F.lit(kind).alias("kind"), summary.alias("summary"), text.alias("payload"), F.coalesce(artifact, F.struct(F.lit("<aggregate>").alias("source_file"), F.lit(0).cast("long").alias("source_line"))).alias("artifact")))
+    samples = F.col("samples") if "samples" in cols else F.array().cast("array<struct<source_file:string,source_line:bigint>>")
+    evidence = F.array(F.struct(S.content_id("ev", F.lit(kind), text).alias("id"), F.lit(kind).alias("kind"), summary.alias("summary"), text.alias("payload"), F.coalesce(artifact, F.struct(F.lit("<aggregate>").alias("source_file"), F.lit(0).cast("long").alias("source_line"))).alias("artifact"), samples.alias("samples")))
     return scored.select(
         as_col(predicate).alias("predicate"), as_col(subject_type).alias("subject_type"), subject.cast("string").alias("subject"),
         (as_col(object_type) if object_type is not None else none).alias("object_type"), (obj.cast("string") if obj is not None else none).alias("object"),
@@ -63,6 +64,29 @@ def to_findings(scored: DataFrame, predicate: str | Column, subject: Column, obj
     ).select(*FINDING_COLUMNS)
 
 
+def spread_places(n: Column, k: int) -> Column:
+    """Of the numbers 0..n-1 at most ``k``: the first, the last and evenly between."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(max(1, k) - 1)), lambda i: F.bround(i * (n - 1) / max(1, k - 1)).cast("long")))
+
+
+def with_samples(scored: DataFrame, rows: DataFrame, keys: list[str], k: int = 5, order: tuple = ("ts", "source_file", "source_line")) -> DataFrame:
+    """``scored`` with ``samples``: places of at most ``k`` of each group's rows, spread over their order.
+
+    Only rows of scored groups are numbered, so this comes after the caps.
+    """
+    if k <= 0:
+        return scored.withColumn("samples", F.array().cast("array<struct<source_file:string,source_line:bigint>>"))
+    named = {c: f"_{c}" for c in keys}
+    wanted = scored.select(*[F.col(c).alias(named[c]) for c in keys]).distinct()
+    same = [F.col(c).eqNullSafe(F.col(named[c])) for c in keys]
+    w = Window.partitionBy(*keys)
+    near = rows.join(wanted, same, "left_semi").withColumns({"_rn": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
+    taken = near.where(F.array_contains(spread_places(F.col("_n"), k), F.col("_rn").cast("long")))
+    place = F.struct(F.col("_rn"), F.col("source_file"), F.col("source_line").cast("long").alias("source_line"))
+    lists = taken.groupBy(*[F.col(c).alias(named[c]) for c in keys]).agg(F.transform(F.array_sort(F.collect_list(place)), lambda x: F.struct(x["source_file"].alias("source_file"), x["source_line"].alias("source_line"))).alias("samples"))  # k places each
+    return scored.join(lists, same, "left").drop(*named.values())
+
+
 def with_finding_id(findings: DataFrame) -> DataFrame:
     """``finding_id`` of the claim and its evidence's ids: equal content, equal id."""
     ids = F.array_join(F.array_sort(F.transform("evidence", lambda e: e["id"])), ",")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .findings import to_findings
+from .findings import to_findings, with_samples
 from .network import first_locator
 
 
@@ -123,13 +123,36 @@ def ancestry(processes: DataFrame, levels: int = 4) -> DataFrame:
     return now.select("process_guid", "chain", (F.col("next").isNotNull() & ~F.array_contains("met", F.col("next"))).alias("truncated"))
 
 
-def detect_processes(processes: DataFrame, p: HostParams = HostParams()) -> DataFrame:
+def command_samples(scored: DataFrame, processes: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """``scored`` with ``commands``: at most ``k`` distinct command lines of each group, the first seen first, and ``user``: the first one.
+
+    Each command line is folded to its first time before any is numbered, so a group is never collected.
+    """
+    if "command_line" not in processes.columns:
+        return scored.withColumns({"commands": F.array().cast("array<string>"), "user": F.lit(None).cast("string")})
+    named = processes.withColumns({"image_name": S.image_name(F.col("image")), "parent_name": S.image_name(F.col("parent_image"))})
+    near = named.join(scored.select(*keys).distinct(), keys, "left_semi")
+    lines = near.where("command_line <> ''").groupBy(*keys, "command_line").agg(F.min(F.struct("ts", "source_line")).alias("first"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("first", "command_line"))
+    taken = lines.withColumn("place", place).where(F.col("place") <= k).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "command_line"))), lambda x: x["command_line"]).alias("commands"))  # k lines each
+    users = near.where("user <> ''").groupBy(*keys).agg(F.min_by("user", F.struct("ts", "source_line")).alias("user"))
+    return scored.join(taken, keys, "left").join(users, keys, "left").withColumn("commands", F.coalesce("commands", F.array().cast("array<string>")))
+
+
+def _host_evidence(scored: DataFrame, processes: DataFrame, keys: list[str], samples: int) -> DataFrame:
+    named = processes.withColumns({"image_name": S.image_name(F.col("image")), "parent_name": S.image_name(F.col("parent_image"))})
+    return with_samples(command_samples(scored, processes, keys), named, keys, samples)
+
+
+def detect_processes(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0) -> DataFrame:
+    scored = _host_evidence(capped(score_processes(processes, p), p, "image_name"), processes, ["host", "image_name"], samples)
     names = ("image_prevalence", "path_anomaly", "execution_prevalence")
     summary = F.format_string("%s ran %s, seen on %d hosts", "host", "image_name", "image_hosts")
-    return to_findings(capped(score_processes(processes, p), p, "image_name"), "executes_rare_process", F.col("host"), "process", F.col("image_name"), F.lit("medium"), "host@1", {k: F.col(k) for k in names}, "rare_process", summary, {k: F.col(k) for k in ("executions", "image_hosts")}, subject_type="host")
+    return to_findings(scored, "executes_rare_process", F.col("host"), "process", F.col("image_name"), F.lit("medium"), "host@1", {k: F.col(k) for k in names}, "rare_process", summary, {"executions": F.col("executions"), "image_hosts": F.col("image_hosts"), "user": F.col("user"), "commands": F.array_join("commands", "\n")}, subject_type="host")
 
 
-def detect_lineage(processes: DataFrame, p: HostParams = HostParams()) -> DataFrame:
+def detect_lineage(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0) -> DataFrame:
+    scored = _host_evidence(capped(score_lineage(processes, p), p, "parent_name", "image_name"), processes, ["host", "parent_name", "image_name"], samples)
     names = ("parent_breadth", "child_breadth", "child_surprisal")
     summary = F.format_string("%s started %s on %s", "parent_name", "image_name", "host")
-    return to_findings(capped(score_lineage(processes, p), p, "parent_name", "image_name"), "exhibits_anomalous_lineage", F.col("host"), "process", F.col("image_name"), F.lit("high"), "host@1", {k: F.col(k) for k in names}, "lineage", summary, {k: F.col(k) for k in ("parent_name", "pair_hosts", "pair_executions")}, subject_type="host")
+    return to_findings(scored, "exhibits_anomalous_lineage", F.col("host"), "process", F.col("image_name"), F.lit("high"), "host@1", {k: F.col(k) for k in names}, "lineage", summary, {**{k: F.col(k) for k in ("parent_name", "pair_hosts", "pair_executions", "user")}, "commands": F.array_join("commands", "\n")}, subject_type="host")

@@ -75,7 +75,7 @@ def capture_window(*tables: DataFrame) -> DataFrame:
     for part in parts[1:]:
         union = union.unionByName(part)
     ends = union.agg(F.min("a").alias("window_start"), F.max("b").alias("window_end"))
-    return ends.withColumns({"start_date": F.to_date(F.timestamp_seconds("window_start")), "end_date": F.to_date(F.timestamp_seconds("window_end"))})
+    return ends.withColumns({"start_date": S.utc_date(F.col("window_start")), "end_date": S.utc_date(F.col("window_end"))})
 
 
 def applied_assets(assets: DataFrame, window: DataFrame) -> DataFrame:
@@ -102,7 +102,7 @@ def name_subjects(findings: DataFrame, statements: DataFrame) -> DataFrame:
     joined = findings.join(s, (F.col("subject_type") == "ip") & (F.col("subject") == F.col("_address")), "left")
     found = F.col("_hostname").isNotNull()
     payload = F.to_json(F.struct(F.col("_address").alias("address"), F.col("_hostname").alias("hostname"), F.col("staleness")))
-    link = F.struct(S.content_id("ev", F.lit("asset_inventory"), payload).alias("id"), F.lit("asset_inventory").alias("kind"), F.concat_ws(" ", "_address", F.lit("is"), "_hostname").alias("summary"), payload.alias("payload"), F.struct(F.col("_file").alias("source_file"), F.col("_line").cast("long").alias("source_line")).alias("artifact"))
+    link = F.struct(S.content_id("ev", F.lit("asset_inventory"), payload).alias("id"), F.lit("asset_inventory").alias("kind"), F.concat_ws(" ", "_address", F.lit("is"), "_hostname").alias("summary"), payload.alias("payload"), F.struct(F.col("_file").alias("source_file"), F.col("_line").cast("long").alias("source_line")).alias("artifact"), F.array().cast("array<struct<source_file:string,source_line:bigint>>").alias("samples"))
     kept = [c for c in findings.columns if c not in ("subject", "subject_type", "evidence")]
     return joined.select(*kept, F.when(found, "host").otherwise(F.col("subject_type")).alias("subject_type"), F.when(found, F.col("_hostname")).otherwise(F.col("subject")).alias("subject"), F.when(found, F.concat("evidence", F.array(link))).otherwise(F.col("evidence")).alias("evidence")).select(*findings.columns)
 
@@ -111,17 +111,20 @@ def name_subjects(findings: DataFrame, statements: DataFrame) -> DataFrame:
 
 
 def match_addresses(addresses: DataFrame, indicators: DataFrame, column: str = "value") -> DataFrame:
-    """Distinct IPv4 addresses with the indicator that names them: the address itself, else the longest network.
+    """Distinct addresses, IPv4 or IPv6, with the indicator that names them: the address itself, else the longest network.
 
-    Adds ``indicator, indicator_kind, prefix``. The networks' distinct prefix lengths (33 at most) make the candidates.
+    Adds ``indicator, indicator_kind, prefix``. The networks' distinct prefix lengths (162 at most) make the candidates.
     """
-    nets = indicators.where("kind in ('ip', 'cidr')").withColumns({"_bits": F.when(F.col("kind") == "ip", 32).otherwise(F.split_part("value", F.lit("/"), F.lit(2)).try_cast("int")), "_base": S.ipv4_number(F.split_part("value", F.lit("/"), F.lit(1)))}).where("_base is not null")
-    bits = nets.groupBy().agg(F.collect_set("_bits").alias("lengths"))  # one row of at most 33 numbers
-    seen = addresses.select(column).distinct().withColumn("_number", S.ipv4_number(F.col(column))).where("_number is not null")
-    tried = seen.crossJoin(F.broadcast(bits)).select(column, "_number", F.explode("lengths").alias("_bits"))
-    tried = tried.withColumn("_base", S.ipv4_network(F.col("_number"), F.col("_bits")))
-    hits = tried.join(nets.select("_bits", "_base", F.struct(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind"), F.col("_bits").alias("prefix")).alias("hit"), "kind"), ["_bits", "_base"])
-    return hits.groupBy(column).agg(F.max_by("hit", F.struct("_bits", F.col("kind") == "ip")).alias("hit")).select(column, "hit.*")
+    host, stated = F.split_part("value", F.lit("/"), F.lit(1)), F.split_part("value", F.lit("/"), F.lit(2)).try_cast("int")
+    keyed = indicators.where("kind in ('ip', 'cidr')").select("value", "kind", stated.alias("_stated"), S.address_key(host).alias("_key")).distinct()
+    digits = F.length("_key")
+    nets = keyed.select(digits.alias("_digits"), F.coalesce("_stated", 4 * digits).alias("_bits"), S.network_key(F.col("_key"), F.coalesce("_stated", 4 * digits)).alias("_base"), F.struct(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind"), F.coalesce("_stated", 4 * digits).alias("prefix")).alias("hit"))
+    bits = nets.where("_digits is not null").groupBy("_digits").agg(F.collect_set("_bits").alias("lengths"))  # two rows of at most 33 and 129 numbers
+    seen = addresses.select(column).distinct().select(column, S.address_key(F.col(column)).alias("_key")).distinct().withColumn("_digits", F.length("_key"))
+    tried = seen.join(F.broadcast(bits), "_digits").select(column, "_key", "_digits", F.explode("lengths").alias("_bits"))
+    tried = tried.withColumn("_base", S.network_key(F.col("_key"), F.col("_bits")))
+    hits = tried.join(nets, ["_digits", "_bits", "_base"])
+    return hits.groupBy(column).agg(F.max_by("hit", F.struct("_bits", F.col("hit.indicator_kind") == "ip")).alias("hit")).select(column, "hit.*")
 
 
 def parent_zones(name: Column) -> Column:
@@ -146,35 +149,48 @@ def match_hashes(processes: DataFrame, indicators: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- observed values
 
 
+def sightings(connections: DataFrame, dns: DataFrame) -> DataFrame:
+    """``kind, value, role, peer, ts``: each place of a row where an address or a name stands; a table is scanned once."""
+
+    def place(kind: str, value: Column, role: str, peer: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(role).alias("role"), F.col(peer).alias("peer"))
+
+    ends = connections.select("ts", F.explode(F.array(place("ip", F.col("dst_ip"), "destination", "src_ip"), place("ip", F.col("src_ip"), "source", "dst_ip"))).alias("s"))
+    answers = F.transform(F.filter(F.transform(F.split(F.coalesce("answers", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: S.is_ipv4(a) | a.rlike(S.IPV6_SHAPE)), lambda a: place("ip", S.canonical_ipv6(a), "answer", "src_ip"))
+    named = dns.select("ts", F.explode(F.concat(F.array(place("domain", F.array_join(S.labels(F.col("query")), "."), "query", "src_ip")), answers)).alias("s"))
+    return ends.unionByName(named).select("s.*", "ts").where("value is not null and value <> ''")
+
+
+def folded(rows: DataFrame) -> DataFrame:
+    """(kind, value) of sightings: events add up over roles, peers take the largest role's, roles are kept as a list."""
+    pairs = rows.groupBy("kind", "value", "role", "peer").agg(F.count("*").alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    roles = pairs.groupBy("kind", "value", "role").agg(F.sum("events").alias("events"), F.count("*").alias("peers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
+    return roles.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+
+
 def observed_values(connections: DataFrame, dns: DataFrame) -> DataFrame:
-    """(kind, value): events add up over roles, peers take the largest role's, roles are kept as a list."""
-
-    def role(df: DataFrame, kind: str, value: Column, peer: str, name: str) -> DataFrame:
-        rows = df.select(value.alias("value"), F.col(peer).alias("peer"), "ts").where("value is not null and value <> ''")
-        peers = (F.count_distinct("peer") + F.max(F.col("peer").isNull().cast("int"))).alias("peers")
-        return rows.groupBy("value").agg(F.count("*").alias("events"), peers, F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen")).select(F.lit(kind).alias("kind"), "value", "events", "peers", "first_seen", "last_seen", F.lit(name).alias("role"))
-
-    answers = dns.select("ts", "src_ip", F.explode(F.split("answers", ";")).alias("answer")).withColumn("answer", F.trim("answer")).where("answer <> ''")
-    parts = [
-        role(connections, "ip", F.col("dst_ip"), "src_ip", "destination"),
-        role(connections, "ip", F.col("src_ip"), "dst_ip", "source"),
-        role(dns, "domain", F.array_join(S.labels(F.col("query")), "."), "src_ip", "query"),
-        role(answers.where(S.is_ipv4(F.col("answer"))), "ip", F.col("answer"), "src_ip", "answer"),
-    ]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
-    return union.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    return folded(sightings(connections, dns))
+
+
+def matches(values: DataFrame, indicators: DataFrame) -> DataFrame:
+    """``kind, value, indicator, indicator_kind`` of the distinct ``values (kind, value)`` that a feed names."""
+    ips = match_addresses(values.where("kind = 'ip'"), indicators).select(F.lit("ip").alias("kind"), "value", "indicator", "indicator_kind")
+    names = match_domains(values.where("kind = 'domain'"), indicators).select(F.lit("domain").alias("kind"), "value", "indicator", F.lit("domain").alias("indicator_kind"))
+    return ips.unionByName(names)
+
 
+def matched_values(connections: DataFrame, dns: DataFrame, indicators: DataFrame) -> DataFrame:
+    """Observed values that a feed names. Distinct values are matched first, and only the sightings of those that match are folded."""
+    seen = sightings(connections, dns)
+    hits = matches(seen.select("kind", "value").distinct(), indicators)
+    return folded(seen.join(hits.select("kind", "value"), ["kind", "value"], "left_semi")).join(hits, ["kind", "value"])
 
-def score_matches(values: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    """Observed values that a feed names: declared confidence times age; traffic volume never enters."""
-    ips = match_addresses(values.where("kind = 'ip'"), indicators).select("value", "indicator", "indicator_kind")
-    names = match_domains(values.where("kind = 'domain'"), indicators).select("value", "indicator", F.lit("domain").alias("indicator_kind"))
-    hits = ips.unionByName(names)
+
+def score_matches(matched: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
+    """Values that a feed names: declared confidence times age; traffic volume never enters."""
     feed = indicators.select(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind"), "confidence", "added")
-    joined = values.join(hits, "value").join(feed, ["indicator", "indicator_kind"])
-    age = F.when(F.col("added").isNotNull(), F.greatest(F.datediff(F.to_date(F.timestamp_seconds("first_seen")), F.col("added")), F.lit(0)))
+    joined = matched.join(feed, ["indicator", "indicator_kind"])
+    age = F.when(F.col("added").isNotNull(), F.greatest(F.datediff(S.utc_date(F.col("first_seen")), F.col("added")), F.lit(0)))
     base = F.coalesce("confidence", F.lit(p.unprovenanced))
     scored = joined.withColumn("age_days", age).withColumn("score", F.when(F.col("age_days").isNull(), F.least(base, F.lit(p.undated_cap))).otherwise(S.half_life(base, F.col("age_days"), p.half_life_days)))
     return scored.where((F.col("score") >= p.floor) & (F.col("age_days").isNull() | (F.col("age_days") <= p.max_age_days)))
@@ -184,11 +200,11 @@ def capped_matches(scored: DataFrame, p: IntelParams = IntelParams()) -> DataFra
     """The busiest values of each indicator, with the true number of its values, then the cap over all."""
     w = Window.partitionBy("indicator", "indicator_kind")
     ranked = scored.withColumns({"place": F.row_number().over(w.orderBy(F.desc("events"), "value")), "indicator_values": F.count("*").over(w)})
-    return ranked.where(F.col("place") <= p.per_indicator).drop("place").orderBy(F.desc("score"), "kind", "value").limit(p.top)
+    return ranked.where(F.col("place") <= p.per_indicator).drop("place").orderBy(F.desc(F.bround("score", 9)), "kind", "value").limit(p.top)
 
 
 def detect_intel(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    scored = capped_matches(score_matches(observed_values(connections, dns), indicators, p), p)
+    scored = capped_matches(score_matches(matched_values(connections, dns, indicators), indicators, p), p)
     severity = F.when(F.col("score") >= p.medium_score, "medium").otherwise("low")
     summary = F.format_string("%s matches indicator %s", "value", "indicator")
     return to_findings(scored, "matches_threat_intel", F.col("value"), None, None, severity, "intel@1", {"declared_confidence": F.col("score")}, "indicator_match", summary, {k: F.col(k) for k in ("indicator", "indicator_kind", "confidence", "age_days", "events", "peers", "roles")}, subject_type=F.col("kind"))
@@ -216,20 +232,55 @@ def shared_resolution(dns: DataFrame, flagged: DataFrame, p: IntelParams = Intel
 
 
 def shared_netblocks(flagged: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    """(address, address, /24): flagged addresses of one /24 named by different indicators, one address per indicator."""
-    net = flagged.where("kind = 'ip'").withColumn("network24", S.ipv4_network(S.ipv4_number(F.col("value")), 24)).where("network24 is not null")
-    w = Window.partitionBy("network24", "indicator").orderBy("value")
-    one = net.withColumn("place", F.row_number().over(w)).where("place = 1")
-    # neighbours in the order of the indicators link a block without pairing all of its members
-    order = Window.partitionBy("network24").orderBy("indicator")
-    linked = one.withColumns({"other": F.lead("value").over(order), "other_last": F.lead("last_seen").over(order), "other_first": F.lead("first_seen").over(order)}).where("other is not null")
-    return linked.select(F.col("value").alias("anchor"), "other", S.dotted(F.col("network24")).alias("network24"), F.least("first_seen", "other_first").alias("first_seen"), F.greatest("last_seen", "other_last").alias("last_seen"), F.lit(p.netblock_score).alias("score"))
+    """(address, address, /24): flagged IPv4 addresses of one /24 that different indicators name.
+
+    The lowest address of each indicator is an anchor and is linked with each address of the others, so a block has at most
+    256 times 256 links; a pair of two anchors is linked once, from the lower one.
+    """
+    net = flagged.where("kind = 'ip'").withColumn("number", S.ipv4_number(F.col("value"))).where("number is not null").withColumn("network24", S.ipv4_network(F.col("number"), 24))
+    lowest = Window.partitionBy("network24", "indicator", "indicator_kind")
+    marked = net.withColumn("is_anchor", F.col("number") == F.min("number").over(lowest)).select("network24", "value", "number", F.struct("indicator", "indicator_kind").alias("by"), "first_seen", "last_seen", "is_anchor")
+    a = marked.where("is_anchor").select("network24", F.col("value").alias("anchor"), F.col("number").alias("a_number"), F.col("by").alias("a_by"), F.col("first_seen").alias("a_first"), F.col("last_seen").alias("a_last"))
+    linked = a.join(marked.withColumnRenamed("value", "other"), "network24").where(F.col("a_by") != F.col("by")).where(~F.col("is_anchor") | (F.col("a_number") < F.col("number")))
+    return linked.select("anchor", "other", S.dotted(F.col("network24")).alias("network24"), F.least("a_first", "first_seen").alias("first_seen"), F.greatest("a_last", "last_seen").alias("last_seen"), F.lit(p.netblock_score).alias("score"))
+
+
+def address_anchored(dns: DataFrame, flagged: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
+    """(flagged address, name, breadth): names that resolve to an address which is itself flagged, by another indicator than theirs.
+
+    ``flagged``: (kind, value, indicator). As in ``shared_resolution`` an address of more names than the breadth allows is no link.
+    """
+    answers = dns.select("ts", F.array_join(S.labels(F.col("query")), ".").alias("name"), F.explode(F.split("answers", ";")).alias("answer")).withColumn("answer", S.canonical_ipv6(F.trim("answer"))).where("answer <> '' and name <> ''")
+    own = flagged.where("kind = 'ip'").select(F.col("value").alias("answer"), F.col("indicator").alias("anchor_indicator"))
+    names = answers.join(own, "answer").groupBy("answer", "anchor_indicator", "name").agg(F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    narrow = names.groupBy("answer").agg(F.count("*").alias("breadth")).where(F.col("breadth").between(*p.breadth))
+    marked = names.join(narrow, "answer").join(flagged.where("kind = 'domain'").select(F.col("value").alias("name"), "indicator"), "name", "left")
+    kept = marked.where(F.col("indicator").isNull() | (F.col("indicator") != F.col("anchor_indicator")))
+    return kept.select(F.col("answer").alias("anchor"), F.col("name").alias("other"), "answer", "breadth", "first_seen", "last_seen").withColumn("score", F.least(F.lit(p.resolution_cap), 2 / F.col("breadth")))
+
+
+def name_objects(findings: DataFrame, names: DataFrame) -> DataFrame:
+    """Findings whose object is an address that ``names (address, domain)`` knows speak of the domain. Of several, the first by name."""
+    one = names.groupBy(F.col("address").alias("_address")).agg(F.min(F.lower("domain")).alias("_domain"))
+    joined = findings.join(one, (F.col("object_type") == "ip") & (F.col("object") == F.col("_address")), "left")
+    found = F.col("_domain").isNotNull()
+    kept = [c for c in findings.columns if c not in ("object", "object_type")]
+    return joined.select(*kept, F.when(found, "domain").otherwise(F.col("object_type")).alias("object_type"), F.coalesce("_domain", "object").alias("object")).select(*findings.columns)
+
+
+def observed_names(dns: DataFrame) -> DataFrame:
+    """``address, domain``: the name each answer belongs to, where it is one name only."""
+    answers = dns.select(F.array_join(S.labels(F.col("query")), ".").alias("domain"), F.explode(F.split("answers", ";")).alias("address")).withColumn("address", S.canonical_ipv6(F.trim("address")))
+    known = answers.where((S.is_ipv4(F.col("address")) | F.col("address").rlike(S.IPV6_SHAPE)) & (F.col("domain") != ""))
+    return known.groupBy("address").agg(F.min("domain").alias("domain"), F.max("domain").alias("_last")).where(F.col("domain") == F.col("_last")).drop("_last")
 
 
 def detect_infrastructure(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    matched = score_matches(observed_values(connections, dns), indicators, p)
+    matched = score_matches(matched_values(connections, dns, indicators), indicators, p)
     names = shared_resolution(dns, matched.where("kind = 'domain'"), p)
+    anchored = address_anchored(dns, matched, p)
     blocks = shared_netblocks(matched, p)
     a = to_findings(names.orderBy(F.desc("score"), "anchor", "other").limit(p.top_links), "shares_infrastructure_with", F.col("anchor"), "domain", F.col("other"), F.lit("info"), "intel@1", {"narrowness": F.col("score")}, "shared_resolution", F.format_string("%s and %s resolve to %s", "anchor", "other", "answer"), {"answer": F.col("answer"), "breadth": F.col("breadth")}, subject_type="domain")
+    c = to_findings(anchored.orderBy(F.desc("score"), "anchor", "other").limit(p.top_links), "shares_infrastructure_with", F.col("anchor"), "domain", F.col("other"), F.lit("info"), "intel@1", {"narrowness": F.col("score")}, "shared_resolution", F.format_string("%s resolves to the flagged %s", "other", "anchor"), {"answer": F.col("answer"), "breadth": F.col("breadth")})
     b = to_findings(blocks.orderBy("anchor", "other").limit(p.top_links), "shares_infrastructure_with", F.col("anchor"), "ip", F.col("other"), F.lit("info"), "intel@1", {"netblock": F.col("score")}, "shared_netblock", F.format_string("%s and %s lie in %s/24", "anchor", "other", "network24"), {"network24": F.col("network24")})
-    return a.unionByName(b)
+    return a.unionByName(c).unionByName(b).orderBy(F.desc("score"), "subject", "object").limit(p.top_links)

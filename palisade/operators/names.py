@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .findings import to_findings
+from .findings import to_findings, with_samples
 from .network import first_locator
 
 # ---------------------------------------------------------------- DNS tunnelling
@@ -56,14 +56,16 @@ def score_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame
     }
     scored = tunnel_zones(dns, p).withColumns(parts)
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
-    return scored.orderBy(F.desc("score"), "src_ip", "zone").limit(p.top)
+    return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "zone").limit(p.top)
 
 
-def detect_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
+def detect_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams(), samples: int = 0) -> DataFrame:
+    zoned = dns.withColumn("zone", S.registered_domain(F.col("query")))
+    scored = with_samples(score_tunnels(dns, p), zoned, ["src_ip", "zone"], samples)
     names = ("label_entropy", "subdomain_cardinality", "query_length", "qtype_skew")
     severity = F.when(F.col("score") >= p.critical_score, "critical").otherwise("high")
     summary = F.format_string("%s queried %d names below %s", "src_ip", "distinct_names", "zone")
-    return to_findings(score_tunnels(dns, p), "tunnels_dns_over", F.col("src_ip"), "domain", F.col("zone"), severity, "dns_tunnel@1", {k: F.col(k) for k in names}, "dns_zone", summary, {k: F.col(k) for k in ("queries", "distinct_names", "mean_entropy", "mean_length")})
+    return to_findings(scored, "tunnels_dns_over", F.col("src_ip"), "domain", F.col("zone"), severity, "dns_tunnel@1", {k: F.col(k) for k in names}, "dns_zone", summary, {k: F.col(k) for k in ("queries", "distinct_names", "mean_entropy", "mean_length")})
 
 
 # ---------------------------------------------------------------- bigram model
@@ -146,12 +148,14 @@ def score_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams())
     return best.orderBy(F.desc(F.bround("score", 9)), "src_ip", "suffix", "label").limit(p.top)
 
 
-def detect_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams()) -> DataFrame:
+def detect_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), samples: int = 0) -> DataFrame:
+    named = dns.withColumn("_name", S.registered_domain(F.col("query"))).withColumns({"label": S.first_label(F.col("_name")), "suffix": S.after_first_label(F.col("_name"))})
+    scored = with_samples(score_domains(dns, model, p), named, ["src_ip", "suffix", "label"], samples)
     names = ("nxdomain_rate", "bigram_improbability", "structure")
     severity = F.when(F.col("score") >= p.high_score, "high").otherwise("medium")
     name = F.concat_ws(".", "label", "suffix")
     summary = F.format_string("%s looked up %d labels below %s", "src_ip", "labels", "suffix")
-    return to_findings(score_domains(dns, model, p), "resolves_algorithmic_domain", F.col("src_ip"), "domain", name, severity, "dga@1", {k: F.col(k) for k in names}, "domain_family", summary, {k: F.col(k) for k in ("labels", "family_queries", "resolved")})
+    return to_findings(scored, "resolves_algorithmic_domain", F.col("src_ip"), "domain", name, severity, "dga@1", {k: F.col(k) for k in names}, "domain_family", summary, {k: F.col(k) for k in ("labels", "family_queries", "resolved")})
 
 
 # ---------------------------------------------------------------- TLS fingerprints
@@ -179,9 +183,10 @@ def score_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
     parts = {"fingerprint_rarity": S.rarity(F.col("hosts")), "estate_support": S.saturating(F.col("estate"), p.estate_scale)}
     scored = joined.withColumns(parts)
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
-    return scored.orderBy(F.desc("score"), "src_ip", "ja3").limit(p.top)
+    return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "ja3").limit(p.top)
 
 
-def detect_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
+def detect_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams(), samples: int = 0) -> DataFrame:
+    scored = with_samples(score_fingerprints(ssl, p), ssl, ["src_ip", "ja3"], samples)
     summary = F.format_string("%s presented a client fingerprint of %d hosts", "src_ip", "hosts")
-    return to_findings(score_fingerprints(ssl, p), "presents_rare_tls_fingerprint", F.col("src_ip"), "tls_fingerprint", F.col("ja3"), F.lit("medium"), "tls@1", {k: F.col(k) for k in ("fingerprint_rarity", "estate_support")}, "tls_client", summary, {k: F.col(k) for k in ("sessions", "servers", "hosts", "estate")})
+    return to_findings(scored, "presents_rare_tls_fingerprint", F.col("src_ip"), "tls_fingerprint", F.col("ja3"), F.lit("medium"), "tls@1", {k: F.col(k) for k in ("fingerprint_rarity", "estate_support")}, "tls_client", summary, {k: F.col(k) for k in ("sessions", "servers", "hosts", "estate")})

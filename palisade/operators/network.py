@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from .findings import to_findings
+from .findings import to_findings, with_samples
 
 _LOCATOR = F.struct
 
@@ -56,11 +56,11 @@ def fanout_summary(connections: DataFrame, p: FanoutParams = FanoutParams()) ->
 def score_fanouts(connections: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
     score, parts = score_fanout(F.col("destinations"), F.col("flows"), p)
     scored = fanout_summary(connections, p).withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
-    return scored.orderBy(F.desc("score"), "src_ip", "dst_port").limit(p.top)
+    return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "dst_port").limit(p.top)
 
 
-def detect_fanout(connections: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
-    scored = score_fanouts(connections, p)
+def detect_fanout(connections: DataFrame, p: FanoutParams = FanoutParams(), samples: int = 0) -> DataFrame:
+    scored = with_samples(score_fanouts(connections, p), connections, ["src_ip", "dst_port"], samples)
     severity = F.when(F.col("score") >= p.high_score, "high").otherwise("medium")
     summary = F.format_string("%s contacted %d destinations on port %d", "src_ip", "destinations", "dst_port")
     return to_findings(scored, "scans", F.col("src_ip"), "port", F.col("dst_port"), severity, "fanout@1", {k: F.col(k) for k in ("breadth", "non_revisiting")}, "fanout", summary, {"destinations": F.col("destinations"), "flows": F.col("flows")})
@@ -100,13 +100,14 @@ def score_alerts(alerts: DataFrame, p: AlertParams = AlertParams()) -> DataFrame
     }
     scored = joined.where(F.col("alerts") >= p.min_alerts).withColumns(parts)
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
-    return scored.orderBy(F.desc("score"), F.desc("alerts"), "src_ip", "signature").limit(p.top)
+    return scored.orderBy(F.desc(F.bround("score", 9)), F.desc("alerts"), "src_ip", "signature").limit(p.top)
 
 
-def detect_alerts(alerts: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
+def detect_alerts(alerts: DataFrame, p: AlertParams = AlertParams(), samples: int = 0) -> DataFrame:
+    scored = with_samples(score_alerts(alerts, p), alerts, ["src_ip", "signature"], samples)
     severity = F.when(F.col("score") >= p.medium_score, "medium").otherwise("low")
     summary = F.format_string("%d alerts of %s from %s", "alerts", "signature", "src_ip")
-    return to_findings(score_alerts(alerts, p), "triggered_signature", F.col("src_ip"), "signature", F.col("signature"), severity, "alerts@1", {k: F.col(k) for k in ("signature_rarity", "stated_severity", "category_weight")}, "alert_cluster", summary, {k: F.col(k) for k in ("alerts", "hosts", "targets", "category", "signature_id")})
+    return to_findings(scored, "triggered_signature", F.col("src_ip"), "signature", F.col("signature"), severity, "alerts@1", {k: F.col(k) for k in ("signature_rarity", "stated_severity", "category_weight")}, "alert_cluster", summary, {k: F.col(k) for k in ("alerts", "hosts", "targets", "category", "signature_id")})
 
 
 # ---------------------------------------------------------------- egress
@@ -145,12 +146,19 @@ def egress_summary(connections: DataFrame) -> DataFrame:
 
 def score_egress(connections: DataFrame, p: EgressParams = EgressParams()) -> DataFrame:
     """Every pair with enough bytes: components, score and the strongest claim they support, before the caps."""
-    pairs = egress_summary(connections)
-    spread = pairs.groupBy("dst_ip").agg(F.count("*").alias("hosts"))
-    center = pairs.groupBy("src_ip").agg(F.count("*").alias("peers"), F.median("bytes_out").alias("median_out"), F.min("first_seen").alias("host_first"), F.max("last_seen").alias("host_last"))
-    with_center = pairs.join(center, "src_ip")
-    spread_out = with_center.groupBy("src_ip").agg(F.median(F.abs(F.col("bytes_out") - F.col("median_out"))).alias("mad_out"))
-    joined = with_center.join(spread, "dst_ip", "left").join(spread_out, "src_ip")
+    of_src, of_dst = Window.partitionBy("src_ip"), Window.partitionBy("dst_ip")
+    n = F.count("*").over(of_src)
+
+    def middle(value: str) -> Column:
+        """The median by place, so that no source's values are held in memory."""
+        place, size = F.row_number().over(of_src.orderBy(value)), F.col("peers")
+        return F.when((place == F.floor((size + 1) / 2)) | (place == F.ceil((size + 1) / 2)), F.col(value))
+
+    # one shuffle by source for centre and spread, one by destination
+    pairs = egress_summary(connections).withColumns({"peers": n, "host_first": F.min("first_seen").over(of_src), "host_last": F.max("last_seen").over(of_src)})
+    pairs = pairs.withColumn("middle", middle("bytes_out")).withColumn("median_out", F.avg("middle").over(of_src)).withColumn("off", F.abs(F.col("bytes_out") - F.col("median_out")))
+    pairs = pairs.withColumn("middle", middle("off")).withColumn("mad_out", F.avg("middle").over(of_src)).drop("middle", "off")
+    joined = pairs.withColumn("hosts", F.count("*").over(of_dst))
     coverage = F.col("both_flows") / F.col("flows")
     ratio = F.col("both_out") / F.nullif(F.col("both_out") + F.col("both_in"), F.lit(0))
     z = F.when(F.col("peers") >= p.min_peers, S.robust_deviation(F.col("bytes_out"), F.col("median_out"), F.col("mad_out"), F.col("peers")))
@@ -176,15 +184,17 @@ def strongest_claims(scored: DataFrame, p: EgressParams = EgressParams()) -> Dat
     """Each source's strongest band only, then the caps: ``top`` claims, ``top_rare`` of the weakest band."""
     band = S.mapped(F.col("claim"), {"exfiltrates_to": 3, "transfers_anomalous_volume": 2, "contacts_rare_destination": 1})
     ranked = scored.withColumn("band", band).withColumn("best", F.max("band").over(Window.partitionBy("src_ip"))).where("band = best").drop("best")
-    order = [F.desc("band"), F.desc("score"), F.asc("src_ip"), F.asc("dst_ip")]
+    order = [F.desc("band"), F.desc(F.bround("score", 9)), F.asc("src_ip"), F.asc("dst_ip")]
     return ranked.where("band > 1").orderBy(*order).limit(p.top).unionByName(ranked.where("band = 1").orderBy(*order).limit(p.top_rare))
 
 
-def detect_egress(connections: DataFrame, p: EgressParams = EgressParams()) -> DataFrame:
+def detect_egress(connections: DataFrame, p: EgressParams = EgressParams(), samples: int = 0) -> DataFrame:
+    largest = (F.desc_nulls_last("orig_bytes"), "ts", "source_file", "source_line")
+    scored = with_samples(strongest_claims(score_egress(connections, p), p), connections, ["src_ip", "dst_ip"], samples, largest)
     severity = S.mapped(F.col("claim"), {"exfiltrates_to": "critical", "transfers_anomalous_volume": "medium", "contacts_rare_destination": "low"})
     names = ("egress_ratio", "volume_deviation", "destination_rarity", "novelty")
     summary = F.format_string("%s sent %d bytes to %s", "src_ip", "bytes_out", "dst_ip")
-    return to_findings(strongest_claims(score_egress(connections, p), p), F.col("claim"), F.col("src_ip"), "ip", F.col("dst_ip"), severity, "egress@1", {k: F.col(k) for k in names}, "transfer", summary, {k: F.col(k) for k in ("bytes_out", "flows", "hosts", "peers", *names)})
+    return to_findings(scored, F.col("claim"), F.col("src_ip"), "ip", F.col("dst_ip"), severity, "egress@1", {k: F.col(k) for k in names}, "transfer", summary, {k: F.col(k) for k in ("bytes_out", "flows", "hosts", "peers", *names)})
 
 
 # ---------------------------------------------------------------- beaconing
@@ -323,10 +333,11 @@ def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> D
         "destination_rarity": S.rarity(F.col("hosts")),
     })
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(BEACON_PARTS, p.weights)]))
-    return scored.where(F.col("score") >= p.min_score).orderBy(F.desc("score"), *PAIR).limit(p.top)
+    return scored.where(F.col("score") >= p.min_score).orderBy(F.desc(F.bround("score", 9)), *PAIR).limit(p.top)
 
 
-def detect_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> DataFrame:
+def detect_beacons(connections: DataFrame, p: BeaconParams = BeaconParams(), samples: int = 0) -> DataFrame:
     severity = F.when(F.col("score") >= p.critical_score, "critical").otherwise("high")
     summary = F.format_string("%s contacts %s every %.1f s", "src_ip", "dst_ip", "gap_median")
-    return to_findings(score_beacons(connections, p), "beacons_to", F.col("src_ip"), "ip", F.col("dst_ip"), severity, "beaconing@1", {k: F.col(k) for k in BEACON_PARTS}, "beacon", summary, {**{k: F.col(k) for k in ("checkins", "gap_median", "hosts", "dst_port")}, **{k: F.col(k) for k in BEACON_PARTS}})
+    scored = with_samples(score_beacons(connections, p), connections, PAIR, samples)
+    return to_findings(scored, "beacons_to", F.col("src_ip"), "ip", F.col("dst_ip"), severity, "beaconing@1", {k: F.col(k) for k in BEACON_PARTS}, "beacon", summary, {**{k: F.col(k) for k in ("checkins", "gap_median", "hosts", "dst_port")}, **{k: F.col(k) for k in BEACON_PARTS}})

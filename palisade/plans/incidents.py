@@ -102,8 +102,8 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
     pairs = pairs.withColumns({"separation": F.col("later.first_seen") - F.col("first_seen"), "floor": floor, "clocks": F.array_join(joint, ",")})
     other = S.entity_id(F.col("node_type"), F.col("node")) != S.entity_id(F.col("later.node_type"), F.col("later.node"))
     kept = pairs.where(other & (F.col("separation") >= F.col("floor"))).withColumn("last_seen", F.col("later.first_seen")).withColumn("score", F.least("score", F.col("later.score")))
-    summary = F.format_string("%s first observed %.1f s before %s", F.col("predicate"), F.col("separation"), F.col("later.predicate"))
-    payload = {"earlier_finding": F.col("finding_id"), "later_finding": F.col("later.finding_id"), "separation_seconds": F.bround("separation", 1), "floor": F.col("floor"), "sources": F.col("clocks")}
+    summary = F.format_string("%s began, and %s followed after %.1f s", F.col("predicate"), F.col("later.predicate"), F.col("separation"))
+    payload = {"from": F.col("finding_id"), "to": F.col("later.finding_id"), "gap": F.bround("separation", 1), "floor": F.col("floor"), "clocks": F.col("clocks")}
     found = to_findings(kept.withColumn("_predicate", F.col("predicate")), "precedes", F.col("node"), F.col("later.node_type"), F.col("later.node"), F.lit("info"), "correlator@1", {"weaker": F.col("score")}, "temporal_order", summary, payload, subject_type=F.col("node_type"))
     return found
 
@@ -132,6 +132,11 @@ def incident_evidence(grouped: DataFrame) -> DataFrame:
     return rows.dropDuplicates(["incident", "evidence_id"])
 
 
+def verified_claims(claims: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """``incident, claim_id, text`` of the ``claims (claim_id, incident, text, ...)`` that ``check_claims`` found grounded."""
+    return claims.join(verdicts.where("verdict = 'grounded'").select("claim_id"), "claim_id", "left_semi").select("incident", "claim_id", "text")
+
+
 def in_reading_order(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) -> DataFrame:
     """Findings with their ``place`` in the incident: measured ones by confidence, then derived ones by time, then by id."""
     derived = F.col("predicate").isin(*p.derived)
@@ -184,15 +189,17 @@ def distinct_pivots(p: DataFrame) -> DataFrame:
 
 
 def history(connections: DataFrame | None = None, dns: DataFrame | None = None, ssl: DataFrame | None = None, alerts: DataFrame | None = None, processes: DataFrame | None = None) -> DataFrame:
-    """``field, key, subject, ts``: one row per way in which a history row can be found.
+    """``field, key, depth, subject, events, first_seen, last_seen``: how often each subject can be found by each key.
 
-    A name is found below each of its parent zones, an image by its base name, so suffix look-ups are equi-joins.
+    A name is found below each of its parent zones, an image by its base name, so suffix look-ups are equi-joins. Counts add up
+    and times combine, so history is folded before it meets a pivot, and a summary can be kept and added to.
     """
     from ..operators.intel import parent_zones
 
     parts = []
     if connections is not None:
-        parts += [connections.select(F.lit("dst").alias("field"), F.lower("dst_ip").alias("key"), F.lit(0).alias("depth"), F.col("src_ip").alias("subject"), "ts"), connections.select(F.lit("dst_port"), F.col("dst_port").cast("string"), F.lit(0), F.col("src_ip"), "ts")]
+        both = F.array(F.struct(F.lit("dst").alias("field"), F.lower("dst_ip").alias("key")), F.struct(F.lit("dst_port").alias("field"), F.col("dst_port").cast("string").alias("key")))
+        parts.append(connections.select("src_ip", "ts", F.explode(both).alias("f")).select("f.field", "f.key", F.lit(0), "src_ip", "ts"))
     if dns is not None:
         parts.append(dns.select("src_ip", "ts", F.explode(parent_zones(F.col("query"))).alias("z")).select(F.lit("domain"), F.col("z.zone"), F.col("z.depth"), F.col("src_ip"), "ts"))
     if ssl is not None:
@@ -204,14 +211,15 @@ def history(connections: DataFrame | None = None, dns: DataFrame | None = None,
     out = parts[0].toDF("field", "key", "depth", "subject", "ts")
     for part in parts[1:]:
         out = out.unionByName(part.toDF("field", "key", "depth", "subject", "ts"))
-    return out.where("key is not null and key <> '' and subject is not null")
+    known = out.where("key is not null and key <> '' and subject is not null")
+    return known.groupBy("field", "key", "depth", "subject").agg(F.count("*").alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
 def hunt(p: DataFrame, rows: DataFrame) -> DataFrame:
     """Per finding and other subject: events, first and last time."""
     on = (p["field"] == rows["field"]) & (p["value"] == rows["key"]) & ((p["match"] == "suffix") | (rows["depth"] == 0))
     hits = p.join(rows, on).where(F.col("excluded").isNull() | (F.lower("excluded") != F.lower(rows["subject"])))
-    return hits.groupBy("finding_id", rows["subject"]).agg(F.count("*").alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return hits.groupBy("finding_id", rows["subject"]).agg(F.sum("events").alias("events"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 # ---------------------------------------------------------------- evaluation
@@ -227,25 +235,71 @@ def truth_match(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFram
     return counts.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
 
 
+def truth_match_by(found: DataFrame, truth: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """``truth_match`` for each value of ``by`` (a predicate, a family), which both sides have."""
+    a = found.select(by, *keys).distinct().withColumn("_found", F.lit(1))
+    b = truth.select(by, *keys).distinct().withColumn("_true", F.lit(1))
+    both = a.join(b, [by, *keys], "full_outer").groupBy(by)
+    counts = both.agg(F.count_if(F.col("_found").isNotNull() & F.col("_true").isNotNull()).alias("tp"), F.count_if(F.col("_true").isNull()).alias("fp"), F.count_if(F.col("_found").isNull()).alias("fn"))
+    precision, recall = F.try_divide("tp", F.col("tp") + F.col("fp")), F.try_divide("tp", F.col("tp") + F.col("fn"))
+    return counts.withColumns({"precision": precision, "recall": recall, "f1": F.try_divide(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn"))})
+
+
+def family_match(found: DataFrame, truth: DataFrame, keys: list[str], family: str = "family") -> DataFrame:
+    """One row: families of which any member was found, found keys of no family, families of which none was.
+
+    A family counts once, however many of its members are named. ``truth`` has ``keys`` and the family of each.
+    """
+    of_key = truth.select(*keys, family).distinct()
+    hit = found.select(*keys).distinct().join(of_key, keys, "left")
+    named = hit.agg(F.count_distinct(family).alias("tp"), F.count_if(F.col(family).isNull()).alias("fp"))
+    one = named.crossJoin(F.broadcast(of_key.agg(F.count_distinct(family).alias("families")))).withColumn("fn", F.col("families") - F.col("tp"))  # one row each
+    return one.withColumns({"precision": F.try_divide("tp", F.col("tp") + F.col("fp")), "recall": F.try_divide("tp", "families")}).drop("families")
+
+
+def infected_subjects(documented: DataFrame | None, labelled: DataFrame) -> DataFrame:
+    """Subjects that count as infected: documented ones that a label confirms; without documentation, all labelled ones."""
+    sources = labelled.select("subject").distinct()
+    return sources if documented is None else sources.join(documented.select("subject").distinct(), "subject", "left_semi")
+
+
+def labelled_beacon_place(beacons: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row: confidence of the strongest of ``beacons (subject, object, score)`` on a labelled pair, its place among all.
+
+    The place is one more than the number of stronger beacons, so nothing is sorted.
+    """
+    labelled = pairs.select("subject", "object").distinct()
+    best = beacons.join(labelled, ["subject", "object"], "left_semi").agg(F.max("score").alias("best_confidence"))
+    ahead = beacons.join(F.broadcast(best), beacons["score"] > best["best_confidence"]).agg(F.count("*").alias("ahead"))  # one row
+    return best.crossJoin(F.broadcast(ahead)).select("best_confidence", F.when(F.col("best_confidence").isNotNull(), F.col("ahead") + 1).alias("best_beacon_place"))
+
+
 def capture_evaluation(incidents: DataFrame, beacons: DataFrame, pairs: DataFrame, infected: DataFrame, hours: float) -> DataFrame:
-    """One row: best place of an infected subject, precision of beacon pairs, best confidence on a labelled pair, findings an hour.
+    """One row: best place of an infected subject, precision of beacon pairs, the best beacon on a labelled pair, beacons an hour.
 
     ``beacons (subject, object, score)`` against labelled ``pairs (subject, object)``; labels are joined only here.
     """
     best = subject_ranks(incidents, infected).agg(F.min("place").alias("best_infected_place"))
     labelled = pairs.select("subject", "object").distinct().withColumn("labelled", F.lit(True))
-    one = beacons.join(labelled, ["subject", "object"], "left").agg(F.count("*").alias("beacons"), F.count("labelled").alias("on_labelled"), F.max(F.when(F.col("labelled"), F.col("score"))).alias("best_confidence"))
-    one = one.withColumns({"pair_precision": F.try_divide("on_labelled", "beacons"), "beacons_per_hour": F.col("beacons") / hours})
-    return one.crossJoin(F.broadcast(best))  # one row each
+    one = beacons.join(labelled, ["subject", "object"], "left").agg(F.count("*").alias("beacons"), F.count("labelled").alias("on_labelled"))
+    one = one.withColumns({"pair_precision": F.coalesce(F.try_divide("on_labelled", "beacons"), F.lit(1.0)), "beacons_per_hour": F.col("beacons") / hours})
+    return one.crossJoin(F.broadcast(best)).crossJoin(F.broadcast(labelled_beacon_place(beacons, pairs)))  # one row each
 
 
 def subject_ranks(incidents: DataFrame, subjects: DataFrame) -> DataFrame:
-    """The place in the queue of each labelled subject: how many incidents come before it. No global sort."""
-    want = incidents.join(subjects.select(S.entity_id(F.lit("ip"), F.col("subject")).alias("incident")).distinct(), "incident", "left_semi").select(F.col("incident").alias("subject"), F.bround("priority", 9).alias("p"), F.col("severity_rank").alias("s"))
-    all_rows = incidents.select(F.col("incident").alias("i"), F.bround("priority", 9).alias("q"), F.col("severity_rank").alias("t"))
-    ahead = all_rows.join(want, (F.col("q") > F.col("p")) | ((F.col("q") == F.col("p")) & (F.col("t") > F.col("s"))) | ((F.col("q") == F.col("p")) & (F.col("t") == F.col("s")) & (F.col("i") < F.col("subject"))))
-    counts = ahead.groupBy("subject").agg(F.count("*").alias("ahead"))
-    return want.join(counts, "subject", "left").select("subject", (F.coalesce("ahead", F.lit(0)) + 1).alias("place"))
+    """The place in the queue of each labelled subject.
+
+    Incidents are counted by thousandths of priority, of which there are few; only within the cells of the labelled subjects
+    they are put in order. No global sort, and no pairs.
+    """
+    placed = incidents.select("incident", "severity_rank", "priority", F.floor(F.bround("priority", 9) * 1000).alias("cell_p"))
+    want = placed.join(subjects.select(S.entity_id(F.lit("ip"), F.col("subject")).alias("incident")).distinct(), "incident", "left_semi")
+    cells = placed.groupBy("cell_p").agg(F.count("*").alias("n"))
+    before = cells.select("cell_p", F.coalesce(F.sum("n").over(Window.orderBy(F.desc("cell_p")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # some thousands of rows
+    near = placed.join(want.select("cell_p").distinct(), "cell_p", "left_semi")
+    w = Window.partitionBy("cell_p").orderBy(*queue_order())
+    ordered = near.withColumn("within", F.row_number().over(w)).join(want.select("incident"), "incident", "left_semi").join(before, "cell_p")
+    return ordered.select(F.col("incident").alias("subject"), (F.col("before") + F.col("within")).alias("place"))
 
 
 # ---------------------------------------------------------------- claims
@@ -278,3 +332,23 @@ def context_pack(rows: DataFrame, budget: int, group: str = "incident", cost: st
     """The prefix of each group, in order, whose running cost stays within the budget."""
     w = Window.partitionBy(group).orderBy(*(order or [F.desc("score"), F.asc("finding_id")])).rowsBetween(Window.unboundedPreceding, 0)
     return rows.withColumn("running_cost", F.sum(cost).over(w)).where(F.col("running_cost") <= budget)
+
+
+def briefs(grouped: DataFrame, budget: int, most: int = 12, p: CorrelationParams = CorrelationParams()) -> DataFrame:
+    """``incident, part, place, finding_id, text, cost``: what fits a budget of each incident, in reading order.
+
+    First the findings' own lines (``part`` 0), at most ``most``, up to the first that doesn't fit; then, with what is left, the
+    evidence lines of these findings (``part`` 1), up to the first that doesn't fit. A finding is never left out for the sake of
+    a measurement. A line costs a fourth of its characters.
+    """
+    read = in_reading_order(grouped, p).where(F.col("place") <= most)
+    line = F.format_string("%s: %s %s %s (%s)", F.col("finding_id"), F.col("subject"), F.col("predicate"), F.coalesce("object", F.lit("-")), F.format_number("score", 2))
+    cost = F.ceil(F.length("text") / 4).cast("long")
+    w = Window.partitionBy("incident").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    heads = read.select("incident", "place", "finding_id", line.alias("text"), "evidence").withColumn("cost", cost)
+    heads = heads.withColumn("running", F.sum("cost").over(w)).where(F.col("running") <= budget)
+    lines = F.array_join(F.transform("evidence", lambda e: F.concat_ws(" ", e["kind"], F.get_json_object(e["payload"], "$"))), "\n")
+    detail = heads.withColumn("spent", F.max("running").over(Window.partitionBy("incident"))).select("incident", "place", "finding_id", lines.alias("text"), "spent").withColumn("cost", cost)
+    detail = detail.withColumn("running", F.col("spent") + F.sum("cost").over(w)).where(F.col("running") <= budget)
+    kept = ["incident", "part", "place", "finding_id", "text", "cost"]
+    return heads.withColumn("part", F.lit(0)).select(*kept).unionByName(detail.withColumn("part", F.lit(1)).select(*kept))

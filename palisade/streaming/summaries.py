@@ -11,7 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 
+from ..functions import scalars as S
 from ..schema import with_event_time
 
 
@@ -56,23 +58,63 @@ def first_alerts(alerts: DataFrame, late: str = "1 hour") -> DataFrame:
     return with_event_time(alerts).withWatermark("event_time", late).dropDuplicatesWithinWatermark(["src_ip", "signature"])
 
 
-def novel_destinations(connections: DataFrame, late: str = "10 minutes") -> DataFrame:
-    """Each pair's first flow, with the time since its source was first seen: state is one row per pair and source.
+def novel_destinations(connections: DataFrame, late: str = "10 minutes", horizon: float = 30 * 86400.0) -> DataFrame:
+    """Each pair's first flow within ``horizon`` seconds, with the time since its source was first seen.
 
-    ``connections`` is keyed by source; a source's state is the time of its first flow and its known destinations.
+    A source's state is the time of its first flow and the last time of each destination. Destinations that were not seen for
+    the horizon are dropped, and so is a source that is silent for it: state is bounded by what happens within the horizon.
     """
     rows = with_event_time(connections).withWatermark("event_time", late).select("src_ip", "dst_ip", "ts", "event_time").where("src_ip is not null and dst_ip is not null")
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        first, known = state.get if state.exists else (None, [])
-        seen, out = set(known), []
-        frame = pd.concat(list(frames)).sort_values("ts")
-        for dst, ts in zip(frame["dst_ip"], frame["ts"]):
-            first = ts if first is None else min(first, ts)
-            if dst not in seen:
-                seen.add(dst)
-                out.append((key[0], dst, float(ts), float(ts - first)))
-        state.update((float(first), sorted(seen)))
-        yield pd.DataFrame(out, columns=["src_ip", "dst_ip", "first_seen", "since_source"])
-
-    return rows.groupBy("src_ip").applyInPandasWithState(step, "src_ip string, dst_ip string, first_seen double, since_source double", "first double, known array<string>", "append", "NoTimeout")
+        if state.hasTimedOut:
+            state.remove()
+            return
+        first, names, times = state.get if state.exists else (None, [], [])
+        known = pd.Series(times, index=names, dtype="float64")
+        seen = pd.concat(list(frames)).groupby("dst_ip")["ts"].agg(["min", "max"])
+        first = float(seen["min"].min() if first is None else min(first, seen["min"].min()))
+        last = known.reindex(seen.index)
+        new = seen[last.isna() | (last < seen["min"] - horizon)].sort_values("min")
+        known = pd.concat([known, seen["max"]]).groupby(level=0).max()
+        known = known[known >= known.max() - horizon]
+        state.update((first, known.index.tolist(), known.tolist()))
+        state.setTimeoutTimestamp(max(int((known.max() + horizon) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"src_ip": key[0], "dst_ip": new.index, "first_seen": new["min"].to_numpy(), "since_source": (new["min"] - first).to_numpy()})
+
+    return rows.groupBy("src_ip").applyInPandasWithState(step, "src_ip string, dst_ip string, first_seen double, since_source double", "first double, names array<string>, times array<double>", "append", "EventTimeTimeout")
+
+
+def enriched(connections: DataFrame, indicators: DataFrame, statements: DataFrame | None = None) -> DataFrame:
+    """A stream of connections with what static tables know: ``indicator, indicator_kind`` of the destination, ``src_host``.
+
+    A row keeps its place in the stream, so the longest network is found without an aggregation: one stream-static join for each
+    prefix length that the feed has (162 at most, usually a few), the longest first. ``statements`` are of ``applied_assets``.
+    """
+    host = F.split_part("value", F.lit("/"), F.lit(1))
+    nets = indicators.where("kind in ('ip', 'cidr')").withColumn("_key", S.address_key(host)).where("_key is not null").withColumn("_digits", F.length("_key"))
+    nets = nets.withColumn("_bits", F.when(F.col("kind") == "ip", 4 * F.col("_digits")).otherwise(F.split_part("value", F.lit("/"), F.lit(2)).try_cast("int")))
+    lengths = sorted(((r["_digits"], r["_bits"]) for r in nets.select("_digits", "_bits").distinct().collect()), reverse=True)  # 162 at most
+    out = connections.withColumn("_key", S.address_key(F.col("dst_ip"))).withColumn("_hit", F.lit(None).cast("struct<indicator:string,indicator_kind:string>"))
+    for digits, bits in lengths:
+        own = nets.where((F.col("_digits") == digits) & (F.col("_bits") == bits)).groupBy(S.network_key(F.col("_key"), F.col("_bits")).alias("_base")).agg(F.min_by(F.struct(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind")), F.struct(F.col("kind") != "ip", "value")).alias("_own"))
+        base = F.when(F.length("_key") == digits, S.network_key(F.col("_key"), F.lit(bits)))
+        out = out.join(own, base == F.col("_base"), "left").withColumn("_hit", F.coalesce("_hit", "_own")).drop("_base", "_own")
+    out = out.select(*connections.columns, "_hit.indicator", "_hit.indicator_kind")
+    if statements is None:
+        return out
+    named = statements.where("applies").select(F.col("address").alias("_address"), F.col("hostname").alias("src_host"))
+    return out.join(named, F.col("src_ip") == F.col("_address"), "left").drop("_address")
+
+
+def dropped_rows(query: StreamingQuery) -> int:
+    """How many rows came behind the watermark, over the progress that the query remembers."""
+    return sum(op.get("numRowsDroppedByWatermark", 0) for p in query.recentProgress for op in p["stateOperators"])
+
+
+def with_lateness(connections: DataFrame, name: str, late: float = 600.0) -> DataFrame:
+    """The stream as it is; each batch's progress has, under ``name``, its rows, first and last time, and whether these are over ``late`` seconds apart.
+
+    Sums over the batch alone, so it costs no state.
+    """
+    return connections.observe(name, F.count(F.lit(1)).alias("records"), F.min("ts").alias("first"), F.max("ts").alias("last"), (F.max("ts") - F.min("ts") > late).alias("has_late"))
