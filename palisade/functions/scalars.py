@@ -232,22 +232,22 @@ def indicator_kind(value: Column) -> Column:
 
 def normal_indicator(value: Column, kind: Column) -> Column:
     """One spelling for each indicator."""
-    text = F.trim(value)
-    host, bits = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
-    first = ipv4_network(ipv4_number(host), bits.try_cast("int"))
-    key = network_key(F.array_join(ipv6_groups(host), ""), bits.try_cast("int"))
-    first6 = _named(key, lambda x: canonical_ipv6(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(x, k * 4 + 1, F.lit(4))), ":")))
-    return (
-        F.when(kind == "domain", F.lower(F.rtrim(text, F.lit(".")))).when(kind == "file_hash", F.lower(text)).when((kind == "cidr") & first.isNotNull(), F.concat(dotted(first), F.lit("/"), bits))
-        .when((kind == "cidr") & F.contains(host, F.lit(":")), F.coalesce(F.concat(first6, F.lit("/"), bits), text)).when(kind == "ip", canonical_ipv6(text)).otherwise(text)
-    )
 
+    def spelt(s: Column) -> Column:
+        text, own = s["text"], s["kind"]
+        host, bits = F.split_part(text, F.lit("/"), F.lit(1)), F.split_part(text, F.lit("/"), F.lit(2))
+        four = _named(ipv4_network(ipv4_number(host), bits.try_cast("int")), lambda n: F.concat(dotted(n), F.lit("/"), bits))
+        words = lambda key: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.substr(key, k * 4 + 1, F.lit(4))), ":")
+        six = _named(network_key(F.array_join(ipv6_groups(host), ""), bits.try_cast("int")), lambda key: F.concat(canonical_ipv6(words(key)), F.lit("/"), bits))
+        network = F.coalesce(F.when(F.contains(host, F.lit(":")), six).otherwise(four), text)
+        return F.when(own == "domain", F.lower(F.rtrim(text, F.lit(".")))).when(own == "file_hash", F.lower(text)).when(own == "cidr", network).when(own == "ip", canonical_ipv6(text)).otherwise(text)
 
-def dotted(number: Column) -> Column:
-    def part(shift: int) -> Column:
-        return F.pmod(F.floor(number / shift), F.lit(256)).cast("string")
+    return _named(F.struct(F.trim(value).alias("text"), kind.alias("kind")), spelt)
 
-    return F.concat_ws(".", part(1 << 24), part(1 << 16), part(1 << 8), part(1))
+
+def dotted(number: Column) -> Column:
+    """The IPv4 address of a whole number; NULL of NULL."""
+    return F.when(number.isNotNull(), F.array_join(F.transform(F.array(*[F.lit(1 << k) for k in (24, 16, 8, 0)]), lambda shift: F.pmod(F.floor(number / shift), F.lit(256)).cast("string")), "."))
 
 
 def _named(value: Column, use: Callable[[Column], Column]) -> Column:
