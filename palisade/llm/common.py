@@ -2,33 +2,88 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Bytes of text that a task works on at once; a longer text is worked on alone.
+SLICE_BYTES = 2 << 20
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``, which all executors and the driver share.
 
-    Only where that setting is absent (a local session, as in tests) a temporary folder is made and set.
+def shared_root(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors and the driver share.
+
+    In a local session without that setting, as in tests, a temporary folder is made and set. Elsewhere it must be set: a
+    folder of one machine isn't seen by the executors of others.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        ctx = spark.sparkContext
-        root = ctx.getCheckpointDir()
-        if not root:
-            ctx.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-            root = ctx.getCheckpointDir()
-    return f"{root.rstrip('/')}/palisade-{uuid.uuid4().hex}"
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        root = spark.sparkContext.getCheckpointDir()
+    return root.rstrip("/")
+
+
+class Scratch:
+    """Tables that an operator writes to the shared folder and reads back, so that lineage ends there."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.root = f"{shared_root(spark)}/palisade-{uuid.uuid4().hex}"
+        self.written = 0
+
+    def store(self, df: DataFrame, name: str = "part") -> DataFrame:
+        self.written += 1
+        path = f"{self.root}/{self.written}-{name}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._stored_at = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that nothing reads any more."""
+        for t in tables:
+            remove(self.spark, t._stored_at)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stored(df: DataFrame, name: str = "part") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends here, and executors may be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).store(df, name)
+
+
+def slices(batch: pa.RecordBatch, column: str = "text", limit: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows whose texts have at most ``limit`` bytes together, or that hold one row."""
+    limit = limit or SLICE_BYTES
+    if not batch.num_rows:
+        return
+    total = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    begin = 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + limit, "right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(the UTF-8 bytes of all texts in a row, where each text begins and the last one ends), without copying them."""
+    col = texts.cast(pa.large_binary())
+    _, offsets, data = col.buffers()
+    at = np.frombuffer(offsets, np.int64)[col.offset : col.offset + len(col) + 1]
+    raw = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return raw[at[0] : at[-1]], at - at[0]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,3 +92,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def texts_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, text``, where a null text is empty."""
+    return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

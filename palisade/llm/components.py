@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Scratch
 
 MAX_ROUNDS = 60
 
@@ -17,12 +17,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     graph. Minima are partially aggregated, no neighbourhood is collected, and each round's edges are written to the
     shared folder. Only a count and a checksum come to the driver. No edges: no rows.
     """
-    now = stored(_tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
+    scratch = Scratch(edges.sparkSession)
+    now = scratch.store(_tidy(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))), "edges")
     sign = _sign(now)
     for _ in range(MAX_ROUNDS):
         if not sign[0]:
             break
-        now = stored(_tidy(_small_star(_large_star(now))), "edges")
+        old, now = now, scratch.store(_tidy(_small_star(_large_star(now))), "edges")
+        scratch.drop(old)
         before, sign = sign, _sign(now)
         if before == sign:
             break

@@ -1,17 +1,19 @@
 """Benchmark decontamination by an FM-index per shard of the training texts.
 
-A shard is one Arrow batch of documents. Its words are numbered by the vocabulary of the benchmark's items (0: a word that
-no item has); only runs of known words at least as long as the shortest window can hold a window, so exactly these runs
-are indexed. The index is a suffix array's Burrows-Wheeler transform in a wavelet tree with sampled suffix positions. All
-windows of the items are searched backwards at once, their occurrences are located by walking to the next sampled
-position, and overlapping spans are merged.
+A shard is a run of documents with at most ``SLICE_BYTES`` of text (or one longer document). Its words are numbered by the
+vocabulary of the benchmark's items (0: a word that no item has) while they are scanned; only runs of known words at least
+as long as the shortest window can hold a window, so exactly these runs are indexed. The index is a suffix array's
+Burrows-Wheeler transform in a wavelet tree with sampled suffix positions. All windows of the items are searched backwards
+at once, their occurrences are located by walking to the next sampled position, and overlapping spans are merged.
 
-The items travel with the tasks in blocks of at most ``BLOCK_BYTES`` of text; a larger benchmark makes several blocks,
-which one pass over the documents takes in turn. There is no shuffle.
+The items travel with the tasks in blocks of at most ``BLOCK_BYTES`` of text; the driver holds two blocks at a time. A larger
+benchmark makes several blocks, each with its own pass over the documents, whose finds are written to the shared folder in
+between. There is no shuffle.
 
 Defined edge cases: null and empty texts have no words and are clean; an item without words is ignored, one of fewer than
-``window`` words is one window; repeated rows and items are judged each; an empty benchmark leaves every document clean;
-other columns are ignored.
+``window`` words is one window; repeated rows and items are judged each; a null item id is named ``null``; an empty
+benchmark or an empty table of documents gives clean documents or no rows; a text of any length is one shard at most, which
+takes about 60 bytes of memory for each of its words; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,10 +27,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, slices, table, texts_of
 
 WINDOW = 10
-BLOCK_BYTES = 16 << 20
+#: Text of items that one pass takes. A window of it takes about 100 bytes of memory in a task.
+BLOCK_BYTES = 4 << 20
 SAMPLE = 8
 #: On bytes whose A-Z are lower-cased: ASCII letters and digits, and everything beyond ASCII.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -38,6 +41,16 @@ def words(text: str | None) -> list[bytes]:
     return WORD.findall(text.encode().lower()) if text else []
 
 
+def numbered(texts: Iterable[bytes | None], numbers: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(the known words' numbers of all texts with a 0 behind each text, how many words each text has)."""
+    parts, sizes = [], []
+    for text in texts:
+        own = np.fromiter((numbers.get(m[0], 0) for m in WORD.finditer((text or b"").lower())), np.int32)
+        parts += [own, np.zeros(1, np.int32)]
+        sizes.append(len(own))
+    return np.concatenate(parts) if parts else np.zeros(0, np.int32), np.array(sizes, np.int64)
+
+
 def suffix_array(s: np.ndarray) -> np.ndarray:
     """Of numbers, by prefix doubling."""
     n, k = len(s), 1
@@ -116,71 +129,78 @@ class FMIndex:
 class Items:
     """The windows of a block of items: numbered words, and the items that have each window."""
 
-    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+    def __init__(self, items: list[tuple[str | None, str | None]], window: int = WINDOW):
         self.numbers: dict[bytes, int] = {}
-        found: dict[tuple[int, ...], set[str]] = {}
+        self.names = sorted({str(i) if i is not None else "null" for i, _ in items})
+        name = {n: k for k, n in enumerate(self.names)}
+        found: dict[int, list[tuple[np.ndarray, int]]] = {}
         for item, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)]
-            for i in range(max(1, len(ids) - window + 1) if ids else 0):
-                found.setdefault(tuple(ids[i : i + window]), set()).add(item)
-        self.by_length: list[tuple[np.ndarray, list[list[str]]]] = []
-        for n in sorted({len(w) for w in found}):
-            own = [w for w in found if len(w) == n]
-            self.by_length.append((np.array(own, np.int64), [sorted(found[w]) for w in own]))
-        self.shortest = min((p.shape[1] for p, _ in self.by_length), default=0)
-
-    def hits(self, docs: list[list[bytes]]) -> list[tuple[list[int], list[str]]]:
-        """Of each document: merged word spans (start, end, start, end, ...) and the items found."""
-        out: list[tuple[list[int], list[str]]] = [([], []) for _ in docs]
-        if not self.shortest or not docs:
-            return out
-        get = self.numbers.get
-        sizes = np.array([len(d) + 1 for d in docs])
-        ids = np.fromiter(chain.from_iterable([*(get(w, 0) for w in d), 0] for d in docs), np.int64, int(sizes.sum()))
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+            ids = np.array([self.numbers.setdefault(w, len(self.numbers) + 1) for w in words(text)], np.int32)
+            if len(ids):
+                n = min(window, len(ids))
+                found.setdefault(n, []).append((np.lib.stride_tricks.sliding_window_view(ids, n), name[str(item) if item is not None else "null"]))
+        #: Of each length: distinct windows, and the items of window w: ``owners[first[w]:first[w + 1]]``.
+        self.by_length: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for n in sorted(found):
+            own, at = np.unique(np.concatenate([w for w, _ in found[n]]), axis=0, return_inverse=True)
+            pairs = np.unique(np.stack((at.ravel(), np.concatenate([np.full(len(w), k) for w, k in found[n]]))), axis=1)
+            self.by_length.append((own, np.searchsorted(pairs[0], np.arange(len(own) + 1)), pairs[1]))
+        self.shortest = min((p.shape[1] for p, *_ in self.by_length), default=0)
+
+    def hits(self, texts: Iterable[bytes | None], all_words: bool = False) -> tuple[np.ndarray, list[list[int]], list[list[str]]]:
+        """Of each text: how many words it has, its merged word spans (start, end, start, end, ...), the items found.
+
+        With ``all_words`` the whole shard is indexed, not only the runs that can hold a window: the result is the same.
+        """
+        ids, sizes = numbered(texts, self.numbers)
+        spans: list[list[int]] = [[] for _ in sizes]
+        names: list[list[str]] = [[] for _ in sizes]
+        starts = np.cumsum(sizes + 1) - sizes - 1
         known = np.concatenate(([False], ids > 0))
         first = np.flatnonzero(known[1:] & ~known[:-1])
-        length = np.flatnonzero(known[:-1] & ~known[1:]) - first  # each document ends with a 0
+        length = np.flatnonzero(known[:-1] & ~known[1:]) - first  # each text ends with a 0
         first, length = first[length >= self.shortest], length[length >= self.shortest]
-        if not len(first):
-            return out
+        if all_words:
+            first, length = np.zeros(1, np.int64), np.array([len(ids) - 1])
+        if not self.shortest or not len(first) or not length.any():
+            return sizes, spans, names
         total = length + 1  # a run and the 0 behind it
         at = np.repeat(first - np.concatenate(([0], np.cumsum(total)[:-1])), total) + np.arange(total.sum())
         index = FMIndex(np.concatenate((ids[at] + 1, [0])))
-        edge = np.zeros(len(ids) + 1, np.int64)
-        pairs: set[tuple[int, str]] = set()
-        for patterns, items in self.by_length:
+        edge = np.zeros(len(ids) + 1, np.int32)
+        pairs = []  # (text, item), each once for a length
+        for patterns, begin, owners in self.by_length:
             low, high = index.ranges(patterns + 1)
             count = high - low
             rows = np.repeat(low - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
             place = at[index.locate(rows)]
             np.add.at(edge, place, 1)
             np.add.at(edge, place + patterns.shape[1], -1)
-            doc = np.searchsorted(starts, place, "right") - 1
-            for d, w in set(zip(doc.tolist(), np.repeat(np.arange(len(count)), count).tolist())):
-                pairs.update((d, item) for item in items[w])
+            text = np.searchsorted(starts, place, "right") - 1
+            text, window = np.unique(np.stack((text, np.repeat(np.arange(len(count)), count))), axis=1)
+            size = begin[window + 1] - begin[window]
+            spot = np.repeat(begin[window] - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+            pairs.append(np.unique(np.stack((np.repeat(text, size), owners[spot])), axis=1))
         covered = np.concatenate(([False], np.cumsum(edge) > 0))
         begin, end = np.flatnonzero(covered[1:] & ~covered[:-1]), np.flatnonzero(covered[:-1] & ~covered[1:])
-        for b, e in zip(begin.tolist(), end.tolist()):
-            d = int(np.searchsorted(starts, b, "right")) - 1
-            out[d][0].extend((b - int(starts[d]), e - int(starts[d])))
-        for d, item in pairs:
-            out[d][1].append(item)
-        return out
+        for d, b, e in zip((np.searchsorted(starts, begin, "right") - 1).tolist(), begin.tolist(), end.tolist()):
+            spans[d] += [b - int(starts[d]), e - int(starts[d])]
+        for d, k in np.unique(np.concatenate(pairs, axis=1), axis=1).T.tolist():
+            names[d].append(self.names[k])
+        return sizes, spans, names
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """Blocks of (item id as text, text) whose texts have at most ``block_bytes`` (or that hold one item)."""
     block, size = [], 0
     for row in items.select(F.col(item_col).cast("string"), F.col(text_col)).toLocalIterator():
-        n = len(row[1] or "") * 4
+        n = len((row[1] or "").encode())
         if block and size + n > block_bytes:
             yield block
             block, size = [], 0
         block.append((row[0], row[1]))
         size += n
-    if block:
-        yield block
+    yield block
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -188,30 +208,35 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
 
     ``spans`` has start and end of each merged run of hit words, alternating, counted in words.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts_of(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    blocks = list(item_blocks(benchmark, item_col, item_text_col, block_bytes)) or [[]]
     rows = rows.withColumns({"n_words": F.lit(0).cast("long"), "spans": F.array().cast("array<long>"), "items": F.array().cast("array<string>")})
+    scratch = Scratch(docs.sparkSession)
 
-    def searcher(block: list[tuple[str, str | None]], last: bool):
+    def searcher(block: list[tuple[str | None, str | None]], last: bool):
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(block, window)
-            for b in batches:
-                docs_words = [words(t) for t in b.column("text").to_pylist()]
-                found = items.hits(docs_words)
-                spans = [merge([*old, *new]) for old, (new, _) in zip(b.column("spans").to_pylist(), found)]
-                names = [sorted({*old, *new}) for old, (_, new) in zip(b.column("items").to_pylist(), found)]
-                cols = {"doc_id": b.column("doc_id"), "text": b.column("text"), "n_words": pa.array([len(w) for w in docs_words], pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
-                if last:
-                    del cols["text"]
-                yield pa.RecordBatch.from_pydict(cols)
+            for batch in batches:
+                for b in slices(batch):
+                    n_words, spans, names = items.hits(b.column("text").cast(pa.binary()).to_pylist())
+                    spans = [merge([*old, *new]) if old else new for old, new in zip(b.column("spans").to_pylist(), spans)]
+                    names = [sorted({*old, *new}) if old else new for old, new in zip(b.column("items").to_pylist(), names)]
+                    cols = {"doc_id": b.column("doc_id"), "text": b.column("text"), "n_words": pa.array(n_words, pa.int64()), "spans": pa.array(spans, pa.list_(pa.int64())), "items": pa.array(names, pa.list_(pa.string()))}
+                    if last:
+                        del cols["text"]
+                    yield pa.RecordBatch.from_pydict(cols)
 
         return search
 
-    for k, block in enumerate(blocks):
-        last = k == len(blocks) - 1
-        rows = rows.mapInArrow(searcher(block, last), f"doc_id {id_type}, " + "text string, " * (not last) + "n_words long, spans array<long>, items array<string>")
-    return rows
+    fields = "n_words long, spans array<long>, items array<string>"
+    blocks = item_blocks(benchmark, item_col, item_text_col, block_bytes)
+    block, before = next(blocks), None
+    for following in blocks:
+        rows = scratch.store(rows.mapInArrow(searcher(block, False), f"doc_id {id_type}, text string, {fields}"), "found")
+        if before is not None:
+            scratch.drop(before)
+        block, before = following, rows
+    return rows.mapInArrow(searcher(block, True), f"doc_id {id_type}, {fields}")
 
 
 def merge(spans: list[int]) -> list[int]:
