@@ -4,8 +4,9 @@
    where the first piece takes the remainder and so may be shorter.
 2. Best-fit decreasing runs over the *counts* of the lengths (at most ``capacity`` of them, whatever the size of the
    table) and yields runs of slots: "ranks a..b of length L go to sequences s.., k in each, at offset o".
-3. Each piece gets its rank within its length and takes the slot planned for it. Ranks are counted in chunks of at most
-   about ``CHUNK_ROWS`` rows, so a length that most pieces share is no single task.
+3. Each piece gets its rank within its length and takes the slot planned for it. Ranks are counted in chunks of about
+   ``CHUNK_ROWS`` rows (more where a length would have over ``MOST_CHUNKS`` of them), so a length that most pieces share is
+   no single task, and neither is the sum over its chunks.
 
 The plan depends on the lengths that occur, not on the number of documents, so it travels with the tasks.
 
@@ -13,8 +14,9 @@ Tokens are those of the tokenizers library. Blank-separated pieces of a text are
 which is exact for byte-level BPE whose pre-tokenizer starts a new word at a blank; texts where that doesn't hold
 (neighbouring white space, special tokens) are encoded whole.
 
-Defined edge cases: a null or empty text is one piece of the end id alone; repeated rows are packed each; an empty
-table gives an empty result; other columns are ignored.
+Defined edge cases: a null or empty text is one piece of the end id alone; repeated rows are packed each; texts are
+encoded in runs of at most ``SLICE_BYTES``, a longer one alone; an empty table gives an empty result; other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,15 +30,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import slices, stored, table
 
 CAPACITY = 2048
 END_ID = 0
-CHUNK_ROWS = 1000
+CHUNK_ROWS, MOST_CHUNKS = 1000, 1 << 18
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
-#: Remembered pieces of text per worker; beyond it the memory starts anew.
-REMEMBERED = 400_000
+#: Bytes of remembered pieces of text in a task, about; beyond it the memory starts anew.
+REMEMBERED = 48 << 20
 
 
 class ByteEncoder:
@@ -55,6 +57,7 @@ class ByteEncoder:
         self.whole = Tokenizer.from_file(place(tokenizer))
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.held = 0
         self.quick = None
         if ranks:  # the same vocabulary, several times faster
             import base64
@@ -78,8 +81,9 @@ class ByteEncoder:
         if any(s in text for s in self.special):
             return self._slow(text)
         known = self.known
-        if len(known) > REMEMBERED:
+        if self.held > REMEMBERED:
             known.clear()
+            self.held = 0
         out = []
         for part in (text if text[0] == " " else " " + text).split(" ")[1:]:
             got = known.get(part)
@@ -87,6 +91,7 @@ class ByteEncoder:
                 if not part or part[0].isspace() or part[-1].isspace():
                     return self._part(text)
                 got = known[part] = self._part(" " + part)
+                self.held += 160 + 2 * len(part) + len(got)
             out.append(got)
         if text[0] != " ":  # the first word has no blank before it
             out[0] = self._part(text.split(" ", 1)[0])
@@ -158,20 +163,21 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ByteEncoder(tokenizer, ranks)
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
-            texts = batch.column(2)
-            for i in range(batch.num_rows):
-                ids = encoder.encode(texts[i].as_py()) + end
-                for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
-                    own = ids[4 * start : 4 * (start + length)]
-                    for col, v in zip(out, (i, piece, start, length, zlib.crc32(own), own if with_ids else None)):
-                        col.append(v)
-            at = pa.array(out[0], pa.int64())
-            cols = [batch.column(0).take(at), batch.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())]
-            names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"]
-            if with_ids:
-                cols, names = [*cols, pa.array(out[5], pa.binary())], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+            for b in slices(batch):
+                out: list[list] = [[], [], [], [], [], []]
+                texts = b.column("text")
+                for i in range(b.num_rows):
+                    ids = encoder.encode(texts[i].as_py()) + end
+                    for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
+                        own = ids[4 * start : 4 * (start + length)]
+                        for col, v in zip(out, (i, piece, start, length, zlib.crc32(own), own if with_ids else None)):
+                            col.append(v)
+                at = pa.array(out[0], pa.int64())
+                cols = [b.column(0).take(at), b.column(1).take(at), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64()), pa.array(out[4], pa.int64())]
+                names = ["row_id", "doc_id", "piece", "start", "length", "ids_crc32"]
+                if with_ids:
+                    cols, names = [*cols, pa.array(out[5], pa.binary())], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     id_type = rows.schema["doc_id"].dataType.simpleString()
     return rows.mapInArrow(encode, f"row_id long, doc_id {id_type}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
@@ -187,7 +193,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
     first = np.array([(length << shift) + rank for length, rank, *_ in runs], np.int64)
     each, sequence, offset = (np.array([r[k] for r in runs], np.int64) for k in (2, 3, 4))
 
-    chunks = spark.createDataFrame([(k, max(1, v // CHUNK_ROWS)) for k, v in counts.items()], "length long, chunks long")
+    chunks = spark.createDataFrame([(k, min(MOST_CHUNKS, max(1, v // CHUNK_ROWS))) for k, v in counts.items()], "length long, chunks long")
     light = pieces.select("row_id", "piece", "length").join(F.broadcast(chunks), "length")  # at most `capacity` rows
     light = light.withColumn("chunk", F.pmod(F.xxhash64("row_id", "piece"), F.col("chunks"))).drop("chunks")
     sizes = light.groupBy("length", "chunk").agg(F.count("*").alias("n"))
