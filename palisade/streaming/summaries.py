@@ -64,7 +64,9 @@ def novel_destinations(connections: DataFrame, late: str = "10 minutes", horizon
     A source's state is the time of its first flow and the last time of each destination. Destinations that were not seen for
     the horizon are dropped, and so is a source that is silent for it: state is bounded by what happens within the horizon.
     """
-    rows = with_event_time(connections).withWatermark("event_time", late).select("src_ip", "dst_ip", "ts", "event_time").where("src_ip is not null and dst_ip is not null")
+    # a second later, so that a flow at time 0 isn't behind the first watermark, which is 0
+    timed = with_event_time(connections).withColumn("event_time", F.col("event_time") + F.expr("interval 1 second"))
+    rows = timed.withWatermark("event_time", late).select("src_ip", "dst_ip", "ts", "event_time").where("src_ip is not null and dst_ip is not null")
 
     def step(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -76,7 +78,7 @@ def novel_destinations(connections: DataFrame, late: str = "10 minutes", horizon
         first = float(seen["min"].min() if first is None else min(first, seen["min"].min()))
         last = known.reindex(seen.index)
         new = seen[last.isna() | (last < seen["min"] - horizon)].sort_values("min")
-        known = pd.concat([known, seen["max"]]).groupby(level=0).max()
+        known = pd.concat([known, seen["max"]]).groupby(level=0).max() if len(known) else seen["max"]
         known = known[known >= known.max() - horizon]
         state.update((first, known.index.tolist(), known.tolist()))
         state.setTimeoutTimestamp(max(int((known.max() + horizon) * 1000), state.getCurrentWatermarkMs() + 1))
