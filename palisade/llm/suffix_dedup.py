@@ -5,19 +5,23 @@ hash. Successive strings with the same anchor are a *run*, so equal strings lie
 
 1. Runs are shuffled by their anchor's hash and sorted by it, by the hash of their bytes and by place; the stream of a
    list is read once. Of runs with the same bytes, all but the first are repeats as they are: the inside of every copy ends
-   here, and a string that a third of all documents share costs no memory.
+   here, and a string that a third of all documents share costs no memory. Of the same runs within a slice of documents
+   only the first is shuffled by its anchor, so such a list has a row for each slice.
 2. What is left are the first runs of anchors whose runs differ: the edges of repeated passages. Their bytes are fetched
    and dealt by anchor to blocks. In a block, an enhanced suffix array (order by prefix doubling, common prefixes from the
    rounds' ranks) is scanned with a stack: each interval of the common-prefix tree that is at least ``LENGTH`` deep and
    whose occurrences differ in the byte to their left is a maximal repeat; all its occurrences but the first are repeats.
-   An anchor with more than ``HOT`` different runs is not given to one task: its strings are dealt out by their own hash.
-3. The repeats of a document are merged and cut out.
+3. An anchor with more than ``HOT`` different runs is too large for a block. Its runs are cut again by a second anchor, the
+   short string with the least hash of another function, and so on up to ``LEVELS`` times: equal strings have all their
+   anchors in common. Only what no anchor tells apart is dealt out by each string's own hash.
+4. The repeats of a document are merged and cut out.
 
 Hashes have 64 bits; step 1 joins on two independent ones. "First" is by id, then by position.
 
 Defined edge cases: null and empty texts lose nothing; ids that are null, repeated or not whole numbers are replaced, for
-the order, by numbers in the order of (id, text), so repeated rows count as copies, of which one is first; an empty table
-gives an empty result; other columns are ignored.
+the order, by numbers in the order of (id, text), so repeated rows count as copies, of which one is first; texts are worked
+on in slices of at most ``SCAN_BYTES``, a longer one alone (about 100 bytes of memory for each of its bytes); an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, stored, table
+from .common import Scratch, shuffle_partitions, slices, stored, table, texts_of
 
 LENGTH = 100
 GRAM = 32
-HOT = 6000
+HOT, LEVELS = 6000, 2
 BLOCK_BYTES = 1 << 20
 SCAN_BYTES = 1 << 20
 _RANDOM = np.random.default_rng(20240607).integers(1 << 63, size=(2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -72,8 +76,11 @@ def sliding_min(v: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(text, first string, last string, anchor's place, anchor's hash, hash of the bytes) of each run."""
+def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM, level: int = 0) -> tuple[np.ndarray, ...]:
+    """(text, first string, last string, anchor's place, anchor's hash, hash of the bytes) of each run.
+
+    Each ``level`` has its own order of the short strings, and so other anchors.
+    """
     empty = tuple(np.zeros(0, np.int64) for _ in range(6))
     sizes = np.array([len(t) for t in texts], np.int64)
     data = np.frombuffer(b"".join(texts), np.uint8)
@@ -83,6 +90,9 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     rolling = Rolling(data, 0)
     places = np.arange(len(data) - gram + 1)
     h = rolling.of(places, places + gram)
+    if level:
+        h = (h ^ (h >> np.uint64(31 + level))) * np.uint64(0x9E3779B97F4A7C15 + 2 * level)
+        h ^= h >> np.uint64(32)
     mixed = (h & np.uint64(0xFFFFFFFF00000000)) | places.astype(np.uint64)
     anchor = (sliding_min(mixed, length - gram + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)  # of each string's start
     room = np.maximum(sizes - length + 1, 0)
@@ -101,21 +111,21 @@ def runs(texts: list[bytes], length: int = LENGTH, gram: int = GRAM) -> tuple[np
     return own, first - base, last - base, a - base, h[a].view(np.int64), content.view(np.int64)
 
 
-def own_repeats(own: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(text, first, last, hash, bytes' hash, sure) of runs, where a text's own repeats of a run are ``sure`` ones.
+def slice_repeats(ids: np.ndarray, first: np.ndarray, last: np.ndarray, h: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(id, first, last, hash, bytes' hash, sure) of a slice's runs, where all but the first of equal ones are ``sure`` repeats.
 
-    Adjoining sure runs become one, and get a hash of their place, so that a text of one phrase over and over doesn't pile
-    up at the phrase.
+    Adjoining sure runs become one, and get a hash of their place, so that neither a text of one phrase over and over nor a
+    phrase of very many texts piles up at the phrase.
     """
-    order = np.lexsort((c, h, own))
-    again = (own[order][1:] == own[order][:-1]) & (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
-    sure = np.zeros(len(own), bool)
+    order = np.lexsort((first, ids, c, h))
+    again = (h[order][1:] == h[order][:-1]) & (c[order][1:] == c[order][:-1])
+    sure = np.zeros(len(ids), bool)
     sure[order[1:][again]] = True
-    follows = np.concatenate(([False], sure[1:] & sure[:-1] & (own[1:] == own[:-1]) & (first[1:] == last[:-1] + 1)))
+    follows = np.concatenate(([False], sure[1:] & sure[:-1] & (ids[1:] == ids[:-1]) & (first[1:] == last[:-1] + 1)))
     head = np.flatnonzero(~follows)
-    tail = np.concatenate((head[1:], [len(own)])) - 1
-    spread = ((own[head] * 1_000_003 + first[head]).astype(np.uint64) * _MULTIPLY[0]).view(np.int64) ^ h[head]
-    return own[head], first[head], last[tail], np.where(sure[head], spread, h[head]), c[head], sure[head].astype(np.int64)
+    tail = np.concatenate((head[1:], [len(ids)])) - 1
+    spread = ((ids[head] * 1_000_003 + first[head]).astype(np.uint64) * _MULTIPLY[0]).view(np.int64) ^ h[head]
+    return ids[head], first[head], last[tail], np.where(sure[head], spread, h[head]), c[head], sure[head].astype(np.int64)
 
 
 def first_and_repeats(batches: Iterable[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -161,9 +171,9 @@ def _found(*cols: np.ndarray) -> pa.RecordBatch:
 
 
 class EnhancedSuffixArray:
-    """Suffixes of numbers (0: a separator) in the order of their first 256, with common prefixes of neighbours."""
+    """Suffixes of numbers (0: a separator) in the order of their first ``depth``, with common prefixes of neighbours."""
 
-    def __init__(self, s: np.ndarray, depth: int = 256):
+    def __init__(self, s: np.ndarray, depth: int = 2 * LENGTH):
         n = len(s)
         rank = s.astype(np.int64)
         self.ranks = {1: rank}
@@ -230,7 +240,7 @@ def block_repeats(ids: np.ndarray, firsts: np.ndarray, parts: list[bytes], lengt
     left = np.concatenate(([0], data[:-1])) - 1
     left[starts] = 1000  # nothing is known there, so it counts as different
     left[~body] = 1000
-    sa = EnhancedSuffixArray(data)
+    sa = EnhancedSuffixArray(data, max(map(len, parts), default=1))
     # a common prefix can't reach over a separator
     ends = np.repeat(starts + sizes - 1, sizes)
     sa.common = np.minimum(sa.common, (ends - np.arange(len(data)))[sa.order[:-1]])
@@ -282,7 +292,7 @@ def search_blocks(batches: Iterable[pa.RecordBatch], length: int, block_bytes: i
 
 def ordered_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id, id, text``, where ``id`` is a whole number for each row in the order of the ids."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts_of(docs, id_col, text_col)
     if rows.schema["doc_id"].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
         ids = rows.select("doc_id")
         odd = ids.where("doc_id is null").isEmpty() and ids.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -293,53 +303,67 @@ def ordered_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return stored(ranged.select("doc_id", F.monotonically_increasing_id().alias("id"), "text"), "ordered")
 
 
-def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT) -> DataFrame:
-    """``id, start, end`` of bytes of ``rows (id long, text string)`` that are repeats; spans may overlap."""
-    spark = rows.sparkSession
-    n = shuffle_partitions(spark)
+def repeated_spans(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = HOT, level: int = 0) -> DataFrame:
+    """``id, start, end`` of bytes of ``rows (id long, text)`` that are repeats; spans may overlap.
+
+    At a ``level`` above 0, rows also have a number ``g``; only the strings of rows with the same one are compared.
+    """
+    scratch = Scratch(rows.sparkSession)
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, texts = b.column("id").to_numpy(), b.column("text").cast(pa.binary()).to_pylist()
-            begin, size = 0, 0
-            for k in range(len(texts)):
-                size += len(texts[k])
-                if size > SCAN_BYTES or k == len(texts) - 1:
-                    own, first, last, _, h, c = runs(texts[begin : k + 1], length, gram)
-                    if len(own):
-                        own, first, last, h, c, sure = own_repeats(own, first, last, h, c)
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, ids[begin + own], first, last, sure)], names=["h", "c", "id", "first", "last", "sure"])
-                    begin, size = k + 1, 0
-
-    all_runs = rows.select("id", "text").mapInArrow(emit, "h long, c long, id long, first long, last long, sure long")
+        for batch in batches:
+            for b in slices(batch, limit=SCAN_BYTES):
+                ids = b.column("id").to_numpy()
+                own, first, last, _, h, c = runs(b.column("text").cast(pa.binary()).to_pylist(), length, gram, level)
+                if not len(own):
+                    continue
+                if level:
+                    h = h ^ (b.column("g").to_numpy()[own] * np.int64(0x1E3779B97F4A7C15))
+                i, first, last, h, c, sure = slice_repeats(ids[own], first, last, h, c)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, i, first, last, sure)], names=["h", "c", "id", "first", "last", "sure"])
+
+    all_runs = rows.mapInArrow(emit, "h long, c long, id long, first long, last long, sure long")
     sorted_runs = all_runs.repartition("h").sortWithinPartitions("h", "c", "id", "first")
-    found = stored(sorted_runs.mapInArrow(lambda b: first_and_repeats(b, length), "kind long, h long, id long, first long, last long"), "runs")
+    found = scratch.store(sorted_runs.mapInArrow(lambda b: first_and_repeats(b, length), "kind long, h long, id long, first long, last long"), "runs")
     whole = found.where("kind = 0").select("id", F.col("first").alias("start"), (F.col("last") + length).alias("end"))
 
     edges = found.where("kind = 1").select("h", "id", "first", "last")
     wanted = edges.groupBy("id").agg(F.collect_list(F.struct("h", "first", "last")).alias("edges"))  # at most a text's length
 
     def fetch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], []]
-            for i, t, own in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("edges").to_pylist()):
-                for edge in own:
-                    for col, v in zip(out, (edge["h"], i, edge["first"], t[edge["first"] : edge["last"] + length])):
-                        col.append(v)
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["h", "id", "first", "bytes"])
-
-    contexts = stored(rows.select("id", "text").join(wanted, "id").mapInArrow(fetch, "h long, id long, first long, bytes binary"), "edges")
-    hot_anchors = stored(contexts.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
+        for batch in batches:
+            for b in slices(batch):
+                out: list[list] = [[], [], [], []]
+                for i, t, own in zip(b.column("id").to_pylist(), b.column("text").cast(pa.binary()).to_pylist(), b.column("edges").to_pylist()):
+                    for edge in own:
+                        for col, v in zip(out, (edge["h"], i, edge["first"], t[edge["first"] : edge["last"] + length])):
+                            col.append(v)
+                yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.binary())], names=["h", "id", "first", "bytes"])
+
+    contexts = scratch.store(rows.select("id", "text").join(wanted, "id").mapInArrow(fetch, "h long, id long, first long, bytes binary"), "edges")
+    hot_anchors = scratch.store(contexts.groupBy("h").count().where(F.col("count") > hot).select("h"), "hot")
     usual = contexts.join(hot_anchors, "h", "left_anti")
     in_blocks = usual.repartition("h").sortWithinPartitions("h", "id").mapInArrow(lambda b: search_blocks(b, length), "id long, start long, end long")
     out = whole.unionByName(in_blocks)
     if not hot_anchors.isEmpty():
-        out = out.unionByName(_hot_repeats(contexts.join(hot_anchors, "h", "left_semi"), length, n))
+        out = out.unionByName(_hot_repeats(contexts.join(hot_anchors, "h", "left_semi"), length, gram, hot, level + 1))
     return out
 
 
-def _hot_repeats(contexts: DataFrame, length: int, n: int) -> DataFrame:
-    """The strings of anchors with very many different runs, each dealt out by its own 128-bit hash."""
+def _hot_repeats(contexts: DataFrame, length: int, gram: int, hot: int, level: int) -> DataFrame:
+    """The repeats of anchors with very many different runs: these are cut again by other anchors, at last string by string."""
+    if level > LEVELS:
+        return _equal_strings(contexts, length)
+    parts = shuffle_partitions(contexts.sparkSession)
+    ordered = contexts.repartitionByRange(parts, "id", "first").sortWithinPartitions("id", "first")
+    numbered = stored(ordered.select("id", "first", "h", "bytes", F.monotonically_increasing_id().alias("number")), "hot")
+    inner = repeated_spans(numbered.select(F.col("number").alias("id"), F.col("bytes").alias("text"), F.col("h").alias("g")), length, gram, hot, level)
+    back = inner.withColumnRenamed("id", "number").join(numbered.select("number", "id", "first"), "number")
+    return back.select("id", (F.col("first") + F.col("start")).alias("start"), (F.col("first") + F.col("end")).alias("end"))
+
+
+def _equal_strings(contexts: DataFrame, length: int) -> DataFrame:
+    """Each string of the contexts dealt out by its own 128-bit hash: all places but the first."""
 
     def emit(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,26 +384,27 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     rows = ordered_ids(docs, id_col, text_col)
     id_type = rows.schema["doc_id"].dataType.simpleString()
-    lists = repeated_spans(rows, length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("repeats"))
+    lists = repeated_spans(rows.select("id", "text"), length, gram).groupBy("id").agg(F.collect_list(F.struct("start", "end")).alias("repeats"))
     joined = rows.join(lists, "id", "left").select("doc_id", "text", "repeats")
 
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[list] = [[], [], [], [], []]
-            repeats = b.column("repeats")
-            for k, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
-                spans: list[int] = []
-                if repeats[k].is_valid:
-                    own = repeats[k].values
-                    for s, e in sorted(zip(own.field("start").to_pylist(), own.field("end").to_pylist())):
-                        if spans and s <= spans[-1]:
-                            spans[-1] = max(spans[-1], e)
-                        else:
-                            spans += [s, e]
-                kept = b"".join(t[a:z] for a, z in zip([0, *spans[1::2]], [*spans[::2], len(t)]))
-                for col, v in zip(out, (len(t), len(t) - len(kept), len(spans) // 2, spans, kept)):
-                    col.append(v)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
+        for batch in batches:
+            for b in slices(batch):
+                out: list[list] = [[], [], [], [], []]
+                repeats = b.column("repeats")
+                for k, t in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+                    spans: list[int] = []
+                    if repeats[k].is_valid:
+                        own = repeats[k].values
+                        for s, e in sorted(zip(own.field("start").to_pylist(), own.field("end").to_pylist())):
+                            if spans and s <= spans[-1]:
+                                spans[-1] = max(spans[-1], e)
+                            else:
+                                spans += [s, e]
+                    kept = b"".join(t[a:z] for a, z in zip([0, *spans[1::2]], [*spans[::2], len(t)]))
+                    for col, v in zip(out, (len(t), len(t) - len(kept), len(spans) // 2, spans, kept)):
+                        col.append(v)
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.list_(pa.int64())), pa.array(out[4], pa.binary())], names=["doc_id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
 
     return joined.mapInArrow(cut, f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, spans array<long>, kept binary")
 
