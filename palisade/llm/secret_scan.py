@@ -13,7 +13,8 @@ whole in bounded memory. The overlap holds an encoded run that a part ends in, u
 a stream that is itself encoded in it is unpacked up to the end of the part only. The base spans are those of the first layer; decoding only adds spans.
 
 Defined edge cases: null and empty texts have no spans; rows are independent (one scan, no shuffle), so repeated rows give
-repeated results; other columns are ignored.
+repeated results; a text of any length is scanned whole, with 16 bytes of places for each character of a layer that decoding
+escapes makes of it; an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, texts_of
 
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns and least lengths; a match below its least length is dropped after matching.
@@ -354,10 +355,10 @@ def shown(spans: list[tuple[int, int, int]]) -> str:
 
 def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_assign, n_access, n_hex`` (base spans), ``base`` and ``spans``."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts_of(docs, id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in chain.from_iterable(map(slices, batches)):
             out: list[list] = [[], [], [], [], []]
             for t in b.column("text").to_pylist():
                 base, spans = scan(t)

@@ -6,13 +6,14 @@ document's score is that of its most toxic segment, so that a few words aren't l
 the softmax's argument are linear, a gram's logit ``vector @ weights`` is computed once after training and whole texts are
 scored by table lookups on their character codes.
 
-Training: labelled documents only, at most ``max_train`` of each class (those with the smallest hash of their id; the
-bound is this parameter), by stochastic gradient descent with per-row step sizes on the driver. Everything else is
-row-local: one scan, no shuffle.
+Training: labelled documents only, at most ``max_train`` of each class (those with the smallest hash of their id) with at most
+``max_bytes`` of text (the bounds are these parameters), by stochastic gradient descent with per-row step sizes on the
+driver. Everything else is row-local: one scan, no shuffle.
 
 Defined edge cases: null and empty texts have no segment and get the score of the bias alone; a label that is null is no
-label; of repeated labels of one document the larger counts; without any labels of both classes every score is 0.
-Other columns are ignored.
+label; of repeated labels of one document the larger counts, and of its repeated rows one trains; without any labels of both
+classes every score is 0; a text of any length is scored whole (about 100 bytes of memory for each of its characters); an
+empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -22,10 +23,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table, texts_of
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -34,7 +35,7 @@ SEGMENT = 16
 SEGMENT_LEAST = 8
 DIM = 8
 THRESHOLD = 0.7
-MAX_TRAIN = 3000
+MAX_TRAIN, MAX_BYTES = 3000, 24 << 20
 #: A gram in fewer training texts keeps a zero vector: it can only be learnt by heart.
 MIN_TEXTS = 8
 #: Few training texts are gone through more often, up to so many steps in all.
@@ -89,17 +90,18 @@ class Segmented:
     texts: int
 
 
-def segmented(texts: list[str]) -> Segmented:
+def segmented(texts: list[str], segment: int | None = SEGMENT) -> Segmented:
+    """``segment`` None: each text is one segment."""
     chars, starts = codes(texts)
     grams, gram_word, first = word_grams(chars)
     text = np.searchsorted(starts, first, "right") - 1
     text_first = np.searchsorted(text, np.arange(len(texts)))
     place = np.arange(len(first)) - text_first[text] if len(first) else first
-    begins = (place % SEGMENT == 0) if len(first) else np.zeros(0, bool)
-    segment = np.cumsum(begins) - 1
-    size = np.bincount(segment, minlength=0) if len(first) else np.zeros(0)
+    begins = (place % (segment or 1 << 60) == 0) if len(first) else np.zeros(0, bool)
+    of_word = np.cumsum(begins) - 1
+    size = np.bincount(of_word, minlength=0) if len(first) else np.zeros(0)
     per_word = np.bincount(gram_word, minlength=len(first))
-    return Segmented(grams, gram_word, 1 / np.maximum(per_word, 1), segment, 1 / np.maximum(size, SEGMENT_LEAST), text[begins] if len(first) else text, len(texts))
+    return Segmented(grams, gram_word, 1 / np.maximum(per_word, 1), of_word, 1 / np.maximum(size, SEGMENT_LEAST), text[begins] if len(first) else text, len(texts))
 
 
 def segment_means(s: Segmented, gram_values: np.ndarray) -> np.ndarray:
@@ -123,12 +125,13 @@ class ToxicityModel:
     gram_logits: np.ndarray
     bias: float
     trained: bool = True
+    segment: int | None = SEGMENT
 
     def scores(self, texts: list[str]) -> np.ndarray:
         if not self.trained:
             return np.zeros(len(texts))
         out = np.full(len(texts), self.bias)
-        s = segmented(texts)
+        s = segmented(texts, self.segment)
         z = segment_means(s, self.gram_logits) + self.bias
         best, text = strongest(z, s.segment_text)
         out[text] = z[best]
@@ -154,7 +157,7 @@ class TrainingSet:
     size: np.ndarray
 
 
-def training_set(texts: list[str]) -> TrainingSet:
+def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet:
     step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     keys, segments, segment_texts, own_keys, own_grams, own_sizes = [], [], [], [], [], []
     begin, n, done = 0, 0, 0
@@ -164,7 +167,7 @@ def training_set(texts: list[str]) -> TrainingSet:
         if n < BLOCK and k < len(texts) - 1:
             continue
         block = texts[begin : k + 1]
-        s = segmented(block)
+        s = segmented(block, segment)
         chars, _ = codes(block)
         powers = np.cumprod(np.full(len(chars), back, np.uint64))
         sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum((chars.astype(np.uint64) + np.uint64(77)) * np.uint64(0xBF58476D1CE4E5B9) * powers, dtype=np.uint64)))
@@ -199,8 +202,8 @@ def training_set(texts: list[str]) -> TrainingSet:
     return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
 
 
-def gram_odds(data: TrainingSet, toxic: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray]:
-    """(log odds ratio of each gram over its standard error, whether it may be learnt) by the texts that have it."""
+def gram_odds(data: TrainingSet, toxic: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each gram, by the texts that have it: log odds ratio over its standard error, whether it's common, whether it tells."""
     counts = np.zeros((2, BUCKETS))
     of_text = data.segment_text[data.segment]
     edges = np.searchsorted(of_text, np.arange(0, len(toxic) + block, block))
@@ -213,13 +216,15 @@ def gram_odds(data: TrainingSet, toxic: np.ndarray, block: int = 128) -> tuple[n
             counts[c] += there[own].sum(0)
     with_, without = counts + 0.5, np.bincount(toxic, minlength=2)[:, None] - counts + 0.5
     odds = (np.log(with_ / without) * np.array([[-1], [1]])).sum(0) / np.sqrt((1 / with_ + 1 / without).sum(0))
-    return odds, (counts.sum(0) >= MIN_TEXTS) & (np.abs(odds) >= MIN_ODDS)
+    return odds, counts.sum(0) >= MIN_TEXTS, np.abs(odds) >= MIN_ODDS
 
 
-def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int = 16, rate: float = 0.1, batch: int = 64, seed: int = 7) -> ToxicityModel:
+def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int = 16, rate: float = 0.1, batch: int = 64, seed: int = 7, segment: int | None = SEGMENT, odds_start: bool = True) -> ToxicityModel:
     """Embeddings and softmax weights, jointly.
 
     A round picks each text's strongest segment under the present model, then descends along the gradients of these.
+    ``segment`` None averages whole texts; without ``odds_start`` all vectors and weights start at random, and all common
+    grams are learnt.
     """
     toxic = np.asarray(toxic, np.int64)
     if len(set(toxic.tolist())) < 2:
@@ -229,11 +234,13 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
     weights = rng.normal(0, 0.1, (dim, 2))
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic))
     row_sum, weight_sum, bias_sum = np.full(BUCKETS, 1e-4), np.full(weights.shape, 1e-4), np.full(2, 1e-4)
-    data = training_set(texts)
-    odds, common = gram_odds(data, toxic)
-    vectors *= 0.1
-    vectors[:, 0] += 0.05 * np.clip(odds, -10, 10)
-    weights[0] = (-0.5, 0.5)
+    data = training_set(texts, segment)
+    odds, common, told = gram_odds(data, toxic)
+    if odds_start:
+        vectors *= 0.1
+        vectors[:, 0] += 0.05 * np.clip(odds, -10, 10)
+        weights[0] = (-0.5, 0.5)
+        common &= told
     vectors[~common] = 0
     share = 1 / np.maximum(data.segment_size, SEGMENT_LEAST)
     scale = 8.0  # so that one word in a segment can decide
@@ -266,7 +273,7 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
             weights -= rate * to_weights / np.sqrt(weight_sum)
             bias -= rate * to_bias / np.sqrt(bias_sum)
     logits = scale * (vectors @ (weights[:, 1] - weights[:, 0]))
-    return ToxicityModel(logits.astype(np.float32), float(bias[1] - bias[0]))
+    return ToxicityModel(logits.astype(np.float32), float(bias[1] - bias[0]), segment=segment)
 
 
 def id_crc(col: Column) -> Column:
@@ -274,38 +281,37 @@ def id_crc(col: Column) -> Column:
     return F.crc32(col.cast("string").cast("binary"))
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int) -> DataFrame:
-    """At most ``max_train`` labelled texts of each class, those whose id has the smallest hash."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_bytes: int) -> DataFrame:
+    """``id, text, y`` of at most ``max_train`` labelled documents of each class, those whose id has the smallest hash.
+
+    Of these, in the same order, as many as have ``max_bytes`` of text together. Of rows that repeat an id, one counts.
+    """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     marks = marks.where(F.pmod(id_crc(F.col("id")), F.lit(3)) != 1)
     order = [F.xxhash64("id"), F.col("id")]
     picked = [marks.where(F.col("y") == y).orderBy(*order).limit(max_train) for y in (0, 1)]
-    picked = picked[0].unionByName(picked[1])
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
-    return texts.join(F.broadcast(picked), "id")  # at most 2 * max_train rows of two numbers
+    picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * max_train rows of two numbers
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(picked, "id")
+    own = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("key"))
+    one = rows.groupBy("id", "y").agg(F.min(own).alias("own"))  # of each id the shortest text
+    upto = F.sum("own.size").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    kept = one.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("id", "own.key")
+    return rows.join(F.broadcast(kept), (rows["id"] == kept["id"]) & (F.xxhash64("text") == kept["key"]), "left_semi").dropDuplicates(["id"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN) -> ToxicityModel:
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train).toPandas().sort_values(["id", "text"])
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
+    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train, max_bytes).toPandas().sort_values(["id", "text"])
     return train_model(rows["text"].tolist(), rows["y"].to_numpy())
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, score`` of each row."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = texts_of(docs, id_col, text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts, out, block, size = b.column("text").to_pylist(), [], [], 0
-            for t in texts:
-                block.append(t)
-                size += len(t)
-                if size > BLOCK:
-                    out.append(model.scores(block))
-                    block, size = [], 0
-            if block:
-                out.append(model.scores(block))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.concatenate(out) if out else [], pa.float64())], names=["doc_id", "score"])
+        for batch in batches:
+            for b in slices(batch, limit=BLOCK):
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(model.scores(b.column("text").to_pylist()), pa.float64())], names=["doc_id", "score"])
 
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
 

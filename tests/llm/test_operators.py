@@ -4,11 +4,13 @@ import base64
 import gzip
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from palisade.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentence_dedup, suffix_dedup, toxicity, url_filter
@@ -57,9 +59,11 @@ def collect(df, key="doc_id"):
 # ---------------------------------------------------------------- 10
 
 
-def test_exact_groups(spark, rows):
+@pytest.mark.parametrize("hash_of, hot_rows", [(F.xxhash64, 1000), (F.xxhash64, 1), (lambda c: F.xxhash64(F.length(c) % 3), 1000), (lambda c: F.length(c) % 2, 1)])
+def test_exact_groups(spark, rows, hash_of, hot_rows):
+    """Also with hashes that collide, so that chains of different texts are compared, and with hot ones."""
     rows, _ = rows
-    got = collect(exact_dedup.exact_groups(frame(spark, rows), bucket_capacity=3))
+    got = collect(exact_dedup.exact_groups(frame(spark, rows), bucket_capacity=3, hash_of=hash_of, hot_rows=hot_rows))
     groups = {}
     for i, t in rows:
         groups.setdefault(t or "", []).append(i)
@@ -106,8 +110,12 @@ def test_url_rules_and_vocabulary(spark):
 # ---------------------------------------------------------------- 2
 
 
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+FOLD = {c: c + 32 for c in range(65, 91)}
+
+
 def brute_shingles(text):
-    w = jaccard_join.WORD.findall((text or "").translate(jaccard_join.FOLD))
+    w = WORD.findall((text or "").translate(FOLD))
     return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
 
 
@@ -124,8 +132,8 @@ def test_jaccard_classes(spark, rows, monkeypatch):
                 todo.append(j)
         return seen
 
-    for block in (1024, 2):  # 2: groups are cut into many blocks
-        got = collect(jaccard_join.jaccard_classes(frame(spark, rows), block=block))
+    for block in (1 << 19, 100):  # 100: groups are cut into many blocks
+        got = collect(jaccard_join.jaccard_classes(frame(spark, rows), block_shingles=block))
         for i in sets:
             assert (got[i].n_shingles, got[i].component_id, got[i].n_links) == (len(sets[i]), min(reach(i)), len(links[i])), i
 
@@ -251,29 +259,50 @@ def test_language_model(spark):
 # ---------------------------------------------------------------- 5
 
 
+def brute_sentences(texts):
+    """Of each text: the sentences that runs of at least two sentences and 20 words (or whole shorter texts) remove."""
+    seen, out = set(), []
+    for t in texts:
+        words = [tuple(WORD.findall(s.translate(FOLD))) for s in sentence_dedup.sentences(t)]
+        full = [k for k, w in enumerate(words) if w]
+        gone = set()
+        small = sum(map(len, words)) < 20 or len(full) < 2
+        for x, s in enumerate(full):
+            for y in range(x, len(full)):
+                run = sum(words[s : full[y] + 1], ())
+                if (x == 0 and y == len(full) - 1) if small else (y > x and len(run) >= 20):
+                    if (run, small) in seen or (run, not small) in seen:
+                        gone |= set(range(s, full[y] + 1))
+                    seen.add((run, small))
+        out.append(gone)
+    return out
+
+
 def test_sentence_spans(spark, rows):
     rows, _ = rows
-    seen, expected = set(), {}
-    for i, t in sorted(rows):
-        parts = sentence_dedup.sentences(t)
-        gone = set()
-        for s, e, key in sentence_dedup.spans(parts):
-            if key in seen:
-                gone |= set(range(s, e))
-            seen.add(key)
-        expected[i] = (len(parts), len(gone), "".join(p for k, p in enumerate(parts) if k not in gone))
+    rows = sorted(rows) + [(200, "..."), (201, "?! a.b\nC d"), (202, "?! a.B\nc D"), (203, "one. " * 50), (204, "é É. " * 30)]
+    gone = brute_sentences([t for _, t in rows])
     got = collect(sentence_dedup.remove_repeats(frame(spark, rows)))
-    assert {i: (r.n_sentences, r.n_removed, r.kept) for i, r in got.items()} == expected
-    assert sum(e[1] for e in expected.values()) > 20
+    for (i, t), g in zip(rows, gone):
+        parts = sentence_dedup.sentences(t)
+        assert (got[i].n_sentences, got[i].n_removed, got[i].kept) == (len(parts), len(g), "".join(p for k, p in enumerate(parts) if k not in g)), i
+    assert sum(map(len, gone)) > 20
 
 
 def test_sentence_spans_of_equal_rows(spark):
-    text = " ".join(f"word{i}" for i in range(25)) + "."
-    got = sentence_dedup.remove_repeats(frame(spark, [(1, text), (1, text), (2, text)])).collect()
-    assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, 0), (1, 0), (2, 1)]
+    text = " ".join(f"word{i}." for i in range(25))
+    got = sentence_dedup.remove_repeats(frame(spark, [(1, text), (1, text), (2, text), (None, "x. y."), (None, "x. y."), (0, "X.  y.")])).collect()
+    assert sorted((r.doc_id or -1, r.n_removed) for r in got) == [(-1, 0), (-1, 0), (-1, 2), (1, 0), (1, 0), (2, 25)]
+
 
+def test_one_sentence_is_no_run(spark):
+    one = "".join(f" w{k}" for k in range(40)) + "."
+    got = collect(sentence_dedup.remove_repeats(frame(spark, [(1, "a b c." + one + " d e."), (2, "f g." + one + " h."), (3, one), (4, one)])))
+    assert [got[i].n_removed for i in (1, 2, 3, 4)] == [0, 0, 0, 1]
 
-def test_sentence_runs_of_every_length(spark):
+
+def test_sentence_runs_of_every_length(spark, monkeypatch):
+    monkeypatch.setattr("palisade.llm.common.SLICE_BYTES", 1500)  # repeats within runs of documents and across them
     rng = random.Random(3)
 
     def sentence(k):
@@ -286,36 +315,22 @@ def test_sentence_runs_of_every_length(spark):
         parts = sentence_dedup.sentences(rng.choice(texts))
         a = rng.randrange(len(parts))
         texts.append("".join(sentence(rng.randint(1, 30)) for _ in range(3)) + "".join(parts[a : a + rng.randint(1, 6)]) + sentence(rng.randint(1, 30)))
-    seen, expected = set(), {}
-    for i, t in enumerate(texts):
-        words = [tuple(s.split()) for s in sentence_dedup.sentences(t)]
-        gone = set()
-        for s in range(len(words)):
-            for e in range(s + 1, len(words) + 1):
-                run = sum(words[s:e], ())
-                if len(run) >= 20 or (s == 0 and e == len(words)):
-                    if run in seen:
-                        gone |= set(range(s, e))
-                    seen.add(run)
-        expected[i] = gone
+    expected = brute_sentences(texts)
     got = collect(sentence_dedup.remove_repeats(frame(spark, list(enumerate(texts)))))
     for i, t in enumerate(texts):
         assert got[i].kept == "".join(p for k, p in enumerate(sentence_dedup.sentences(t)) if k not in expected[i])
     assert expected[1] == {1, 2} and expected[3] == {0, 1, 2} and expected[5] == {0, 1}
 
 
-def test_sentence_spans_without_ends_are_those_of_the_sql(spark):
+def test_sentence_spans_equal_the_sql(spark):
     import duckdb
 
     path = "/root/testdata/sf0.001/documents.parquet"
-    docs = spark.read.parquet(path)
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{path}')")
-    want = con.sql(f"select doc_id, n_removed from ({sentence_dedup.OP5_SQL})").fetchall()
-    got = sentence_dedup.remove_repeats(docs, ends=False).select("doc_id", "n_removed").collect()
+    want = con.sql(f"select doc_id, n_removed, n_spans, kept_sha256 from ({sentence_dedup.OP5_SQL})").fetchall()
+    got = sentence_dedup.op5_sentence_dedup(spark, "/root/testdata/sf0.001").select("doc_id", "n_removed", "n_spans", "kept_sha256").collect()
     assert sorted(map(tuple, got)) == sorted(want)
-    whole = dict(map(tuple, sentence_dedup.remove_repeats(docs).select("doc_id", "n_removed").collect()))
-    assert all(whole[i] >= n for i, n in want)
 
 
 # ---------------------------------------------------------------- 6
@@ -332,6 +347,10 @@ def test_contamination(spark, rows):
         for k in range(max(1, len(w) - 9) if w else 0):
             windows.setdefault(tuple(w[k : k + 10]), set()).add(str(item))
     bench = spark.createDataFrame(items, "item_id long, text string")
+    index = decontamination.Items([(str(i), t) for i, t in items])
+    raw = [t.encode() if t else None for _, t in texts]
+    for got, whole in zip(index.hits(raw), index.hits(raw, all_words=True)):
+        assert list(got) == list(whole)  # known runs alone find what an index of the whole shard finds
     for block_bytes in (1 << 20, 40):  # the second makes a block of each item
         got = collect(decontamination.find_contamination(frame(spark, texts), bench, block_bytes=block_bytes))
         for i, t in texts:
@@ -345,6 +364,17 @@ def test_contamination(spark, rows):
             spans = got[i].spans
             assert (got[i].n_words, {k for a, b in zip(spans[::2], spans[1::2]) for k in range(a, b)}, got[i].items) == (len(w), hit, sorted(found)), i
     assert all(r.n_words >= 0 and not r.spans for r in decontamination.find_contamination(frame(spark, texts), bench.limit(0)).collect())
+    nameless = spark.createDataFrame([(None, passage), (7, passage)], "item_id long, text string")
+    assert {tuple(r.items) for r in decontamination.find_contamination(frame(spark, texts), nameless).collect()} == {(), ("7", "null")}
+    assert decontamination.find_contamination(frame(spark, []).limit(0), bench).collect() == []
+
+
+def test_contamination_of_long_texts_in_slices(spark, monkeypatch):
+    monkeypatch.setattr("palisade.llm.common.SLICE_BYTES", 300)
+    item = " ".join(f"w{k}" for k in range(30))
+    long = " ".join(f"x{k % 977}" for k in range(400_000)) + " " + item  # 2.3 MB
+    got = collect(decontamination.find_contamination(frame(spark, [(1, long), (2, "a " + item), (3, "w1 w2 w3"), (4, None)]), spark.createDataFrame([(5, item)], "item_id long, text string")))
+    assert [(got[i].n_words, got[i].spans) for i in (1, 2, 3, 4)] == [(400_030, [400_000, 400_030]), (31, [1, 31]), (3, []), (0, [])]
 
 
 def test_fm_index():

@@ -5,7 +5,7 @@ import pytest
 import corpus_pipeline
 from palisade.llm import decontamination, toxicity
 
-from .test_operators import corpus
+from .test_operators import brute_shingles, corpus
 
 
 @pytest.fixture(scope="module")
@@ -35,6 +35,13 @@ def test_stages(spark, folder):
     assert kept[0] == {r.doc_id for r in toxicity.score(docs, model).collect() if r.score < toxicity.THRESHOLD}
     texts = [r.text for r in docs.collect() if r.doc_id in kept[1]]
     assert len(set(texts)) == len(texts) == len({r.text for r in docs.collect() if r.doc_id in kept[0]})
+    sets = {r.doc_id: brute_shingles(r.text) for r in docs.collect() if r.doc_id in kept[1]}
+    near = {i: {j for j in sets if sets[i] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])} for i in sets}
+    for _ in sets:  # each document's smallest reachable id, by repeated minima
+        near = {i: set().union(n, *(near[j] for j in n)) for i, n in near.items()}
+        if all(near[i] == set().union(*(near[j] for j in near[i])) for i in near):
+            break
+    assert kept[2] == {i for i in sets if i == min(near[i] | {i})} and len(kept[2]) < len(kept[1])
     assert all(not r.spans for r in decontamination.find_contamination(before, bench).collect())
     packed = corpus_pipeline.STAGES[-1][1](spark, before, folder)
     assert {r.doc_id for r in packed.collect()} == kept[-1]
