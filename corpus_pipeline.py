@@ -1,7 +1,8 @@
 """A corpus pipeline over ``documents``: five stages, each written as Parquet and read again by the next.
 
 Rows are told apart by their id: where rows repeat an id, a decision on one of them holds for all of them (but of equal
-rows the exact deduplication keeps one). A null id is an id like any other to all stages. Null texts count as empty: they have
+rows the exact deduplication keeps one). A null id is an id like any other, but no document without an id goes
+as a near copy. Null texts count as empty: they have
 the score of the bias, of all of them one stays, they link with nothing, hold no benchmark window and pack as the end id. Texts
 of any length are worked on whole. Empty tables give empty results, and without labels nothing is toxic. Extra columns pass
 through all stages but the last.
