@@ -632,7 +632,7 @@ SELECT value, indicator, indicator_kind, CAST(prefix AS INTEGER) AS prefix FROM
 def incident_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents of egress and intelligence findings: a match joins every incident that names its address, and stands alone only if none does."""
     t = _telemetry(spark, sf_dir)
-    found = with_finding_id(network.detect_egress(t.connections, EGRESS).unionByName(intel.detect_intel(t.connections, t.dns, t.indicators, INTEL)))
+    found = with_finding_id(network.detect_egress(t.connections, EGRESS).unionByName(intel.detect_intel(t.connections, t.dns, t.indicators, INTEL))).persist()  # few rows, read several times
     return incidents.members(found).groupBy("incident", "predicate").agg(F.count("*").alias("findings"))
 
 
@@ -863,14 +863,14 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, findings_all, intel_capped, netblock_links, match_ipv6, incident_attached, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
-    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "incident_attached": ATTACHED_SQL,
+    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, 
     "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
     "process_commands": COMMANDS_SQL, "named_objects": OBJECTS_SQL, "src_netflow_lines": SRC_NETFLOW_SQL, "src_dns_lines": SRC_DNS_SQL, "src_ssl_lines": SRC_SSL_SQL, "src_indicator_lines": SRC_INDICATOR_SQL, "src_asset_lines": SRC_ASSET_SQL,
 }
