@@ -2,6 +2,7 @@
 
 from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
+from .filter_audit import OP11_SQL, op11_filter_audit
 from .jaccard_join import OP2_SQL, op2_ngram_jaccard
 from .language_id import op7_language_id
 from .packing import op3_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_filter_audit": op11_filter_audit,
 }
 #: Packing, learnt models, recursive decoding and byte-wise suffixes have no SQL: their tests compare with brute force.
 ORACLE_SQL = {
@@ -30,4 +32,5 @@ ORACLE_SQL = {
     "op5_sentence_dedup": OP5_SQL,
     "op6_decontamination": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
+    "op11_filter_audit": OP11_SQL,
 }
