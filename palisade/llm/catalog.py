@@ -8,6 +8,7 @@ from .language_id import op7_language_id
 from .packing import op3_best_fit_packing
 from .secret_scan import op8_secret_scan
 from .sentence_dedup import OP5_SQL, op5_sentence_dedup
+from .shortest_packing import op12_shortest_packing
 from .suffix_dedup import op9_suffix_dedup
 from .toxicity import op4_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
@@ -24,6 +25,7 @@ QUERIES = {
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_exact_dedup": op10_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
+    "op12_shortest_packing": op12_shortest_packing,
 }
 #: Packing, learnt models, recursive decoding and byte-wise suffixes have no SQL: their tests compare with brute force.
 ORACLE_SQL = {
