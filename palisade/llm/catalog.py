@@ -3,6 +3,7 @@
 from .decontamination import OP6_SQL, op6_decontamination
 from .exact_dedup import OP10_SQL, op10_exact_dedup
 from .filter_audit import OP11_SQL, op11_filter_audit
+from .importance_resampling import OP13_SQL, op13_importance_resampling
 from .jaccard_join import OP2_SQL, op2_ngram_jaccard
 from .language_id import op7_language_id
 from .packing import op3_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES = {
     "op10_exact_dedup": op10_exact_dedup,
     "op11_filter_audit": op11_filter_audit,
     "op12_shortest_packing": op12_shortest_packing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 #: Packing, learnt models, recursive decoding and byte-wise suffixes have no SQL: their tests compare with brute force.
 ORACLE_SQL = {
@@ -35,4 +37,5 @@ ORACLE_SQL = {
     "op6_decontamination": OP6_SQL,
     "op10_exact_dedup": OP10_SQL,
     "op11_filter_audit": OP11_SQL,
+    "op13_importance_resampling": OP13_SQL,
 }
