@@ -7,11 +7,11 @@ Only grams of the landmarks can meet, so a batch of texts is a 0/1 matrix over t
 them, if that parameter is given), and scoring is two matrix products.
 
 Training texts are a bounded sample: at most ``per_lang`` of each language, those with the smallest hash of their id, with at
-most ``max_bytes`` of text in a language; the first ``LANDMARKS`` of all, dealt evenly to the languages, are the landmarks.
+most ``max_bytes`` of text in a language, none of them over an eighth of that; the first ``LANDMARKS`` of all, dealt evenly to the languages, are the landmarks.
 The sample takes two scans of the ids, whatever the number of languages. Scoring is row-local: one scan, no shuffle.
 
 Defined edge cases: a null text or one without a letter is ``und`` with score 0; a letter that no landmark has counts for
-nothing; of rows that repeat an id, one trains; without training texts everything is ``und``; more than ``max_langs``
+nothing; of rows that repeat an id, the shortest one trains; a language with only oversized texts isn't learnt; without training texts everything is ``und``; more than ``max_langs``
 languages are refused; a text of any length is scored whole (about 60 bytes of memory for each of its characters); an empty
 table gives an empty result; other columns are ignored, whatever their names.
 """
@@ -32,6 +32,8 @@ from .toxicity import id_crc
 GRAMS = (1, 2, 3, 4)
 LANDMARKS = 160
 PER_LANG, MAX_BYTES = 500, 4 << 20
+#: A text of more than this part of ``max_bytes`` isn't learnt from: it would leave no room for others.
+LARGEST_SHARE = 8
 MAX_LANGS = 400
 BUCKETS = 1 << 20
 RIDGE = 0.1
@@ -161,6 +163,7 @@ def training_rows(rows: DataFrame, per_lang: int, max_bytes: int, max_langs: int
     # An id's hash lies below the limit for about four times as many ids as are wanted.
     limit = counts.select("lang", F.when(F.col("rows") <= 4 * per_lang, 2.0).otherwise(4.0 * per_lang / F.col("rows")).alias("share"))
     hashed = rows.select("id", "lang", F.octet_length("text").alias("size"), F.xxhash64("text").alias("key"), F.xxhash64("id").alias("h"))
+    hashed = hashed.where(F.col("size") <= max_bytes // LARGEST_SHARE)
     near = hashed.join(F.broadcast(limit), "lang").where(F.col("h") / F.lit(2.0**64) + 0.5 < F.col("share"))  # at most max_langs rows
     one = near.groupBy("lang", "h", "id").agg(F.min(F.struct("size", "key")).alias("own"))
     w = Window.partitionBy("lang").orderBy("h", "id").rowsBetween(Window.unboundedPreceding, 0)
@@ -169,96 +172,11 @@ def training_rows(rows: DataFrame, per_lang: int, max_bytes: int, max_langs: int
     return rows.withColumn("key", F.xxhash64("text")).join(picked, ["id", "lang", "key"]).dropDuplicates(["id", "lang"]).select("h", "id", "text", "lang")
 
 
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS, features: int | None = None) -> LanguageModel:
+def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG, max_bytes: int = MAX_BYTES, max_langs: int = MAX_LANGS, landmarks: int = LANDMARKS, features: int | None = None) -> LanguageModel:
     """From the texts that may be learnt from: ``docs`` has only those."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("id is not null and lang is not null and text is not null")
     got = training_rows(rows, per_lang, max_bytes, max_langs).toPandas().sort_values(["h", "id", "text"])
-    return train_model(got["text"].tolist(), got["lang"].tolist(), features=features)
-
-
-def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        if not self.langs:
-            return ["und"] * len(texts), np.zeros(len(texts))
-        langs, scores = [], []
-        block: list[str] = []
-
-        def flush() -> None:
-            if block:
-                z = (self.kernels(block) @ self.weights + self.bias) * SHARP
-                z = np.exp(z - z.max(1, keepdims=True))
-                best = z.argmax(1)
-                langs.extend(self.langs[i] for i in best)
-                scores.append(z[np.arange(len(z)), best] / z.sum(1))
-                block.clear()
-
-        size = 0
-        for t in texts:
-            block.append(t)
-            size += len(t)
-            if len(block) >= BLOCK_TEXTS or size > BLOCK_CHARS:
-                flush()
-                size = 0
-        flush()
-        scores = np.concatenate(scores) if scores else np.zeros(0)
-        for i, t in enumerate(texts):
-            if not any(map(str.isalpha, t)):
-                langs[i], scores[i] = "und", 0.0
-        return langs, scores
-
-
-def train_model(texts: list[str], langs: list[str], landmarks: int = LANDMARKS, features: int | None = None, ridge: float = RIDGE) -> LanguageModel:
-    names = sorted(set(langs))
-    if not names:
-        return LanguageModel([], np.zeros(BUCKETS, np.int32), np.zeros((0, 0), np.float32), np.zeros((0, 0)), np.zeros(0))
-    each = max(1, landmarks // len(names))
-    taken: dict[str, int] = {}
-    marks = []
-    for i, lang in enumerate(langs):
-        if taken.setdefault(lang, 0) < each:
-            taken[lang] += 1
-            marks.append(i)
-    found = np.zeros(BUCKETS, np.int64)
-    for bucket, owner in gram_hashes([texts[i] for i in marks]):
-        found += np.bincount(np.unique(owner.astype(np.int64) * BUCKETS + bucket) % BUCKETS, minlength=BUCKETS)
-    chosen = np.lexsort((np.arange(BUCKETS), -found))[:features]
-    chosen = chosen[found[chosen] > 0]
-    column = np.full(BUCKETS, len(chosen), np.int32)
-    column[chosen] = np.arange(len(chosen))
-    model = LanguageModel(names, column, np.zeros((0, len(chosen)), np.float32), np.zeros((0, 0)), np.zeros(0))
-    z = model.presence([texts[i] for i in marks])
-    model.landmarks = z / np.sqrt(np.maximum(z.sum(1, keepdims=True), 1))
-    own = model.landmarks @ model.landmarks.T
-    values, vectors = np.linalg.eigh(own.astype(np.float64))
-    root = vectors @ np.diag(1 / np.sqrt(np.maximum(values, 1e-6))) @ vectors.T
-    phi = np.concatenate([model.kernels(texts[i : i + 64]) for i in range(0, len(texts), 64)]) @ root
-    y = np.where(np.array(langs)[:, None] == np.array(names)[None], 1.0, -1.0)
-    count = np.array([langs.count(n) for n in langs], float)
-    w = (1 / count)[:, None]  # each language weighs the same
-    w = w / w.mean()
-    center, mean_y = (w * phi).mean(0), (w * y).mean(0)
-    a, b = phi - center, y - mean_y
-    solved = np.linalg.solve((w * a).T @ a + ridge * np.eye(a.shape[1]), (w * a).T @ b)
-    model.weights = (root @ solved).astype(np.float32)
-    model.bias = mean_y - center @ solved
-    return model
-
-
-def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_lang: int = PER_LANG) -> LanguageModel:
-    """From the texts that may be learnt from: ``docs`` has only those."""
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("lang is not null and text is not null")
-    names = [r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGS + 1).collect()]
-    if len(names) > MAX_LANGS:
-        raise ValueError(f"more than {MAX_LANGS} languages")
-    if not names:
-        return train_model([], [])
-    ids = rows.select("id", "lang", F.xxhash64("id").alias("h"))
-    picked = None
-    for name in sorted(names):
-        part = ids.where(F.col("lang") == name).orderBy("h", "id").limit(per_lang)
-        picked = part if picked is None else picked.unionByName(part)
-    sample = rows.join(F.broadcast(picked.select("id", "lang", "h").distinct()), ["id", "lang"])  # at most MAX_LANGS * per_lang rows
-    got = sample.toPandas().sort_values(["h", "id", "text"])
-    return train_model(got["text"].tolist(), got["lang"].tolist())
+    return train_model(got["text"].tolist(), got["lang"].tolist(), landmarks, features)
 
 
 def predict(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

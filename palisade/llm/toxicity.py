@@ -36,6 +36,8 @@ SEGMENT_LEAST = 8
 DIM = 8
 THRESHOLD = 0.7
 MAX_TRAIN, MAX_BYTES = 3000, 24 << 20
+#: A text of more than this part of ``max_bytes`` isn't learnt from.
+LARGEST_SHARE = 8
 #: A gram in fewer training texts keeps a zero vector: it can only be learnt by heart.
 MIN_TEXTS = 8
 #: Few training texts are gone through more often, up to so many steps in all.
@@ -284,7 +286,8 @@ def id_crc(col: Column) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, max_train: int, max_bytes: int) -> DataFrame:
     """``id, text, y`` of at most ``max_train`` labelled documents of each class, those whose id has the smallest hash.
 
-    Of these, in the same order, as many as have ``max_bytes`` of text together. Of rows that repeat an id, one counts.
+    Of these, in the same order, as many as have ``max_bytes`` of text together; a text of over an eighth of that isn't learnt from, as
+    it would leave no room for others. Of rows that repeat an id, the shortest one counts.
     """
     marks = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y"))
     marks = marks.where(F.pmod(id_crc(F.col("id")), F.lit(3)) != 1)
@@ -293,7 +296,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     picked = F.broadcast(picked[0].unionByName(picked[1]))  # at most 2 * max_train rows of two numbers
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull()).join(picked, "id")
     own = F.struct(F.octet_length("text").alias("size"), F.xxhash64("text").alias("key"))
-    one = rows.groupBy("id", "y").agg(F.min(own).alias("own"))  # of each id the shortest text
+    one = rows.groupBy("id", "y").agg(F.min(own).alias("own")).where(F.col("own.size") <= max_bytes // LARGEST_SHARE)  # of each id the shortest text
     upto = F.sum("own.size").over(Window.partitionBy("y").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     kept = one.withColumn("upto", upto).where(F.col("upto") <= max_bytes).select("id", "own.key")
     return rows.join(F.broadcast(kept), (rows["id"] == kept["id"]) & (F.xxhash64("text") == kept["key"]), "left_semi").dropDuplicates(["id"])
