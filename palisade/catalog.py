@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
@@ -16,6 +16,7 @@ from .operators import host, intel, names, network
 from .operators.findings import check_grammar, with_finding_id
 from .plans import detectors, incidents, readiness, views
 from .sources import text
+from .sources.shared import Store
 from .streaming import summaries
 
 W = views.VIEWS_SQL
@@ -251,8 +252,9 @@ INTEL = intel.IntelParams(max_age_days=20_000, half_life_days=9000.0)
 
 
 def det_intel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
-    matched = intel.matched_values(views.connections(spark, sf_dir), views.dns(spark, sf_dir), feed)
+    store = Store(spark)
+    feed = store.put(intel.normalised_indicators(views.indicators(spark, sf_dir)), "feed")
+    matched = intel.matched_values(views.connections(spark, sf_dir), views.dns(spark, sf_dir), feed, store)
     return intel.score_matches(matched, feed, INTEL).select("kind", "value", "indicator", "indicator_kind", "events", "peers", "roles", "age_days", *_r("score"))
 
 
@@ -325,18 +327,81 @@ SELECT anchor, other, answer, breadth, round(least(0.95, 2 / breadth), 4) AS sco
 # ---------------------------------------------------------------- beaconing
 
 
+BEACONS = network.BeaconParams(min_score=0.05, period=(1.0, 1e9))
+
+
 def det_beaconing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = network.BeaconParams(min_score=0.05, period=(1.0, 1e9))
-    return network.score_beacons(views.connections(spark, sf_dir, dense=True), p).select(*network.PAIR, "checkins", *_r("gap_median", "gap_mad", *network.BEACON_PARTS, "score"))
+    return network.score_beacons(views.connections(spark, sf_dir, dense=True), BEACONS).select(*network.PAIR, "checkins", *_r("gap_median", "gap_mad", *network.BEACON_PARTS, "score"))
+
+
+def _spread_sql(rows: str, value: str, prefix: str) -> str:
+    """Count, median, lower quartile and MAD of a value by pair, as common table expressions ``{prefix}q`` and ``{prefix}a``."""
+    return f"""{prefix}q AS (SELECT {_P}, count(*) AS {prefix}n, median({value}) AS {prefix}m, quantile_cont({value}, 0.25) AS {prefix}25 FROM {rows} GROUP BY ALL),
+{prefix}a AS (SELECT {_P}, median(abs({value} - {prefix}m)) AS {prefix}mad FROM {rows} JOIN {prefix}q USING ({_P}) GROUP BY ALL)"""
+
+
+def _dispersion_sql(median: str, mad: str) -> str:
+    return f"CASE WHEN {median} IS NULL OR abs({median}) < 1e-9 THEN 1.0 ELSE {mad} / abs({median}) END"
+
+
+_P = "src_ip, dst_ip, dst_port"
+
+
+def _beacon_sql(table: str) -> str:
+    return f"""
+WITH {W}, bs AS (SELECT {_P}, count(*) AS flows, min(ts) AS fs, max(ts) AS ls FROM {table} GROUP BY ALL), bh AS (SELECT dst_ip, count(DISTINCT src_ip) AS hosts FROM bs GROUP BY 1),
+bc AS (SELECT * FROM bs WHERE flows >= 24 AND ls - fs >= 3600 AND dst_port NOT IN (53, 123)),
+br AS (SELECT {_P}, ts, orig_bytes, row_number() OVER w AS rn, ts - lag(ts) OVER w AS gap FROM (SELECT * FROM {table} SEMI JOIN bc USING ({_P})) WINDOW w AS (PARTITION BY {_P} ORDER BY ts)),
+bl AS (SELECT {_P}, log10(gap) AS x FROM br WHERE gap > 0),
+be AS (SELECT {_P}, count(*) AS n, min(x) AS lo, max(x) AS hi FROM bl GROUP BY ALL HAVING count(*) >= 8 AND max(x) - min(x) >= 1),
+bb AS (SELECT {_P}, n, lo, hi, least(63, CAST(floor((x - lo) / ((hi - lo) / 64)) AS INTEGER)) AS bin, count(*) AS c FROM bl JOIN be USING ({_P}) GROUP BY ALL),
+bm AS (SELECT *, lo + (bin + 0.5) * ((hi - lo) / 64) AS center FROM bb),
+bo AS (SELECT *, sum(c) OVER r / n AS mass, sum(c * center) OVER r / n AS moment, sum(c * center) OVER (PARTITION BY {_P}) / n AS mean FROM bm WINDOW r AS (PARTITION BY {_P} ORDER BY bin)),
+bt AS (SELECT {_P}, arg_max(center, (round(spread, 12), -bin)) AS center FROM (SELECT *, pow(mean * mass - moment, 2) / nullif(mass * (1 - mass), 0) AS spread FROM bo) WHERE spread IS NOT NULL GROUP BY ALL),
+th AS (SELECT {_P}, pow(10, center) AS threshold FROM (SELECT {_P}, any_value(center) AS center, avg(CASE WHEN x <= center THEN 1.0 ELSE 0.0 END) AS below FROM bl JOIN bt USING ({_P}) GROUP BY ALL) WHERE below BETWEEN 0.1 AND 0.9),
+bu AS (SELECT *, sum(CASE WHEN threshold IS NULL OR gap IS NULL OR gap > threshold THEN 1 ELSE 0 END) OVER (PARTITION BY {_P} ORDER BY rn) AS burst FROM br LEFT JOIN th USING ({_P})),
+ci AS (SELECT {_P}, burst, min(ts) AS ts, CAST(sum(orig_bytes) AS DOUBLE) AS bytes FROM bu GROUP BY ALL),
+eg AS (SELECT *, ts - lag(ts) OVER (PARTITION BY {_P} ORDER BY burst) AS gap FROM ci), gp AS (SELECT * FROM eg WHERE gap > 0), sz AS (SELECT * FROM eg WHERE bytes IS NOT NULL),
+ec AS (SELECT {_P}, count(*) AS checkins, min(ts) AS e0, max(ts) AS e1 FROM eg GROUP BY ALL HAVING count(*) >= 24),
+{_spread_sql('gp', 'gap', 'g')}, {_spread_sql('sz', 'bytes', 's')},
+sx AS (SELECT * FROM ec JOIN gq USING ({_P}) JOIN ga USING ({_P}) LEFT JOIN sq USING ({_P}) LEFT JOIN sa USING ({_P}) WHERE gn >= 3 AND gm BETWEEN 1 AND 1e9),
+r0 AS (SELECT *, CASE WHEN 2.5 * gmad <= gm / 2 THEN least(greatest(2.5 * gmad, gm / 4), gm / 2) END AS base FROM sx WHERE e1 > e0),
+r1 AS (SELECT *, CASE WHEN floor((e1 - e0) / base) + 1 > 200000 THEN CASE WHEN (e1 - e0) / 200000 <= gm / 2 THEN (e1 - e0) / 200000 END ELSE base END AS res FROM r0),
+r2 AS (SELECT *, CAST(least(floor((e1 - e0) / res) + 1, 200000) AS BIGINT) AS bins FROM r1 WHERE res > 0),
+r3 AS (SELECT {_P}, e0, res, bins, greatest(1, CAST(round_even(0.8 * gm / res, 0) AS BIGINT)) AS lo, least(CAST(round_even(1.2 * gm / res, 0) AS BIGINT), bins - 1) AS hi FROM r2),
+pb AS (SELECT {_P}, bins, lo, hi, least(CAST(floor((ts - e0) / res) AS BIGINT), bins - 1) AS bin, count(*) AS c FROM eg JOIN r3 USING ({_P}) WHERE hi >= lo GROUP BY ALL),
+pt AS (SELECT {_P}, sum(c) AS total, sum(c * c) AS squares FROM pb GROUP BY ALL),
+pl2 AS (SELECT {_P}, bins, bin, c, unnest(range(lo, hi + 1)) AS lag FROM pb),
+px2 AS (SELECT l.src_ip, l.dst_ip, l.dst_port, l.lag, l.bins, sum(l.c * coalesce(o.c, 0)) AS crossed, sum(CASE WHEN l.bin < l.bins - l.lag THEN l.c ELSE 0 END) AS head, sum(CASE WHEN l.bin >= l.lag THEN l.c ELSE 0 END) AS tail
+  FROM pl2 l LEFT JOIN pb o ON l.src_ip = o.src_ip AND l.dst_ip = o.dst_ip AND l.dst_port = o.dst_port AND l.bin + l.lag = o.bin GROUP BY ALL),
+pz AS (SELECT *, total / bins AS mu, squares - bins * (total / bins) * (total / bins) AS under FROM px2 JOIN pt USING ({_P})),
+pd AS (SELECT {_P}, least(1.0, greatest(0.0, max(CASE WHEN under > 0 THEN (crossed - mu * (head + tail) + (bins - lag) * mu * mu) / under ELSE 0 END))) AS periodicity FROM pz GROUP BY ALL),
+j AS (SELECT sx.*, periodicity, hosts, (ls - fs) / gm AS expected FROM sx JOIN bc USING ({_P}) JOIN bh USING (dst_ip) LEFT JOIN pd USING ({_P})),
+q AS (SELECT {_P}, checkins, gm AS gap_median, gmad AS gap_mad, 1 - least(1.0, ({_dispersion_sql('gm', 'gmad')}) / 0.6) AS interval_regularity, 1 - least(1.0, CASE WHEN gn < 4 THEN 0 ELSE (gm - g25) / gm END / 0.6) AS schedule_floor,
+  CASE WHEN sn >= 3 THEN 1 - least(1.0, ({_dispersion_sql('sm', 'smad')}) / 0.5) END AS payload_uniformity, periodicity, least(gn, expected) / greatest(gn, expected) * {_sat('checkins', 15)} AS persistence, 1 / sqrt(hosts) AS destination_rarity FROM j),
+s AS (SELECT *, {_gm(dict(zip(network.BEACON_PARTS, network.BeaconParams.weights)))} AS score FROM q)
+SELECT {_P}, checkins, {_rs('gap_median', 'gap_mad', *network.BEACON_PARTS, 'score')} FROM (SELECT * FROM s WHERE score >= 0.05 ORDER BY round(score, 9) DESC, {_P} LIMIT 200)
+"""
+
+
+BEACON_SQL = _beacon_sql("dense")
+
+
+def _gap_spread(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
+    store = Store(spark)
+    conn = views.connections(spark, sf_dir, dense=True)
+    gaps = store.put(conn.withColumn("value", F.col("ts") - F.lag("ts").over(Window.partitionBy(*network.PAIR).orderBy("ts"))).where("value > 0").select(*network.PAIR, F.lit("gap").alias("what"), "value"), "gaps")
+    return network.spreads(gaps, store, **options).select(*network.PAIR, F.col("n").alias("gap_n"), F.round("median", 4).alias("gap_median"), F.round("q25", 4).alias("gap_q25"), F.round("mad", 4).alias("gap_mad"))
 
 
 def beacon_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Count, median and MAD of each pair's gaps."""
-    from pyspark.sql import Window
+    """Count, median, lower quartile and MAD of each pair's gaps."""
+    return _gap_spread(spark, sf_dir)
 
-    conn = views.connections(spark, sf_dir, dense=True)
-    gaps = conn.withColumn("gap", F.col("ts") - F.lag("ts").over(Window.partitionBy(*network.PAIR).orderBy("ts"))).where("gap > 0")
-    return network._spread(gaps, "gap", "gap").select(*network.PAIR, "gap_n", *_r("gap_median", "gap_q25", "gap_mad"))
+
+def gap_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with every pair as one of too many rows to hold: all quantiles come from histograms."""
+    return _gap_spread(spark, sf_dir, most=0)
 
 
 GAPS_SQL = f"""
@@ -358,9 +423,10 @@ MERGED_SQL = f"WITH {W} SELECT src_ip, dst_ip, dst_port, count(*) AS flows, CAST
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    conn = views.connections(spark, sf_dir)
-    parts = [network.detect_fanout(conn, FANOUT), network.detect_egress(conn, EGRESS), network.detect_alerts(views.alerts(spark, sf_dir), ALERTS), names.detect_fingerprints(views.ssl(spark, sf_dir), TLS)]
-    return with_finding_id(check_grammar(reduce(DataFrame.unionByName, parts))[0])
+    conn, store = views.connections(spark, sf_dir), Store(spark)
+    pairs = store.put(network.pair_totals(conn), "pairs")
+    parts = [network.detect_fanout(conn, FANOUT, pairs=pairs), network.detect_egress(conn, EGRESS, pairs=pairs, store=store), network.detect_alerts(views.alerts(spark, sf_dir), ALERTS), names.detect_fingerprints(views.ssl(spark, sf_dir), TLS)]
+    return store.put(with_finding_id(check_grammar(reduce(DataFrame.unionByName, parts))[0]), "findings")
 
 
 def incident_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -396,7 +462,7 @@ def incident_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hunt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Other subjects that meet what the findings name; per predicate and value, since ids are content hashes."""
-    found = _findings(spark, sf_dir).persist()  # few rows, read twice
+    found = _findings(spark, sf_dir)
     p = incidents.pivots(found)
     rows = incidents.history(views.connections(spark, sf_dir), ssl=views.ssl(spark, sf_dir), alerts=views.alerts(spark, sf_dir))
     hits = incidents.hunt(p, rows).join(p.select("finding_id", "predicate", "field", "value", "excluded"), "finding_id")
@@ -555,7 +621,7 @@ def _telemetry(spark: SparkSession, sf_dir: str) -> detectors.Telemetry:
     return detectors.Telemetry(views.connections(spark, sf_dir), views.dns(spark, sf_dir), views.ssl(spark, sf_dir), views.alerts(spark, sf_dir), views.processes(spark, sf_dir), feed)
 
 
-ALL = detectors.registry(beacons=network.BeaconParams(min_score=0.05, period=(1.0, 1e9)), fanout=FANOUT, egress=EGRESS, tunnels=TUNNEL, alerts=ALERTS, matches=INTEL, tls=TLS, dga=DGA, hosts=HOST, samples=0)
+ALL = detectors.registry(beacons=BEACONS, fanout=FANOUT, egress=EGRESS, tunnels=TUNNEL, alerts=ALERTS, matches=INTEL, tls=TLS, dga=DGA, hosts=HOST, samples=0)
 
 
 def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -863,11 +929,11 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
-    "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
+    "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
     "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, 

@@ -66,8 +66,11 @@ def prevalence_ceiling(p: HostParams) -> int:
 
 
 def score_processes(processes: DataFrame, p: HostParams = HostParams()) -> DataFrame:
+    return score_process_triples(process_triples(processes), p)
+
+
+def score_process_triples(triples: DataFrame, p: HostParams = HostParams()) -> DataFrame:
     """Every (host, image) rare enough, before the caps."""
-    triples = process_triples(processes)
     gate = estate_baseline(triples, p).where("gate is null").select("hosts")
     rare = _image_hosts(triples).where(F.col("image_hosts") <= prevalence_ceiling(p))
     runs = triples.groupBy("host", "image_name").agg(F.sum("n").alias("executions"), F.max("path_anomaly").alias("path_anomaly"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("artifact", F.struct("first_seen", "parent_name")).alias("artifact"))
@@ -85,8 +88,11 @@ def capped(scored: DataFrame, p: HostParams, *tie: str) -> DataFrame:
 
 
 def score_lineage(processes: DataFrame, p: HostParams = HostParams()) -> DataFrame:
+    return score_lineage_triples(process_triples(processes), p)
+
+
+def score_lineage_triples(triples: DataFrame, p: HostParams = HostParams()) -> DataFrame:
     """Every (host, parent, image) odd enough whose image isn't claimed as rare on that host, before the caps."""
-    triples = process_triples(processes)
     gate = estate_baseline(triples, p).where("gate is null").select("hosts")
     pairs = triples.where("parent_name is not null")
     edges = pairs.groupBy("parent_name", "image_name").agg(F.count_distinct("host").alias("pair_hosts"), F.sum("n").alias("pair_executions"))
@@ -103,7 +109,7 @@ def score_lineage(processes: DataFrame, p: HostParams = HostParams()) -> DataFra
     parts = {"parent_breadth": breadth("parent_hosts"), "child_breadth": breadth("child_hosts"), "child_surprisal": S.surprisal(chance)}
     scored = joined.withColumns(parts).where("parent_breadth is not null or child_breadth is not null")
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.lineage_weights)])).where(F.col("score") >= p.lineage_score)
-    claimed = score_processes(processes, p).select("host", "image_name")
+    claimed = score_process_triples(triples, p).select("host", "image_name")
     return scored.join(claimed, ["host", "image_name"], "left_anti").crossJoin(F.broadcast(gate.select(F.lit(True).alias("open")))).drop("open")  # one row, or none
 
 
@@ -144,15 +150,15 @@ def _host_evidence(scored: DataFrame, processes: DataFrame, keys: list[str], sam
     return with_samples(command_samples(scored, processes, keys), named, keys, samples)
 
 
-def detect_processes(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0) -> DataFrame:
-    scored = _host_evidence(capped(score_processes(processes, p), p, "image_name"), processes, ["host", "image_name"], samples)
+def detect_processes(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0, triples: DataFrame | None = None) -> DataFrame:
+    scored = _host_evidence(capped(score_process_triples(process_triples(processes) if triples is None else triples, p), p, "image_name"), processes, ["host", "image_name"], samples)
     names = ("image_prevalence", "path_anomaly", "execution_prevalence")
     summary = F.format_string("%s ran %s, seen on %d hosts", "host", "image_name", "image_hosts")
     return to_findings(scored, "executes_rare_process", F.col("host"), "process", F.col("image_name"), F.lit("medium"), "host@1", {k: F.col(k) for k in names}, "rare_process", summary, {"executions": F.col("executions"), "image_hosts": F.col("image_hosts"), "user": F.col("user"), "commands": F.array_join("commands", "\n")}, subject_type="host")
 
 
-def detect_lineage(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0) -> DataFrame:
-    scored = _host_evidence(capped(score_lineage(processes, p), p, "parent_name", "image_name"), processes, ["host", "parent_name", "image_name"], samples)
+def detect_lineage(processes: DataFrame, p: HostParams = HostParams(), samples: int = 0, triples: DataFrame | None = None) -> DataFrame:
+    scored = _host_evidence(capped(score_lineage_triples(process_triples(processes) if triples is None else triples, p), p, "parent_name", "image_name"), processes, ["host", "parent_name", "image_name"], samples)
     names = ("parent_breadth", "child_breadth", "child_surprisal")
     summary = F.format_string("%s started %s on %s", "parent_name", "image_name", "host")
     return to_findings(scored, "exhibits_anomalous_lineage", F.col("host"), "process", F.col("image_name"), F.lit("high"), "host@1", {k: F.col(k) for k in names}, "lineage", summary, {**{k: F.col(k) for k in ("parent_name", "pair_hosts", "pair_executions", "user")}, "commands": F.array_join("commands", "\n")}, subject_type="host")

@@ -13,7 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import Store
 from .findings import to_findings
+from .names import lookup_totals
+from .network import pair_totals
 
 
 @dataclass(frozen=True)
@@ -149,27 +152,29 @@ def match_hashes(processes: DataFrame, indicators: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- observed values
 
 
-def sightings(connections: DataFrame, dns: DataFrame) -> DataFrame:
-    """``kind, value, role, peer, ts``: each place of a row where an address or a name stands; a table is scanned once."""
+def sightings(pairs: DataFrame, lookups: DataFrame) -> DataFrame:
+    """``kind, value, role, peer, events, first_seen, last_seen``: each place of a pair's or a look-up's totals where an address or a name stands."""
 
     def place(kind: str, value: Column, role: str, peer: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(role).alias("role"), F.col(peer).alias("peer"))
 
-    ends = connections.select("ts", F.explode(F.array(place("ip", F.col("dst_ip"), "destination", "src_ip"), place("ip", F.col("src_ip"), "source", "dst_ip"))).alias("s"))
+    seen = ["first_seen", "last_seen"]
+    ends = pairs.select(F.explode(F.array(place("ip", F.col("dst_ip"), "destination", "src_ip"), place("ip", F.col("src_ip"), "source", "dst_ip"))).alias("s"), F.col("flows").alias("events"), *seen)
     answers = F.transform(F.filter(F.transform(F.split(F.coalesce("answers", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: S.is_ipv4(a) | a.rlike(S.IPV6_SHAPE)), lambda a: place("ip", S.canonical_ipv6(a), "answer", "src_ip"))
-    named = dns.select("ts", F.explode(F.concat(F.array(place("domain", F.array_join(S.labels(F.col("query")), "."), "query", "src_ip")), answers)).alias("s"))
-    return ends.unionByName(named).select("s.*", "ts").where("value is not null and value <> ''")
+    named = lookups.select(F.explode(F.concat(F.array(place("domain", F.array_join(S.labels(F.col("query")), "."), "query", "src_ip")), answers)).alias("s"), F.col("queries").alias("events"), *seen)
+    return ends.unionByName(named).select("s.*", "events", *seen).where("value is not null and value <> ''")
 
 
 def folded(rows: DataFrame) -> DataFrame:
     """(kind, value) of sightings: events add up over roles, peers take the largest role's, roles are kept as a list."""
-    pairs = rows.groupBy("kind", "value", "role", "peer").agg(F.count("*").alias("events"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
-    roles = pairs.groupBy("kind", "value", "role").agg(F.sum("events").alias("events"), F.count("*").alias("peers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
-    return roles.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
+    times = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    pairs = rows.groupBy("kind", "value", "role", "peer").agg(F.sum("events").alias("events"), *times)
+    roles = pairs.groupBy("kind", "value", "role").agg(F.sum("events").alias("events"), F.count("*").alias("peers"), *times)
+    return roles.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), *times, F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
 def observed_values(connections: DataFrame, dns: DataFrame) -> DataFrame:
-    return folded(sightings(connections, dns))
+    return folded(sightings(pair_totals(connections).drop("first_at"), lookup_totals(dns).drop("first_at")))
 
 
 def matches(values: DataFrame, indicators: DataFrame) -> DataFrame:
@@ -179,11 +184,17 @@ def matches(values: DataFrame, indicators: DataFrame) -> DataFrame:
     return ips.unionByName(names)
 
 
-def matched_values(connections: DataFrame, dns: DataFrame, indicators: DataFrame) -> DataFrame:
-    """Observed values that a feed names. Distinct values are matched first, and only the sightings of those that match are folded."""
-    seen = sightings(connections, dns)
-    hits = matches(seen.select("kind", "value").distinct(), indicators)
-    return folded(seen.join(hits.select("kind", "value"), ["kind", "value"], "left_semi")).join(hits, ["kind", "value"])
+def matched_values(connections: DataFrame, dns: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
+    """Observed values that a feed names."""
+    return matched_observed(observed_values(connections, dns), indicators, store)
+
+
+def matched_observed(observed: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
+    """Those of the ``observed`` values that a feed names, with its indicators. Both sides are read several times, so they are stored."""
+    store = store or Store(observed.sparkSession)
+    observed, indicators = store.put(observed, "observed"), store.put(indicators.select("kind", "value"), "feed")
+    hits = matches(observed.select("kind", "value"), indicators)
+    return store.put(observed.join(hits, ["kind", "value"]), "matched")
 
 
 def score_matches(matched: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
@@ -203,8 +214,9 @@ def capped_matches(scored: DataFrame, p: IntelParams = IntelParams()) -> DataFra
     return ranked.where(F.col("place") <= p.per_indicator).drop("place").orderBy(F.desc(F.bround("score", 9)), "kind", "value").limit(p.top)
 
 
-def detect_intel(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    scored = capped_matches(score_matches(matched_values(connections, dns, indicators), indicators, p), p)
+def detect_intel(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams(), matched: DataFrame | None = None, store: Store | None = None) -> DataFrame:
+    matched = matched_values(connections, dns, indicators, store) if matched is None else matched
+    scored = capped_matches(score_matches(matched, indicators, p), p)
     severity = F.when(F.col("score") >= p.medium_score, "medium").otherwise("low")
     summary = F.format_string("%s matches indicator %s", "value", "indicator")
     return to_findings(scored, "matches_threat_intel", F.col("value"), None, None, severity, "intel@1", {"declared_confidence": F.col("score")}, "indicator_match", summary, {k: F.col(k) for k in ("indicator", "indicator_kind", "confidence", "age_days", "events", "peers", "roles")}, subject_type=F.col("kind"))
@@ -275,10 +287,16 @@ def observed_names(dns: DataFrame) -> DataFrame:
     return known.groupBy("address").agg(F.min("domain").alias("domain"), F.max("domain").alias("_last")).where(F.col("domain") == F.col("_last")).drop("_last")
 
 
-def detect_infrastructure(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
-    matched = score_matches(matched_values(connections, dns, indicators), indicators, p)
-    names = shared_resolution(dns, matched.where("kind = 'domain'"), p)
-    anchored = address_anchored(dns, matched, p)
+def detect_infrastructure(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams(), matched: DataFrame | None = None, lookups: DataFrame | None = None, store: Store | None = None) -> DataFrame:
+    store = store or Store(indicators.sparkSession)
+    matched = matched_values(connections, dns, indicators, store) if matched is None else matched
+    matched = store.put(score_matches(matched, indicators, p), "flagged")
+    # what answered which name is read from the look-ups' totals, twice for their first and last time
+    if lookups is None:
+        lookups = store.put(lookup_totals(dns).drop("first_at"), "lookups")
+    timed = lookups.select("query", "answers", F.explode(F.array("first_seen", "last_seen")).alias("ts"))
+    names = shared_resolution(timed, matched.where("kind = 'domain'"), p)
+    anchored = address_anchored(timed, matched, p)
     blocks = shared_netblocks(matched, p)
     a = to_findings(names.orderBy(F.desc("score"), "anchor", "other").limit(p.top_links), "shares_infrastructure_with", F.col("anchor"), "domain", F.col("other"), F.lit("info"), "intel@1", {"narrowness": F.col("score")}, "shared_resolution", F.format_string("%s and %s resolve to %s", "anchor", "other", "answer"), {"answer": F.col("answer"), "breadth": F.col("breadth")}, subject_type="domain")
     c = to_findings(anchored.orderBy(F.desc("score"), "anchor", "other").limit(p.top_links), "shares_infrastructure_with", F.col("anchor"), "domain", F.col("other"), F.lit("info"), "intel@1", {"narrowness": F.col("score")}, "shared_resolution", F.format_string("%s resolves to the flagged %s", "other", "anchor"), {"answer": F.col("answer"), "breadth": F.col("breadth")})

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import Store
 from .findings import to_findings, with_samples
-from .network import first_locator
+from .network import first_place, locator
 
 # ---------------------------------------------------------------- DNS tunnelling
 
@@ -31,22 +32,36 @@ class TunnelParams:
     top: int = 200
 
 
-def tunnel_zones(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
+def lookup_totals(dns: DataFrame) -> DataFrame:
+    """(src, query, answers), each of which may be NULL: queries, codes, times and first place, from which all detectors over DNS start."""
+    none = F.lit(None).cast("string")
+    rows = dns.withColumns({c: none for c in ("qtype", "rcode", "answers") if c not in dns.columns})
+    nx = F.upper("rcode").isin("NXDOMAIN", "3")
+    return rows.groupBy("src_ip", "query", "answers").agg(
+        F.count("*").alias("queries"), F.count_if(F.coalesce(F.upper("qtype").isin(*HIGH_CAPACITY_TYPES), F.lit(False))).alias("high"), F.count("rcode").alias("known"), F.count_if(nx).alias("nx"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_place(rows),
+    )
+
+
+def tunnel_zones(lookups: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
     """(src, zone) sums; entropy and length over distinct subdomains, shares over all queries. Names aren't collected."""
-    rows = dns.dropna(subset=["src_ip", "query"]).withColumn("zone", S.registered_domain(F.col("query"))).where("zone <> ''")
+    rows = lookups.dropna(subset=["src_ip", "query"]).withColumn("zone", S.registered_domain(F.col("query"))).where("zone <> ''")
     rows = rows.withColumn("sub", S.subdomain_of(F.col("query"), F.col("zone")))
-    high = F.coalesce(F.upper("qtype").isin(*HIGH_CAPACITY_TYPES), F.lit(False))
-    subs = rows.groupBy("src_ip", "zone", "sub").agg(F.count("*").alias("queries"), F.count_if(high).alias("high"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(rows))
+    subs = rows.groupBy("src_ip", "zone", "sub").agg(F.sum("queries").alias("queries"), F.sum("high").alias("high"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
     long = F.length("sub") >= p.min_length
     measured = subs.withColumn("entropy", F.when(long, S.byte_entropy(F.col("sub"))))
     zones = measured.groupBy("src_ip", "zone").agg(
         F.sum("queries").alias("queries"), F.sum("high").alias("high"), F.count_if(long).alias("distinct_names"), F.avg("entropy").alias("mean_entropy"), F.avg(F.when(long, F.length("sub"))).alias("mean_length"),
-        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("artifact", F.struct("first_seen", "sub")).alias("artifact"),
+        F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"),
     )
     return zones.where((F.col("queries") >= p.min_queries) & (F.col("distinct_names") >= p.min_distinct))
 
 
 def score_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
+    return score_tunnel_lookups(lookup_totals(dns), p)
+
+
+def score_tunnel_lookups(lookups: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
     share = F.col("high") / F.col("queries")
     parts = {
         "label_entropy": S.ramp(F.col("mean_entropy"), *p.entropy_ramp),
@@ -54,14 +69,14 @@ def score_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame
         "query_length": S.saturating(F.col("mean_length"), p.length_scale),
         "qtype_skew": F.when(share > 0, F.least(F.lit(1.0), 2 * share)),
     }
-    scored = tunnel_zones(dns, p).withColumns(parts)
+    scored = tunnel_zones(lookups, p).withColumns(parts)
     scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
     return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "zone").limit(p.top)
 
 
-def detect_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams(), samples: int = 0) -> DataFrame:
+def detect_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams(), samples: int = 0, lookups: DataFrame | None = None) -> DataFrame:
     zoned = dns.withColumn("zone", S.registered_domain(F.col("query")))
-    scored = with_samples(score_tunnels(dns, p), zoned, ["src_ip", "zone"], samples)
+    scored = with_samples(score_tunnel_lookups(lookup_totals(dns) if lookups is None else lookups, p).withColumn("artifact", locator()), zoned, ["src_ip", "zone"], samples)
     names = ("label_entropy", "subdomain_cardinality", "query_length", "qtype_skew")
     severity = F.when(F.col("score") >= p.critical_score, "critical").otherwise("high")
     summary = F.format_string("%s queried %d names below %s", "src_ip", "distinct_names", "zone")
@@ -86,25 +101,29 @@ def fit_bigrams(words: DataFrame, column: str = "word") -> DataFrame:
     """
     pairs = words.where(F.length(F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9-]", "")) >= 2).select(F.explode(_bigrams(F.col(column))).alias("bigram"))
     counts = pairs.groupBy("bigram").agg(F.count("*").alias("c"))
-    total = counts.agg(F.sum("c").alias("total"), F.count("*").alias("seen"))
+    # at most 37 squared rows from here on, which one aggregation holds: the words are read once
+    table = counts.agg(F.array_sort(F.collect_list(F.struct("bigram", "c"))).alias("rows"), F.sum("c").alias("total"), F.count("*").alias("seen"))
     denominator = F.col("total") + SMOOTHING * ALPHABET * ALPHABET
-    joined = counts.crossJoin(F.broadcast(total))  # one row on each side's right
-    p = (F.col("c") + SMOOTHING) / denominator
-    model = joined.select("bigram", (-F.log2(p)).alias("surprise"), (-p * F.log2(p)).alias("part"), (-F.log2(SMOOTHING / denominator)).alias("unseen"), (SMOOTHING / denominator).alias("rest"), "seen")
-    anchors = model.agg(F.sum("part").alias("known"), F.first("unseen").alias("u"), F.first("rest").alias("r"), F.first("seen").alias("s"))
-    typical = F.col("known") + (ALPHABET * ALPHABET - F.col("s")) * F.col("r") * F.col("u")
-    return model.crossJoin(F.broadcast(anchors.select(typical.alias("typical")))).select("bigram", "surprise", "unseen", "typical")
+
+    def chance(c: Column) -> Column:
+        return (c + SMOOTHING) / denominator
+
+    known = F.aggregate("rows", F.lit(0.0), lambda total, r: total - chance(r["c"]) * F.log2(chance(r["c"])))
+    rest = SMOOTHING / denominator
+    anchored = table.withColumns({"unseen": -F.log2(rest), "typical": known - (ALPHABET * ALPHABET - F.col("seen")) * rest * F.log2(rest)})
+    return anchored.select(F.explode("rows").alias("r"), "unseen", "typical", denominator.alias("d")).select("r.bigram", (-F.log2((F.col("r.c") + SMOOTHING) / F.col("d"))).alias("surprise"), "unseen", "typical")
 
 
 def improbability(labels: DataFrame, model: DataFrame, column: str = "label") -> DataFrame:
     """``(label, improbability)`` of distinct labels: mean surprise between the model's anchors; NULL for one character."""
     distinct = labels.select(column).distinct()
-    pairs = distinct.where(F.length(F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9-]", "")) >= 2).select(column, F.explode(_bigrams(F.col(column))).alias("bigram"))
-    anchors = F.broadcast(model.agg(F.max("unseen").alias("u"), F.max("typical").alias("n")))
-    joined = pairs.join(F.broadcast(model.select("bigram", "surprise")), "bigram", "left").crossJoin(anchors)  # 37 squared rows, one row
-    mean = joined.groupBy(column).agg(F.avg(F.coalesce("surprise", "u")).alias("mean"), F.first("u").alias("u"), F.first("n").alias("n"))
-    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("mean") - F.col("n")) / (F.col("u") - F.col("n"))))
-    return mean.select(column, clipped.alias("improbability"))
+    kept = distinct.where(F.length(F.regexp_replace(F.lower(F.col(column)), "[^a-z0-9-]", "")) >= 2)
+    # one row that holds the whole model, at most 37 squared entries: labels meet it once, and no bigram is a row of its own
+    one = model.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("bigram", "surprise")))).alias("m"), F.max("unseen").alias("u"), F.max("typical").alias("n"))
+    joined = kept.crossJoin(F.broadcast(one)).withColumn("pairs", _bigrams(F.col(column)))
+    mean = F.aggregate("pairs", F.lit(0.0), lambda total, b: total + F.coalesce(F.try_element_at("m", b), F.col("u"))) / F.size("pairs")
+    clipped = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (mean - F.col("n")) / (F.col("u") - F.col("n"))))
+    return joined.select(column, clipped.alias("improbability"))
 
 
 # ---------------------------------------------------------------- algorithmic domains
@@ -126,14 +145,22 @@ class DgaParams:
     top: int = 100
 
 
-def score_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams()) -> DataFrame:
-    rows = dns.dropna(subset=["src_ip", "query"]).withColumn("name", S.registered_domain(F.col("query"))).where(F.contains("name", F.lit(".")))
+def score_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), store: Store | None = None) -> DataFrame:
+    return score_domain_lookups(lookup_totals(dns).drop("first_at"), model, p, store)
+
+
+def score_domain_lookups(lookups: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), store: Store | None = None) -> DataFrame:
+    """The best labels of each family. The labels' counts and the model are read several times, so they are stored."""
+    store = store or Store(lookups.sparkSession)
+    model = store.put(model, "bigrams")
+    rows = lookups.dropna(subset=["src_ip", "query"]).withColumn("name", S.registered_domain(F.col("query"))).where(F.contains("name", F.lit(".")))
     rows = rows.withColumns({"label": S.first_label(F.col("name")), "suffix": S.after_first_label(F.col("name"))}).where(F.length("label") >= p.min_label)
-    nx = F.upper("rcode").isin("NXDOMAIN", "3")
-    by_label = rows.groupBy("src_ip", "suffix", "label").agg(F.count("*").alias("queries"), F.count("rcode").alias("known"), F.count_if(nx).alias("nx"), F.coalesce(F.bool_or(~nx), F.lit(False)).alias("resolved"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(rows))
+    first = [F.min("first_at").alias("first_at")] if "first_at" in rows.columns else []
+    by_label = rows.groupBy("src_ip", "suffix", "label").agg(*[F.sum(c).alias(c) for c in ("queries", "known", "nx")], (F.sum("known") > F.sum("nx")).alias("resolved"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *first)
+    by_label = store.put(by_label, "labels")
     family = by_label.groupBy("src_ip", "suffix").agg(F.count("*").alias("labels"), F.sum("queries").alias("family_queries"), F.sum("known").alias("family_known"), F.sum("nx").alias("family_nx"))
     family = family.where((F.col("labels") >= p.min_labels) & (F.col("family_queries") >= p.min_queries))
-    joined = by_label.join(family, ["src_ip", "suffix"])
+    joined = store.put(by_label.join(family, ["src_ip", "suffix"]), "families")
     joined = joined.join(improbability(joined, model), "label", "left")
     rate = F.when(F.col("family_known") / F.col("family_queries") >= p.min_coverage, F.col("family_nx") / F.col("family_known"))
     parts = {
@@ -148,9 +175,9 @@ def score_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams())
     return best.orderBy(F.desc(F.bround("score", 9)), "src_ip", "suffix", "label").limit(p.top)
 
 
-def detect_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), samples: int = 0) -> DataFrame:
+def detect_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), samples: int = 0, lookups: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     named = dns.withColumn("_name", S.registered_domain(F.col("query"))).withColumns({"label": S.first_label(F.col("_name")), "suffix": S.after_first_label(F.col("_name"))})
-    scored = with_samples(score_domains(dns, model, p), named, ["src_ip", "suffix", "label"], samples)
+    scored = with_samples(score_domain_lookups(lookup_totals(dns) if lookups is None else lookups, model, p, store).withColumn("artifact", locator()), named, ["src_ip", "suffix", "label"], samples)
     names = ("nxdomain_rate", "bigram_improbability", "structure")
     severity = F.when(F.col("score") >= p.high_score, "high").otherwise("medium")
     name = F.concat_ws(".", "label", "suffix")
@@ -172,12 +199,21 @@ class TlsParams:
     top: int = 20
 
 
+def session_totals(ssl: DataFrame) -> DataFrame:
+    """(src, fingerprint, dst), each of which may be NULL: sessions, times and first place."""
+    return ssl.groupBy("src_ip", "ja3", "dst_ip").agg(F.count("*").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_place(ssl))
+
+
 def score_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
+    return score_fingerprint_sessions(session_totals(ssl), p)
+
+
+def score_fingerprint_sessions(sessions: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
     """A session without a fingerprint is unmeasured: it counts for the estate, but forms no group."""
-    rows = ssl.where("src_ip is not null")
+    rows = sessions.where("src_ip is not null")
     estate = rows.agg(F.count_distinct("src_ip").alias("estate")).where(F.col("estate") >= p.min_estate)
     known = rows.where(F.trim("ja3") != "")
-    groups = known.groupBy("src_ip", "ja3").agg(F.count("*").alias("sessions"), F.count_distinct("dst_ip").alias("servers"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(known))
+    groups = known.groupBy("src_ip", "ja3").agg(F.sum("sessions").alias("sessions"), F.count("dst_ip").alias("servers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
     hosts = groups.groupBy("ja3").agg(F.count("*").alias("hosts")).where(F.col("hosts") <= p.max_hosts)
     joined = groups.where(F.col("sessions") >= p.min_sessions).join(hosts, "ja3").crossJoin(F.broadcast(estate))  # one row
     parts = {"fingerprint_rarity": S.rarity(F.col("hosts")), "estate_support": S.saturating(F.col("estate"), p.estate_scale)}
@@ -186,7 +222,7 @@ def score_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
     return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "ja3").limit(p.top)
 
 
-def detect_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams(), samples: int = 0) -> DataFrame:
-    scored = with_samples(score_fingerprints(ssl, p), ssl, ["src_ip", "ja3"], samples)
+def detect_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams(), samples: int = 0, sessions: DataFrame | None = None) -> DataFrame:
+    scored = with_samples(score_fingerprint_sessions(session_totals(ssl) if sessions is None else sessions, p).withColumn("artifact", locator()), ssl, ["src_ip", "ja3"], samples)
     summary = F.format_string("%s presented a client fingerprint of %d hosts", "src_ip", "hosts")
     return to_findings(scored, "presents_rare_tls_fingerprint", F.col("src_ip"), "tls_fingerprint", F.col("ja3"), F.lit("medium"), "tls@1", {k: F.col(k) for k in ("fingerprint_rarity", "estate_support")}, "tls_client", summary, {k: F.col(k) for k in ("sessions", "servers", "hosts", "estate")})

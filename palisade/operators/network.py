@@ -1,7 +1,8 @@
 """Detectors over connections and alerts: fan-out, alert triage, egress, beaconing.
 
-Every group is reduced by partial aggregation before it is shuffled; series are windowed only for candidate pairs that pass
-the summary's gates. No list of a group is collected.
+Detectors over connections start from one summary, ``pair_totals``, which may be stored once for all of them. Every group is
+reduced by partial aggregation before it is shuffled; series are windowed only for candidate pairs that pass the summary's gates, and
+in chunks of time where a pair has many rows. Medians come from ``selection``. No list of a group is collected.
 """
 
 from __future__ import annotations
@@ -12,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..sources.shared import Store
 from .findings import to_findings, with_samples
-
-_LOCATOR = F.struct
+from .selection import MOST_HELD, group_quantiles, same
 
 
 def first_locator(df: DataFrame) -> Column:
@@ -24,6 +25,35 @@ def first_locator(df: DataFrame) -> Column:
     return F.min_by(F.struct(F.col("source_file"), F.col("source_line").cast("long").alias("source_line")), F.struct("ts", "source_file", "source_line")).alias("artifact")
 
 
+def first_place(df: DataFrame) -> Column:
+    """``first_at``: time, file and line of a group's first row; the least one of merged groups is that of all their rows."""
+    if not {"source_file", "source_line"} <= set(df.columns):
+        return F.min(F.lit(None).cast("struct<ts:double,source_file:string,source_line:bigint>")).alias("first_at")
+    return F.min(F.struct(F.col("ts").cast("double").alias("ts"), "source_file", F.col("source_line").cast("long").alias("source_line"))).alias("first_at")
+
+
+def locator() -> Column:
+    """File and line of ``first_at``."""
+    at = F.col("first_at")
+    return F.when(at.isNotNull(), F.struct(at["source_file"].alias("source_file"), at["source_line"].alias("source_line")))
+
+
+PAIR = ["src_ip", "dst_ip", "dst_port"]
+
+
+def pair_totals(connections: DataFrame, keys: list[str] = PAIR) -> DataFrame:
+    """(src, dst, port), each of which may be NULL, or fewer ``keys``: flows, bytes, times and first place, from which all detectors over connections start.
+
+    Sums over flows with both byte counts stand apart, so that a missing direction isn't read as 0. Totals of parts of a capture merge.
+    """
+    both = F.col("orig_bytes").isNotNull() & F.col("resp_bytes").isNotNull()
+    return connections.groupBy(*keys).agg(
+        F.count("*").alias("flows"), F.count("ts").alias("timed_flows"), F.sum("orig_bytes").alias("bytes_out"), F.count("orig_bytes").alias("measured_flows"), F.count_if(both).alias("both_flows"),
+        F.sum(F.when(both, F.col("orig_bytes"))).alias("both_out"), F.sum(F.when(both, F.col("resp_bytes"))).alias("both_in"),
+        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_place(connections),
+    )
+
+
 # ---------------------------------------------------------------- fan-out
 
 
@@ -45,22 +75,25 @@ def score_fanout(destinations: Column, flows: Column, p: FanoutParams = FanoutPa
     return S.geometric_mean([(parts["breadth"], p.breadth_weight), (parts["non_revisiting"], p.non_revisiting_weight)]), parts
 
 
-def fanout_summary(connections: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
-    kept = connections.dropna(subset=["src_ip", "dst_ip", "dst_port"]).where(~F.col("dst_port").isin(*p.excluded_ports))
-    # two levels: destinations first, so that one busy source is spread over its destinations
-    pairs = kept.groupBy("src_ip", "dst_port", "dst_ip").agg(F.count("*").alias("flows"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(kept))
-    groups = pairs.groupBy("src_ip", "dst_port").agg(F.count("*").alias("destinations"), F.sum("flows").alias("flows"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("artifact", F.struct("first_seen", "dst_ip")).alias("artifact"))
+def fanout_groups(pairs: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
+    """(src, port) with enough destinations, from pair totals: one busy source was spread over its destinations before."""
+    kept = pairs.dropna(subset=PAIR).where(~F.col("dst_port").isin(*p.excluded_ports))
+    groups = kept.groupBy("src_ip", "dst_port").agg(F.count("*").alias("destinations"), F.sum("flows").alias("flows"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
     return groups.where(F.col("destinations") >= p.min_destinations)
 
 
-def score_fanouts(connections: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
+def score_fanout_pairs(pairs: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
     score, parts = score_fanout(F.col("destinations"), F.col("flows"), p)
-    scored = fanout_summary(connections, p).withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
+    scored = fanout_groups(pairs, p).withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
     return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "dst_port").limit(p.top)
 
 
-def detect_fanout(connections: DataFrame, p: FanoutParams = FanoutParams(), samples: int = 0) -> DataFrame:
-    scored = with_samples(score_fanouts(connections, p), connections, ["src_ip", "dst_port"], samples)
+def score_fanouts(connections: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
+    return score_fanout_pairs(pair_totals(connections), p)
+
+
+def detect_fanout(connections: DataFrame, p: FanoutParams = FanoutParams(), samples: int = 0, pairs: DataFrame | None = None) -> DataFrame:
+    scored = with_samples(score_fanout_pairs(pair_totals(connections) if pairs is None else pairs, p).withColumn("artifact", locator()), connections, ["src_ip", "dst_port"], samples)
     severity = F.when(F.col("score") >= p.high_score, "high").otherwise("medium")
     summary = F.format_string("%s contacted %d destinations on port %d", "src_ip", "destinations", "dst_port")
     return to_findings(scored, "scans", F.col("src_ip"), "port", F.col("dst_port"), severity, "fanout@1", {k: F.col(k) for k in ("breadth", "non_revisiting")}, "fanout", summary, {"destinations": F.col("destinations"), "flows": F.col("flows")})
@@ -133,32 +166,26 @@ class EgressParams:
     top_rare: int = 25
 
 
-def egress_summary(connections: DataFrame) -> DataFrame:
-    """(src, dst) byte sums; sums over flows with both counts apart, so that a missing direction isn't read as 0."""
-    both = F.col("orig_bytes").isNotNull() & F.col("resp_bytes").isNotNull()
-    kept = connections.dropna(subset=["src_ip", "dst_ip"])
-    return kept.groupBy("src_ip", "dst_ip").agg(
-        F.count("*").alias("flows"), F.sum("orig_bytes").alias("bytes_out"), F.count("orig_bytes").alias("measured_flows"), F.count_if(both).alias("both_flows"),
-        F.sum(F.when(both, F.col("orig_bytes"))).alias("both_out"), F.sum(F.when(both, F.col("resp_bytes"))).alias("both_in"),
-        F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(kept),
-    ).where("measured_flows > 0")
+def egress_totals(pairs: DataFrame) -> DataFrame:
+    """(src, dst) sums over ports, of pairs with any measured flow."""
+    added = ("flows", "bytes_out", "measured_flows", "both_flows", "both_out", "both_in")
+    kept = pairs.dropna(subset=["src_ip", "dst_ip"])
+    return kept.groupBy("src_ip", "dst_ip").agg(*[F.sum(c).alias(c) for c in added], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
 
 
-def score_egress(connections: DataFrame, p: EgressParams = EgressParams()) -> DataFrame:
-    """Every pair with enough bytes: components, score and the strongest claim they support, before the caps."""
-    of_src, of_dst = Window.partitionBy("src_ip"), Window.partitionBy("dst_ip")
-    n = F.count("*").over(of_src)
-
-    def middle(value: str) -> Column:
-        """The median by place, so that no source's values are held in memory."""
-        place, size = F.row_number().over(of_src.orderBy(value)), F.col("peers")
-        return F.when((place == F.floor((size + 1) / 2)) | (place == F.ceil((size + 1) / 2)), F.col(value))
-
-    # one shuffle by source for centre and spread, one by destination
-    pairs = egress_summary(connections).withColumns({"peers": n, "host_first": F.min("first_seen").over(of_src), "host_last": F.max("last_seen").over(of_src)})
-    pairs = pairs.withColumn("middle", middle("bytes_out")).withColumn("median_out", F.avg("middle").over(of_src)).withColumn("off", F.abs(F.col("bytes_out") - F.col("median_out")))
-    pairs = pairs.withColumn("middle", middle("off")).withColumn("mad_out", F.avg("middle").over(of_src)).drop("middle", "off")
-    joined = pairs.withColumn("hosts", F.count("*").over(of_dst))
+def score_transfers(transfers: DataFrame, p: EgressParams = EgressParams(), store: Store | None = None) -> DataFrame:
+    """Every pair with enough bytes: components, score and the strongest claim they support, before the caps.
+
+    Nothing sorts or windows a source's or a destination's pairs: medians are selected, counts are aggregated and joined back.
+    """
+    store = store or Store(transfers.sparkSession)
+    totals = store.put(transfers.where("measured_flows > 0"), "transfers")
+    hosts = totals.groupBy("src_ip").agg(F.min("first_seen").alias("host_first"), F.max("last_seen").alias("host_last"))
+    center = store.put(group_quantiles(totals, ["src_ip"], "bytes_out", {"median_out": 0.5}), "centers")
+    off = totals.join(center, "src_ip").select("src_ip", F.abs(F.col("bytes_out") - F.col("median_out")).alias("off"))
+    spread = group_quantiles(off, ["src_ip"], "off", {"mad_out": 0.5}, sizes=center).drop("n")
+    prevalence = totals.groupBy("dst_ip").agg(F.count("*").alias("hosts"))
+    joined = totals.join(hosts.join(center.withColumnRenamed("n", "peers"), "src_ip").join(spread, "src_ip"), "src_ip").join(prevalence, "dst_ip")
     coverage = F.col("both_flows") / F.col("flows")
     ratio = F.col("both_out") / F.nullif(F.col("both_out") + F.col("both_in"), F.lit(0))
     z = F.when(F.col("peers") >= p.min_peers, S.robust_deviation(F.col("bytes_out"), F.col("median_out"), F.col("mad_out"), F.col("peers")))
@@ -180,6 +207,11 @@ def score_egress(connections: DataFrame, p: EgressParams = EgressParams()) -> Da
     return scored.withColumn("claim", claim).where("claim is not null")
 
 
+def score_egress(connections: DataFrame, p: EgressParams = EgressParams()) -> DataFrame:
+    totals = pair_totals(connections.dropna(subset=["src_ip", "dst_ip"]), ["src_ip", "dst_ip"])
+    return score_transfers(totals.drop("first_at"), p)
+
+
 def strongest_claims(scored: DataFrame, p: EgressParams = EgressParams()) -> DataFrame:
     """Each source's strongest band only, then the caps: ``top`` claims, ``top_rare`` of the weakest band."""
     band = S.mapped(F.col("claim"), {"exfiltrates_to": 3, "transfers_anomalous_volume": 2, "contacts_rare_destination": 1})
@@ -188,9 +220,9 @@ def strongest_claims(scored: DataFrame, p: EgressParams = EgressParams()) -> Dat
     return ranked.where("band > 1").orderBy(*order).limit(p.top).unionByName(ranked.where("band = 1").orderBy(*order).limit(p.top_rare))
 
 
-def detect_egress(connections: DataFrame, p: EgressParams = EgressParams(), samples: int = 0) -> DataFrame:
+def detect_egress(connections: DataFrame, p: EgressParams = EgressParams(), samples: int = 0, pairs: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     largest = (F.desc_nulls_last("orig_bytes"), "ts", "source_file", "source_line")
-    scored = with_samples(strongest_claims(score_egress(connections, p), p), connections, ["src_ip", "dst_ip"], samples, largest)
+    scored = with_samples(strongest_claims(score_transfers(egress_totals(pair_totals(connections) if pairs is None else pairs), p, store), p).withColumn("artifact", locator()), connections, ["src_ip", "dst_ip"], samples, largest)
     severity = S.mapped(F.col("claim"), {"exfiltrates_to": "critical", "transfers_anomalous_volume": "medium", "contacts_rare_destination": "low"})
     names = ("egress_ratio", "volume_deviation", "destination_rarity", "novelty")
     summary = F.format_string("%s sent %d bytes to %s", "src_ip", "bytes_out", "dst_ip")
@@ -216,27 +248,29 @@ class BeaconParams:
     top: int = 200
     bins: int = 64
     max_time_bins: int = 200_000
+    #: A pair with more rows than this is worked on in chunks of time.
+    chunk_rows: int = 100_000
 
 
 BEACON_PARTS = ("interval_regularity", "schedule_floor", "payload_uniformity", "periodicity", "persistence", "destination_rarity")
-PAIR = ["src_ip", "dst_ip", "dst_port"]
 
 
-def pair_summary(connections: DataFrame) -> DataFrame:
-    """(src, dst, port): flows and time span; mergeable over parts of a capture."""
-    return connections.dropna(subset=["ts", "src_ip", "dst_ip"]).groupBy(*PAIR).agg(F.count("*").alias("flows"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+def timed_pairs(pairs: DataFrame) -> DataFrame:
+    """Pair totals as a beacon sees them: rows with a time only."""
+    return pairs.dropna(subset=["src_ip", "dst_ip"]).where("timed_flows > 0").select(*PAIR, F.col("timed_flows").alias("flows"), "first_seen", "last_seen")
 
 
 def destination_hosts(summary: DataFrame) -> DataFrame:
     return summary.groupBy("dst_ip").agg(F.count_distinct("src_ip").alias("hosts"))
 
 
-def same_pair(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
-    """Join on the pair, a NULL port equal to itself; the pair's columns stay once."""
-    renamed = b.withColumnsRenamed({c: f"_{c}" for c in PAIR})
-    cond = (F.col("src_ip") == F.col("_src_ip")) & (F.col("dst_ip") == F.col("_dst_ip")) & F.col("dst_port").eqNullSafe(F.col("_dst_port"))
-    joined = a.join(renamed, cond, how)
-    return joined if how == "left_semi" else joined.drop(*[f"_{c}" for c in PAIR])
+def with_gaps(series: DataFrame) -> DataFrame:
+    """``gap`` to the row before of the pair. Rows are put in order within chunks; a chunk's first row looks at the last one before it."""
+    ends = series.groupBy(*PAIR, "chunk").agg(F.max("ts").alias("last"))
+    before = ends.withColumn("before", F.lag("last").over(Window.partitionBy(*PAIR).orderBy("chunk"))).where("before is not null").drop("last")
+    within = F.lag("ts").over(Window.partitionBy(*PAIR, "chunk").orderBy("ts", "tie"))
+    placed = same(series.withColumn("earlier", within), before, [*PAIR, "chunk"], "left")
+    return placed.withColumn("gap", F.col("ts") - F.coalesce("earlier", "before")).drop("earlier", "before")
 
 
 def gap_thresholds(gaps: DataFrame, p: BeaconParams = BeaconParams()) -> DataFrame:
@@ -247,7 +281,7 @@ def gap_thresholds(gaps: DataFrame, p: BeaconParams = BeaconParams()) -> DataFra
     logs = gaps.where("gap > 0").select(*PAIR, F.log10("gap").alias("x"))
     ends = logs.groupBy(*PAIR).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).where((F.col("n") >= 8) & (F.col("hi") - F.col("lo") >= 1))
     width = (F.col("hi") - F.col("lo")) / p.bins
-    binned = same_pair(logs, ends, "inner").withColumn("bin", F.least(F.lit(p.bins - 1), F.floor((F.col("x") - F.col("lo")) / width)).cast("int"))
+    binned = same(logs, ends, PAIR).withColumn("bin", F.least(F.lit(p.bins - 1), F.floor((F.col("x") - F.col("lo")) / width)).cast("int"))
     counts = binned.groupBy(*PAIR, "n", "lo", "hi", "bin").agg(F.count("*").alias("c"))
     center = F.col("lo") + (F.col("bin") + 0.5) * width
     w = Window.partitionBy(*PAIR)
@@ -255,25 +289,34 @@ def gap_thresholds(gaps: DataFrame, p: BeaconParams = BeaconParams()) -> DataFra
     moved = counts.withColumn("center", center).withColumns({"mass": F.sum("c").over(run) / F.col("n"), "moment": F.sum(F.col("c") * F.col("center")).over(run) / F.col("n"), "mean": F.sum(F.col("c") * F.col("center")).over(w) / F.col("n")})
     spread = F.pow(F.col("mean") * F.col("mass") - F.col("moment"), 2) / F.nullif(F.col("mass") * (1 - F.col("mass")), F.lit(0.0))
     best = moved.withColumn("between", spread).where(F.col("between").isNotNull()).groupBy(*PAIR).agg(F.max_by(F.struct("center", "mass"), F.struct(F.bround("between", 12), -F.col("bin"))).alias("b"))
-    split = same_pair(logs, best.select(*PAIR, "b.*"), "inner").groupBy(*PAIR).agg(F.first("center").alias("center"), F.avg((F.col("x") <= F.col("center")).cast("double")).alias("below"))
+    split = same(logs, best.select(*PAIR, "b.*"), PAIR).groupBy(*PAIR).agg(F.first("center").alias("center"), F.avg((F.col("x") <= F.col("center")).cast("double")).alias("below"))
     return split.where(F.col("below").between(0.1, 0.9)).select(*PAIR, F.pow(F.lit(10.0), F.col("center")).alias("threshold"))
 
 
 def checkins(series: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Rows of pairs with a threshold coalesced into bursts: one row per check-in with its start and byte sum."""
-    w = Window.partitionBy(*PAIR).orderBy("ts", "tie")
-    joined = same_pair(series.withColumn("gap", F.col("ts") - F.lag("ts").over(w)), thresholds, "left")
-    starts = F.col("threshold").isNull() | F.col("gap").isNull() | (F.col("gap") > F.col("threshold"))
-    bursts = joined.withColumn("burst", F.sum(starts.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return bursts.groupBy(*PAIR, "burst").agg(F.min("ts").alias("ts"), F.sum("orig_bytes").cast("double").alias("bytes"))
+    """Rows of pairs with a threshold coalesced into bursts: one row per check-in with its start, its chunk and byte sum.
 
+    A burst's number is the starts before it: those of earlier chunks, from sums by chunk, and those within its own.
+    """
+    joined = same(series, thresholds, PAIR, "left")
+    marked = joined.withColumn("start", (F.col("threshold").isNull() | F.col("gap").isNull() | (F.col("gap") > F.col("threshold"))).cast("int"))
+    earlier = F.sum("starts").over(Window.partitionBy(*PAIR).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = marked.groupBy(*PAIR, "chunk").agg(F.sum("start").alias("starts")).withColumn("earlier", earlier).where("earlier is not null").drop("starts")
+    own = F.sum("start").over(Window.partitionBy(*PAIR, "chunk").orderBy("ts", "tie").rowsBetween(Window.unboundedPreceding, 0))
+    bursts = same(marked.withColumn("own", own), offsets, [*PAIR, "chunk"], "left").withColumn("burst", F.col("own") + F.coalesce("earlier", F.lit(0)))
+    return bursts.groupBy(*PAIR, "burst").agg(F.min("ts").alias("ts"), F.min("chunk").alias("chunk"), F.sum("orig_bytes").cast("double").alias("bytes"), F.first("burst").alias("tie"))
 
-def _spread(df: DataFrame, value: str, prefix: str) -> DataFrame:
-    """Median, MAD, lower quartile and count of a value by pair, without collecting the values."""
-    center = df.where(F.col(value).isNotNull()).groupBy(*PAIR).agg(F.count("*").alias(f"{prefix}_n"), F.percentile(value, F.array(F.lit(0.5), F.lit(0.25))).alias("q"))
-    center = center.select(*PAIR, f"{prefix}_n", F.col("q")[0].alias(f"{prefix}_median"), F.col("q")[1].alias(f"{prefix}_q25"))
-    mad = same_pair(df.where(F.col(value).isNotNull()), center, "inner").groupBy(*PAIR).agg(F.median(F.abs(F.col(value) - F.col(f"{prefix}_median"))).alias(f"{prefix}_mad"))
-    return same_pair(center, mad, "inner")
+
+def spreads(measures: DataFrame, store: Store, keys: list[str] = PAIR, most: int = MOST_HELD) -> DataFrame:
+    """``keys, what``: count ``n``, ``median``, lower quartile ``q25`` and ``mad`` of ``value``, from rows ``keys, what, value``."""
+    by = [*keys, "what"]
+    center = store.put(group_quantiles(measures, by, "value", {"median": 0.5, "q25": 0.25}, most=most), "centers")
+    off = same(measures.where("value is not null"), center.select(*by, "median"), by).select(*by, F.abs(F.col("value") - F.col("median")).alias("off"))
+    return same(center, group_quantiles(off, by, "off", {"mad": 0.5}, sizes=center, most=most).drop("n"), by)
+
+
+def _named_spread(spread: DataFrame, what: str, prefix: str) -> DataFrame:
+    return spread.where(F.col("what") == what).select(*PAIR, *[F.col(c).alias(f"{prefix}_{c}") for c in ("n", "median", "q25", "mad")])
 
 
 def periodicity(events: DataFrame, periods: DataFrame, p: BeaconParams = BeaconParams()) -> DataFrame:
@@ -286,7 +329,7 @@ def periodicity(events: DataFrame, periods: DataFrame, p: BeaconParams = BeaconP
     lo = F.greatest(F.lit(1), F.bround(0.8 * F.col("gap_median") / F.col("res")).cast("long"))
     hi = F.least(F.bround(1.2 * F.col("gap_median") / F.col("res")).cast("long"), F.col("bins") - 1)
     grid = grid.select(*PAIR, "e_first", "res", "bins", lo.alias("lo"), hi.alias("hi")).where("hi >= lo")
-    counts = same_pair(events, grid, "inner").withColumn("bin", F.least(F.floor((F.col("ts") - F.col("e_first")) / F.col("res")).cast("long"), F.col("bins") - 1)).groupBy(*PAIR, "bins", "lo", "hi", "bin").agg(F.count("*").cast("double").alias("c"))
+    counts = same(events.select(*PAIR, "ts"), grid, PAIR).withColumn("bin", F.least(F.floor((F.col("ts") - F.col("e_first")) / F.col("res")).cast("long"), F.col("bins") - 1)).groupBy(*PAIR, "bins", "lo", "hi", "bin").agg(F.count("*").cast("double").alias("c"))
     w = Window.partitionBy(*PAIR)
     counts = counts.withColumns({"total": F.sum("c").over(w), "squares": F.sum(F.col("c") * F.col("c")).over(w)})
     lagged = counts.withColumn("lag", F.explode(F.sequence("lo", "hi")))
@@ -300,27 +343,35 @@ def periodicity(events: DataFrame, periods: DataFrame, p: BeaconParams = BeaconP
     return sums.groupBy(*PAIR).agg(F.max(F.when(under > 0, top / under).otherwise(0.0)).alias("best")).select(*PAIR, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("best"))).alias("periodicity"))
 
 
-def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> DataFrame:
-    """Scored beacons. The pair summary, the candidates' series and their check-ins are read several times, so they are persisted."""
-    summary = pair_summary(connections).persist()
-    hosts = destination_hosts(summary)
-    open_port = F.col("dst_port").isNull() | ~F.col("dst_port").isin(*p.excluded_ports)
-    candidates = summary.where((F.col("flows") >= p.min_checkins) & (F.col("last_seen") - F.col("first_seen") >= p.min_span) & open_port)
+def candidate_series(connections: DataFrame, candidates: DataFrame, p: BeaconParams) -> DataFrame:
+    """``PAIR, ts, orig_bytes, tie, chunk`` of the candidates' rows. A pair is cut into as many chunks of time as its rows need."""
     kept = connections.dropna(subset=["ts", "src_ip", "dst_ip"])
     if "service" in connections.columns:
         kept = kept.where(F.col("service").isNull() | ~F.lower("service").isin(*p.excluded_services))
     tie = F.col("source_line") if "source_line" in connections.columns else F.lit(0)
-    series = same_pair(kept, candidates.select(*PAIR), "left_semi").select(*PAIR, "ts", "orig_bytes", tie.alias("tie")).persist()
-    w = Window.partitionBy(*PAIR).orderBy("ts", "tie")
-    raw_gaps = series.withColumn("gap", F.col("ts") - F.lag("ts").over(w)).where("gap > 0")
-    events = checkins(series, gap_thresholds(raw_gaps, p)).persist()
-    e = Window.partitionBy(*PAIR).orderBy("ts")
-    gaps = events.withColumn("gap", F.col("ts") - F.lag("ts").over(e)).where("gap > 0").select(*PAIR, "gap")
+    chunks = F.ceil(F.col("flows") / p.chunk_rows)
+    cut = candidates.select(*PAIR, "first_seen", (F.col("last_seen") - F.col("first_seen")).alias("span"), chunks.alias("chunks"))
+    share = (F.col("ts") - F.col("first_seen")) / F.col("span")
+    chunk = F.least(F.col("chunks") - 1, F.floor(share * F.col("chunks"))).cast("int")
+    return same(kept.select(*PAIR, "ts", "orig_bytes", tie.alias("tie")), cut, PAIR).select(*PAIR, "ts", "orig_bytes", "tie", chunk.alias("chunk"))
+
+
+def score_beacon_pairs(pairs: DataFrame, connections: DataFrame, p: BeaconParams = BeaconParams(), store: Store | None = None) -> DataFrame:
+    """Scored beacons. The candidates' series and their check-ins are read several times, so they are stored."""
+    store = store or Store(connections.sparkSession)
+    summary = timed_pairs(pairs)
+    hosts = summary.groupBy("dst_ip").agg(F.count_distinct("src_ip").alias("hosts"))
+    open_port = F.col("dst_port").isNull() | ~F.col("dst_port").isin(*p.excluded_ports)
+    candidates = summary.where((F.col("flows") >= p.min_checkins) & (F.col("last_seen") - F.col("first_seen") >= p.min_span) & open_port)
+    series = store.put(with_gaps(candidate_series(connections, candidates, p)), "series")
+    events = store.put(with_gaps(checkins(series, gap_thresholds(series, p))), "checkins")
     counts = events.groupBy(*PAIR).agg(F.count("*").alias("checkins"), F.min("ts").alias("e_first"), F.max("ts").alias("e_last")).where(F.col("checkins") >= p.min_checkins)
-    stats = same_pair(same_pair(counts, _spread(gaps, "gap", "gap"), "inner"), _spread(events, "bytes", "size"), "left")
-    stats = stats.where((F.col("gap_n") >= 3) & F.col("gap_median").between(*p.period))
-    joined = same_pair(stats, candidates.select(*PAIR, "first_seen", "last_seen"), "inner").join(hosts, "dst_ip")
-    joined = same_pair(joined, periodicity(events, stats, p), "left")
+    measure = F.explode(F.array(F.struct(F.lit("gap").alias("what"), F.when(F.col("gap") > 0, F.col("gap")).alias("value")), F.struct(F.lit("size").alias("what"), F.col("bytes").alias("value"))))
+    spread = store.put(spreads(events.select(*PAIR, measure.alias("m")).select(*PAIR, "m.*"), store), "spreads")
+    stats = same(same(counts, _named_spread(spread, "gap", "gap"), PAIR), _named_spread(spread, "size", "size"), PAIR, "left")
+    stats = store.put(stats.where((F.col("gap_n") >= 3) & F.col("gap_median").between(*p.period)), "stats")
+    joined = same(stats, candidates.select(*PAIR, "first_seen", "last_seen"), PAIR).join(hosts, "dst_ip")
+    joined = same(joined, periodicity(events, stats, p), PAIR, "left")
     expected = (F.col("last_seen") - F.col("first_seen")) / F.col("gap_median")
     cover = F.least(F.col("gap_n").cast("double"), expected) / F.greatest(F.col("gap_n").cast("double"), expected)
     floor = F.when(F.col("gap_n") < 4, 0.0).otherwise((F.col("gap_median") - F.col("gap_q25")) / F.col("gap_median"))
@@ -336,8 +387,13 @@ def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams()) -> D
     return scored.where(F.col("score") >= p.min_score).orderBy(F.desc(F.bround("score", 9)), *PAIR).limit(p.top)
 
 
-def detect_beacons(connections: DataFrame, p: BeaconParams = BeaconParams(), samples: int = 0) -> DataFrame:
+def score_beacons(connections: DataFrame, p: BeaconParams = BeaconParams(), store: Store | None = None) -> DataFrame:
+    store = store or Store(connections.sparkSession)
+    return score_beacon_pairs(store.put(pair_totals(connections).drop("first_at"), "pairs"), connections, p, store)
+
+
+def detect_beacons(connections: DataFrame, p: BeaconParams = BeaconParams(), samples: int = 0, pairs: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     severity = F.when(F.col("score") >= p.critical_score, "critical").otherwise("high")
     summary = F.format_string("%s contacts %s every %.1f s", "src_ip", "dst_ip", "gap_median")
-    scored = with_samples(score_beacons(connections, p), connections, PAIR, samples)
+    scored = with_samples(score_beacons(connections, p, store) if pairs is None else score_beacon_pairs(pairs, connections, p, store), connections, PAIR, samples)
     return to_findings(scored, "beacons_to", F.col("src_ip"), "ip", F.col("dst_ip"), severity, "beaconing@1", {k: F.col(k) for k in BEACON_PARTS}, "beacon", summary, {**{k: F.col(k) for k in ("checkins", "gap_median", "hosts", "dst_port")}, **{k: F.col(k) for k in BEACON_PARTS}})

@@ -1,5 +1,9 @@
 """The detectors behind one interface, and a run over all of them.
 
+A run starts from shared summaries (``summarised``): each table is read once and reduced to the totals that its detectors have in
+common, which are written to the shared folder. A detector that must see single rows (beaconing its candidates' series, evidence its samples)
+reads the table again, and only for what passed the summaries' gates.
+
 A detector is anything with a name, a version and ``detect(telemetry)``; a caller adds its own to ``REGISTRY``'s. Findings name
 their detector as ``name@version``, and go through the grammar before they are given out.
 """
@@ -7,7 +11,7 @@ their detector as ``name@version``, and go through the grammar before they are g
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 from typing import Protocol, runtime_checkable
 
@@ -17,6 +21,7 @@ from pyspark.sql import functions as F
 from ..operators import host, intel, names, network
 from ..operators.findings import check_grammar, with_finding_id
 from ..schema import FINDING_COLUMNS
+from ..sources.shared import Store
 
 
 @dataclass(frozen=True)
@@ -30,6 +35,32 @@ class Telemetry:
     processes: DataFrame | None = None
     indicators: DataFrame | None = None  # normalised
     bigrams: DataFrame | None = None  # of ``names.fit_bigrams``
+    # what ``summarised`` adds
+    pairs: DataFrame | None = None
+    lookups: DataFrame | None = None
+    sessions: DataFrame | None = None
+    triples: DataFrame | None = None
+    matched: DataFrame | None = None
+    store: Store | None = None
+
+
+def summarised(telemetry: Telemetry, store: Store) -> Telemetry:
+    """The same tables with the summaries that several detectors start from, each computed once and stored."""
+    t = telemetry
+    made: dict[str, DataFrame] = {}
+    if t.connections is not None:
+        made["pairs"] = store.put(network.pair_totals(t.connections), "pairs")
+    if t.dns is not None:
+        made["lookups"] = store.put(names.lookup_totals(t.dns), "lookups")
+    if t.ssl is not None:
+        made["sessions"] = store.put(names.session_totals(t.ssl), "sessions")
+    if t.processes is not None:
+        made["triples"] = store.put(host.process_triples(t.processes), "triples")
+    if t.indicators is not None:
+        made["indicators"] = store.put(t.indicators, "indicators")
+        if "pairs" in made and "lookups" in made:
+            made["matched"] = intel.matched_observed(intel.folded(intel.sightings(made["pairs"], made["lookups"])), made["indicators"], store)
+    return replace(t, **made, store=store)
 
 
 @runtime_checkable
@@ -43,18 +74,17 @@ class Detector(Protocol):
 
 @dataclass(frozen=True)
 class TableDetector:
-    """A detector made of functions of tables; ``steps`` pairs the tables a function needs with the function."""
+    """A detector made of functions of the telemetry; ``steps`` pairs the tables a function needs with the function."""
 
     name: str
-    steps: Sequence[tuple[tuple[str, ...], Callable[..., DataFrame]]]
+    steps: Sequence[tuple[tuple[str, ...], Callable[[Telemetry], DataFrame]]]
     version: str = "1"
 
     def detect(self, telemetry: Telemetry) -> DataFrame | None:
         parts = []
         for needs, run in self.steps:
-            tables = [getattr(telemetry, n) for n in needs]
-            if all(t is not None for t in tables):
-                parts.append(run(*tables))
+            if all(getattr(telemetry, n) is not None for n in needs):
+                parts.append(run(telemetry))
         return reduce(DataFrame.unionByName, parts).withColumn("detector", F.lit(qualified(self))) if parts else None
 
 
@@ -65,23 +95,41 @@ def qualified(detector: Detector) -> str:
 def registry(beacons=network.BeaconParams(), fanout=network.FanoutParams(), egress=network.EgressParams(), tunnels=names.TunnelParams(), alerts=network.AlertParams(), matches=intel.IntelParams(), tls=names.TlsParams(), dga=names.DgaParams(), hosts=host.HostParams(), samples: int = 5) -> tuple[Detector, ...]:
     """The eight detectors with their parameters; ``samples`` rows are named as evidence of each finding that has rows of its own."""
     return (
-        TableDetector("beaconing", [(("connections",), lambda c: network.detect_beacons(c, beacons, samples))]),
-        TableDetector("fanout", [(("connections",), lambda c: network.detect_fanout(c, fanout, samples))]),
-        TableDetector("egress", [(("connections",), lambda c: network.detect_egress(c, egress, samples))]),
-        TableDetector("dns_tunnel", [(("dns",), lambda d: names.detect_tunnels(d, tunnels, samples))]),
-        TableDetector("alerts", [(("alerts",), lambda a: network.detect_alerts(a, alerts, samples))]),
-        TableDetector("intel", [(("connections", "dns", "indicators"), lambda c, d, i: intel.detect_intel(c, d, i, matches)), (("connections", "dns", "indicators"), lambda c, d, i: intel.detect_infrastructure(c, d, i, matches))]),
-        TableDetector("tls_dga", [(("ssl",), lambda s: names.detect_fingerprints(s, tls, samples)), (("dns", "bigrams"), lambda d, m: names.detect_domains(d, m, dga, samples))]),
-        TableDetector("host", [(("processes",), lambda p: host.detect_processes(p, hosts, samples)), (("processes",), lambda p: host.detect_lineage(p, hosts, samples))]),
+        TableDetector("beaconing", [(("connections",), lambda t: network.detect_beacons(t.connections, beacons, samples, t.pairs, t.store))]),
+        TableDetector("fanout", [(("connections",), lambda t: network.detect_fanout(t.connections, fanout, samples, t.pairs))]),
+        TableDetector("egress", [(("connections",), lambda t: network.detect_egress(t.connections, egress, samples, t.pairs, t.store))]),
+        TableDetector("dns_tunnel", [(("dns",), lambda t: names.detect_tunnels(t.dns, tunnels, samples, t.lookups))]),
+        TableDetector("alerts", [(("alerts",), lambda t: network.detect_alerts(t.alerts, alerts, samples))]),
+        TableDetector("intel", [
+            (("connections", "dns", "indicators"), lambda t: intel.detect_intel(t.connections, t.dns, t.indicators, matches, t.matched, t.store)),
+            (("connections", "dns", "indicators"), lambda t: intel.detect_infrastructure(t.connections, t.dns, t.indicators, matches, t.matched, t.lookups, t.store)),
+        ]),
+        TableDetector("tls_dga", [
+            (("ssl",), lambda t: names.detect_fingerprints(t.ssl, tls, samples, t.sessions)),
+            (("dns", "bigrams"), lambda t: names.detect_domains(t.dns, t.bigrams, dga, samples, t.lookups, t.store)),
+        ]),
+        TableDetector("host", [
+            (("processes",), lambda t: host.detect_processes(t.processes, hosts, samples, t.triples)),
+            (("processes",), lambda t: host.detect_lineage(t.processes, hosts, samples, t.triples)),
+        ]),
     )
 
 
 REGISTRY = registry()
 
 
-def detect_all(telemetry: Telemetry, detectors: Sequence[Detector] = REGISTRY) -> tuple[DataFrame, DataFrame]:
-    """(findings with their ids, rejected ones with a reason) of all detectors that have the tables they need."""
-    parts = [found.select(*FINDING_COLUMNS) for d in detectors if (found := d.detect(telemetry)) is not None]
+def detect_all(telemetry: Telemetry, detectors: Sequence[Detector] = REGISTRY, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
+    """(findings with their ids, rejected ones with a reason) of all detectors that have the tables they need.
+
+    Findings are few, as detectors cap them; each detector's are stored when they are found, so what comes after reads files only. A
+    ``store`` of the caller's may be dropped when the findings have been used.
+    """
+    tables = [t for t in (getattr(telemetry, n) for n in ("connections", "dns", "ssl", "alerts", "processes")) if t is not None]
+    if not tables:
+        raise ValueError("no detector has the tables it needs")
+    if telemetry.store is None:
+        telemetry = summarised(telemetry, store or Store(tables[0].sparkSession))
+    parts = [telemetry.store.put(found.select(*FINDING_COLUMNS), "findings") for d in detectors if (found := d.detect(telemetry)) is not None]
     if not parts:
         raise ValueError("no detector has the tables it needs")
     admitted, rejected = check_grammar(reduce(DataFrame.unionByName, parts))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.findings import DERIVED, GRAMMAR, SUPPORTING, to_findings, with_finding_id
+from ..sources.shared import stored
 
 UNARY = tuple(p for p, _, objects, *_ in GRAMMAR if objects is None)
 
@@ -111,11 +112,11 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
 def correlate(findings: DataFrame, p: CorrelationParams = CorrelationParams()) -> tuple[DataFrame, DataFrame]:
     """(incidents, findings with their incident) of findings from any number of detectors.
 
-    The findings are read several times, and they are few (detectors cap them), so they are kept instead of detected anew.
+    The findings are read several times, and they are few (detectors cap them), so they are stored instead of detected anew.
     """
     if "finding_id" not in findings.columns:
         findings = with_finding_id(findings)
-    findings = findings.persist()
+    findings = stored(findings, "findings")
     grouped = members(findings, p)
     return rank(grouped, p), grouped
 
