@@ -73,7 +73,7 @@ def det_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 _WEIGHTS_SQL = "CASE WHEN category IS NULL THEN 0.4 " + " ".join(f"WHEN contains(lower(category), '{f}') THEN {w}" for f, w in S.CATEGORY_WEIGHTS) + " ELSE 0.4 END"
 ALERTS_SQL = f"""
 WITH {W}, c AS (SELECT src_ip, signature, count(*) AS alerts, arg_min(signature_id, (ts, source_line)) AS signature_id, arg_min(category, (ts, source_line)) AS category, min(severity) AS stated,
-  count(DISTINCT dst_ip) + max(CAST(dst_ip IS NULL AS INTEGER)) AS targets FROM alerts GROUP BY ALL),
+  count(DISTINCT dst_ip) + max(CAST(dst_ip IS NULL AS INTEGER)) AS targets, min(ts) AS first_seen FROM alerts GROUP BY ALL),
 h AS (SELECT signature_id, count(DISTINCT src_ip) AS hosts FROM c WHERE signature_id IS NOT NULL GROUP BY 1),
 j AS (SELECT c.*, coalesce(h.hosts, 1) AS hosts FROM c LEFT JOIN h USING (signature_id) WHERE alerts >= 3),
 p AS (SELECT *, CASE WHEN hosts >= 50 THEN least(1 / sqrt(hosts), 0.05) ELSE 1 / sqrt(hosts) END AS signature_rarity, CASE stated WHEN 1 THEN 1.0 WHEN 2 THEN 0.6 WHEN 3 THEN 0.3 ELSE 0.4 END AS stated_severity, {_WEIGHTS_SQL} AS category_weight FROM j),
@@ -92,7 +92,7 @@ def det_tls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 TLS_SQL = f"""
 WITH {W}, e AS (SELECT count(DISTINCT src_ip) AS estate FROM ssl),
-g AS (SELECT src_ip, ja3, count(*) AS sessions, count(DISTINCT dst_ip) AS servers FROM ssl WHERE trim(ja3) <> '' GROUP BY ALL),
+g AS (SELECT src_ip, ja3, count(*) AS sessions, count(DISTINCT dst_ip) AS servers, min(ts) AS first_seen FROM ssl WHERE trim(ja3) <> '' GROUP BY ALL),
 h AS (SELECT ja3, count(*) AS hosts FROM g GROUP BY 1 HAVING count(*) <= 2),
 p AS (SELECT *, 1 / sqrt(hosts) AS fingerprint_rarity, {_sat('estate', 50)} AS estate_support FROM g JOIN h USING (ja3), e WHERE sessions >= 3 AND estate >= 10),
 s AS (SELECT *, {_gm({'fingerprint_rarity': 0.65, 'estate_support': 0.35})} AS score FROM p)
@@ -455,6 +455,18 @@ def incident_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 SUMMARY_SQL = f"SELECT severity, count(*) AS incidents, count(*) FILTER (behaviours >= 2) AS corroborated FROM ({INCIDENT_SQL}) GROUP BY 1"
 
 
+SEQUENCE_SQL = f"""
+WITH fi AS (SELECT 'scans' AS predicate, src_ip AS subject, 'port' AS type, CAST(dst_port AS VARCHAR) AS node, score, first_seen, 'lineitem' AS source FROM ({FANOUT_SQL})
+  UNION ALL SELECT claim, src_ip, 'ip', dst_ip, score, first_seen, 'lineitem' FROM ({EGRESS_SQL.replace("SELECT src_ip, dst_ip, claim, flows", "SELECT first_seen, src_ip, dst_ip, claim, flows")})
+  UNION ALL SELECT 'triggered_signature', src_ip, 'signature', signature, score, first_seen, 'events' FROM ({ALERTS_SQL.replace("SELECT src_ip, signature, alerts, hosts", "SELECT first_seen, src_ip, signature, alerts, hosts")})
+  UNION ALL SELECT 'presents_rare_tls_fingerprint', src_ip, 'tls_fingerprint', ja3, score, first_seen, 'events' FROM ({TLS_SQL.replace("SELECT src_ip, ja3, sessions, servers, hosts, estate", "SELECT first_seen, src_ip, ja3, sessions, servers, hosts, estate")})),
+hd AS (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY subject, predicate ORDER BY first_seen, score DESC, node) = 1),
+nx AS (SELECT *, lead(first_seen) OVER w AS later, lead(score) OVER w AS s2, lead(type) OVER w AS t2, lead(node) OVER w AS n2, lead(source) OVER w AS o2 FROM hd WINDOW w AS (PARTITION BY subject ORDER BY first_seen, predicate))
+SELECT type AS subject_type, node AS subject, t2 AS object_type, n2 AS object, round(least(score, s2), 4) AS score, round(first_seen, 4) AS first_seen, round(later, 4) AS last_seen FROM nx
+WHERE later - first_seen >= CASE WHEN source = o2 THEN 1 ELSE 300 END AND (type, lower(node)) <> (t2, lower(n2))
+"""
+
+
 def incident_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, grouped = incidents.correlate(_findings(spark, sf_dir))
     return incidents.sequence(grouped).select("subject_type", "subject", "object_type", "object", *_r("score", "first_seen", "last_seen"))
@@ -616,27 +628,32 @@ SRC_PROCESS_SQL = f"WITH {W} SELECT host, image, parent_image, process_guid, sha
 # ---------------------------------------------------------------- findings of all detectors, evidence, evaluation
 
 
-def _telemetry(spark: SparkSession, sf_dir: str) -> detectors.Telemetry:
+def _telemetry(spark: SparkSession, sf_dir: str, connections: DataFrame | None = None) -> detectors.Telemetry:
+    connections = views.connections(spark, sf_dir) if connections is None else connections
     feed = intel.normalised_indicators(views.indicators(spark, sf_dir))
-    return detectors.Telemetry(views.connections(spark, sf_dir), views.dns(spark, sf_dir), views.ssl(spark, sf_dir), views.alerts(spark, sf_dir), views.processes(spark, sf_dir), feed)
+    return detectors.Telemetry(connections, views.dns(spark, sf_dir), views.ssl(spark, sf_dir), views.alerts(spark, sf_dir), views.processes(spark, sf_dir), feed)
 
 
 ALL = detectors.registry(beacons=BEACONS, fanout=FANOUT, egress=EGRESS, tunnels=TUNNEL, alerts=ALERTS, matches=INTEL, tls=TLS, dga=DGA, hosts=HOST, samples=0)
 
 
-def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the eight detectors claim, through their registry; beaconing on the denser view, domains on the generated names."""
-    from dataclasses import replace
+def _all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the eight detectors claim, through their registry: connections of both kinds in one run, generated names in a second."""
+    store = Store(spark)
+    usual, _ = detectors.detect_all(_telemetry(spark, sf_dir, views.all_connections(spark, sf_dir)), ALL, store)
+    generated = detectors.Telemetry(dns=views.generated_dns(spark, sf_dir), bigrams=names.fit_bigrams(views.words(spark, sf_dir)))
+    other, _ = detectors.detect_all(generated, [d for d in ALL if d.name == "tls_dga"], store)
+    return usual.unionByName(other)
 
-    t = _telemetry(spark, sf_dir)
-    usual, _ = detectors.detect_all(t, [d for d in ALL if d.name != "beaconing"])
-    dense = replace(t, connections=views.connections(spark, sf_dir, dense=True), dns=views.generated_dns(spark, sf_dir), bigrams=names.fit_bigrams(views.words(spark, sf_dir)), ssl=None)
-    other, _ = detectors.detect_all(dense, [d for d in ALL if d.name in ("beaconing", "tls_dga")])
-    return usual.unionByName(other).select("predicate", "subject_type", "subject", "object_type", "object", "severity", "detector", *_r("score"))
+
+def findings_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_findings(spark, sf_dir).select("predicate", "subject_type", "subject", "object_type", "object", "severity", "detector", *_r("score"))
 
 
-def _claims_sql(sql: str, predicate: str, subject_type: str, subject: str, object_type: str, obj: str, severity: str, detector: str) -> str:
-    return f"SELECT {predicate} AS predicate, '{subject_type}' AS subject_type, {subject} AS subject, {object_type} AS object_type, {obj} AS object, {severity} AS severity, '{detector}@1' AS detector, round(score, 4) AS score FROM ({sql})"
+def queue_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Incidents of what all eight detectors claim."""
+    found, _ = incidents.correlate(_all_findings(spark, sf_dir))
+    return found.select("incident", "behaviours", "findings", "severity", *_r("confidence", "multiplier", "priority"))
 
 
 def intel_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -697,9 +714,8 @@ SELECT value, indicator, indicator_kind, CAST(prefix AS INTEGER) AS prefix FROM
 
 def incident_attached(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Incidents of egress and intelligence findings: a match joins every incident that names its address, and stands alone only if none does."""
-    t = _telemetry(spark, sf_dir)
-    found = with_finding_id(network.detect_egress(t.connections, EGRESS).unionByName(intel.detect_intel(t.connections, t.dns, t.indicators, INTEL))).persist()  # few rows, read several times
-    return incidents.members(found).groupBy("incident", "predicate").agg(F.count("*").alias("findings"))
+    found, _ = detectors.detect_all(_telemetry(spark, sf_dir), [d for d in ALL if d.name in ("egress", "intel")])
+    return incidents.members(found.where("predicate <> 'shares_infrastructure_with'")).groupBy("incident", "predicate").agg(F.count("*").alias("findings"))
 
 
 ATTACHED_SQL = f"""
@@ -711,6 +727,53 @@ SELECT incident, predicate, count(*) AS findings FROM (
 """
 
 
+W_ALL = W.replace("connections AS (SELECT epoch", "plain AS (SELECT epoch", 1).replace("gdns AS (", "connections AS (SELECT * FROM plain UNION ALL SELECT * FROM dense),\ngdns AS (", 1)
+
+
+def _claims_sql(sql: str, predicate: str, subject_type: str, subject: str, object_type: str, obj: str, severity: str, detector: str) -> str:
+    return f"SELECT {predicate} AS predicate, '{subject_type}' AS subject_type, {subject} AS subject, {object_type} AS object_type, {obj} AS object, {severity} AS severity, '{detector}@1' AS detector, round(score, 4) AS score FROM ({sql.replace(W, W_ALL)})"
+
+
+_INTEL_RAW = INTEL_SQL.replace("SELECT kind, value, indicator, indicator_kind,", "SELECT score AS raw, first_seen, last_seen, kind, value, indicator, indicator_kind,")
+_INTEL_TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY indicator, indicator_kind ORDER BY events DESC, value) AS place FROM ({_INTEL_RAW})) WHERE place <= 10 ORDER BY round(raw, 9) DESC, kind, value LIMIT 200"
+LINKS_SQL = f"""
+WITH {W}, fx AS ({_INTEL_RAW}), an AS (SELECT query AS name, unnest(string_split(answers, ';')) AS answer FROM dns), na AS (SELECT DISTINCT answer, name FROM an),
+nb AS (SELECT answer, count(*) AS breadth FROM na GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+mk AS (SELECT na.*, breadth, indicator FROM na JOIN nb USING (answer) LEFT JOIN (SELECT value AS name, indicator FROM fx WHERE kind = 'domain') USING (name)),
+ra AS (SELECT a.name AS anchor, b.name AS other, min(a.breadth) AS breadth FROM mk a JOIN mk b USING (answer) WHERE a.indicator IS NOT NULL AND a.name <> b.name AND (b.indicator IS NULL OR (b.indicator <> a.indicator AND a.name < b.name)) GROUP BY ALL),
+aa AS (SELECT na.answer, fx.indicator AS own, name FROM na JOIN fx ON fx.kind = 'ip' AND fx.value = na.answer), ab AS (SELECT answer, count(*) AS breadth FROM aa GROUP BY 1 HAVING count(*) BETWEEN 2 AND 5),
+rb AS (SELECT answer AS anchor, name AS other, breadth FROM aa JOIN ab USING (answer) LEFT JOIN (SELECT value AS name, indicator FROM fx WHERE kind = 'domain') USING (name) WHERE indicator IS NULL OR indicator <> own),
+fn AS (SELECT *, {_ipv4('value')} AS num, {_ipv4('value')} // 256 AS net FROM fx WHERE kind = 'ip'), fm AS (SELECT *, num = min(num) OVER (PARTITION BY net, indicator, indicator_kind) AS anchor FROM fn),
+rc AS (SELECT a.value AS anchor, b.value AS other FROM fm a JOIN fm b ON a.net = b.net AND a.anchor AND (a.indicator, a.indicator_kind) <> (b.indicator, b.indicator_kind) AND (NOT b.anchor OR a.num < b.num)),
+u AS ((SELECT 'domain' AS st, anchor, 'domain' AS ot, other, least(0.95, 2 / breadth) AS score FROM ra ORDER BY score DESC, anchor, other LIMIT 50)
+  UNION ALL (SELECT 'ip', anchor, 'domain', other, least(0.95, 2 / breadth) AS score FROM rb ORDER BY score DESC, anchor, other LIMIT 50) UNION ALL (SELECT 'ip', anchor, 'ip', other, 0.5 FROM rc ORDER BY anchor, other LIMIT 50))
+SELECT * FROM u ORDER BY round(score, 4) DESC, anchor, other LIMIT 50
+"""
+_BANDS = "CASE claim WHEN 'exfiltrates_to' THEN 'critical' WHEN 'transfers_anomalous_volume' THEN 'medium' ELSE 'low' END"
+FINDINGS_SQL = " UNION ALL ".join([
+    _claims_sql(_beacon_sql("connections"), "'beacons_to'", "ip", "src_ip", "'ip'", "dst_ip", "CASE WHEN score >= 0.9 THEN 'critical' ELSE 'high' END", "beaconing"),
+    _claims_sql(FANOUT_SQL, "'scans'", "ip", "src_ip", "'port'", "CAST(dst_port AS VARCHAR)", "CASE WHEN score >= 0.85 THEN 'high' ELSE 'medium' END", "fanout"),
+    _claims_sql(EGRESS_SQL, "claim", "ip", "src_ip", "'ip'", "dst_ip", _BANDS, "egress"),
+    _claims_sql(TUNNEL_SQL, "'tunnels_dns_over'", "ip", "src_ip", "'domain'", "zone", "CASE WHEN score >= 0.85 THEN 'critical' ELSE 'high' END", "dns_tunnel"),
+    _claims_sql(ALERTS_SQL, "'triggered_signature'", "ip", "src_ip", "'signature'", "signature", "CASE WHEN score >= 0.75 THEN 'medium' ELSE 'low' END", "alerts"),
+    _claims_sql(_INTEL_TOP, "'matches_threat_intel'", "' || kind || '", "value", "NULL", "NULL", "CASE WHEN score >= 0.5 THEN 'medium' ELSE 'low' END", "intel"),
+    _claims_sql(LINKS_SQL, "'shares_infrastructure_with'", "' || st || '", "anchor", "ot", "other", "'info'", "intel"),
+    _claims_sql(TLS_SQL, "'presents_rare_tls_fingerprint'", "ip", "src_ip", "'tls_fingerprint'", "ja3", "'medium'", "tls_dga"),
+    _claims_sql(DGA_SQL, "'resolves_algorithmic_domain'", "ip", "src_ip", "'domain'", "label || '.' || suffix", "CASE WHEN score >= 0.85 THEN 'high' ELSE 'medium' END", "tls_dga"),
+    _claims_sql(PROCESS_SQL, "'executes_rare_process'", "host", "host", "'process'", "image_name", "'medium'", "host"),
+    _claims_sql(LINEAGE_SQL, "'exhibits_anomalous_lineage'", "host", "host", "'process'", "image_name", "'high'", "host"),
+])
+QUEUE_ALL_SQL = f"""
+WITH fi AS ({FINDINGS_SQL}), k AS (SELECT *, row_number() OVER () AS id, subject_type || ':' || lower(subject) AS own, object_type || ':' || lower(object) AS named, list_position(['info', 'low', 'medium', 'high', 'critical'], severity) AS sev FROM fi),
+mv AS (SELECT DISTINCT k.id, n.own AS target FROM k JOIN k n ON k.predicate = 'matches_threat_intel' AND n.object IS NOT NULL AND n.named = k.own AND n.own <> k.own),
+al AS (SELECT own AS incident, k.* FROM k UNION ALL SELECT target, k.* FROM k JOIN mv USING (id)), st AS (SELECT DISTINCT own AS incident FROM k WHERE id NOT IN (SELECT id FROM mv)),
+g AS (SELECT incident, predicate, max(score) AS top, count(*) AS n, max(sev) AS sev FROM al SEMI JOIN st USING (incident) GROUP BY ALL),
+i AS (SELECT incident, 1 - product(1 - top) AS confidence, count(*) FILTER (predicate NOT IN ({', '.join(f"'{x}'" for x in incidents.SUPPORTING + incidents.DERIVED)})) AS behaviours, CAST(sum(n) AS BIGINT) AS findings, max(sev) AS sev FROM g GROUP BY 1),
+m AS (SELECT *, CAST(least(1 + 0.5 * greatest(behaviours - 1, 0), 2.5) AS DOUBLE) AS multiplier FROM i)
+SELECT incident, behaviours, findings, ['info', 'low', 'medium', 'high', 'critical'][sev] AS severity, round(confidence, 4) AS confidence, round(multiplier, 4) AS multiplier, round(confidence * multiplier, 4) AS priority FROM m
+"""
+
+
 def hunt_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One look-up for each incident and pivot, with the best score of the findings that ask for it."""
     _, grouped = incidents.correlate(_findings(spark, sf_dir))
@@ -929,11 +992,11 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
-    "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
+    "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "findings_all": FINDINGS_SQL, "queue_all": QUEUE_ALL_SQL, "incident_attached": ATTACHED_SQL, "incident_sequence": SEQUENCE_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
     "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, 

@@ -91,12 +91,12 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
     the same entity. The chain has at most a link for each pair of neighbouring predicates.
     """
     dated = grouped.where(F.col("first_seen").isNotNull() & ~F.col("predicate").isin(*p.derived))
-    first = Window.partitionBy("incident", "predicate").orderBy("first_seen", F.desc("score"), "finding_id")
+    first = Window.partitionBy("incident", "predicate").orderBy("first_seen", F.desc("score"), "object", "subject", "finding_id")
     heads = dated.withColumn("place", F.row_number().over(first)).where("place = 1")
     sources = F.array_distinct(F.filter(F.transform("evidence", lambda e: e["artifact"]["source_file"]), lambda s: s.isNotNull()))
-    node = heads.select("incident", "predicate", "finding_id", "score", "first_seen", sources.alias("sources"), F.coalesce("object_type", "subject_type").alias("node_type"), F.coalesce("object", "subject").alias("node"))
+    node = heads.select("incident", "predicate", "finding_id", "score", "first_seen", sources.alias("sources"), F.col("evidence")[0]["artifact"].alias("place"), F.coalesce("object_type", "subject_type").alias("node_type"), F.coalesce("object", "subject").alias("node"))
     w = Window.partitionBy("incident").orderBy("first_seen", "predicate")
-    nxt = F.lead(F.struct("predicate", "finding_id", "score", "first_seen", "sources", "node_type", "node")).over(w)
+    nxt = F.lead(F.struct("predicate", "finding_id", "score", "first_seen", "sources", "place", "node_type", "node")).over(w)
     pairs = node.withColumn("later", nxt).where("later is not null")
     joint = F.array_sort(F.array_union("sources", F.col("later.sources")))
     floor = F.when(F.size(joint) == 1, p.same_clock_floor).otherwise(p.cross_clock_floor)
@@ -105,6 +105,8 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
     kept = pairs.where(other & (F.col("separation") >= F.col("floor"))).withColumn("last_seen", F.col("later.first_seen")).withColumn("score", F.least("score", F.col("later.score")))
     summary = F.format_string("%s began, and %s followed after %.1f s", F.col("predicate"), F.col("later.predicate"), F.col("separation"))
     payload = {"from": F.col("finding_id"), "to": F.col("later.finding_id"), "gap": F.bround("separation", 1), "floor": F.col("floor"), "clocks": F.col("clocks")}
+    # the link points back to where either behaviour was first seen
+    kept = kept.withColumns({"artifact": F.col("place"), "samples": F.array_distinct(F.array("place", "later.place"))})
     found = to_findings(kept.withColumn("_predicate", F.col("predicate")), "precedes", F.col("node"), F.col("later.node_type"), F.col("later.node"), F.lit("info"), "correlator@1", {"weaker": F.col("score")}, "temporal_order", summary, payload, subject_type=F.col("node_type"))
     return found
 
