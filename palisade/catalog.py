@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import scalars as S
-from .operators import host, intel, names, network
+from .operators import host, intel, names, network, ranges
 from .operators.findings import check_grammar, with_finding_id
 from .plans import detectors, incidents, readiness, views
 from .sources import text
@@ -419,6 +419,17 @@ def pair_summary_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 MERGED_SQL = f"WITH {W} SELECT src_ip, dst_ip, dst_port, count(*) AS flows, CAST(sum(orig_bytes) AS BIGINT) AS bytes_out, count(resp_bytes) AS both_flows, round(min(ts), 4) AS first_seen, round(max(ts), 4) AS last_seen FROM connections GROUP BY ALL"
 
+
+def fanout_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distinct destinations of each port from merged hourly sketches, beside the exact number: within three per cent of it."""
+    conn = views.connections(spark, sf_dir)
+    merged = summaries.merge_sketches(summaries.fanout_sketches(conn, ["dst_port"]), ["dst_port"])
+    exact = conn.groupBy("dst_port").agg(F.count_distinct("dst_ip").alias("exact"))
+    return merged.join(exact, "dst_port").select("dst_port", "flows", "exact", (F.abs(F.col("destinations") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
+
+
+SKETCH_SQL = f"WITH {W} SELECT dst_port, count(*) AS flows, count(DISTINCT dst_ip) AS exact, true AS close FROM connections GROUP BY 1"
+
 # ---------------------------------------------------------------- incidents and hunts
 
 
@@ -687,7 +698,7 @@ FROM m a JOIN m b ON a.net = b.net AND a.anchor AND (a.indicator, a.indicator_ki
 """
 
 
-def match_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Addresses of both families against single addresses and networks of several lengths; other spellings on purpose."""
     o, s = F.col("l_orderkey"), F.col("l_suppkey")
     line = views.read(spark, sf_dir, "lineitem")
@@ -699,7 +710,17 @@ def match_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(sup % 4 == 0, F.concat(F.lit("2001:db8:"), hexed(sup % 8), F.lit("::/48"))).when(sup % 4 == 1, F.concat(F.lit("2001:0db8:"), hexed(sup % 8), F.lit("::000"), hexed(sup % 16))).when(sup % 4 == 2, F.concat(F.lit("2001:db8:"), hexed(sup % 8), F.lit("::8/125"))).otherwise(F.concat(F.lit("10.8."), sup % 8, F.lit(".0/29"))).alias("value"),
         F.lit(None).cast("double").alias("confidence"), F.lit(None).cast("date").alias("added"), F.lit("supplier").alias("source_file"), sup.cast("long").alias("source_line"),
     )
-    return intel.match_addresses(seen, intel.normalised_indicators(raw)).select("value", "indicator", "indicator_kind", "prefix")
+    return seen, intel.normalised_indicators(raw)
+
+
+def match_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each address with its longest network, tried against every prefix length of the feed."""
+    return intel.match_addresses(*_addresses(spark, sf_dir)).select("value", "indicator", "indicator_kind", "prefix")
+
+
+def match_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a merge of addresses with the feed's elementary ranges."""
+    return ranges.match_ranges(*_addresses(spark, sf_dir)).select("value", "indicator", "indicator_kind", "prefix")
 
 
 IPV6_SQL = """
@@ -992,14 +1013,14 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "findings_all": FINDINGS_SQL, "queue_all": QUEUE_ALL_SQL, "incident_attached": ATTACHED_SQL, "incident_sequence": SEQUENCE_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
-    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, 
+    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "match_ranges": IPV6_SQL, "fanout_sketches": SKETCH_SQL, 
     "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
     "process_commands": COMMANDS_SQL, "named_objects": OBJECTS_SQL, "src_netflow_lines": SRC_NETFLOW_SQL, "src_dns_lines": SRC_DNS_SQL, "src_ssl_lines": SRC_SSL_SQL, "src_indicator_lines": SRC_INDICATOR_SQL, "src_asset_lines": SRC_ASSET_SQL,
 }

@@ -309,6 +309,19 @@ def network_key(key: Column, prefix: Column) -> Column:
     return _named(F.struct(key.alias("key"), prefix.alias("bits")), lambda s: cut(s["key"], s["bits"]))
 
 
+def network_last(base: Column, prefix: Column) -> Column:
+    """The key of the last address of the network with ``prefix`` leading bits whose first address has the key ``base``."""
+
+    def fill(k: Column, bits: Column) -> Column:
+        whole, rest = F.floor(bits / 4).cast("int"), F.pmod(bits, F.lit(4)).cast("int")
+        digit = F.conv(F.substr(k, whole + 1, F.lit(1)), 16, 10).cast("int")
+        size = F.element_at(F.array(*[F.lit(16 >> n) for n in range(4)]), rest + 1)
+        last = F.when(rest == 0, "").otherwise(F.lower(F.conv((digit + size - 1).cast("string"), 10, 16)))
+        return F.rpad(F.concat(F.left(k, whole), last), F.length(k), F.lit("f"))
+
+    return _named(F.struct(base.alias("key"), prefix.alias("bits")), lambda s: fill(s["key"], s["bits"]))
+
+
 # ---------------------------------------------------------------- dates and ids
 
 

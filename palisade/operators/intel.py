@@ -1,7 +1,7 @@
 """Indicators and assets: dimensions, matching joins, intel findings, shared infrastructure.
 
-Matching never loops over a feed: an address is tried against the distinct prefix lengths in use, a name against its own
-parent zones, each as an equi-join. The dimension side is left to the optimizer's size estimate; nothing forces a broadcast
+Matching never loops over a feed: an address is tried against the distinct prefix lengths in use where these are few, and looked up
+in elementary ranges where they are many (``ranges``); a name is tried against its own parent zones. Each is an equi-join. The dimension side is left to the optimizer's size estimate; nothing forces a broadcast
 of a feed.
 """
 
@@ -17,6 +17,10 @@ from ..sources.shared import Store
 from .findings import to_findings
 from .names import lookup_totals
 from .network import pair_totals
+from .ranges import match_ranges
+
+#: Prefix lengths of a feed that an address is tried against one by one.
+FEW_LENGTHS = 8
 
 
 @dataclass(frozen=True)
@@ -177,9 +181,15 @@ def observed_values(connections: DataFrame, dns: DataFrame) -> DataFrame:
     return folded(sightings(pair_totals(connections).drop("first_at"), lookup_totals(dns).drop("first_at")))
 
 
-def matches(values: DataFrame, indicators: DataFrame) -> DataFrame:
-    """``kind, value, indicator, indicator_kind`` of the distinct ``values (kind, value)`` that a feed names."""
-    ips = match_addresses(values.where("kind = 'ip'"), indicators).select(F.lit("ip").alias("kind"), "value", "indicator", "indicator_kind")
+def matches(values: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
+    """``kind, value, indicator, indicator_kind`` of the distinct ``values (kind, value)`` that a feed names.
+
+    An address is tried against each prefix length of the feed, or, where there are more than ``FEW_LENGTHS``, looked up in ranges.
+    """
+    lengths = indicators.where("kind in ('ip', 'cidr')").select(F.contains("value", F.lit(":")), F.split_part("value", F.lit("/"), F.lit(2))).distinct().limit(FEW_LENGTHS + 1).count()
+    addresses = values.where("kind = 'ip'")
+    matched = match_addresses(addresses, indicators) if lengths <= FEW_LENGTHS else match_ranges(addresses, indicators, store=store)
+    ips = matched.select(F.lit("ip").alias("kind"), "value", "indicator", "indicator_kind")
     names = match_domains(values.where("kind = 'domain'"), indicators).select(F.lit("domain").alias("kind"), "value", "indicator", F.lit("domain").alias("indicator_kind"))
     return ips.unionByName(names)
 
@@ -193,7 +203,7 @@ def matched_observed(observed: DataFrame, indicators: DataFrame, store: Store |
     """Those of the ``observed`` values that a feed names, with its indicators. Both sides are read several times, so they are stored."""
     store = store or Store(observed.sparkSession)
     observed, indicators = store.put(observed, "observed"), store.put(indicators.select("kind", "value"), "feed")
-    hits = matches(observed.select("kind", "value"), indicators)
+    hits = matches(observed.select("kind", "value"), indicators, store)
     return store.put(observed.join(hits, ["kind", "value"]), "matched")
 
 

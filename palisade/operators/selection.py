@@ -68,7 +68,7 @@ def sifted_quantiles(data: DataFrame, keys: list[str], shares: dict[str, float],
     known = []
     for _ in range(rounds):
         known.append(picked.where("lo = hi").select(*keys, "n", "begin", "upto", F.col("lo").alias("v")))
-        inside = same(data, picked.where("lo < hi").select(*cell, "n", F.col("begin").alias("before"), "lo", "hi"), cell)
+        inside = same(data.select(*cell, "v"), picked.where("lo < hi").select(*cell, "n", F.col("begin").alias("before"), "lo", "hi"), cell)
         fine = F.least(F.lit(FINE_CELLS - 1), F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * FINE_CELLS)).cast("long")
         data = inside.select(*keys, "v", F.struct("cell", fine.alias("fine")).alias("cell"), "n", "before")
         counted = data.groupBy(*cell, "n", "before").agg(F.count("*").alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
