@@ -65,6 +65,22 @@ def prevalence_ceiling(p: HostParams) -> int:
     return math.floor(1 / (rare * rare) + 1e-9)
 
 
+def score_process(image_hosts: Column, path_anomaly: Column, executions: Column, p: HostParams = HostParams()) -> tuple[Column, dict[str, Column]]:
+    parts = {"image_prevalence": S.rarity(image_hosts), "path_anomaly": path_anomaly, "execution_prevalence": 1 - S.saturating(executions, p.execution_scale)}
+    return S.geometric_mean(list(zip(parts.values(), p.process_weights))), parts
+
+
+def score_edge(pair_hosts: Column, parent_hosts: Column, child_hosts: Column, pair_executions: Column, parent_executions: Column, p: HostParams = HostParams()) -> tuple[Column, dict[str, Column]]:
+    """Of one (parent, image): breadth needs an end that several hosts have, surprisal enough children of the parent."""
+
+    def breadth(hosts: Column) -> Column:
+        return F.when(hosts >= p.min_breadth_hosts, 1 - pair_hosts / hosts)
+
+    chance = F.when(parent_executions >= p.min_parent_samples, pair_executions / parent_executions)
+    parts = {"parent_breadth": breadth(parent_hosts), "child_breadth": breadth(child_hosts), "child_surprisal": S.surprisal(chance)}
+    return S.geometric_mean(list(zip(parts.values(), p.lineage_weights))), parts
+
+
 def score_processes(processes: DataFrame, p: HostParams = HostParams()) -> DataFrame:
     return score_process_triples(process_triples(processes), p)
 
@@ -75,9 +91,8 @@ def score_process_triples(triples: DataFrame, p: HostParams = HostParams()) -> D
     rare = _image_hosts(triples).where(F.col("image_hosts") <= prevalence_ceiling(p))
     runs = triples.groupBy("host", "image_name").agg(F.sum("n").alias("executions"), F.max("path_anomaly").alias("path_anomaly"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min_by("artifact", F.struct("first_seen", "parent_name")).alias("artifact"))
     joined = runs.join(rare, "image_name").crossJoin(F.broadcast(gate))  # one row, or none: no claim
-    parts = {"image_prevalence": S.rarity(F.col("image_hosts")), "path_anomaly": F.col("path_anomaly"), "execution_prevalence": 1 - S.saturating(F.col("executions"), p.execution_scale)}
-    scored = joined.withColumns(parts)
-    return scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.process_weights)])).where(F.col("score") >= p.process_score)
+    score, parts = score_process(F.col("image_hosts"), F.col("path_anomaly"), F.col("executions"), p)
+    return joined.withColumns({**parts, "score": score}).where(F.col("score") >= p.process_score)
 
 
 def capped(scored: DataFrame, p: HostParams, *tie: str) -> DataFrame:
@@ -102,13 +117,8 @@ def score_lineage_triples(triples: DataFrame, p: HostParams = HostParams()) -> D
     joined = joined.join(presence.withColumnsRenamed({"name": "parent_name", "present_hosts": "parent_hosts"}), "parent_name", "left")
     joined = joined.join(presence.withColumnsRenamed({"name": "image_name", "present_hosts": "child_hosts"}), "image_name", "left")
 
-    def breadth(hosts: str) -> Column:
-        return F.when(F.col(hosts) >= p.min_breadth_hosts, 1 - F.col("pair_hosts") / F.col(hosts))
-
-    chance = F.when(F.col("parent_executions") >= p.min_parent_samples, F.col("pair_executions") / F.col("parent_executions"))
-    parts = {"parent_breadth": breadth("parent_hosts"), "child_breadth": breadth("child_hosts"), "child_surprisal": S.surprisal(chance)}
-    scored = joined.withColumns(parts).where("parent_breadth is not null or child_breadth is not null")
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.lineage_weights)])).where(F.col("score") >= p.lineage_score)
+    score, parts = score_edge(*[F.col(c) for c in ("pair_hosts", "parent_hosts", "child_hosts", "pair_executions", "parent_executions")], p)
+    scored = joined.withColumns({**parts, "score": score}).where("(parent_breadth is not null or child_breadth is not null)").where(F.col("score") >= p.lineage_score)
     claimed = score_process_triples(triples, p).select("host", "image_name")
     return scored.join(claimed, ["host", "image_name"], "left_anti").crossJoin(F.broadcast(gate.select(F.lit(True).alias("open")))).drop("open")  # one row, or none
 

@@ -207,13 +207,18 @@ def matched_observed(observed: DataFrame, indicators: DataFrame, store: Store |
     return store.put(observed.join(hits, ["kind", "value"]), "matched")
 
 
+def score_match(confidence: Column, age_days: Column, p: IntelParams = IntelParams()) -> Column:
+    """Declared confidence times age; an undated indicator is capped, one without a confidence has little."""
+    base = F.coalesce(confidence, F.lit(p.unprovenanced))
+    return F.when(age_days.isNull(), F.least(base, F.lit(p.undated_cap))).otherwise(S.half_life(base, age_days, p.half_life_days))
+
+
 def score_matches(matched: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams()) -> DataFrame:
     """Values that a feed names: declared confidence times age; traffic volume never enters."""
     feed = indicators.select(F.col("value").alias("indicator"), F.col("kind").alias("indicator_kind"), "confidence", "added")
     joined = matched.join(feed, ["indicator", "indicator_kind"])
     age = F.when(F.col("added").isNotNull(), F.greatest(F.datediff(S.utc_date(F.col("first_seen")), F.col("added")), F.lit(0)))
-    base = F.coalesce("confidence", F.lit(p.unprovenanced))
-    scored = joined.withColumn("age_days", age).withColumn("score", F.when(F.col("age_days").isNull(), F.least(base, F.lit(p.undated_cap))).otherwise(S.half_life(base, F.col("age_days"), p.half_life_days)))
+    scored = joined.withColumn("age_days", age).withColumn("score", score_match(F.col("confidence"), F.col("age_days"), p))
     return scored.where((F.col("score") >= p.floor) & (F.col("age_days").isNull() | (F.col("age_days") <= p.max_age_days)))
 
 

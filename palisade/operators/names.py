@@ -57,20 +57,25 @@ def tunnel_zones(lookups: DataFrame, p: TunnelParams = TunnelParams()) -> DataFr
     return zones.where((F.col("queries") >= p.min_queries) & (F.col("distinct_names") >= p.min_distinct))
 
 
+def score_zone(mean_entropy: Column, distinct_names: Column, mean_length: Column, high: Column, queries: Column, p: TunnelParams = TunnelParams()) -> tuple[Column, dict[str, Column]]:
+    """Of one (src, zone): no types of high capacity is no measure of them."""
+    share = high / queries
+    parts = {
+        "label_entropy": S.ramp(mean_entropy, *p.entropy_ramp),
+        "subdomain_cardinality": S.saturating(distinct_names, p.cardinality_scale),
+        "query_length": S.saturating(mean_length, p.length_scale),
+        "qtype_skew": F.when(share > 0, F.least(F.lit(1.0), 2 * share)),
+    }
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def score_tunnels(dns: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
     return score_tunnel_lookups(lookup_totals(dns), p)
 
 
 def score_tunnel_lookups(lookups: DataFrame, p: TunnelParams = TunnelParams()) -> DataFrame:
-    share = F.col("high") / F.col("queries")
-    parts = {
-        "label_entropy": S.ramp(F.col("mean_entropy"), *p.entropy_ramp),
-        "subdomain_cardinality": S.saturating(F.col("distinct_names"), p.cardinality_scale),
-        "query_length": S.saturating(F.col("mean_length"), p.length_scale),
-        "qtype_skew": F.when(share > 0, F.least(F.lit(1.0), 2 * share)),
-    }
-    scored = tunnel_zones(lookups, p).withColumns(parts)
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
+    score, parts = score_zone(*[F.col(c) for c in ("mean_entropy", "distinct_names", "mean_length", "high", "queries")], p)
+    scored = tunnel_zones(lookups, p).withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
     return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "zone").limit(p.top)
 
 
@@ -145,6 +150,17 @@ class DgaParams:
     top: int = 100
 
 
+def score_domain(label: Column, improbability: Column, family_queries: Column, family_known: Column, family_nx: Column, p: DgaParams = DgaParams()) -> tuple[Column, dict[str, Column]]:
+    """Of one label, with its family's codes: a rate needs codes of enough queries."""
+    rate = F.when(family_known / family_queries >= p.min_coverage, family_nx / family_known)
+    parts = {
+        "nxdomain_rate": S.ramp(rate, *p.nxdomain_ramp),
+        "bigram_improbability": improbability,
+        "structure": S.soft_or(S.ramp(S.longest_consonant_run(label), *p.run_ramp), S.ramp(S.digit_ratio(label), *p.digit_ramp)),
+    }
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def score_domains(dns: DataFrame, model: DataFrame, p: DgaParams = DgaParams(), store: Store | None = None) -> DataFrame:
     return score_domain_lookups(lookup_totals(dns).drop("first_at"), model, p, store)
 
@@ -162,14 +178,8 @@ def score_domain_lookups(lookups: DataFrame, model: DataFrame, p: DgaParams = Dg
     family = family.where((F.col("labels") >= p.min_labels) & (F.col("family_queries") >= p.min_queries))
     joined = store.put(by_label.join(family, ["src_ip", "suffix"]), "families")
     joined = joined.join(improbability(joined, model), "label", "left")
-    rate = F.when(F.col("family_known") / F.col("family_queries") >= p.min_coverage, F.col("family_nx") / F.col("family_known"))
-    parts = {
-        "nxdomain_rate": S.ramp(rate, *p.nxdomain_ramp),
-        "bigram_improbability": F.col("improbability"),
-        "structure": S.soft_or(S.ramp(S.longest_consonant_run(F.col("label")), *p.run_ramp), S.ramp(S.digit_ratio(F.col("label")), *p.digit_ramp)),
-    }
-    scored = joined.withColumns(parts)
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
+    score, parts = score_domain(*[F.col(c) for c in ("label", "improbability", "family_queries", "family_known", "family_nx")], p)
+    scored = joined.withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
     w = Window.partitionBy("src_ip", "suffix").orderBy(F.desc("resolved"), F.desc(F.bround("score", 9)), "label")
     best = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= p.per_family)
     return best.orderBy(F.desc(F.bround("score", 9)), "src_ip", "suffix", "label").limit(p.top)
@@ -204,6 +214,11 @@ def session_totals(ssl: DataFrame) -> DataFrame:
     return ssl.groupBy("src_ip", "ja3", "dst_ip").agg(F.count("*").alias("sessions"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_place(ssl))
 
 
+def score_fingerprint(hosts: Column, estate: Column, p: TlsParams = TlsParams()) -> tuple[Column, dict[str, Column]]:
+    parts = {"fingerprint_rarity": S.rarity(hosts), "estate_support": S.saturating(estate, p.estate_scale)}
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def score_fingerprints(ssl: DataFrame, p: TlsParams = TlsParams()) -> DataFrame:
     return score_fingerprint_sessions(session_totals(ssl), p)
 
@@ -216,9 +231,8 @@ def score_fingerprint_sessions(sessions: DataFrame, p: TlsParams = TlsParams())
     groups = known.groupBy("src_ip", "ja3").agg(F.sum("sessions").alias("sessions"), F.count("dst_ip").alias("servers"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
     hosts = groups.groupBy("ja3").agg(F.count("*").alias("hosts")).where(F.col("hosts") <= p.max_hosts)
     joined = groups.where(F.col("sessions") >= p.min_sessions).join(hosts, "ja3").crossJoin(F.broadcast(estate))  # one row
-    parts = {"fingerprint_rarity": S.rarity(F.col("hosts")), "estate_support": S.saturating(F.col("estate"), p.estate_scale)}
-    scored = joined.withColumns(parts)
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
+    score, parts = score_fingerprint(F.col("hosts"), F.col("estate"), p)
+    scored = joined.withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
     return scored.orderBy(F.desc(F.bround("score", 9)), "src_ip", "ja3").limit(p.top)
 
 

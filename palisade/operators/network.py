@@ -121,18 +121,22 @@ def alert_clusters(alerts: DataFrame) -> DataFrame:
     return kept.groupBy("src_ip", "signature").agg(F.count("*").alias("alerts"), F.min_by("signature_id", order).alias("signature_id"), F.min_by("category", order).alias("category"), F.min("severity").alias("stated"), targets, F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_locator(kept))
 
 
+def score_alert_cluster(hosts: Column, stated: Column, category: Column, p: AlertParams = AlertParams()) -> tuple[Column, dict[str, Column]]:
+    rare = S.rarity(hosts)
+    parts = {
+        "signature_rarity": F.when(hosts >= p.common_hosts, F.least(rare, F.lit(p.common_rarity))).otherwise(rare),
+        "stated_severity": S.severity_score(stated),
+        "category_weight": S.category_weight(category),
+    }
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def score_alerts(alerts: DataFrame, p: AlertParams = AlertParams()) -> DataFrame:
     clusters = alert_clusters(alerts)
     spread = clusters.where(F.col("signature_id").isNotNull()).groupBy("signature_id").agg(F.count_distinct("src_ip").alias("hosts"))
     joined = clusters.join(spread, "signature_id", "left").withColumn("hosts", F.coalesce("hosts", F.lit(1)))
-    rare = S.rarity(F.col("hosts"))
-    parts = {
-        "signature_rarity": F.when(F.col("hosts") >= p.common_hosts, F.least(rare, F.lit(p.common_rarity))).otherwise(rare),
-        "stated_severity": S.severity_score(F.col("stated")),
-        "category_weight": S.category_weight(F.col("category")),
-    }
-    scored = joined.where(F.col("alerts") >= p.min_alerts).withColumns(parts)
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(parts, p.weights)])).where(F.col("score") >= p.min_score)
+    score, parts = score_alert_cluster(F.col("hosts"), F.col("stated"), F.col("category"), p)
+    scored = joined.where(F.col("alerts") >= p.min_alerts).withColumns({**parts, "score": score}).where(F.col("score") >= p.min_score)
     return scored.orderBy(F.desc(F.bround("score", 9)), F.desc("alerts"), "src_ip", "signature").limit(p.top)
 
 
@@ -173,6 +177,20 @@ def egress_totals(pairs: DataFrame) -> DataFrame:
     return kept.groupBy("src_ip", "dst_ip").agg(*[F.sum(c).alias(c) for c in added], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
 
 
+def score_transfer(bytes_out: Column, flows: Column, both_flows: Column, both_out: Column, both_in: Column, median_out: Column, mad_out: Column, peers: Column, hosts: Column, first_seen: Column, host_first: Column, host_last: Column, p: EgressParams = EgressParams()) -> tuple[Column, dict[str, Column]]:
+    """Of one (src, dst): a ratio needs flows with both byte counts, a deviation enough peers, novelty a long enough record of the host."""
+    ratio = both_out / F.nullif(both_out + both_in, F.lit(0))
+    z = F.when(peers >= p.min_peers, S.robust_deviation(bytes_out, median_out, mad_out, peers))
+    span = host_last - host_first
+    parts = {
+        "egress_ratio": F.when(both_flows / flows >= p.min_coverage, S.ramp(ratio, *p.ratio_ramp)),
+        "volume_deviation": F.when(z.isNotNull(), S.saturating(z, p.deviation_scale)),
+        "destination_rarity": S.rarity(hosts),
+        "novelty": F.when(span >= p.min_span, (first_seen - host_first) / span),
+    }
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def score_transfers(transfers: DataFrame, p: EgressParams = EgressParams(), store: Store | None = None) -> DataFrame:
     """Every pair with enough bytes: components, score and the strongest claim they support, before the caps.
 
@@ -186,18 +204,9 @@ def score_transfers(transfers: DataFrame, p: EgressParams = EgressParams(), stor
     spread = group_quantiles(off, ["src_ip"], "off", {"mad_out": 0.5}, sizes=center).drop("n")
     prevalence = totals.groupBy("dst_ip").agg(F.count("*").alias("hosts"))
     joined = totals.join(hosts.join(center.withColumnRenamed("n", "peers"), "src_ip").join(spread, "src_ip"), "src_ip").join(prevalence, "dst_ip")
-    coverage = F.col("both_flows") / F.col("flows")
-    ratio = F.col("both_out") / F.nullif(F.col("both_out") + F.col("both_in"), F.lit(0))
-    z = F.when(F.col("peers") >= p.min_peers, S.robust_deviation(F.col("bytes_out"), F.col("median_out"), F.col("mad_out"), F.col("peers")))
-    span = F.col("host_last") - F.col("host_first")
-    scored = joined.withColumns({
-        "egress_ratio": F.when(coverage >= p.min_coverage, S.ramp(ratio, *p.ratio_ramp)),
-        "volume_deviation": F.when(z.isNotNull(), S.saturating(z, p.deviation_scale)),
-        "destination_rarity": S.rarity(F.col("hosts")),
-        "novelty": F.when(span >= p.min_span, (F.col("first_seen") - F.col("host_first")) / span),
-    })
-    names = ("egress_ratio", "volume_deviation", "destination_rarity", "novelty")
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(names, p.weights)]))
+    cols = {c: F.col(c) for c in ("bytes_out", "flows", "both_flows", "both_out", "both_in", "median_out", "mad_out", "peers", "hosts", "first_seen", "host_first", "host_last")}
+    score, parts = score_transfer(**cols, p=p)
+    scored = joined.withColumns({**parts, "score": score})
     big = F.col("bytes_out") >= p.min_bytes
     claim = (
         F.when(big & F.col("egress_ratio").isNotNull() & (F.col("score") >= p.exfil_score), "exfiltrates_to")
@@ -343,6 +352,21 @@ def periodicity(events: DataFrame, periods: DataFrame, p: BeaconParams = BeaconP
     return sums.groupBy(*PAIR).agg(F.max(F.when(under > 0, top / under).otherwise(0.0)).alias("best")).select(*PAIR, F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("best"))).alias("periodicity"))
 
 
+def score_pair(checkins: Column, span: Column, gap_n: Column, gap_median: Column, gap_q25: Column, gap_mad: Column, size_n: Column, size_median: Column, size_mad: Column, periodicity: Column, hosts: Column, p: BeaconParams = BeaconParams()) -> tuple[Column, dict[str, Column]]:
+    """Of one (src, dst, port), from its gaps and sizes; ``periodicity`` is the best autocorrelation near the period, NULL if unmeasured."""
+    one, gaps, expected = F.lit(1.0), gap_n.cast("double"), span / gap_median
+    floor = F.when(gap_n < 4, 0.0).otherwise((gap_median - gap_q25) / gap_median)
+    parts = {
+        "interval_regularity": 1 - F.least(one, S.dispersion(gap_median, gap_mad) / p.interval_scale),
+        "schedule_floor": 1 - F.least(one, floor / p.interval_scale),
+        "payload_uniformity": F.when(size_n >= 3, 1 - F.least(one, S.dispersion(size_median, size_mad) / p.payload_scale)),
+        "periodicity": periodicity,
+        "persistence": F.least(gaps, expected) / F.greatest(gaps, expected) * S.saturating(checkins, p.persistence_scale),
+        "destination_rarity": S.rarity(hosts),
+    }
+    return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
+
+
 def candidate_series(connections: DataFrame, candidates: DataFrame, p: BeaconParams) -> DataFrame:
     """``PAIR, ts, orig_bytes, tie, chunk`` of the candidates' rows. A pair is cut into as many chunks of time as its rows need."""
     kept = connections.dropna(subset=["ts", "src_ip", "dst_ip"])
@@ -372,18 +396,9 @@ def score_beacon_pairs(pairs: DataFrame, connections: DataFrame, p: BeaconParams
     stats = store.put(stats.where((F.col("gap_n") >= 3) & F.col("gap_median").between(*p.period)), "stats")
     joined = same(stats, candidates.select(*PAIR, "first_seen", "last_seen"), PAIR).join(hosts, "dst_ip")
     joined = same(joined, periodicity(events, stats, p), PAIR, "left")
-    expected = (F.col("last_seen") - F.col("first_seen")) / F.col("gap_median")
-    cover = F.least(F.col("gap_n").cast("double"), expected) / F.greatest(F.col("gap_n").cast("double"), expected)
-    floor = F.when(F.col("gap_n") < 4, 0.0).otherwise((F.col("gap_median") - F.col("gap_q25")) / F.col("gap_median"))
-    one = F.lit(1.0)
-    scored = joined.withColumns({
-        "interval_regularity": 1 - F.least(one, S.dispersion(F.col("gap_median"), F.col("gap_mad")) / p.interval_scale),
-        "schedule_floor": 1 - F.least(one, floor / p.interval_scale),
-        "payload_uniformity": F.when(F.col("size_n") >= 3, 1 - F.least(one, S.dispersion(F.col("size_median"), F.col("size_mad")) / p.payload_scale)),
-        "persistence": cover * S.saturating(F.col("checkins"), p.persistence_scale),
-        "destination_rarity": S.rarity(F.col("hosts")),
-    })
-    scored = scored.withColumn("score", S.geometric_mean([(F.col(k), w) for k, w in zip(BEACON_PARTS, p.weights)]))
+    cols = {c: F.col(c) for c in ("checkins", "gap_n", "gap_median", "gap_q25", "gap_mad", "size_n", "size_median", "size_mad", "periodicity", "hosts")}
+    score, parts = score_pair(**cols, span=F.col("last_seen") - F.col("first_seen"), p=p)
+    scored = joined.withColumns({**parts, "score": score})
     return scored.where(F.col("score") >= p.min_score).orderBy(F.desc(F.bround("score", 9)), *PAIR).limit(p.top)
 
 
