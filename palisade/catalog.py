@@ -936,6 +936,24 @@ WITH {W}, n AS (SELECT '192.168.0.' || (page_id % 200) AS dst_ip, min(left(md5(C
 SELECT src_ip AS subject, CASE WHEN name IS NULL THEN 'ip' ELSE 'domain' END AS object_type, coalesce(name, dst_ip) AS object, score FROM ({EGRESS_SQL}) LEFT JOIN n USING (dst_ip)
 """
 
+def named_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scans and egress in one run whose subjects are named by the asset register and whose objects by what was resolved."""
+    conn = views.connections(spark, sf_dir)
+    dns = views.dns(spark, sf_dir).withColumn("answers", F.concat(F.lit("192.168.0."), F.col("source_line") % 200))
+    statements = intel.applied_assets(views.assets(spark, sf_dir), intel.capture_window(conn))
+    telemetry = detectors.Telemetry(conn, statements=statements, names=intel.observed_names(dns))
+    found, _ = detectors.detect_all(telemetry, [d for d in ALL if d.name in ("fanout", "egress")])
+    return found.select("predicate", "subject_type", "subject", "object_type", "object", F.size("evidence").alias("evidence"), *_r("score"))
+
+
+NAMED_SQL = f"""
+WITH {W}, wi AS (SELECT CAST(DATE '1970-01-01' + INTERVAL 1 SECOND * min(ts) AS DATE) AS s, CAST(DATE '1970-01-01' + INTERVAL 1 SECOND * max(ts) AS DATE) AS e FROM connections),
+st AS (SELECT address, hostname FROM assets, wi WHERE CASE WHEN stated IS NULL THEN true WHEN stated > e THEN true ELSE date_diff('day', stated, s) <= 730 END),
+n AS (SELECT '192.168.0.' || (page_id % 200) AS dst_ip, min(left(md5(CAST(page_id AS VARCHAR)), 8 + page_id % 20) || '.' || host) AS name FROM pg WHERE host <> '' GROUP BY 1 HAVING count(DISTINCT left(md5(CAST(page_id AS VARCHAR)), 8 + page_id % 20) || '.' || host) = 1),
+f AS (SELECT 'scans' AS predicate, src_ip, 'port' AS object_type, CAST(dst_port AS VARCHAR) AS object, score FROM ({FANOUT_SQL}) UNION ALL SELECT claim, src_ip, CASE WHEN name IS NULL THEN 'ip' ELSE 'domain' END, coalesce(name, dst_ip), score FROM ({EGRESS_SQL}) LEFT JOIN n USING (dst_ip))
+SELECT predicate, CASE WHEN hostname IS NULL THEN 'ip' ELSE 'host' END AS subject_type, coalesce(hostname, src_ip) AS subject, object_type, object, CASE WHEN hostname IS NULL THEN 1 ELSE 2 END AS evidence, score FROM f LEFT JOIN st ON st.address = f.src_ip
+"""
+
 CLAIMS_SQL = r"""
 WITH c AS (SELECT conv_id || ':' || turn AS id, any_value(conv_id) AS conv_id, any_value(turn) AS turn, min(text) AS text FROM conversations GROUP BY 1),
 e AS (SELECT id, list_distinct(list_concat(list_concat(regexp_extract_all(lower(text), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b'), regexp_extract_all(lower(text), '\b(?:[a-z0-9-]+\.)+[a-z]{2,}\b')), list_transform(regexp_extract_all(lower(text), '\bport ([0-9]{1,5})\b', 1), lambda x: 'port ' || x))) AS named FROM c),
@@ -1013,14 +1031,14 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, named_findings, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "findings_all": FINDINGS_SQL, "queue_all": QUEUE_ALL_SQL, "incident_attached": ATTACHED_SQL, "incident_sequence": SEQUENCE_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
     "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
-    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "match_ranges": IPV6_SQL, "fanout_sketches": SKETCH_SQL, 
+    "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "match_ranges": IPV6_SQL, "named_findings": NAMED_SQL, "fanout_sketches": SKETCH_SQL, 
     "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
     "process_commands": COMMANDS_SQL, "named_objects": OBJECTS_SQL, "src_netflow_lines": SRC_NETFLOW_SQL, "src_dns_lines": SRC_DNS_SQL, "src_ssl_lines": SRC_SSL_SQL, "src_indicator_lines": SRC_INDICATOR_SQL, "src_asset_lines": SRC_ASSET_SQL,
 }

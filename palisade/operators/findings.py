@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -44,8 +44,8 @@ def grammar(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, "predicate string, subject_types array<string>, object_types array<string>, default_severity string, techniques array<string>, corroborates boolean, evidential boolean")
 
 
-def to_findings(scored: DataFrame, predicate: str | Column, subject: Column, object_type: str | Column | None, obj: Column | None, severity: Column, detector: str, components: Mapping[str, Column], kind: str, summary: Column, payload: Mapping[str, Column] | None = None, subject_type: str | Column = "ip", first: str = "first_seen", last: str = "last_seen") -> DataFrame:
-    """Scored rows as findings. A component that wasn't measured stays NULL in ``components``; payloads name it, too."""
+def to_findings(scored: DataFrame, predicate: str | Column, subject: Column, object_type: str | Column | None, obj: Column | None, severity: Column, detector: str, components: Mapping[str, Column], kind: str, summary: Column, payload: Mapping[str, Column] | None = None, subject_type: str | Column = "ip", first: str = "first_seen", last: str = "last_seen", keep: Sequence[str] = ()) -> DataFrame:
+    """Scored rows as findings, with columns to ``keep`` behind theirs. A component that wasn't measured stays NULL in ``components``; payloads name it, too."""
     as_col = lambda x: F.lit(x) if isinstance(x, str) or x is None else x
     none = F.lit(None).cast("string")
     parts = F.create_map(*[c for k, v in components.items() for c in (F.lit(k), F.bround(v.cast("double"), 4))])
@@ -60,8 +60,8 @@ def to_findings(scored: DataFrame, predicate: str | Column, subject: Column, obj
         as_col(predicate).alias("predicate"), as_col(subject_type).alias("subject_type"), subject.cast("string").alias("subject"),
         (as_col(object_type) if object_type is not None else none).alias("object_type"), (obj.cast("string") if obj is not None else none).alias("object"),
         F.bround(F.col("score"), 4).alias("score"), severity.alias("severity"), F.lit(detector).alias("detector"),
-        F.col(first).alias("first_seen"), F.col(last).alias("last_seen"), parts.alias("components"), evidence.alias("evidence"),
-    ).select(*FINDING_COLUMNS)
+        F.col(first).alias("first_seen"), F.col(last).alias("last_seen"), parts.alias("components"), evidence.alias("evidence"), *keep,
+    ).select(*FINDING_COLUMNS, *keep)
 
 
 def spread_places(n: Column, k: int) -> Column:

@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..sources.shared import Store
-from .findings import to_findings
+from .findings import GRAMMAR, to_findings
 from .names import lookup_totals
-from .network import pair_totals
+from .network import locator, pair_totals
 from .ranges import match_ranges
 
 #: Prefix lengths of a feed that an address is tried against one by one.
@@ -104,9 +104,12 @@ def coverage(assets: DataFrame, window: DataFrame, *tables: DataFrame) -> DataFr
 
 
 def name_subjects(findings: DataFrame, statements: DataFrame) -> DataFrame:
-    """Findings whose address subject an applied statement names speak of the host, and link the statement as evidence."""
+    """Findings whose address subject an applied statement names speak of the host, and link the statement as evidence.
+
+    Only where the grammar lets the predicate speak of a host: an indicator's match stays one of the address.
+    """
     s = statements.where("applies").select(F.col("address").alias("_address"), F.col("hostname").alias("_hostname"), "staleness", F.col("source_file").alias("_file"), F.col("source_line").alias("_line"))
-    joined = findings.join(s, (F.col("subject_type") == "ip") & (F.col("subject") == F.col("_address")), "left")
+    joined = findings.join(s, (F.col("subject_type") == "ip") & F.col("predicate").isin(*[p for p, subjects, *_ in GRAMMAR if "host" in subjects]) & (F.col("subject") == F.col("_address")), "left")
     found = F.col("_hostname").isNotNull()
     payload = F.to_json(F.struct(F.col("_address").alias("address"), F.col("_hostname").alias("hostname"), F.col("staleness")))
     link = F.struct(S.content_id("ev", F.lit("asset_inventory"), payload).alias("id"), F.lit("asset_inventory").alias("kind"), F.concat_ws(" ", "_address", F.lit("is"), "_hostname").alias("summary"), payload.alias("payload"), F.struct(F.col("_file").alias("source_file"), F.col("_line").cast("long").alias("source_line")).alias("artifact"), F.array().cast("array<struct<source_file:string,source_line:bigint>>").alias("samples"))
@@ -162,7 +165,7 @@ def sightings(pairs: DataFrame, lookups: DataFrame) -> DataFrame:
     def place(kind: str, value: Column, role: str, peer: str) -> Column:
         return F.struct(F.lit(kind).alias("kind"), value.alias("value"), F.lit(role).alias("role"), F.col(peer).alias("peer"))
 
-    seen = ["first_seen", "last_seen"]
+    seen = ["first_seen", "last_seen", *(["first_at"] if "first_at" in pairs.columns and "first_at" in lookups.columns else [])]
     ends = pairs.select(F.explode(F.array(place("ip", F.col("dst_ip"), "destination", "src_ip"), place("ip", F.col("src_ip"), "source", "dst_ip"))).alias("s"), F.col("flows").alias("events"), *seen)
     answers = F.transform(F.filter(F.transform(F.split(F.coalesce("answers", F.lit("")), ";"), lambda a: F.trim(a)), lambda a: S.is_ipv4(a) | a.rlike(S.IPV6_SHAPE)), lambda a: place("ip", S.canonical_ipv6(a), "answer", "src_ip"))
     named = lookups.select(F.explode(F.concat(F.array(place("domain", F.array_join(S.labels(F.col("query")), "."), "query", "src_ip")), answers)).alias("s"), F.col("queries").alias("events"), *seen)
@@ -171,7 +174,7 @@ def sightings(pairs: DataFrame, lookups: DataFrame) -> DataFrame:
 
 def folded(rows: DataFrame) -> DataFrame:
     """(kind, value) of sightings: events add up over roles, peers take the largest role's, roles are kept as a list."""
-    times = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen")]
+    times = [F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), *([F.min("first_at").alias("first_at")] if "first_at" in rows.columns else [])]
     pairs = rows.groupBy("kind", "value", "role", "peer").agg(F.sum("events").alias("events"), *times)
     roles = pairs.groupBy("kind", "value", "role").agg(F.sum("events").alias("events"), F.count("*").alias("peers"), *times)
     return roles.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), *times, F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
@@ -232,6 +235,8 @@ def capped_matches(scored: DataFrame, p: IntelParams = IntelParams()) -> DataFra
 def detect_intel(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams(), matched: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     matched = matched_values(connections, dns, indicators, store) if matched is None else matched
     scored = capped_matches(score_matches(matched, indicators, p), p)
+    if "first_at" in scored.columns:
+        scored = scored.withColumn("artifact", locator())
     severity = F.when(F.col("score") >= p.medium_score, "medium").otherwise("low")
     summary = F.format_string("%s matches indicator %s", "value", "indicator")
     return to_findings(scored, "matches_threat_intel", F.col("value"), None, None, severity, "intel@1", {"declared_confidence": F.col("score")}, "indicator_match", summary, {k: F.col(k) for k in ("indicator", "indicator_kind", "confidence", "age_days", "events", "peers", "roles")}, subject_type=F.col("kind"))
@@ -287,9 +292,9 @@ def address_anchored(dns: DataFrame, flagged: DataFrame, p: IntelParams = IntelP
 
 
 def name_objects(findings: DataFrame, names: DataFrame) -> DataFrame:
-    """Findings whose object is an address that ``names (address, domain)`` knows speak of the domain. Of several, the first by name."""
+    """Findings whose object is an address that ``names (address, domain)`` knows speak of the domain, if the grammar lets them. Of several, the first by name."""
     one = names.groupBy(F.col("address").alias("_address")).agg(F.min(F.lower("domain")).alias("_domain"))
-    joined = findings.join(one, (F.col("object_type") == "ip") & (F.col("object") == F.col("_address")), "left")
+    joined = findings.join(one, (F.col("object_type") == "ip") & F.col("predicate").isin(*[p for p, _, objects, *_ in GRAMMAR if objects and "domain" in objects]) & (F.col("object") == F.col("_address")), "left")
     found = F.col("_domain").isNotNull()
     kept = [c for c in findings.columns if c not in ("object", "object_type")]
     return joined.select(*kept, F.when(found, "domain").otherwise(F.col("object_type")).alias("object_type"), F.coalesce("_domain", "object").alias("object")).select(*findings.columns)

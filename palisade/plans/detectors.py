@@ -35,6 +35,8 @@ class Telemetry:
     processes: DataFrame | None = None
     indicators: DataFrame | None = None  # normalised
     bigrams: DataFrame | None = None  # of ``names.fit_bigrams``
+    statements: DataFrame | None = None  # of ``intel.applied_assets``: subjects are named by them
+    names: DataFrame | None = None  # ``address, domain``, as of ``intel.observed_names``: objects are named by them
     # what ``summarised`` adds
     pairs: DataFrame | None = None
     lookups: DataFrame | None = None
@@ -121,6 +123,7 @@ REGISTRY = registry()
 def detect_all(telemetry: Telemetry, detectors: Sequence[Detector] = REGISTRY, store: Store | None = None) -> tuple[DataFrame, DataFrame]:
     """(findings with their ids, rejected ones with a reason) of all detectors that have the tables they need.
 
+    Subjects and objects are named before the ids are made, so that what one host does is one incident, whatever it is called by.
     Findings are few, as detectors cap them; each detector's are stored when they are found, so what comes after reads files only. A
     ``store`` of the caller's may be dropped when the findings have been used.
     """
@@ -132,5 +135,10 @@ def detect_all(telemetry: Telemetry, detectors: Sequence[Detector] = REGISTRY, s
     parts = [telemetry.store.put(found.select(*FINDING_COLUMNS), "findings") for d in detectors if (found := d.detect(telemetry)) is not None]
     if not parts:
         raise ValueError("no detector has the tables it needs")
-    admitted, rejected = check_grammar(reduce(DataFrame.unionByName, parts))
+    found = reduce(DataFrame.unionByName, parts)
+    if telemetry.statements is not None:
+        found = intel.name_subjects(found, telemetry.statements)
+    if telemetry.names is not None:
+        found = intel.name_objects(found, telemetry.names)
+    admitted, rejected = check_grammar(found)
     return with_finding_id(admitted), rejected

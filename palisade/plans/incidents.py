@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators.findings import DERIVED, GRAMMAR, SUPPORTING, to_findings, with_finding_id
-from ..sources.shared import stored
+from ..sources.shared import Store
 
 UNARY = tuple(p for p, _, objects, *_ in GRAMMAR if objects is None)
 
@@ -84,7 +84,7 @@ def queue_summary(incidents: DataFrame) -> DataFrame:
     return incidents.groupBy("severity").agg(F.count("*").alias("incidents"), F.count_if(F.col("behaviours") >= 2).alias("corroborated"))
 
 
-def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) -> DataFrame:
+def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams(), with_incident: bool = False) -> DataFrame:
     """``precedes`` findings between adjacent behaviours of an incident, each represented by its earliest finding.
 
     No claim where the clocks can't carry it (1 s on one source, 300 s across sources), or where both behaviours speak of
@@ -107,18 +107,23 @@ def sequence(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) ->
     payload = {"from": F.col("finding_id"), "to": F.col("later.finding_id"), "gap": F.bround("separation", 1), "floor": F.col("floor"), "clocks": F.col("clocks")}
     # the link points back to where either behaviour was first seen
     kept = kept.withColumns({"artifact": F.col("place"), "samples": F.array_distinct(F.array("place", "later.place"))})
-    found = to_findings(kept.withColumn("_predicate", F.col("predicate")), "precedes", F.col("node"), F.col("later.node_type"), F.col("later.node"), F.lit("info"), "correlator@1", {"weaker": F.col("score")}, "temporal_order", summary, payload, subject_type=F.col("node_type"))
+    found = to_findings(kept.withColumn("_predicate", F.col("predicate")), "precedes", F.col("node"), F.col("later.node_type"), F.col("later.node"), F.lit("info"), "correlator@1", {"weaker": F.col("score")}, "temporal_order", summary, payload, subject_type=F.col("node_type"), keep=["incident"] if with_incident else ())
     return found
 
 
-def correlate(findings: DataFrame, p: CorrelationParams = CorrelationParams()) -> tuple[DataFrame, DataFrame]:
+def link_chains(grouped: DataFrame, p: CorrelationParams = CorrelationParams()) -> DataFrame:
+    """``sequence``'s findings as members of the incident that they order, with ids: columns of ``grouped``."""
+    return with_finding_id(sequence(grouped, p, with_incident=True)).select(*grouped.columns)
+
+
+def correlate(findings: DataFrame, p: CorrelationParams = CorrelationParams(), store: Store | None = None) -> tuple[DataFrame, DataFrame]:
     """(incidents, findings with their incident) of findings from any number of detectors.
 
     The findings are read several times, and they are few (detectors cap them), so they are stored instead of detected anew.
     """
     if "finding_id" not in findings.columns:
         findings = with_finding_id(findings)
-    findings = stored(findings, "findings")
+    findings = (store or Store(findings.sparkSession)).put(findings, "findings")
     grouped = members(findings, p)
     return rank(grouped, p), grouped
 
