@@ -32,6 +32,13 @@ def first_place(df: DataFrame) -> Column:
     return F.min(F.struct(F.col("ts").cast("double").alias("ts"), "source_file", F.col("source_line").cast("long").alias("source_line"))).alias("first_at")
 
 
+def with_first_place(scored: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
+    """Scored groups, which the caps have made few, with the ``artifact`` where each began: the first place of the totals that it merged."""
+    mine = totals.join(F.broadcast(scored.select(*keys).distinct()), keys, "left_semi")  # as many rows as the caps let through
+    first = mine.groupBy(*keys).agg(F.min("first_at").alias("first_at"))
+    return scored.join(first, keys, "left").withColumn("artifact", locator()).drop("first_at")
+
+
 def locator() -> Column:
     """File and line of ``first_at``."""
     at = F.col("first_at")
@@ -78,7 +85,7 @@ def score_fanout(destinations: Column, flows: Column, p: FanoutParams = FanoutPa
 def fanout_groups(pairs: DataFrame, p: FanoutParams = FanoutParams()) -> DataFrame:
     """(src, port) with enough destinations, from pair totals: one busy source was spread over its destinations before."""
     kept = pairs.dropna(subset=PAIR).where(~F.col("dst_port").isin(*p.excluded_ports))
-    groups = kept.groupBy("src_ip", "dst_port").agg(F.count("*").alias("destinations"), F.sum("flows").alias("flows"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
+    groups = kept.groupBy("src_ip", "dst_port").agg(F.count("*").alias("destinations"), F.sum("flows").alias("flows"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
     return groups.where(F.col("destinations") >= p.min_destinations)
 
 
@@ -93,7 +100,9 @@ def score_fanouts(connections: DataFrame, p: FanoutParams = FanoutParams()) -> D
 
 
 def detect_fanout(connections: DataFrame, p: FanoutParams = FanoutParams(), samples: int = 0, pairs: DataFrame | None = None) -> DataFrame:
-    scored = with_samples(score_fanout_pairs(pair_totals(connections) if pairs is None else pairs, p).withColumn("artifact", locator()), connections, ["src_ip", "dst_port"], samples)
+    pairs = pair_totals(connections) if pairs is None else pairs
+    scored = with_first_place(score_fanout_pairs(pairs, p), pairs, ["src_ip", "dst_port"])
+    scored = with_samples(scored, connections, ["src_ip", "dst_port"], samples)
     severity = F.when(F.col("score") >= p.high_score, "high").otherwise("medium")
     summary = F.format_string("%s contacted %d destinations on port %d", "src_ip", "destinations", "dst_port")
     return to_findings(scored, "scans", F.col("src_ip"), "port", F.col("dst_port"), severity, "fanout@1", {k: F.col(k) for k in ("breadth", "non_revisiting")}, "fanout", summary, {"destinations": F.col("destinations"), "flows": F.col("flows")})
@@ -174,7 +183,7 @@ def egress_totals(pairs: DataFrame) -> DataFrame:
     """(src, dst) sums over ports, of pairs with any measured flow."""
     added = ("flows", "bytes_out", "measured_flows", "both_flows", "both_out", "both_in")
     kept = pairs.dropna(subset=["src_ip", "dst_ip"])
-    return kept.groupBy("src_ip", "dst_ip").agg(*[F.sum(c).alias(c) for c in added], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first_at").alias("first_at"))
+    return kept.groupBy("src_ip", "dst_ip").agg(*[F.sum(c).alias(c) for c in added], F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"))
 
 
 def score_transfer(bytes_out: Column, flows: Column, both_flows: Column, both_out: Column, both_in: Column, median_out: Column, mad_out: Column, peers: Column, hosts: Column, first_seen: Column, host_first: Column, host_last: Column, p: EgressParams = EgressParams()) -> tuple[Column, dict[str, Column]]:
@@ -191,19 +200,43 @@ def score_transfer(bytes_out: Column, flows: Column, both_flows: Column, both_ou
     return S.geometric_mean(list(zip(parts.values(), p.weights))), parts
 
 
-def score_transfers(transfers: DataFrame, p: EgressParams = EgressParams(), store: Store | None = None) -> DataFrame:
+def _middles_by_window(totals: DataFrame) -> DataFrame:
+    """``totals`` with their source's number, times, median and MAD: one shuffle, for sources that a task can window."""
+    of_src = Window.partitionBy("src_ip")
+
+    def middle(value: str) -> Column:
+        place, size = F.row_number().over(of_src.orderBy(value)), F.col("peers")
+        return F.when((place == F.floor((size + 1) / 2)) | (place == F.ceil((size + 1) / 2)), F.col(value))
+
+    pairs = totals.withColumns({"peers": F.count("*").over(of_src), "host_first": F.min("first_seen").over(of_src), "host_last": F.max("last_seen").over(of_src)})
+    pairs = pairs.withColumn("middle", middle("bytes_out")).withColumn("median_out", F.avg("middle").over(of_src)).withColumn("off", F.abs(F.col("bytes_out") - F.col("median_out")))
+    return pairs.withColumn("middle", middle("off")).withColumn("mad_out", F.avg("middle").over(of_src)).drop("middle", "off")
+
+
+def _middles_by_selection(totals: DataFrame, store: Store) -> DataFrame:
+    """The same for sources of any size: medians are selected, nothing of a source is sorted or windowed."""
+    center = store.put(group_quantiles(totals, ["src_ip"], "bytes_out", {"median_out": 0.5}), "centers")
+    off = totals.join(center, "src_ip").select("src_ip", F.abs(F.col("bytes_out") - F.col("median_out")).alias("off"))
+    spread = group_quantiles(off, ["src_ip"], "off", {"mad_out": 0.5}, sizes=center).drop("n")
+    times = totals.groupBy("src_ip").agg(F.min("first_seen").alias("host_first"), F.max("last_seen").alias("host_last"))
+    return totals.join(times.join(center.withColumnRenamed("n", "peers"), "src_ip").join(spread, "src_ip"), "src_ip")
+
+
+def score_transfers(transfers: DataFrame, p: EgressParams = EgressParams(), store: Store | None = None, most: int = MOST_HELD) -> DataFrame:
     """Every pair with enough bytes: components, score and the strongest claim they support, before the caps.
 
-    Nothing sorts or windows a source's or a destination's pairs: medians are selected, counts are aggregated and joined back.
+    A source with more than ``most`` destinations is no task's window: its medians are selected.
     """
     store = store or Store(transfers.sparkSession)
     totals = store.put(transfers.where("measured_flows > 0"), "transfers")
-    hosts = totals.groupBy("src_ip").agg(F.min("first_seen").alias("host_first"), F.max("last_seen").alias("host_last"))
-    center = store.put(group_quantiles(totals, ["src_ip"], "bytes_out", {"median_out": 0.5}), "centers")
-    off = totals.join(center, "src_ip").select("src_ip", F.abs(F.col("bytes_out") - F.col("median_out")).alias("off"))
-    spread = group_quantiles(off, ["src_ip"], "off", {"mad_out": 0.5}, sizes=center).drop("n")
+    large = totals.groupBy("src_ip").agg(F.count("*").alias("n")).where(F.col("n") > most).select("src_ip")
+    if large.isEmpty():
+        middles = _middles_by_window(totals)
+    else:
+        selected = _middles_by_selection(store.put(totals.join(large, "src_ip", "left_semi"), "large"), store)
+        middles = _middles_by_window(totals.join(large, "src_ip", "left_anti")).unionByName(selected)
     prevalence = totals.groupBy("dst_ip").agg(F.count("*").alias("hosts"))
-    joined = totals.join(hosts.join(center.withColumnRenamed("n", "peers"), "src_ip").join(spread, "src_ip"), "src_ip").join(prevalence, "dst_ip")
+    joined = middles.join(prevalence, "dst_ip")
     cols = {c: F.col(c) for c in ("bytes_out", "flows", "both_flows", "both_out", "both_in", "median_out", "mad_out", "peers", "hosts", "first_seen", "host_first", "host_last")}
     score, parts = score_transfer(**cols, p=p)
     scored = joined.withColumns({**parts, "score": score})
@@ -231,7 +264,9 @@ def strongest_claims(scored: DataFrame, p: EgressParams = EgressParams()) -> Dat
 
 def detect_egress(connections: DataFrame, p: EgressParams = EgressParams(), samples: int = 0, pairs: DataFrame | None = None, store: Store | None = None) -> DataFrame:
     largest = (F.desc_nulls_last("orig_bytes"), "ts", "source_file", "source_line")
-    scored = with_samples(strongest_claims(score_transfers(egress_totals(pair_totals(connections) if pairs is None else pairs), p, store), p).withColumn("artifact", locator()), connections, ["src_ip", "dst_ip"], samples, largest)
+    pairs = pair_totals(connections) if pairs is None else pairs
+    scored = with_first_place(strongest_claims(score_transfers(egress_totals(pairs), p, store), p), pairs, ["src_ip", "dst_ip"])
+    scored = with_samples(scored, connections, ["src_ip", "dst_ip"], samples, largest)
     severity = S.mapped(F.col("claim"), {"exfiltrates_to": "critical", "transfers_anomalous_volume": "medium", "contacts_rare_destination": "low"})
     names = ("egress_ratio", "volume_deviation", "destination_rarity", "novelty")
     summary = F.format_string("%s sent %d bytes to %s", "src_ip", "bytes_out", "dst_ip")

@@ -25,25 +25,25 @@ def _orders_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
 
-def _flow(dense: bool) -> Column:
+def _flow(dense: bool) -> list[Column]:
     """One connection of an order line, between many hosts or few."""
     cust, supp = F.col("o_custkey"), F.col("l_suppkey")
     src = _text("10.2.0.", cust % 50) if dense else _text("10.1.", F.floor(cust / 250), ".", cust % 250)
     dst = _text("192.168.9.", supp % 20) if dense else _text("192.168.", F.floor(supp / 250), ".", supp % 250)
-    return F.struct(
+    return [
         (S.epoch(F.col("l_shipdate")) + F.col("l_orderkey") % 86400).alias("ts"), src.alias("src_ip"), dst.alias("dst_ip"), (F.lit(443) if dense else 440 + F.col("l_linenumber")).cast("int").alias("dst_port"),
         F.floor("l_extendedprice").cast("long").alias("orig_bytes"), F.when(F.col("l_returnflag") != "N", F.floor(F.col("l_quantity") * 100).cast("long")).alias("resp_bytes"),
         F.lit("lineitem").alias("source_file"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("source_line"),
-    )
+    ]
 
 
 def connections(spark: SparkSession, sf_dir: str, dense: bool = False) -> DataFrame:
-    return _orders_lines(spark, sf_dir).select(_flow(dense).alias("f")).select("f.*")
+    return _orders_lines(spark, sf_dir).select(*_flow(dense))
 
 
 def all_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Those between many hosts and those between few, in one scan."""
-    return _orders_lines(spark, sf_dir).select(F.explode(F.array(_flow(False), _flow(True))).alias("f")).select("f.*")
+    return _orders_lines(spark, sf_dir).select(F.explode(F.array(F.struct(*_flow(False)), F.struct(*_flow(True)))).alias("f")).select("f.*")
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
