@@ -180,8 +180,10 @@ def folded(rows: DataFrame) -> DataFrame:
     return roles.groupBy("kind", "value").agg(F.sum("events").alias("events"), F.max("peers").alias("peers"), *times, F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"))
 
 
-def observed_values(connections: DataFrame, dns: DataFrame) -> DataFrame:
-    return folded(sightings(pair_totals(connections).drop("first_at"), lookup_totals(dns).drop("first_at")))
+def observed_values(connections: DataFrame, dns: DataFrame, places: bool = False) -> DataFrame:
+    """With ``places`` each value has its ``first_at``, too."""
+    dropped = () if places else ("first_at",)
+    return folded(sightings(pair_totals(connections).drop(*dropped), lookup_totals(dns).drop(*dropped)))
 
 
 def matches(values: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
@@ -197,9 +199,9 @@ def matches(values: DataFrame, indicators: DataFrame, store: Store | None = None
     return ips.unionByName(names)
 
 
-def matched_values(connections: DataFrame, dns: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
+def matched_values(connections: DataFrame, dns: DataFrame, indicators: DataFrame, store: Store | None = None, places: bool = False) -> DataFrame:
     """Observed values that a feed names."""
-    return matched_observed(observed_values(connections, dns), indicators, store)
+    return matched_observed(observed_values(connections, dns, places), indicators, store)
 
 
 def matched_observed(observed: DataFrame, indicators: DataFrame, store: Store | None = None) -> DataFrame:
@@ -233,7 +235,7 @@ def capped_matches(scored: DataFrame, p: IntelParams = IntelParams()) -> DataFra
 
 
 def detect_intel(connections: DataFrame, dns: DataFrame, indicators: DataFrame, p: IntelParams = IntelParams(), matched: DataFrame | None = None, store: Store | None = None) -> DataFrame:
-    matched = matched_values(connections, dns, indicators, store) if matched is None else matched
+    matched = matched_values(connections, dns, indicators, store, places=True) if matched is None else matched
     scored = capped_matches(score_matches(matched, indicators, p), p)
     if "first_at" in scored.columns:
         scored = scored.withColumn("artifact", locator())
