@@ -6,6 +6,7 @@ here suit the views; a detector's limits (top findings) are its feature.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,8 +16,9 @@ from .functions import scalars as S
 from .operators import host, intel, names, network, ranges
 from .operators.findings import check_grammar, with_finding_id
 from .plans import detectors, incidents, readiness, views
+from .plans.history import History, merge_hits
 from .sources import text
-from .sources.shared import Store
+from .sources.shared import Store, shared_folder
 from .streaming import summaries
 
 W = views.VIEWS_SQL
@@ -488,8 +490,7 @@ def hunt_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = _findings(spark, sf_dir)
     p = incidents.pivots(found)
     rows = incidents.history(views.connections(spark, sf_dir), ssl=views.ssl(spark, sf_dir), alerts=views.alerts(spark, sf_dir))
-    hits = incidents.hunt(p, rows).join(p.select("finding_id", "predicate", "field", "value", "excluded"), "finding_id")
-    return hits.select("predicate", "field", "value", "excluded", "subject", "events", *_r("first_seen", "last_seen"))
+    return _named_hits(incidents.hunt(p, rows), p)
 
 
 HUNT_SQL = f"""
@@ -498,6 +499,45 @@ hs AS (SELECT 'dst' AS field, dst_ip AS key, src_ip AS subject, ts FROM connecti
 SELECT predicate, pv.field, value, pv.subject AS excluded, hs.subject, count(*) AS events, round(min(ts), 4) AS first_seen, round(max(ts), 4) AS last_seen FROM pv JOIN hs ON pv.field = hs.field AND pv.value = hs.key AND pv.subject <> hs.subject GROUP BY ALL
 """
 
+
+def _named_hits(hits: DataFrame, p: DataFrame) -> DataFrame:
+    named = hits.join(p.select("finding_id", "predicate", "field", "value", "excluded"), "finding_id")
+    return named.select("predicate", "field", "value", "excluded", "subject", "events", *_r("first_seen", "last_seen"))
+
+
+def hunt_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``hunt_history`` over a kept history: hunted once after its first quarter of days, then only in each quarter that is added."""
+    p = Store(spark).put(incidents.pivots(_findings(spark, sf_dir)), "pivots")
+    kept = History(spark, f"{shared_folder(spark)}/history-{uuid.uuid4().hex}")
+    logs = {"connections": views.connections(spark, sf_dir), "ssl": views.ssl(spark, sf_dir), "alerts": views.alerts(spark, sf_dir)}
+    hits = None
+    for quarter in range(4):
+        days = F.pmod(F.floor(F.col("ts") / 86400), F.lit(4)) == quarter
+        kept.add(f"q{quarter}", **{name: rows.where(days) for name, rows in logs.items()})
+        new = kept.hunt(p, [f"q{quarter}"])
+        hits = new if hits is None else merge_hits(hits, new)
+    return _named_hits(hits, p)
+
+
+def hunt_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Other hosts below the zones of tunnels, and other hosts that run the images of rare processes and odd lineages."""
+    dns, processes = views.dns(spark, sf_dir), views.processes(spark, sf_dir)
+    parts = [names.detect_tunnels(dns, TUNNEL), host.detect_processes(processes, HOST), host.detect_lineage(processes, HOST)]
+    found = Store(spark).put(with_finding_id(check_grammar(reduce(DataFrame.unionByName, parts))[0]), "findings")
+    p = incidents.pivots(found)
+    return _named_hits(incidents.hunt(p, incidents.history(dns=dns, processes=processes)), p)
+
+
+HUNT_NAMES_SQL = f"""
+WITH {W}, fi AS (SELECT 'tunnels_dns_over' AS predicate, 'domain' AS field, zone AS value, src_ip AS excluded FROM ({TUNNEL_SQL}) UNION ALL SELECT 'executes_rare_process', 'image', image_name, host FROM ({PROCESS_SQL})
+  UNION ALL SELECT 'exhibits_anomalous_lineage', 'image', image_name, host FROM ({LINEAGE_SQL})),
+hs AS (SELECT 'domain' AS field, query AS key, src_ip AS subject, ts FROM dns UNION ALL SELECT 'image', {_NAME.format(c='image')}, host, ts FROM processes),
+hh AS (SELECT field, key, subject, count(*) AS n, min(ts) AS a, max(ts) AS b FROM hs WHERE key IS NOT NULL GROUP BY ALL),
+fn AS (SELECT *, row_number() OVER () AS id FROM fi)
+SELECT predicate, fn.field, value, excluded, subject, CAST(sum(n) AS BIGINT) AS events, round(min(a), 4) AS first_seen, round(max(b), 4) AS last_seen
+FROM fn JOIN hh ON fn.field = hh.field AND (hh.key = value OR (fn.field = 'domain' AND ends_with(hh.key, '.' || value))) AND excluded <> subject GROUP BY id, predicate, fn.field, value, excluded, subject
+"""
+
 # ---------------------------------------------------------------- functions and evaluation
 
 
@@ -1031,12 +1071,12 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, named_findings, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, named_findings, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, hunt_incremental, hunt_names, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
     "asset_coverage": COVERAGE_SQL, "shared_resolution": RESOLUTION_SQL, "beacon_gaps": GAPS_SQL, "det_beaconing": BEACON_SQL, "findings_all": FINDINGS_SQL, "queue_all": QUEUE_ALL_SQL, "incident_attached": ATTACHED_SQL, "incident_sequence": SEQUENCE_SQL, "gap_selection": GAPS_SQL, "pair_summary_merged": MERGED_SQL, "incident_queue": INCIDENT_SQL, "incident_summary": SUMMARY_SQL,
-    "hunt_history": HUNT_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
+    "hunt_history": HUNT_SQL, "hunt_incremental": HUNT_SQL, "hunt_names": HUNT_NAMES_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
     "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "match_ranges": IPV6_SQL, "named_findings": NAMED_SQL, "fanout_sketches": SKETCH_SQL, 
     "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
