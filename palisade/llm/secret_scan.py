@@ -1,16 +1,17 @@
 """Secret scan with a recursive decoding worklist.
 
 A text is the first layer. Each layer is scanned by the base patterns, and decoded in every way that applies: percent
-escapes, ``\\\\u``/``\\\\x`` escapes, and runs of base64, also wrapped over lines. A run is decoded at each of the four
-alignments, as it may be glued to a path or a key, and its readable stretches are layers. Where bytes, of base64 or of
-escapes, hold a gzip, zlib, bz2, xz or zstd stream, it is unpacked with all its members (again and again, if it unpacks to
-such a stream). Decoded layers go on the worklist until nothing new comes; a layer with the same
-content and place as an earlier one is dropped, so cycles end. A layer carries, for each of its characters, the place in the
+escapes, ``\\u``, ``\\u{}``, ``\\U`` and ``\\x`` escapes, numeric character references, ASCII in UTF-16, and runs of base64,
+also wrapped over lines. A run is decoded at each of the four alignments, as it may be glued to a path or a key, and its
+readable stretches are layers. Where bytes, of base64 or of escapes, hold a gzip, zlib, bz2, xz or zstd stream, it is unpacked
+with all its members (again and again, if it unpacks to such a stream); a run of base64 (of 15 characters, as
+any) that is one whole stream of plain deflate is, too. Decoded layers go on the worklist until nothing new comes; a layer with the same content and place as an
+earlier one is dropped, so cycles end. A layer carries, for each of its characters, the place in the
 original text, so what is found in it maps back to the text that hides it.
 
 Unpacked streams are read in parts of ``PART`` bytes that overlap, so a small text that unpacks to a huge one is scanned
-whole in bounded memory. The overlap holds an encoded run that a part ends in, up to ``PART`` bytes of it; of a longer one,
-a stream that is itself encoded in it is unpacked up to the end of the part only. The base spans are those of the first layer; decoding only adds spans.
+whole in bounded memory. The overlap holds an encoded run that a part ends in, up to ``PART`` bytes of it; a longer one is
+read once more from its start and decoded piece by piece, so that a stream encoded in it is unpacked to its end. The base spans are those of the first layer; decoding only adds spans.
 
 Defined edge cases: null and empty texts have no spans; rows are independent (one scan, no shuffle), so repeated rows give
 repeated results; a text of any length is scanned whole, with 16 bytes of places for each character of a layer that decoding
@@ -24,7 +25,7 @@ import bz2
 import lzma
 import re
 import zlib
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -44,14 +45,20 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2})+")
-ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})")
+#: One escaped character: its code is in the first group that took part, in decimal digits if that is the last one.
+ONE_ESCAPE = re.compile(r"\\u([0-9A-Fa-f]{4})|\\x([0-9A-Fa-f]{2})|\\u\{([0-9A-Fa-f]{1,8})\}|\\U([0-9A-Fa-f]{8})|&#[xX]([0-9A-Fa-f]{1,8});|&#([0-9]{1,10});")
+ESCAPE = re.compile(f"(?:{ONE_ESCAPE.pattern})+")
 #: The shortest secret has 14 bytes; 32 equal hexadecimal digits are a stream of 11, which is 15 characters.
 LEAST_BYTES = 14
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{15,}={0,2}")
+#: A run ends with its padding, which may be escaped for a URL.
+BASE64 = re.compile(r"[A-Za-z0-9+/_-]{15,}(?:=|%3[Dd]){0,2}")
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:[ \t]*+\r?\n[ \t]*+[A-Za-z0-9+/_-]++)+={0,2}")
 URL_SAFE = str.maketrans("-_", "+/")
+URL_SAFE_BYTES = bytes.maketrans(b"-_", b"+/")
 READABLE = re.compile(rb"(?:[\t-\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2}){%d,}" % LEAST_BYTES)
+#: ASCII in UTF-16 of either byte order: each character beside a NUL.
+WIDE = re.compile(r"(?:\0[\t-\r\x20-\x7e]){%d,}\0?|(?:[\t-\r\x20-\x7e]\0){%d,}" % (LEAST_BYTES, LEAST_BYTES))
+WIDE_BYTES = re.compile(WIDE.pattern.encode())
 #: Escaped bytes between characters that stand for themselves, and one byte of these.
 PERCENT_BYTES = re.compile(r"(?:%[0-9A-Fa-f]{2}|[!-$&-~])+")
 ESCAPE_BYTES = re.compile(r"(?:\\(?:x|u00)[0-9A-Fa-f]{2}|\\[0abfnrtv'\"\\]|[ -\[\]-~])+")
@@ -60,7 +67,9 @@ SHORT = {"\\0": 0, "\\a": 7, "\\b": 8, "\\f": 12, "\\n": 10, "\\r": 13, "\\t": 9
 PART, OVERLAP = 4 << 20, 4096
 #: Bytes given to a decompressor at a time, which bounds what comes out of it at a time.
 SLICE = 256
-ENCODED = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-=%\\\r\n"
+CODE = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+ENCODED = CODE + b"=%\\\r\n\0"
+NOT_CODE = re.compile(rb"[^A-Za-z0-9+/_\r\n-]")
 MAGIC = {b"\x1f\x8b": "gzip", b"BZh": "bz2", b"\xfd7zXZ\0": "xz", b"\x28\xb5\x2f\xfd": "zstd", b"\x78\x01": "zlib", b"\x78\x5e": "zlib", b"\x78\x9c": "zlib", b"\x78\xda": "zlib"}
 ANY_MAGIC = re.compile(b"|".join(map(re.escape, MAGIC)))
 
@@ -132,7 +141,8 @@ def _percent(run: str):
 def _escape(run: str):
     chars, begin, end = [], [], []
     for m in ONE_ESCAPE.finditer(run):
-        code = int(m[1] or m[2], 16)
+        code = int(m[m.lastindex], 10 if m.lastindex == 6 else 16)
+        code = code if code <= 0x10FFFF else 0xFFFD
         if 0xDC00 <= code < 0xE000 and chars and 0xD800 <= ord(chars[-1]) < 0xDC00:
             chars[-1] = chr(0x10000 + ((ord(chars[-1]) - 0xD800) << 10) + code - 0xDC00)
             end[-1] = m.end()
@@ -143,6 +153,11 @@ def _escape(run: str):
     return "".join(chars), begin, end
 
 
+def _wide(run: str):
+    begin = [k for k, c in enumerate(run) if c != "\0"]
+    return run.replace("\0", ""), begin, [b + 1 for b in begin]
+
+
 def _readable(raw: bytes) -> str | None:
     try:
         text = raw.decode()
@@ -212,33 +227,71 @@ def unpack(chunks: Iterable[bytes], end: list[int] | None = None) -> Iterator[by
             return
 
 
-def _parts(chunks: Iterable[bytes]) -> Iterator[bytes]:
-    """The same bytes, ``PART`` at a time."""
+def _parts(chunks: Iterable[bytes], size: int | None = None) -> Iterator[bytes]:
+    """The same bytes, ``PART`` or ``size`` at a time."""
+    size = size or PART
     held = bytearray()
     for c in chunks:
         held += c
-        while len(held) >= PART:
-            yield bytes(held[:PART])
-            del held[:PART]
+        while len(held) >= size:
+            yield bytes(held[:size])
+            del held[:size]
     if held:
         yield bytes(held)
 
 
-def _texts(chunks: Iterable[bytes], seen: frozenset = frozenset()) -> Iterator[str]:
-    """Texts in overlapping parts, unpacked while they are streams; ``seen`` ends streams that unpack to themselves."""
-    parts = _parts(chunks)
+def _decoded(chunks: Iterable[bytes], start: int) -> Iterator[bytes]:
+    """What the run of base64 that ``chunks`` hold from byte ``start`` on, line ends aside, decodes to."""
+    held = b""
+    for c in chunks:
+        begin, start = min(start, len(c)), max(0, start - len(c))
+        end = NOT_CODE.search(c, begin)
+        held += c[begin : end.start() if end else len(c)].translate(URL_SAFE_BYTES, b"\r\n")
+        whole = len(held) // 4 * 4
+        yield base64.b64decode(held[:whole])
+        held = held[whole:]
+        if end:
+            break
+    if len(held) > 1:
+        yield base64.b64decode(held + b"=" * (-len(held) % 4))
+
+
+def _long_run(source: Callable[[], Iterable[bytes]], start: int, seen: frozenset) -> Iterator[str]:
+    """The texts of the stream, if it is one, that is encoded in the long run from byte ``start`` of the source on."""
+    for shift in range(4):
+        head = next(_parts(_decoded(source(), start + shift), 8), b"")
+        if _stream(head):
+            yield from _texts(lambda at=start + shift: _decoded(source(), at), seen)
+
+
+def _texts(source: Callable[[], Iterable[bytes]], seen: frozenset = frozenset()) -> Iterator[str]:
+    """Texts in overlapping parts, unpacked while they are streams; ``seen`` ends streams that unpack to themselves.
+
+    ``source`` gives the same bytes at each call. A run of base64 that is longer than the overlap may be is taken up again from
+    its start, with bounded memory, where it holds a stream.
+    """
+    parts = _parts(source())
     head = next(parts, None)
     if head is None:
         return
     key = xxhash.xxh3_128_digest(head)
     if _stream(head) and key not in seen:
-        yield from _texts(unpack(chain([head], parts)), seen | {key})
+        parts.close()
+        yield from _texts(lambda: unpack(source()), seen | {key})
         return
-    tail = b""
+    tail, read, done = b"", 0, 0
     for part in chain([head], parts):
+        read += len(part)
         part = tail + part
         # a part may begin or end within a character
         yield part.decode("utf-8", "ignore")
+        run = len(part) - len(part.rstrip(CODE + b"\r\n"))
+        if run >= PART:
+            if read - run > done or not done:
+                yield from _long_run(source, read - run, seen)
+            done = read
+        else:
+            done = 0
         tail = part[max(0, len(part) - PART, min(len(part) - OVERLAP, len(part.rstrip(ENCODED)))) :]
 
 
@@ -257,12 +310,32 @@ def _streams(raw: bytes) -> Iterator[tuple[int, int]]:
 
 def _stream_texts(raw: bytes, start: int) -> Iterator[str]:
     raw = raw[start:]
-    return _texts(unpack([raw], [0]), frozenset([xxhash.xxh3_128_digest(raw[:PART])]))
+    return _texts(lambda: unpack([raw], [0]), frozenset([xxhash.xxh3_128_digest(raw[:PART])]))
+
+
+def _inflated(raw: bytes) -> Iterator[bytes]:
+    """What a whole stream of plain deflate holds, in pieces; an error where ``raw`` isn't one or holds more."""
+    tool, data = zlib.decompressobj(-15), raw
+    while data and not tool.eof:
+        yield tool.decompress(data, PART)
+        data = tool.unconsumed_tail
+    if not tool.eof or tool.unused_data:
+        raise zlib.error("not one whole stream")
+
+
+def _is_deflate(raw: bytes) -> bool:
+    """A stream without a mark of its own, so all of it must be one."""
+    if len(raw) < 4 or raw[0] & 6 == 6:
+        return False
+    try:
+        return sum(map(len, _inflated(raw))) >= LEAST_BYTES
+    except zlib.error:
+        return False
 
 
 def _run_layers(layer: Layer, start: int, run: str, wrapped: bool) -> Iterator[Layer]:
     """The layers of a run of base64 that starts there; of a wrapped one, those that no line has by itself."""
-    body = run.rstrip("=")
+    body = run.partition("%")[0].rstrip("=")
     where = [i for i, c in enumerate(body) if not c.isspace()] if wrapped else range(len(body))
     code = "".join(body.split()).translate(URL_SAFE)
     for shift in range(4):
@@ -281,6 +354,12 @@ def _run_layers(layer: Layer, start: int, run: str, wrapped: bool) -> Iterator[L
             if spot := place(b, e):
                 for text in _stream_texts(raw, b):
                     yield Layer(text, *spot)
+        if not shift and not _stream(raw) and _is_deflate(raw) and (spot := place(0, len(raw))):
+            for text in _texts(lambda raw=raw: _inflated(raw)):
+                yield Layer(text, *spot)
+        for m in WIDE_BYTES.finditer(raw) if b"\0" in raw else ():
+            if spot := place(m.start(), m.end()):
+                yield Layer(m[0].replace(b"\0", b"").decode(), *spot)
         if not shift and not wrapped and not _stream(raw) and (text := _readable(raw)) is not None:
             yield Layer(text, *layer.place(start, start + len(run)))
             continue
@@ -332,7 +411,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
     found = set(base)
     work: list[Layer] = []
     start = None
-    if "%" in text or "\\" in text or BASE64.search(text) or WRAPPED.search(text):
+    if "%" in text or "\\" in text or "&#" in text or "\0" in text or BASE64.search(text) or WRAPPED.search(text):
         start = Layer(text, np.arange(len(text)), np.arange(1, len(text) + 1))
         work, seen = [start], {start.key()}
     while work:
@@ -341,7 +420,7 @@ def scan(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int,
             for k, s, e in find_base(layer.text):
                 a, b = layer.place(s, e)
                 found.add((a, k, b))
-        plain = ((_replaced(layer, PERCENT, _percent) if "%" in layer.text else None), (_replaced(layer, ESCAPE, _escape) if "\\" in layer.text else None))
+        plain = ((_replaced(layer, PERCENT, _percent) if "%" in layer.text else None), (_replaced(layer, ESCAPE, _escape) if "\\" in layer.text or "&#" in layer.text else None), (_replaced(layer, WIDE, _wide) if "\0" in layer.text else None))
         for new in chain(_base64_layers(layer), _escaped_layers(layer), plain):
             if new is not None and (key := new.key()) not in seen:
                 seen.add(key)
