@@ -13,7 +13,7 @@ import pytest
 from palisade.llm import secret_scan
 from palisade.llm.secret_scan import op8_secret_scan, scan, shown
 
-DATA = "/root/testdata/sf0.001"
+DATA_WITH_SECRETS = "/root/testdata/sf0.01"
 ANY_CASE = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w).replace("_", "_?") for w in ("password", "passwd", "secret", "token", "api_key"))
 PLAIN = (("assign", re.compile(rf"""({ANY_CASE})["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 2, 8), ("access", re.compile("AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile("[0-9a-f]+"), 0, 32))
 
@@ -95,12 +95,12 @@ def test_streams_in_runs_longer_than_the_overlap(monkeypatch, lead, wrapped):
 def test_counts_of_the_query_equal_sql(spark):
     import duckdb
 
-    if not os.path.isdir(DATA):
+    if not os.path.isdir(DATA_WITH_SECRETS):
         pytest.skip("the given tables aren't here")
-    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in op8_secret_scan(spark, DATA).collect()}
+    got = {r.doc_id: (r.n_assign, r.n_access, r.n_hex) for r in op8_secret_scan(spark, DATA_WITH_SECRETS).collect()}
     sql = """select doc_id, len(list_filter(regexp_extract_all(coalesce(text, ''), '(?i:password|passwd|secret|token|api_?key)["'']?\\x20*[:=]\\x20*["'']?([A-Za-z0-9+/_.=-]+)', 1), lambda x: length(x) >= 8)),
       len(list_filter(regexp_extract_all(coalesce(text, ''), 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16)), len(list_filter(regexp_extract_all(coalesce(text, ''), '[0-9a-f]+'), lambda x: length(x) >= 32)) from read_parquet(?)"""
-    want = {r[0]: r[1:] for r in duckdb.execute(sql, [f"{DATA}/documents.parquet"]).fetchall()}
+    want = {r[0]: r[1:] for r in duckdb.execute(sql, [f"{DATA_WITH_SECRETS}/documents.parquet"]).fetchall()}
     assert got == want and any(map(any, want.values()))
 
 
