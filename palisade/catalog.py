@@ -855,6 +855,25 @@ def incident_reading(spark: SparkSession, sf_dir: str) -> DataFrame:
 READING_SQL = f"WITH {_ALL_FINDINGS} SELECT 'ip:' || subject AS incident, row_number() OVER (PARTITION BY subject ORDER BY round(score, 4) DESC) AS place, round(score, 4) AS score FROM fi"
 
 
+BRIEF_BUDGET, BRIEF_LINES = 120, 12
+
+
+def incident_briefs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The findings' lines that fit each incident's budget; ids are made of the claims alone here, so that SQL can make them, too."""
+    claim = F.concat(F.lit("fi_"), F.left(F.md5(F.concat_ws("|", "predicate", "subject", "object").cast("binary")), F.lit(16)))
+    _, grouped = incidents.correlate(_findings(spark, sf_dir).withColumn("finding_id", claim))
+    return incidents.briefs(grouped, BRIEF_BUDGET, BRIEF_LINES).where("part = 0").select("incident", F.col("place").cast("long").alias("place"), "finding_id", "text", "cost")
+
+
+BRIEFS_SQL = f"""
+WITH {_ALL_FINDINGS}, li AS (SELECT 'ip:' || subject AS incident, 'fi_' || left(md5(predicate || '|' || subject || '|' || object), 16) AS finding_id, predicate, subject, object, round(score, 4) AS score FROM fi),
+pl AS (SELECT *, row_number() OVER (PARTITION BY incident ORDER BY score DESC, finding_id) AS place, finding_id || ': ' || subject || ' ' || predicate || ' ' || object || ' (' || format('{{:.2f}}', score) || ')' AS text FROM li),
+co AS (SELECT *, CAST(ceil(length(text) / 4) AS BIGINT) AS cost FROM pl WHERE place <= {BRIEF_LINES}),
+ru AS (SELECT *, sum(cost) OVER (PARTITION BY incident ORDER BY place) AS running FROM co)
+SELECT incident, place, finding_id, text, cost FROM ru WHERE running <= {BRIEF_BUDGET}
+"""
+
+
 def grammar_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Claims made of the events, most of them wrong in one way, and why each is rejected."""
     k, kind = F.col("k"), F.col("event_type")
@@ -1071,7 +1090,7 @@ def src_asset_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 SRC_ASSET_SQL = f"WITH {W} SELECT address, hostname, coalesce(strftime(stated, '%Y-%m-%d'), '2001-02-03') AS stated, line AS source_line FROM assets"
 
 
-QUERIES = {f.__name__: f for f in (det_fanout, gap_selection, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, named_findings, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, hunt_incremental, hunt_names, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
+QUERIES = {f.__name__: f for f in (det_fanout, findings_all, queue_all, incident_attached, match_ranges, fanout_sketches, named_findings, det_alerts, det_tls, det_egress, det_dnstunnel, det_dga, fit_bigram_model, det_rare_process, det_lineage, host_baseline, process_ancestry, det_intel, intel_indicators, asset_coverage, shared_resolution, det_beaconing, beacon_gaps, gap_selection, pair_summary_merged, incident_queue, incident_summary, incident_sequence, hunt_history, hunt_incremental, hunt_names, fn_names, fn_addresses, eval_truth, claims_check, readiness_report, queue_top, src_conn_lines, src_alert_lines, src_process_lines, incident_entities, spread_alerts, intel_capped, netblock_links, match_ipv6, hunt_pivots, incident_reading, incident_briefs, grammar_rejects, eval_capture, eval_by_claim, eval_families, evidence_samples, process_commands, named_objects, src_netflow_lines, src_dns_lines, src_ssl_lines, src_indicator_lines, src_asset_lines)}
 ORACLE_SQL = {
     "det_fanout": FANOUT_SQL, "det_alerts": ALERTS_SQL, "det_tls": TLS_SQL, "det_egress": EGRESS_SQL, "det_dnstunnel": TUNNEL_SQL, "det_dga": DGA_SQL, "fit_bigram_model": BIGRAM_SQL,
     "det_rare_process": PROCESS_SQL, "det_lineage": LINEAGE_SQL, "host_baseline": BASELINE_SQL, "process_ancestry": ANCESTRY_SQL, "det_intel": INTEL_SQL, "intel_indicators": FEED_SQL,
@@ -1079,6 +1098,6 @@ ORACLE_SQL = {
     "hunt_history": HUNT_SQL, "hunt_incremental": HUNT_SQL, "hunt_names": HUNT_NAMES_SQL, "fn_names": NAMES_SQL, "fn_addresses": ADDRESS_SQL, "eval_truth": TRUTH_SQL,
     "readiness_report": READINESS_SQL, "queue_top": QUEUE_SQL, "src_conn_lines": SRC_CONN_SQL, "src_alert_lines": SRC_ALERT_SQL, "src_process_lines": SRC_PROCESS_SQL,
     "incident_entities": ENTITIES_SQL, "spread_alerts": SPREAD_SQL, "claims_check": CLAIMS_SQL, "intel_capped": CAPPED_SQL, "netblock_links": NETBLOCK_SQL, "match_ipv6": IPV6_SQL, "match_ranges": IPV6_SQL, "named_findings": NAMED_SQL, "fanout_sketches": SKETCH_SQL, 
-    "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
+    "hunt_pivots": PIVOTS_SQL, "incident_reading": READING_SQL, "incident_briefs": BRIEFS_SQL, "grammar_rejects": REJECTS_SQL, "eval_capture": CAPTURE_SQL, "eval_by_claim": BY_CLAIM_SQL, "eval_families": FAMILIES_SQL, "evidence_samples": SAMPLES_SQL,
     "process_commands": COMMANDS_SQL, "named_objects": OBJECTS_SQL, "src_netflow_lines": SRC_NETFLOW_SQL, "src_dns_lines": SRC_DNS_SQL, "src_ssl_lines": SRC_SSL_SQL, "src_indicator_lines": SRC_INDICATOR_SQL, "src_asset_lines": SRC_ASSET_SQL,
 }

@@ -11,7 +11,7 @@ from palisade import catalog
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-QUICK = ["det_fanout", "det_alerts", "det_tls", "det_egress", "det_dnstunnel", "det_rare_process", "det_lineage", "host_baseline", "process_ancestry", "intel_indicators", "det_intel", "beacon_gaps", "fn_names", "fn_addresses", "eval_truth", "src_conn_lines", "src_process_lines"]
+QUICK = ["det_fanout", "det_alerts", "det_tls", "det_egress", "det_dnstunnel", "det_rare_process", "det_lineage", "host_baseline", "process_ancestry", "intel_indicators", "det_intel", "beacon_gaps", "fn_names", "fn_addresses", "eval_truth", "src_conn_lines", "src_process_lines", "hunt_names", "hunt_incremental", "incident_briefs"]
 
 
 def shown(v):
