@@ -1,7 +1,9 @@
 """What only shows at size: costly parses are made once a row, one large file isn't one task's, addresses run out."""
 
+import duckdb
 import pytest
 
+from palisade import catalog
 from palisade.sources import text
 
 
@@ -38,3 +40,16 @@ def test_lines_of_a_file_stay_spread(spark, parse):
         assert sorted((r.ts, r.src_ip) for r in parsed.collect()) == [(k + 0.5, f"10.0.0.{k}") for k in range(1, 5)]
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_assets_beyond_the_last_address_equal_their_sql(spark, tmp_path):
+    customers = spark.createDataFrame([(k,) for k in (1, 63998, 64001, 70000, 90001)], "c_custkey long")
+    customers.coalesce(1).write.parquet(str(tmp_path / "customer.parquet"))
+    con = duckdb.connect()
+    for name in ("lineitem", "orders", "events", "pages", "supplier"):
+        con.execute(f"create view {name} as select * from read_parquet('/root/testdata/sf0.001/{name}.parquet')")
+    con.execute(f"create view customer as select * from read_parquet('{tmp_path}/customer.parquet/*.parquet')")
+    want = con.execute(f"select address, hostname, stated, source_line from ({catalog.SRC_ASSET_SQL})").fetchall()
+    got = [tuple(r) for r in catalog.src_asset_lines(spark, str(tmp_path)).select("address", "hostname", "stated", "source_line").collect()]
+    assert sorted(got, key=lambda r: r[3]) == sorted(want, key=lambda r: r[3])
+    assert {r[3] for r in got if r[0] is None} == {64001, 70000, 90001} - {r[3] for r in got if r[3] % 3 == 0}
