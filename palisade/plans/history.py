@@ -11,7 +11,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .incidents import history, hunt
+from .incidents import history, hits_of_findings, key_hits
 
 KEYS = ("field", "key", "depth", "subject")
 HITS = ("finding_id", "subject")
@@ -66,7 +66,11 @@ class History:
         return out
 
     def hunt(self, pivots: DataFrame, batches: list[str] | None = None) -> DataFrame:
-        """``incidents.hunt`` over the kept rows. Only buckets of the pivots are read: their numbers, at most ``buckets`` of
+        """``incidents.hunt`` over the kept rows."""
+        return hits_of_findings(pivots, self.key_hits(pivots, batches))
+
+    def key_hits(self, pivots: DataFrame, batches: list[str] | None = None) -> DataFrame:
+        """``incidents.key_hits`` over the kept rows. Only buckets of the pivots are read: their numbers, at most ``buckets`` of
         them, come to the driver and prune the scan."""
         hit = pivots.select(self.bucket(F.col("field"), F.col("value")).alias("bucket")).distinct().collect()
-        return hunt(pivots, self.rows(batches).where(F.col("bucket").isin([r.bucket for r in hit])))
+        return key_hits(pivots, self.rows(batches).where(F.col("bucket").isin([r.bucket for r in hit])))
