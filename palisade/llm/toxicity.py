@@ -18,6 +18,8 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -44,8 +46,8 @@ MIN_TEXTS = 8
 LEAST_STEPS = 1500
 #: Likewise one whose log odds of toxic texts are within so many standard errors of all texts'.
 MIN_ODDS = 2.5
-#: Characters that are worked on at once.
-BLOCK = 1 << 20
+#: Characters that are worked on at once, in scoring and in training, which keeps less of them at a time on the driver.
+BLOCK, TRAIN_BLOCK = 1 << 20, 1 << 18
 
 
 def codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -159,6 +161,12 @@ class TrainingSet:
     size: np.ndarray
 
 
+def give_back() -> None:
+    """Memory that training has freed goes back to the system, where the C library (glibc) would keep it for later."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet:
     step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     keys, segments, segment_texts, own_keys, own_grams, own_sizes = [], [], [], [], [], []
@@ -166,7 +174,7 @@ def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet
     seen = np.zeros(0, np.uint64)
     for k, text in enumerate(texts):
         n += len(text)
-        if n < BLOCK and k < len(texts) - 1:
+        if n < TRAIN_BLOCK and k < len(texts) - 1:
             continue
         block = texts[begin : k + 1]
         s = segmented(block, segment)
@@ -178,9 +186,11 @@ def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet
         last = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
         key = (sums[last] - sums[first]) * np.cumprod(np.full(len(chars) + 1, step, np.uint64))[first]
         own, where = np.unique(key, return_index=True)
-        fresh = ~np.isin(own, seen, assume_unique=True)
+        at = np.searchsorted(seen, own)
+        fresh = np.concatenate((seen, own[-1:]))[at] != own if len(seen) else np.ones(len(own), bool)
+        fresh |= at == len(seen)
         own, where = own[fresh], where[fresh]
-        seen = np.union1d(seen, own)
+        seen = np.insert(seen, at[fresh], own)
         wanted = np.zeros(len(key), bool)
         wanted[where] = True
         pick = np.flatnonzero(wanted[s.gram_word])
@@ -189,17 +199,23 @@ def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet
         own_grams.append(s.grams[pick].astype(np.int32))
         own_sizes.append(np.bincount(s.gram_word, minlength=len(key))[where])
         keys.append(key)
-        segments.append(s.word_segment + done)
+        segments.append((s.word_segment + done).astype(np.int32))
         done += len(s.segment_share)
         segment_texts.append(s.segment_text + begin)
         begin, n = k + 1, 0
+        del s, chars, powers, sums, inside, key, pick
+    give_back()
     all_keys, size = np.concatenate(own_keys), np.concatenate(own_sizes)
     order = np.argsort(all_keys)
     distinct = all_keys[order]
     grams = np.concatenate(own_grams)
     own_grams.clear()
-    word = np.concatenate([order[np.searchsorted(distinct, k)].astype(np.int32) for k in keys])
+    for i, k in enumerate(keys):  # one by one, so that the keys aren't held twice
+        keys[i] = order[np.searchsorted(distinct, k)].astype(np.int32)
+    word = np.concatenate(keys)
+    keys.clear()
     segment = np.concatenate(segments)
+    segments.clear()
     count = np.bincount(segment)
     return TrainingSet(word, segment, np.concatenate(([0], np.cumsum(count)[:-1])), count, np.concatenate(segment_texts), grams, np.concatenate(([0], np.cumsum(size)[:-1])), size)
 
@@ -207,7 +223,7 @@ def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet
 def gram_odds(data: TrainingSet, toxic: np.ndarray, block: int = 128) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each gram, by the texts that have it: log odds ratio over its standard error, whether it's common, whether it tells."""
     counts = np.zeros((2, BUCKETS))
-    of_text = data.segment_text[data.segment]
+    of_text = data.segment_text.astype(np.int32)[data.segment]
     edges = np.searchsorted(of_text, np.arange(0, len(toxic) + block, block))
     for k, (a, b) in enumerate(zip(edges[:-1], edges[1:])):
         word = data.word[a:b]
@@ -237,7 +253,9 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
     bias = np.log(np.bincount(toxic, minlength=2) / len(toxic))
     row_sum, weight_sum, bias_sum = np.full(BUCKETS, 1e-4), np.full(weights.shape, 1e-4), np.full(2, 1e-4)
     data = training_set(texts, segment)
+    give_back()
     odds, common, told = gram_odds(data, toxic)
+    give_back()
     if odds_start:
         vectors *= 0.1
         vectors[:, 0] += 0.05 * np.clip(odds, -10, 10)
@@ -275,6 +293,8 @@ def train_model(texts: list[str], toxic: np.ndarray, dim: int = DIM, rounds: int
             weights -= rate * to_weights / np.sqrt(weight_sum)
             bias -= rate * to_bias / np.sqrt(bias_sum)
     logits = scale * (vectors @ (weights[:, 1] - weights[:, 0]))
+    del data
+    give_back()
     return ToxicityModel(logits.astype(np.float32), float(bias[1] - bias[0]), segment=segment)
 
 
@@ -303,8 +323,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_train: int = MAX_TRAIN, max_bytes: int = MAX_BYTES) -> ToxicityModel:
-    rows = training_rows(docs, labels, id_col, text_col, label_col, max_train, max_bytes).toPandas().sort_values(["id", "text"])
-    return train_model(rows["text"].tolist(), rows["y"].to_numpy())
+    rows = sorted(training_rows(docs, labels, id_col, text_col, label_col, max_train, max_bytes).select("id", "text", "y").collect())
+    texts, toxic = [r["text"] for r in rows], np.array([r["y"] for r in rows], np.int64)
+    del rows
+    model = train_model(texts, toxic)
+    del texts
+    give_back()
+    return model
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

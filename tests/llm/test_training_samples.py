@@ -1,7 +1,10 @@
 """What the learnt operators train on, and the language model against an exact kernel ridge regression."""
 
+import os
 import random
 import re
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -88,3 +91,38 @@ def test_toxicity_sample(spark):
     assert {r.y for r in small} == {0, 1} and all(len(r.text) <= 50 for r in small) and all(sum(len(r.text) for r in small if r.y == y) <= 400 for y in (0, 1))
     few = toxicity.training_rows(docs, labels, "doc_id", "text", "toxic", 4, 24 << 20).collect()
     assert [sum(r.y == y for r in few) for y in (0, 1)] == [4, 4]
+
+
+def test_training_gives_its_memory_back():
+    """What training took stayed with the driver's Python, beside the JVM, for all stages that follow."""
+    code = """
+import re, random
+import numpy as np
+from palisade.llm import toxicity
+mb = lambda: int(re.search(r"RssAnon:\\s+(\\d+)", open("/proc/self/status").read())[1]) / 1024
+rng = random.Random(1)
+words = ["".join(rng.choices("abcdefghijklmnop", k=7)) for _ in range(20000)]
+texts = [" ".join(rng.choices(words, k=800)) for _ in range(600)]
+toxicity.LEAST_STEPS = 1
+toxicity.train_model(texts[:8], np.arange(8) % 2, rounds=1)
+before = mb()
+model = toxicity.train_model(texts, np.arange(600) % 2, rounds=1)
+print(mb() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=100, env=os.environ | {"OMP_NUM_THREADS": "1"})
+    assert float(out.stdout) < 20, out
+
+
+@pytest.mark.parametrize("block", [1 << 10, 1 << 14, 1 << 20])
+def test_training_set_is_the_same_in_blocks_of_any_size(block, monkeypatch):
+    texts = [f"alpha beta w{i % 7} gamma{i % 3} it's" for i in range(300)] + ["", "!", "omega " * 50]
+    monkeypatch.setattr(toxicity, "TRAIN_BLOCK", block)
+    data = toxicity.training_set(texts)
+    grams = [tuple(data.grams[data.first[w] : data.first[w] + data.size[w]]) for w in data.word]
+    whole = toxicity.segmented(texts)
+    plain = [[] for _ in whole.word_share]
+    for g, w in zip(whole.grams, whole.gram_word):
+        plain[w].append(int(g))
+    assert [sorted(g) for g in grams] == [sorted(g) for g in plain]
+    assert data.segment.tolist() == whole.word_segment.tolist() and data.segment_text.tolist() == whole.segment_text.tolist()
+    assert len(data.first) == len({tuple(sorted(g)) for g in plain})
