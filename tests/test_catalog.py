@@ -42,3 +42,17 @@ def test_query_equals_sql(spark, con, name):
 def test_entry_and_registers(spark, con):
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(entry.entry(spark).columns) >= {"src_ip", "dst_port", "score"}
+
+
+def test_labelled_pairs_and_claims_are_read_from_files(spark):
+    """The evaluation reads both several times: each reading joined and scored the connections again."""
+    from palisade import catalog
+    from palisade.operators import network
+    from palisade.sources.shared import Store
+
+    rows = [(float(i), f"10.1.0.{i % 5}", f"192.168.0.{i % 7}", 443, 200_000, 10) for i in range(60)]
+    connections = spark.createDataFrame(rows, "ts double, src_ip string, dst_ip string, dst_port int, orig_bytes long, resp_bytes long")
+    claims, pairs = catalog._labelled(network.pair_totals(connections), Store(spark))
+    for stored in (claims, pairs):
+        assert "Exchange" not in stored._jdf.queryExecution().toString()
+    assert {tuple(r) for r in pairs.collect()} == {(r[1], r[2]) for r in rows if (int(r[1].split(".")[3]) + int(r[2].split(".")[3])) % 7 == 0}
