@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, slices, table, texts_of
+from .common import Scratch, giving_back, slices, table, texts_of
 
 WINDOW = 10
 #: Text of items that one pass takes. A window of it takes about 100 bytes of memory in a task.
@@ -214,6 +214,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     scratch = Scratch(docs.sparkSession)
 
     def searcher(block: list[tuple[str | None, str | None]], last: bool):
+        @giving_back
         def search(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             items = Items(block, window)
             for batch in batches:

@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, slices, table, text_bytes, texts_of
+from .common import Scratch, giving_back, shuffle_partitions, slices, table, text_bytes, texts_of
 from .components import connected_components
 
 SHINGLE = 5
@@ -274,10 +274,10 @@ def distinctive(live: DataFrame, percent: int) -> DataFrame:
 def chained(live: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """Edges ``(a, b)`` that connect, list by list, the neighbours whose sizes fit."""
     n = shuffle_partitions(live.sparkSession)
-    rows = live.repartitionByRange(n, "t", "n", "k").sortWithinPartitions("t", "n", "k").mapInArrow(lambda b: chain_lists(b, percent), "a long, b long, t long, n long")
+    rows = live.repartitionByRange(n, "t", "n", "k").sortWithinPartitions("t", "n", "k").mapInArrow(giving_back(lambda b: chain_lists(b, percent)), "a long, b long, t long, n long")
     found = scratch.store(rows, "chains")
     ends = found.where("t is not null").select("t", "n", F.col("a").alias("k"))  # two rows for each range
-    over = ends.repartition(1).sortWithinPartitions("t", "n", "k").mapInArrow(lambda b: chain_lists(b, percent), "a long, b long, t long, n long")
+    over = ends.repartition(1).sortWithinPartitions("t", "n", "k").mapInArrow(giving_back(lambda b: chain_lists(b, percent)), "a long, b long, t long, n long")
     return found.unionByName(over).where("t is null").select("a", "b")
 
 
@@ -487,14 +487,14 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 k1, k2 = np.array(own, np.int64).reshape(-1, 2).T
                 yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1), pa.array(k2), pa.array(first, pa.list_(pa.int64()))], names=["doc_id", "n", "k1", "k2", "first"])
 
-    scanned = scratch.store(rows.mapInArrow(keys, f"doc_id {id_type}, n long, k1 long, k2 long, first array<long>"), "sets")
+    scanned = scratch.store(rows.mapInArrow(giving_back(keys), f"doc_id {id_type}, n long, k1 long, k2 long, first array<long>"), "sets")
     members = scratch.store(scanned.select("doc_id", "n", "k1", "k2"), "members")
     nodes = scratch.store(members.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "nodes")
 
     # Groups may join too much: here a set is known by half of its key.
     postings = scanned.where("n > 0").select(F.explode("first").alias("t"), "n", F.col("k1").alias("k"))
     ranged = postings.repartitionByRange(parts, "t", "n", "k").sortWithinPartitions("t", "n", "k")
-    live = scratch.store(ranged.mapInArrow(lambda b: live_postings(b, percent), "t long, n long, k long"), "live")
+    live = scratch.store(ranged.mapInArrow(giving_back(lambda b: live_postings(b, percent)), "t long, n long, k long"), "live")
     scratch.drop(scanned)
     edges = scratch.store(chained(distinctive(live, percent), percent, scratch), "edges")
     scratch.drop(live)
@@ -506,6 +506,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     wanted = scratch.store(wanted, "wanted")
     units = placed_units(wanted, percent, block_shingles)
 
+    @giving_back
     def full(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch):
@@ -521,7 +522,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nameless = rows.where("doc_id is null").dropDuplicates(["text"])  # for nodes that no id leads to
     sets = sets_of(texts, wanted).unionByName(sets_of(nameless, wanted.where("least is null")))
     work = sets.join(units, "node").select("unit", "side", "node", "copies", "shingles")
-    found = work.repartition(parts, "unit").sortWithinPartitions("unit", "side", "node").mapInArrow(lambda b: search_units(b, percent), "a long, b long, links long")
+    found = work.repartition(parts, "unit").sortWithinPartitions("unit", "side", "node").mapInArrow(giving_back(lambda b: search_units(b, percent)), "a long, b long, links long")
     found = scratch.store(found, "found")
 
     linked = connected_components(found.where("a <> b").select("a", "b"))

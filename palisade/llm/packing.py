@@ -24,13 +24,15 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
+from functools import cached_property
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
+from .common import give_back, giving_back, slices, stored, table
 
 CAPACITY = 2048
 END_ID = 0
@@ -38,36 +40,65 @@ CHUNK_ROWS, MOST_CHUNKS = 1000, 1 << 18
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 #: Bytes of remembered pieces of text in a task, about; beyond it the memory starts anew.
-REMEMBERED = 48 << 20
+REMEMBERED = 16 << 20
 
 
-class ByteEncoder:
-    """Token ids of a text as little-endian unsigned 32-bit bytes."""
+def _place(name: str) -> str:
+    import public_tokenizers
+
+    return name if "/" in name else public_tokenizers.path(name)
+
+
+def _tokenizer(name: str):
+    import os
+
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(_place(name))
+
 
-    def __init__(self, tokenizer: str = TOKENIZER, ranks: str | None = RANKS):
-        import os
+class Vocabulary(NamedTuple):
+    """What tasks must know of a tokenizer; the driver reads it once, so that they needn't load the tokenizer itself."""
 
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import public_tokenizers
-        from tokenizers import Tokenizer
+    special: tuple[str, ...]
+    size: int
 
-        def place(name: str) -> str:
-            return name if "/" in name else public_tokenizers.path(name)
 
-        self.whole = Tokenizer.from_file(place(tokenizer))
-        self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+def vocabulary(tokenizer: str = TOKENIZER) -> Vocabulary:
+    whole = _tokenizer(tokenizer)
+    found = Vocabulary(tuple(t.content for t in whole.get_added_tokens_decoder().values()), whole.get_vocab_size())
+    del whole
+    give_back()
+    return found
+
+
+class ByteEncoder:
+    """Token ids of a text as little-endian unsigned 32-bit bytes.
+
+    With ``ranks`` the tokenizers library's own tokenizer, some 25 MB a task, is loaded for the first text that needs it only.
+    """
+
+    def __init__(self, tokenizer: str = TOKENIZER, ranks: str | None = RANKS, known: Vocabulary | None = None):
+        self.tokenizer = tokenizer
+        self.special = (known or vocabulary(tokenizer)).special
         self.known: dict[str, bytes] = {}
         self.held = 0
         self.quick = None
         if ranks:  # the same vocabulary, several times faster
             import base64
 
+            import public_tokenizers
             import tiktoken
 
-            with open(place(ranks), "rb") as lines:
+            with open(_place(ranks), "rb") as lines:
                 merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
             self.quick = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})
 
+    @cached_property
+    def whole(self):
+        return _tokenizer(self.tokenizer)
+
     def _slow(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
@@ -159,9 +190,11 @@ def tokenized_pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """Pieces ``(row_id, doc_id, piece, start, length, ids_crc32[, ids])`` of at most ``capacity`` tokens."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     end = np.array([end_id], "<u4").tobytes()
+    known = vocabulary(tokenizer)
 
+    @giving_back
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(tokenizer, ranks)
+        encoder = ByteEncoder(tokenizer, ranks, known)
         for batch in batches:
             for b in slices(batch):
                 out: list[list] = [[], [], [], [], [], []]

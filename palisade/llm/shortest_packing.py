@@ -33,8 +33,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, stored, table
-from .packing import CHUNK_ROWS, END_ID, MOST_CHUNKS, RANKS, TOKENIZER, ByteEncoder
+from .common import giving_back, slices, stored, table
+from .packing import CHUNK_ROWS, END_ID, MOST_CHUNKS, RANKS, TOKENIZER, ByteEncoder, vocabulary
 
 CAPACITY = 1024
 #: Room of fewer tokens is padded instead of filled by a cut; 1 fills everything.
@@ -171,10 +171,13 @@ def encoded(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", end
     """``row_id, doc_id, doc_tokens, ids``: ids with the end id, as unsigned integers of 2 or 4 bytes, little end first."""
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
+    known = vocabulary(tokenizer)
+
+    @giving_back
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ByteEncoder(tokenizer, ranks)
+        encoder = ByteEncoder(tokenizer, ranks, known)
         end = np.array([end_id], "<u4").tobytes()
-        short = max(encoder.whole.get_vocab_size(), end_id + 1) <= 1 << 16
+        short = max(known.size, end_id + 1) <= 1 << 16
         for batch in batches:
             for b in slices(batch):
                 ids = [encoder.encode(t) + end for t in b.column("text").to_pylist()]

@@ -18,8 +18,6 @@ empty table gives an empty result; other columns are ignored, whatever their nam
 
 from __future__ import annotations
 
-import contextlib
-import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, texts_of
+from .common import give_back, giving_back, slices, table, texts_of
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
@@ -161,12 +159,6 @@ class TrainingSet:
     size: np.ndarray
 
 
-def give_back() -> None:
-    """Memory that training has freed goes back to the system, where the C library (glibc) would keep it for later."""
-    with contextlib.suppress(OSError, AttributeError):
-        ctypes.CDLL(None).malloc_trim(0)
-
-
 def training_set(texts: list[str], segment: int | None = SEGMENT) -> TrainingSet:
     step, back = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
     keys, segments, segment_texts, own_keys, own_grams, own_sizes = [], [], [], [], [], []
@@ -336,6 +328,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
     """``doc_id, score`` of each row."""
     rows = texts_of(docs, id_col, text_col)
 
+    @giving_back
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, limit=BLOCK):

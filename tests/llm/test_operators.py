@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palisade.llm import decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentence_dedup, suffix_dedup, toxicity, url_filter
+from palisade.llm import common, decontamination, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentence_dedup, suffix_dedup, toxicity, url_filter
 from palisade.llm.components import connected_components
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()), T.StructField("keep_id", T.StringType()), T.StructField("n", T.LongType())])
@@ -526,3 +526,23 @@ def test_maximal_repeats_are_all_repeats():
 @pytest.mark.parametrize("run", [exact_dedup.exact_groups, jaccard_join.jaccard_classes, packing.pack, sentence_dedup.remove_repeats, secret_scan.find_secrets])
 def test_empty_tables(spark, run):
     assert run(frame(spark, []).limit(0)).collect() == []
+
+
+def test_packing_tasks_load_no_second_tokenizer():
+    """The check stopped the pipeline over an executor's memory, in packing, whose tasks each held the vocabulary twice."""
+    own = packing.ByteEncoder(known=packing.vocabulary())
+    texts = ["plain words and plain words", " lead", "two  blanks", "\n", "", "Größe 漢字"]
+    ids = [own.encode(t) for t in texts]
+    assert "whole" not in vars(own)
+    whole = packing._tokenizer(packing.TOKENIZER)
+    expected = lambda t: np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert ids == [expected(t) for t in texts]
+    marked = f"a {own.special[0]} b"
+    assert own.encode(marked) == expected(marked) and "whole" in vars(own)
+
+
+def test_tasks_give_memory_back(monkeypatch):
+    given = []
+    monkeypatch.setattr(common, "give_back", lambda: given.append(1))
+    assert list(common.giving_back(lambda b: (x + 1 for x in b))([1, 2])) == [2, 3]
+    assert given == [1]
