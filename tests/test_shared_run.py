@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palisade import schema
+from palisade.functions import scalars as S
 from palisade.operators import intel, names, network, selection
 from palisade.plans import detectors
 from palisade.sources.shared import Store, stored
@@ -122,3 +123,33 @@ def test_each_table_is_read_once_for_its_summary(spark):
         alone = detectors.replace(s, **{n: getattr(t, n).where(F.raise_error(F.lit("read again")).isNotNull()) for n in ("connections", "dns", "ssl", "processes")})
         found = [d.detect(alone) for d in detectors.registry(samples=0) if d.name not in ("beaconing", "host")]
         assert sum(f.count() for f in found) > 0
+
+
+def test_parts_of_a_score_are_written_once(spark):
+    """As plain columns each part's formula stood in the plan again wherever the score or a filter named it."""
+    df = spark.range(5).withColumn("x", F.col("id") * 1.0)
+    once = S.computed_once(S.computed_once(df, {"part": F.exp("x")}), {"score": F.col("part") * F.col("part") + F.col("part")}).where("score > 2")
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.upper().count("EXP(") == 1
+    assert sorted(r.id for r in once.collect()) == [1, 2, 3, 4]
+
+
+def test_claims_are_scored_once(spark, tmp_path):
+    """The plan of the findings reads the stored claims; it held the windows of every source twice."""
+    rows = [(float(i), f"10.0.0.{i % 3}", f"192.168.0.{i % 40}", 443, 30_000 + i % 7 * 1000, 100, "f", i) for i in range(400)]
+    conn = spark.createDataFrame(rows, "ts double, src_ip string, dst_ip string, dst_port int, orig_bytes long, resp_bytes long, source_file string, source_line long")
+    p = network.EgressParams(min_bytes=1, exfil_score=0.0)
+    found = network.detect_egress(conn, p, store=Store(spark, str(tmp_path)))
+    assert "Window" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count() == 120
+
+
+def test_values_are_matched_before_they_are_folded(spark, tmp_path):
+    pairs = spark.createDataFrame([(f"10.0.0.{i % 4}", f"192.168.0.{i % 9}", 440 + i % 3, 1, float(i), float(i)) for i in range(60)], "src_ip string, dst_ip string, dst_port int, flows long, first_seen double, last_seen double")
+    lookups = spark.createDataFrame([("10.0.0.1", "a.example.org", "192.168.0.3", 2, 1.0, 2.0)], "src_ip string, query string, answers string, queries long, first_seen double, last_seen double")
+    feed = spark.createDataFrame([("192.168.0.3", "ip"), ("10.0.0.0/31", "cidr"), ("example.org", "domain"), ("10.9.9.9", "ip")], "value string, kind string")
+    rows = intel.sightings(pairs, lookups)
+    got = intel.matched_sightings(rows, feed, Store(spark, str(tmp_path)))
+    expected = intel.folded(rows).join(intel.matches(rows.select("kind", "value").distinct(), feed), ["kind", "value"])
+    assert sorted(map(tuple, got.select(*expected.columns).collect())) == sorted(map(tuple, expected.collect())) and got.count() == 4
+    assert not hasattr(intel, "matched_observed")
