@@ -77,6 +77,50 @@ def test_chunks_change_nothing(spark, chunk_rows):
         assert list(a)[3:] == pytest.approx(list(b)[3:])
 
 
+class Watched(Store):
+    """A store that keeps what its tables were made by."""
+
+    def put(self, df, name="table"):
+        self.plans = {**getattr(self, "plans", {}), name: df._jdf.queryExecution().executedPlan().toString()}
+        return super().put(df, name)
+
+
+def test_series_are_shuffled_once(spark):
+    """Joins with what is told of each pair, bursts and autocorrelation shuffled all rows a dozen times."""
+    store = Watched(spark)
+    rows = store.put(conn(spark, bursts()), "rows")
+    found = network.score_beacons(rows, network.BeaconParams(min_score=0.0), store)
+    plans = list(store.plans.values()) + [found._jdf.queryExecution().executedPlan().toString()]
+    assert found.count() == 3
+    by_chunk = [p for p in plans if "hashpartitioning(src_ip" in p and "chunk" in p.split("hashpartitioning(src_ip")[1].split(")")[0]]
+    assert len(by_chunk) <= 2  # the series, and the starts of bursts
+    assert not any("SortMergeJoin" in store.plans[name] for name in ("series", "ends", "splits", "bursts", "checkins"))
+
+
+@pytest.mark.parametrize("chunk_rows", [2, 5])
+def test_a_burst_goes_on_over_chunks(spark, chunk_rows):
+    """A burst of many rows fills chunks of its own; rows without bytes, and negative ones, count as they did."""
+    rows, line = [], 0
+    for k in range(40):
+        for j in range(60 if k % 10 == 3 else 1 + k % 3):
+            rows.append((1000.0 * k + 0.25 * j + k % 7, "10.0.0.1", "9.9.9.9", 443, None if (k % 5 == 0 or line % 4 == 1) else 100 + 7 * k - j, 1, "f", line))
+            line += 1
+    store = Store(spark)
+    c, p = conn(spark, rows).repartition(3), network.BeaconParams(min_score=0.0, chunk_rows=chunk_rows)
+    candidates = store.put(network.timed_pairs(network.timed_totals(c)))
+    series = store.put(network.ordered(network.candidate_series(c, candidates, p)))
+    borders = store.put(network.chunk_borders(series))
+    found = network.checkins(series, borders, spark.createDataFrame([("10.0.0.1", "9.9.9.9", 443, 100.0)], "src_ip string, dst_ip string, dst_port int, threshold double"), store)
+    want = []
+    for ts, *_, size, _, _, _ in rows:
+        if not want or ts - at > 100:
+            want.append([ts, None, ts - want[-1][0] if want else None])
+        at = ts
+        if size is not None:
+            want[-1][1] = (want[-1][1] or 0) + size
+    assert [[r.ts, r.bytes, r.gap] for r in found.orderBy("ts").collect()] == want
+
+
 def test_totals_merge(spark):
     """Totals of two parts of a capture, merged, are those of the whole."""
     c = conn(spark, [*bursts(), (5.0, None, "9.9.9.9", 1, None, 3, "a", 1), (None, "10.0.0.1", None, None, 4, None, "b", 2)])
