@@ -97,6 +97,24 @@ def test_series_are_shuffled_once(spark):
     assert not any("SortMergeJoin" in store.plans[name] for name in ("series", "ends", "splits", "bursts", "checkins"))
 
 
+@pytest.mark.parametrize("most", [20, 100_000])
+def test_transfers_of_pairs_are_dealt_by_source_once(spark, most):
+    """Ports were added up in one shuffle, and the sums were stored and shuffled again to be windowed."""
+    rng = np.random.default_rng(3)
+    rows = [(float(rng.integers(0, 9000)), f"10.0.0.{k % 7 % 5}", f"9.9.{k % 3}.{rng.integers(0, 9)}", int(rng.integers(1, 4)), int(rng.integers(1, 3_000_000)) if k % 6 else None, int(rng.integers(1, 900_000)) if k % 4 else None, "f", k) for k in range(600)]
+    rows += [(1.0, None, "9.9.9.9", 1, 5, 5, "f", 700), (1.0, "10.0.0.1", "9.9.9.8", 1, None, 5, "f", 701), (2.0, "10.0.0.1", "9.9.9.7", None, 2_000_000, 5, "f", 702), (3.0, "10.0.0.1", "9.9.9.7", 2, None, 5, "f", 703)]
+    store, p = Store(spark), network.EgressParams(min_bytes=1, rare_bytes=1, min_peers=2, exfil_score=0.3, volume_score=0.1, rare_score=0.0, rare_flows=1)
+    pairs = store.put(network.pair_totals(conn(spark, rows)), "pairs")
+    new, old = network.score_pair_transfers(pairs, p, store, most), network.score_transfers(network.egress_totals(pairs), p, store, most)
+    if most > 600:
+        assert network.strongest_claims(new, p)._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(src_ip") == 1
+    columns = sorted(old.columns)
+    got, want = (sorted(map(tuple, df.select(*columns).collect()), key=str) for df in (new, old))
+    assert sorted(new.columns) == columns and len(want) > 20
+    for a, b in zip(got, want, strict=True):
+        assert [x if x is None or isinstance(x, str) else pytest.approx(x) for x in b] == list(a)
+
+
 @pytest.mark.parametrize("chunk_rows", [2, 5])
 def test_a_burst_goes_on_over_chunks(spark, chunk_rows):
     """A burst of many rows fills chunks of its own; rows without bytes, and negative ones, count as they did."""
