@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from .findings import to_findings, with_samples
-from .network import first_locator
+from .network import first_place, locator
 
 
 @dataclass(frozen=True)
@@ -31,9 +31,15 @@ class HostParams:
 
 
 def process_triples(processes: DataFrame) -> DataFrame:
-    """(host, parent, image): executions; a NULL parent is a tree's root and a group of its own."""
-    rows = processes.withColumns({"image_name": S.image_name(F.col("image")), "parent_name": S.image_name(F.col("parent_image"))}).where("host is not null and image_name is not null")
-    return rows.groupBy("host", "parent_name", "image_name").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), F.max(S.path_anomaly(F.col("image"))).alias("path_anomaly"), first_locator(rows))
+    """(host, parent, image): executions; a NULL parent is a tree's root and a group of its own.
+
+    Paths repeat, so they are counted first, and only distinct ones are taken apart.
+    """
+    rows = processes.where("host is not null and image is not null")
+    paths = rows.groupBy("host", "parent_image", "image").agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"), first_place(rows))
+    named = paths.withColumns({"image_name": S.image_name(F.col("image")), "parent_name": S.image_name(F.col("parent_image"))}).where("image_name is not null")
+    merged = named.groupBy("host", "parent_name", "image_name").agg(F.sum("n").alias("n"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.max(S.path_anomaly(F.col("image"))).alias("path_anomaly"), F.min("first_at").alias("first_at"))
+    return merged.withColumn("artifact", locator()).drop("first_at")
 
 
 def estate_baseline(triples: DataFrame, p: HostParams = HostParams()) -> DataFrame:

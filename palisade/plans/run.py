@@ -56,7 +56,7 @@ def run(
     window = store.put(intel.capture_window(*[tables[t] for t in TELEMETRY]), "window")
     statements = store.put(intel.applied_assets(tables["assets"].where("address is not null"), window), "statements")
     bigrams = None if words is None else store.put(names.fit_bigrams(words), "bigrams")
-    telemetry = Telemetry(*[tables[t] for t in TELEMETRY], intel.normalised_indicators(tables["indicators"]), bigrams, statements, intel.observed_names(tables["dns"]))
+    telemetry = Telemetry(*[tables[t] for t in TELEMETRY], intel.normalised_indicators(tables["indicators"]), bigrams, statements, intel.observed_names(tables["dns"]), rows=tables["connections"])
     admitted, rejected = detect_all(telemetry, detectors, store)
     findings = store.put(admitted, "findings")
     queue, grouped = incidents.correlate(findings, correlation, store)
